@@ -92,15 +92,15 @@ tags AS (SELECT node, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\s[^>]*
 targets AS (SELECT node, regexp_extract(tag, '(?i)(?:\shref\s*=\s*["'']?|;\s*url\s*=\s*["'']?)([^"''\s>]+)', 1) AS target FROM tags
   WHERE regexp_matches(tag, '(?i)\srel\s*=\s*["'']?canonical\b') OR regexp_matches(tag, '(?i)\shttp-equiv\s*=\s*["'']?refresh\b')),
 edges AS (SELECT node AS u, translate(regexp_extract(split_part(target, '://', 2), '^[^/?#]*', 0), {_FOLD}) || regexp_extract(split_part(target, '://', 2), '^[^/?#]*([^#]*)', 1) AS v FROM targets WHERE instr(target, '://') > 0),
-both AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
 nodes AS (SELECT DISTINCT node, host, path FROM named WHERE host <> '' UNION SELECT DISTINCT v, regexp_extract(v, '^[^/?#]*', 0), regexp_extract(v, '^[^/?#]*([^?]*)', 1) FROM edges),
 fits AS (SELECT n.host, n.path, r.rule, r.verdict, row_number() OVER (PARTITION BY n.host, n.path ORDER BY length(r.rule) DESC, r.rule DESC) AS k
   FROM (SELECT DISTINCT host, path FROM nodes) n JOIN rules r
   ON (n.host = split_part(r.rule, '/', 1) OR ends_with(n.host, '.' || split_part(r.rule, '/', 1))) AND starts_with(n.path, substr(r.rule, instr(r.rule, '/')))),
 best AS (SELECT host, path, rule, verdict FROM fits WHERE k = 1),
 bad(node) AS (SELECT n.node FROM nodes n JOIN best b ON n.host = b.host AND n.path = b.path WHERE b.verdict = 'block'
-  UNION SELECT both.v FROM bad JOIN both ON both.u = bad.node),
-linked AS (SELECT DISTINCT node FROM bad WHERE node IN (SELECT u FROM both))
+  UNION SELECT ways.v FROM bad JOIN ways ON ways.u = bad.node),
+linked AS (SELECT DISTINCT node FROM bad WHERE node IN (SELECT u FROM ways))
 SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, CASE WHEN l.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
   b.rule IS NULL AND l.node IS NOT NULL AS aliased
 FROM named p LEFT JOIN best b ON p.host = b.host AND p.path = b.path LEFT JOIN linked l ON p.node = l.node
