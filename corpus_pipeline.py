@@ -26,11 +26,11 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row, that with the smallest doc_id."""
     shared.release()
-    kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), "text_sha256")
+    key = lambda sha: F.concat_ws(":", sha, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    kept = exact_dedup.exact_duplicates(docs).where("kept").select(key(F.col("text_sha256")).alias("_kept"))
     sha = F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256)
-    rows = docs.withColumn("_sha", sha)
-    rows = rows.join(kept, (F.col("_sha") == F.col("text_sha256")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates(["_sha", "doc_id"]).select(*docs.columns)  # rows that repeat both lie together already
+    rows = docs.withColumn("_key", key(sha)).join(kept, F.col("_key") == F.col("_kept"), "left_semi")
+    return rows.dropDuplicates(["_key"]).select(*docs.columns)  # rows that repeat both id and text lie together already
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

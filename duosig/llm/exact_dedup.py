@@ -153,12 +153,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cut = buckets(leads, bucket_bytes, levels).select("path", "h", "rep", "doc_id", "n", "content")
     found = cut.repartition("path").sortWithinPartitions("path").mapInArrow(_bucket, "grp string, rep long, doc_id long, n long")
     group = Window.partitionBy("grp")
+    # A small table: the shuffled contents can go before the rows are joined.
     groups = found.select(
         F.col("rep").alias("_rep"),
         F.min("doc_id").over(group).alias("keep_id"),
         F.sum("n").over(group).alias("group_size"),
         (F.row_number().over(group.orderBy(F.col("doc_id").asc_nulls_last(), "rep")) == 1).alias("_first"),
     )
+    groups = shared.materialise(groups)
     rows = local.select("doc_id", "sha", "rep", F.col("n").isNotNull().alias("_lead"))
     return rows.join(groups, F.col("rep") == F.col("_rep")).select(
         "doc_id", "keep_id", "group_size", (F.col("_lead") & F.col("_first")).alias("kept"), F.col("sha").alias("text_sha256")

@@ -62,7 +62,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             sums[c] = sums.get(c, 0) + np.frombuffer(counts, np.int64)
     for c, s in sums.items():
-        level = np.ceil(8 * np.log2(s + 1)).clip(0, 255).astype(np.uint8)
+        level = np.ceil(4 * np.log2(s + 1)).clip(0, 127).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["chunk", "level"])
 
 
@@ -88,8 +88,9 @@ def _prefixes(k: int, percent: int, levels):
                 size.append(n)
                 with np.errstate(over="ignore"):
                     key.append(f"{int(words.mix(g).sum(dtype=np.uint64)):016x}{int(words.mix(g ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)):016x}")
-                rare = np.argsort(level[(g & mask).astype(np.int64)], kind="stable")[: n - -(-percent * n // 100) + 1] if n else g.astype(np.int64)
-                prefix.append(g[rare].view(np.int64))
+                # A column's number: its level, then the upper bits of its hash. Columns in order of number are in order of rarity.
+                number = np.sort((level[(g & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (g >> np.uint64(8)))
+                prefix.append(number[: n - -(-percent * n // 100) + 1 if n else 0].view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -120,11 +121,20 @@ def _bound(percent: int) -> str:
     )
 
 
+def _possible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose overlap counted over both prefixes, with all columns behind them, can still reach the bound."""
+    side = lambda x: prefixes.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.withColumns({"cut": F.least(F.element_at("pa", -1), F.element_at("pb", -1)), "o": F.size(F.array_intersect("pa", "pb"))})
+    seen = lambda p: F.size(F.filter(p, lambda x: x <= F.col("cut")))
+    most = F.col("o") + F.least(F.col("na") - seen("pa"), F.col("nb") - seen("pb"))
+    return both.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) with linked: the overlap over all columns against the size-derived bound."""
-    left = sets.select(F.col("row").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("row").alias("b"), F.col("grams").alias("gb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("ga", "gb")))
+    side = lambda x: sets.select(F.col("row").alias(x), F.col("grams").alias(f"g{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("o", F.size(F.array_intersect("ga", "gb")))
     return both.select("a", "b", (F.expr(f"(100 + {percent}) * o >= {percent} * (size(ga) + size(gb))")).alias("linked"))
 
 
@@ -144,7 +154,7 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     The product is taken block by block (a block is a shuffle partition of columns): a column first pairs
     all its rows with one of them, for STAR_ROUNDS rounds; what these link needs no pair of its own, and
     pairs are then made only between rows of different components. Every pair left by the bounds is
-    verified over all columns, none is dropped.
+    verified: first over both rows' prefixes, which leaves few but linked pairs, then over all columns.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -154,18 +164,16 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     first = every.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("row"))
     rows = every.where("n_shingles > 0").join(first.where("row is not null").select("set_key", "row"), (every["set_key"] == first["set_key"]) & (every["doc_id"] == first["row"]), "left_semi")
     entries = rows.select(F.col("doc_id").alias("row"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("p", "gram"))
-    shared_grams = entries.groupBy("gram").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high").select("gram")
+    shared_grams = entries.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
     entries = shared.materialise(entries.join(shared_grams, "gram"))
-    wanted = entries.select("row").distinct()
-    sets = docs.join(wanted, F.col("doc_id") == F.col("row"), "left_semi").mapInArrow(_sets(k), "row long, grams array<long>")
-    sets = shared.materialise(sets)
+    prefixes = rows.select(F.col("doc_id").alias("row"), F.col("n_shingles").alias("n"), "prefix").dropDuplicates(["row"])
 
-    labels = wanted.select("row", F.col("row").alias("label"))
-    done = None
-    links = None
+    labels = None
+    done = links = sets = None
     for turn in range(STAR_ROUNDS + 1):
-        at = entries.join(labels, "row") if turn else entries.withColumn("label", F.col("row"))
-        if turn:
+        at = entries.withColumn("label", F.col("row"))
+        if labels is not None:
+            at = entries.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
             mixed = at.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
             at = at.join(mixed, "gram")
         if turn < STAR_ROUNDS:
@@ -178,6 +186,17 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
         pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = shared.materialise(_possible(pairs, prefixes, percent))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("row"), F.col("_row") == F.col("row"), "left_anti").select("_row")
+        wanted = shared.materialise(wanted)
+        if not wanted.isEmpty():
+            more = docs.join(wanted, F.col("doc_id") == F.col("_row"), "left_semi").mapInArrow(_sets(k), "row long, grams array<long>")
+            more = shared.materialise(more)
+            sets = more if sets is None else sets.unionByName(more)
+        if sets is None:
+            continue
         found = shared.materialise(_verified(pairs, sets, percent))
         done = found.select("a", "b") if done is None else done.unionByName(found.select("a", "b"))
         new = found.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -185,8 +204,10 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
         if new.isEmpty():
             continue
         roots = shared.materialise(shared.components(links))
-        labels = wanted.join(roots, F.col("row") == F.col("node"), "left").select("row", F.coalesce("root", "row").alias("label"))
+        labels = roots.select(F.col("node").alias("row"), F.col("root").alias("label"))
 
+    if labels is None:
+        labels = first.select("row", F.col("row").alias("label")).limit(0)
     named = first.join(labels.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left").select(F.col("set_key").alias("_key"), F.coalesce("label", "row").alias("component_id"))
     out = every.join(named, (F.col("set_key") == F.col("_key")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,13 +36,24 @@ def _filesystem(spark: SparkSession, path: str):
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes df as a table in the shared folder and reads it again."""
+    """Cuts lineage: writes df as a table in the shared folder and reads it again.
+
+    Spark drops the shuffle files of a finished step when the driver's JVM collects its plan; that is
+    asked for here, as an operator has few steps, of which each may shuffle as much as its input.
+    """
     spark = df.sparkSession
     path = new_path(spark)
+    _drop_finished(spark)
     df.write.parquet(path)
+    _drop_finished(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _drop_finished(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Removes every table written so far; only for callers who have stored the results that read them."""
     while _written:
