@@ -308,8 +308,8 @@ def bed_format(spark, sf):
 
 
 def sm_json(spark, sf):
-    held = _fit_input(spark, sf)
-    models = mixture.fit_windows(held)
+    held = views.stored(_fit_input(spark, sf))
+    models = views.stored(mixture.fit_windows(held))
     names = models.select("gene", "centre", F.transform(F.sequence(F.col("centre") - 1, F.col("centre") + 1), lambda i: F.concat(F.lit("K"), i.cast("string"))).alias("kmers"))
     preds = mixture.predict_reads(held, models).join(held.select("gene", "centre", "cond", "rep", "read", "vec"), ["gene", "centre", "cond", "rep", "read"])
     return report.predictions_json(preds, models.join(names, ["gene", "centre"]))
@@ -342,9 +342,9 @@ def store_roundtrip(spark, sf):
 
 def position_tests(spark: SparkSession, vectors: DataFrame, fdr: float = FDR) -> DataFrame:
     """All stages for windows: KS gate, mixture, G-test, odds, FDR, orientation; one row per significant window."""
-    tests = tested_windows(spark, "", vectors)
-    held = _fit_input(spark, "", vectors, tests)
-    models = mixture.fit_windows(held)
+    vectors = views.stored(vectors)
+    tests = views.stored(tested_windows(spark, "", vectors))
+    models = views.stored(mixture.fit_windows(_fit_input(spark, "", vectors, tests)))
     # Counts, then their test, as a table of their own: expressions over them repeat their arguments many times.
     count = F.explode("counts").alias("c")
     cell = lambda c, r, k: F.coalesce(F.sum(F.when((F.col("c.cond") == c) & (F.col("c.rep") == r), F.col("c.n")[k])), F.lit(0.0)).alias(f"{'ct'[c]}{r}{k}")
@@ -353,12 +353,14 @@ def position_tests(spark: SparkSession, vectors: DataFrame, fdr: float = FDR) ->
     reps = lambda c: [[F.col(f"{c}{r}{k}") for k in range(3)] for r in (1, 2)]
     g, hom, p = st.het_and_hom(reps("c"), reps("t"), fdr)
     odds = st.log_odds(*[F.col(f"{c}{k}") for c in "ct" for k in (0, 1)])
+    cells = views.stored(cells)
     tested = cells.select("gene", "centre", g.alias("g"), hom.alias("hom"), p.alias("p"), *[c.alias(n) for n, c in odds.items()])
     sd = lambda c: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.sqrt(F.col(c)[i * 4]))
     rows = models.select("gene", "centre", "mu1", "mu2", sd("cov1").alias("sd1"), sd("cov2").alias("sd2")).join(tested, ["gene", "centre"])
     rows = rows.join(tests.select("gene", "centre", F.col("d").alias("ks")), ["gene", "centre"])
     kmers = F.transform(F.sequence(F.col("centre") - 1, F.col("centre") + 1), lambda i: F.concat(F.lit("K"), i.cast("string")))
     found = st.bh_fdr(rows).where(F.col("fdr") < fdr).withColumns({"id": F.concat_ws(":", "gene", "centre"), "kmers": kmers})
+    found = views.stored(found)
     model = found.select(F.explode("kmers").alias("kmer")).distinct().withColumn("level_mean", F.lit(64.0))
     return st.flip(st.orient(found, st.kmer_shifts(found, model)))
 

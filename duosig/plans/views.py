@@ -101,3 +101,10 @@ def scratch(spark: SparkSession) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root}/store-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: what several later steps read is computed once, and plans stay short."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
