@@ -93,8 +93,8 @@ def noise(rows: DataFrame, by: list[str], x: str, y: str, eps: float, share: flo
     return rows.join(met.withColumn("_met", F.lit(True)), "id", "left").withColumn("noise", F.col("_met").isNull()).drop("_met")
 
 
-def _two_means(x: np.ndarray, factor: float) -> np.ndarray:
-    """Labels 0 and 1 of two means, started at the extremes of the first principal direction; 2 for rows far from theirs against the MAD."""
+def _two_means(x: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearer of two means, and labels: 0 and 1 of two means, started at the extremes of the first principal direction; 2 for rows far from theirs against the MAD."""
     centred = x - x.mean(0)
     along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0]
     means = x[[along.argmin(), along.argmax()]]
@@ -108,7 +108,7 @@ def _two_means(x: np.ndarray, factor: float) -> np.ndarray:
             break
     near = dist.min(1)
     spread = np.median(np.abs(near - np.median(near)))
-    return np.where((near > factor * spread) & (spread > 0), 2, label)
+    return label, np.where((near > factor * spread) & (spread > 0), 2, label)
 
 
 def _log_density(x: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> np.ndarray:
@@ -118,12 +118,12 @@ def _log_density(x: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, sample: np.ndarray, factor: float = 0.5, steps: int = 1000, tolerance: float = 0.1) -> dict | None:
     """EM of two full Gaussians and a box shared by all samples, with weights of each sample's own; None if it fails."""
-    label = _two_means(x, factor)
+    nearer, label = _two_means(x, factor)
     d, samples = x.shape[1], np.unique(sample)
     ridge = 1e-3 * np.eye(d)
     mu, cov = [], []
     for k in (0, 1):
-        own = x[label == k] if (label == k).sum() > d else x
+        own = x[label == k] if (label == k).sum() > d else x[nearer == k]  # few are left where most count as outliers
         mu.append(own.mean(0))
         cov.append(np.atleast_2d(np.cov(own.T, bias=True)) + ridge)
     far = x[label == 2] if (label == 2).any() else x
@@ -181,7 +181,7 @@ def fit_windows(vectors: DataFrame) -> DataFrame:
 
 def _label_group(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["cond", "rep", "read"], ignore_index=True)
-    return rows.assign(label=_two_means(np.array(rows["vec"].tolist()), 0.5))[["gene", "centre", "cond", "rep", "read", "label"]]
+    return rows.assign(label=_two_means(np.array(rows["vec"].tolist()), 0.5)[1])[["gene", "centre", "cond", "rep", "read", "label"]]
 
 
 def label_windows(vectors: DataFrame) -> DataFrame:
