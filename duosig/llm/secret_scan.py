@@ -69,6 +69,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     value = F.struct((F.col("s.stop") - F.length("s.value")).alias("start"), F.lit(len(KINDS)).alias("k"), F.col("s.stop").alias("stop"), F.lit("live").alias("kind"), F.col("s.value").alias("value"))
     judged = each.join(owned, "value_hash").groupBy("_list").agg(F.sort_array(F.collect_set(F.when(alone & random, value))).alias("_live"), F.sum((~alone).cast("long")).alias("_examples"))
     judged = judged.withColumnRenamed("_list", "_key")
-    out = found.join(judged, F.col("_list") == F.col("_key"), "left")
-    empty = F.array().cast("array<struct<start:int,k:int,stop:int,kind:string,value:string>>")
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS], "base", F.coalesce(F.col("_live").cast("array<struct<start:int,k:int,stop:int,kind:string,value:string>>"), empty).alias("live"), F.coalesce("_examples", F.lit(0)).alias("examples"))
+    kind = "array<struct<start:int,k:int,stop:int,kind:string,value:string>>"
+    names = ["doc_id", *[f"n_{k}" for k in KINDS], "base"]
+    some = found.join(judged, F.col("_list") == F.col("_key")).select(*names, F.col("_live").cast(kind).alias("live"), F.col("_examples").alias("examples"))
+    # Most rows have no secret: they don't take part in the join, where they would be one key.
+    none = found.where("_list is null").select(*names, F.array().cast(kind).alias("live"), F.lit(0).cast("long").alias("examples"))
+    return some.unionByName(none)
