@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import shared
+from . import shared, words
 
 LEVEL_BITS = 6
 
@@ -147,11 +147,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).cast("binary").alias("content"))
     rows = rows.select("doc_id", F.sha2("content", 256).alias("sha"), "content")
     rows = rows.select("doc_id", "sha", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("h"), "content")
-    local = shared.materialise(rows.mapInArrow(_combine(task_bytes), LOCAL))
+    local = shared.materialise(rows.mapInArrow(words.frugal(_combine(task_bytes)), LOCAL))
 
     leads = local.where("content is not null")
     cut = buckets(leads, bucket_bytes, levels).select("path", "h", "rep", "doc_id", "n", "content")
-    found = cut.repartition("path").sortWithinPartitions("path").mapInArrow(_bucket, "grp string, rep long, doc_id long, n long")
+    found = cut.repartition("path").sortWithinPartitions("path").mapInArrow(words.frugal(_bucket), "grp string, rep long, doc_id long, n long")
     group = Window.partitionBy("grp")
     # A small table: the shuffled contents can go before the rows are joined.
     groups = found.select(

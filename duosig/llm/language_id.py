@@ -14,6 +14,8 @@ from . import words
 
 #: Byte symbols that the trees tell apart; rarer bytes share the last symbol.
 SYMBOLS = 64
+#: Bytes of a very long text that are coded together.
+PART = 1 << 20
 #: A text that the best tree codes with this many bits a byte or more is in none of the languages: no model needs more.
 MAX_BITS = 8.0
 
@@ -88,23 +90,29 @@ class Trees:
         escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0)
         return np.where(table > 0, -np.log2(np.maximum(table, 1) / np.maximum(total + kinds, 1)), escape + below), escape
 
-    def index(self) -> np.ndarray:
-        """Row of high by symbol run, or -1."""
-        at = np.full(SYMBOLS**4, -1, np.int32)
-        at[self.keys] = np.arange(len(self.keys), dtype=np.int32)
-        return at
+    def index(self) -> tuple[np.ndarray, np.ndarray]:
+        """By context of three symbols: which symbols follow it in keys, as bits, and the row of high of the first."""
+        context = self.keys // SYMBOLS
+        seen = np.zeros(SYMBOLS**3, np.uint64)
+        np.bitwise_or.at(seen, context, np.uint64(1) << (self.keys % SYMBOLS).astype(np.uint64))
+        first = np.searchsorted(context, np.arange(SYMBOLS**3)).astype(np.int32)
+        return seen, first
 
-    def _cost(self, run: np.ndarray, index: np.ndarray) -> Iterator[np.ndarray]:
+    def _cost(self, run: np.ndarray, index: tuple[np.ndarray, np.ndarray]) -> Iterator[np.ndarray]:
         """Code lengths of the last symbols of runs of four, for one language after the other."""
-        row = index[run]
-        missing = np.flatnonzero(row < 0)
-        tail, context = run[missing] % SYMBOLS**3, run[missing] // SYMBOLS
+        context = run // SYMBOLS
+        bit = np.uint64(1) << (run % SYMBOLS).astype(np.uint64)
+        seen = index[0][context]
+        missing = np.flatnonzero(seen & bit == 0)
+        row = index[1][context] + np.bitwise_count(seen & (bit - np.uint64(1)))
+        row[missing] = 0
+        tail, context = run[missing] % SYMBOLS**3, context[missing]
         for k in range(len(self.langs)):
             cost = self.high[:, k][row].astype(np.float64)
             cost[missing] = self.low[tail, k] + self.escape[context, k]
             yield cost
 
-    def bits(self, data: np.ndarray, at: np.ndarray, index: np.ndarray) -> np.ndarray:
+    def bits(self, data: np.ndarray, at: np.ndarray, index: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Code length of each text data[at[i]:at[i + 1]] in each language; a text begins after spaces."""
 
         def runs(s: np.ndarray) -> np.ndarray:
@@ -114,8 +122,8 @@ class Trees:
         space = self.symbol[32]
         for i, j in words.pieces(at):
             if j == i + 1:  # a very long text in parts, each after the symbols before it
-                for low in range(int(at[i]), int(at[j]), 1 << 22):
-                    part = self.symbol[data[max(low - 3, int(at[i])) : min(low + (1 << 22), int(at[j]))]].astype(np.int32)
+                for low in range(int(at[i]), int(at[j]), PART):
+                    part = self.symbol[data[max(low - 3, int(at[i])) : min(low + PART, int(at[j]))]].astype(np.int32)
                     lead = np.full(3 if low == at[i] else 0, space, np.int32)
                     for k, cost in enumerate(self._cost(runs(np.concatenate([lead, part])), index)):
                         out[i, k] += cost.sum()
@@ -149,19 +157,24 @@ def predict(docs: DataFrame, trees: Trees | None, text_col: str = "text", max_bi
         return drop.withColumns({"lang_pred": F.lit("und"), "lang_score": F.lit(0.0), "lang_bits": F.lit(None).cast("double"), "lang_known": F.lit(False)})
     sent = docs.sparkSession.sparkContext.broadcast(vars(trees))  # its size is bounded by SYMBOLS and the sample
 
-    @F.pandas_udf("pred string, score double, bits double")
-    def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Trees.__new__(Trees)
         vars(model).update(sent.value)
         index = model.index()
         for texts in batches:
-            data, at = words.buffers(pa.array(texts, pa.large_string(), from_pandas=True))
+            data, at = words.buffers(texts)
             bits = model.bits(data, at, index)
             top = bits.argmin(1)
             least = bits.min(1)
-            size = np.diff(at)
             score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
-            yield pd.DataFrame({"pred": np.array(model.langs, object)[top], "score": score, "bits": least / np.maximum(size, 1)})
+            pred = pa.array(model.langs, pa.string()).take(pa.array(top))
+            yield pa.StructArray.from_arrays([pred, pa.array(score), pa.array(least / np.maximum(np.diff(at), 1))], ["pred", "score", "bits"])
+
+    handed = words.frugal(score)
+
+    @F.arrow_udf("pred string, score double, bits double")
+    def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return handed(batches)
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     out = drop.withColumns({"_letters": letters, "_best": best(F.coalesce(F.col(text_col), F.lit("")))})

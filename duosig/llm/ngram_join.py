@@ -68,7 +68,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def column_levels(docs: DataFrame, k: int, text_col: str) -> np.ndarray:
     """A rarity level for each counter, over all documents. It orders columns and so decides on speed, never on links."""
-    rows = docs.select(text_col).mapInArrow(_sketch(k), "chunk int, counts binary").repartition("chunk")
+    rows = docs.select(text_col).mapInArrow(words.frugal(_sketch(k)), "chunk int, counts binary").repartition("chunk")
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
     for row in rows.mapInArrow(_add, "chunk int, level binary").collect():  # 1 MB at most, as SKETCH_BITS bounds it
         levels[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["level"], np.uint8)
@@ -159,7 +159,7 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     levels = spark.sparkContext.broadcast(column_levels(docs, k, "text"))
-    every = shared.materialise(docs.mapInArrow(_prefixes(k, percent, levels), "doc_id long, n_shingles long, set_key string, prefix array<long>"))
+    every = shared.materialise(docs.mapInArrow(words.frugal(_prefixes(k, percent, levels)), "doc_id long, n_shingles long, set_key string, prefix array<long>"))
 
     first = every.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("row"))
     rows = every.where("n_shingles > 0").join(first.where("row is not null").select("set_key", "row"), (every["set_key"] == first["set_key"]) & (every["doc_id"] == first["row"]), "left_semi")
@@ -192,7 +192,7 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
             wanted = wanted.join(sets.select("row"), F.col("_row") == F.col("row"), "left_anti").select("_row")
         wanted = shared.materialise(wanted)
         if not wanted.isEmpty():
-            more = docs.join(wanted, F.col("doc_id") == F.col("_row"), "left_semi").mapInArrow(_sets(k), "row long, grams array<long>")
+            more = docs.join(wanted, F.col("doc_id") == F.col("_row"), "left_semi").mapInArrow(words.frugal(_sets(k)), "row long, grams array<long>")
             more = shared.materialise(more)
             sets = more if sets is None else sets.unionByName(more)
         if sets is None:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,19 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def frugal(run: Callable) -> Callable:
+    """run (batches to batches) that hands freed memory back to the system when its task ends, as workers are reused."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * MIX[0]
     x = (x ^ (x >> np.uint64(27))) * MIX[1]
