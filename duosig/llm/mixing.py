@@ -13,7 +13,7 @@ from . import shared
 BLOCK_ROWS = 64
 FRAME_BLOCKS = 1000
 #: Rows of a source that are ranked together.
-PIECE_ROWS = 20_000
+PIECE_ROWS = 2_000
 
 
 def edf(counts: list[int]) -> list[tuple[int, int, int, int, int]]:
