@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from . import words
 
-#: Byte symbols that the trees tell apart; rarer bytes share the last symbol.
-SYMBOLS = 64
 #: Bytes of a very long text that are coded together.
 PART = 1 << 20
 #: A text that the best tree codes with this many bits a byte or more is in none of the languages: no model needs more.
@@ -40,49 +38,65 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": lang, "code": code, "n": n})
 
 
+class Branches:
+    """The children of contexts, as sorted keys context * size + symbol: bits of the symbols that follow, and the rank of the first of each word of 64."""
+
+    def __init__(self, keys: np.ndarray, contexts: int, size: int):
+        self.wide = -(-size // 64)
+        word = keys // size * self.wide + keys % size // 64
+        self.seen = np.zeros(contexts * self.wide, np.uint64)
+        np.bitwise_or.at(self.seen, word, np.uint64(1) << (keys % size % 64).astype(np.uint64))
+        self.first = np.searchsorted(word, np.arange(len(self.seen))).astype(np.int32)
+
+    def find(self, context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each (context, symbol) in keys, and which of them are there."""
+        word = context * self.wide + (symbol >> 6)
+        bit = np.uint64(1) << (symbol & 63).astype(np.uint64)
+        seen = self.seen[word]
+        return self.first[word] + np.bitwise_count(seen & (bit - np.uint64(1))), seen & bit != 0
+
+
 class Trees:
     """Per language a context tree of order 3 with escapes (method C), as tables of code lengths in bits.
 
     A symbol seen n times after a context with N symbols of d kinds has probability n / (N + d), an
     unseen one the escape d / (N + d) and then its probability after the context without its oldest
-    symbol; below the empty context all symbols are alike. Symbols of longer contexts are not excluded
-    from shorter ones. A symbol that many bytes share costs also the choice among these bytes.
+    symbol; below the empty context all 256 bytes are alike. Symbols of longer contexts are not excluded
+    from shorter ones. Every byte value that was learned is a symbol of its own. Those that no language
+    holds are coded alike, at 8 bits after the escapes, so one symbol stands for each of them.
+    Contexts of three and four symbols are kept as far as the sample holds them.
     """
 
     def __init__(self, counts: pd.DataFrame):
         self.langs = sorted(counts["lang"].unique())
-        size = SYMBOLS
-        by_byte = np.bincount(counts["code"].to_numpy() & 255, counts["n"], 256)
-        top = [int(b) for b in np.lexsort((np.arange(256), -by_byte)) if by_byte[b]][: size - 1]
+        codes, times = counts["code"].to_numpy(), counts["n"].to_numpy()
+        learned = np.unique(np.concatenate([words.FOLD[[32]], *((codes >> shift) & 255 for shift in (24, 16, 8, 0))]))
+        self.size = size = len(learned) + 1
         symbol = np.full(256, size - 1, np.uint8)
-        symbol[top] = np.arange(len(top))
+        symbol[learned] = np.arange(len(learned))
         self.symbol = symbol[words.FOLD]
-        shared = 256 - len(top)
-        codes = counts["code"].to_numpy()
         s = [symbol[(codes >> shift) & 255].astype(np.int64) for shift in (24, 16, 8, 0)]
         lang = pd.Categorical(counts["lang"], self.langs).codes
-        full = ((s[0] * size + s[1]) * size + s[2]) * size + s[3]
-        self.keys = np.unique(full)
-        row = np.searchsorted(self.keys, full)
+        before, after = (s[0] * size + s[1]) * size + s[2], (s[1] * size + s[2]) * size + s[3]
+        self.threes = np.unique(np.concatenate([before, after]))
+        context, tail = np.searchsorted(self.threes, before), np.searchsorted(self.threes, after)
+        self.fours, first, row = np.unique(context * size + s[3], return_index=True, return_inverse=True)
+        above, rest = context[first], tail[first]  # of each run of four, its first and last three symbols
         n = len(self.langs)
-        self.low, self.escape = np.empty((size**3, n), np.float32), np.empty((size**3, n), np.float32)
-        self.high = np.empty((len(self.keys), n), np.float32, order="F")
+        table = lambda rows: np.empty((rows, n), np.float32, order="F")
+        self.two, self.escape2 = table(size**2), table(size**2)
+        self.three, self.escape3, self.four = table(len(self.threes)), table(len(self.threes)), table(len(self.fours))
         for k in range(n):
             mine = lang == k
-            order3 = np.bincount(row[mine], counts["n"][mine], len(self.keys))
-            below = np.full(size, -np.log2(1 / size))
-            below[size - 1] += np.log2(shared)
-            for order in (0, 1, 2):
-                table = np.bincount((full % size ** (order + 1))[mine], counts["n"][mine], size ** (order + 1)).reshape(-1, size)
-                below = self._level(table, np.resize(below, table.shape))[0].ravel()
-            total, kinds = np.zeros(size**3), np.zeros(size**3)
-            np.add.at(total, self.keys // size, order3)
-            np.add.at(kinds, self.keys // size, order3 > 0)
-            escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0)
-            context = self.keys // size
-            self.low[:, k], self.escape[:, k] = below, escape
-            seen = -np.log2(np.maximum(order3, 1) / (total + kinds)[context].clip(1))
-            self.high[:, k] = np.where(order3 > 0, seen, escape[context] + below[self.keys % size**3])
+            count = lambda at, rows: np.bincount(at[mine], times[mine], rows)  # noqa: B023, E731
+            below = np.full((1, size), 8.0)
+            below = self._level(count(s[3], size).reshape(1, size), below)[0]
+            below = self._level(count(s[2] * size + s[3], size**2).reshape(size, size), np.repeat(below, size, 0))[0].ravel()
+            self.two[:, k] = below
+            seen = count(tail, len(self.threes))
+            self.three[:, k], self.escape2[:, k] = self._sparse(seen, self.threes // size, size**2, below[self.threes % size**2])
+            seen = count(row, len(self.fours))
+            self.four[:, k], self.escape3[:, k] = self._sparse(seen, above, len(self.threes), self.three[rest, k])
 
     @staticmethod
     def _level(table: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,34 +104,41 @@ class Trees:
         escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0)
         return np.where(table > 0, -np.log2(np.maximum(table, 1) / np.maximum(total + kinds, 1)), escape + below), escape
 
-    def index(self) -> tuple[np.ndarray, np.ndarray]:
-        """By context of three symbols: which symbols follow it in keys, as bits, and the row of high of the first."""
-        context = self.keys // SYMBOLS
-        seen = np.zeros(SYMBOLS**3, np.uint64)
-        np.bitwise_or.at(seen, context, np.uint64(1) << (self.keys % SYMBOLS).astype(np.uint64))
-        first = np.searchsorted(context, np.arange(SYMBOLS**3)).astype(np.int32)
-        return seen, first
-
-    def _cost(self, run: np.ndarray, index: tuple[np.ndarray, np.ndarray]) -> Iterator[np.ndarray]:
-        """Code lengths of the last symbols of runs of four, for one language after the other."""
-        context = run // SYMBOLS
-        bit = np.uint64(1) << (run % SYMBOLS).astype(np.uint64)
-        seen = index[0][context]
-        missing = np.flatnonzero(seen & bit == 0)
-        row = index[1][context] + np.bitwise_count(seen & (bit - np.uint64(1)))
+    @staticmethod
+    def _sparse(seen: np.ndarray, context: np.ndarray, contexts: int, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As _level, for counts of the listed (context, symbol) only; escapes of all contexts."""
+        total, kinds = np.bincount(context, seen, contexts), np.bincount(context, seen > 0, contexts)
+        escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0)
+        return np.where(seen > 0, -np.log2(np.maximum(seen, 1) / np.maximum(total + kinds, 1)[context]), escape[context] + below), escape
+
+    def index(self) -> tuple[Branches, Branches]:
+        """Where runs of three symbols are in threes, and (place in threes, symbol) in fours."""
+        return Branches(self.threes, self.size**2, self.size), Branches(self.fours, len(self.threes), self.size)
+
+    def _cost(self, s: np.ndarray, at: np.ndarray, index: tuple[Branches, Branches]) -> Iterator[np.ndarray]:
+        """Code lengths of the symbols s[at], which have three symbols before them, for one language after the other."""
+        pair = s[:-1] * self.size + s[1:]
+        place, known = index[0].find(pair[:-1], s[2:])  # of the three symbols that end two further
+        context, symbol = at - 3, s[at]
+        row, held = index[1].find(np.where(known, place, 0)[context], symbol)
+        held &= known[context]
+        missing = np.flatnonzero(~held)
         row[missing] = 0
-        tail, context = run[missing] % SYMBOLS**3, context[missing]
+        # An unknown context has no escape of its own; an unknown run of three goes on to the last two symbols.
+        tail, ahead = at[missing] - 2, context[missing]
+        listed, escapes = known[tail], known[ahead]
+        three, above = np.where(listed, place[tail], 0), np.where(escapes, place[ahead], 0)
+        short = np.flatnonzero(~listed)
+        context2, two = pair[tail[short]], pair[tail[short] + 1]
         for k in range(len(self.langs)):
-            cost = self.high[:, k][row].astype(np.float64)
-            cost[missing] = self.low[tail, k] + self.escape[context, k]
+            cost = self.four[:, k][row].astype(np.float64)
+            rest = self.three[:, k][three].astype(np.float64)
+            rest[short] = self.escape2[:, k][context2] + self.two[:, k][two]
+            cost[missing] = rest + np.where(escapes, self.escape3[:, k][above], 0)
             yield cost
 
-    def bits(self, data: np.ndarray, at: np.ndarray, index: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    def bits(self, data: np.ndarray, at: np.ndarray, index: tuple[Branches, Branches]) -> np.ndarray:
         """Code length of each text data[at[i]:at[i + 1]] in each language; a text begins after spaces."""
-
-        def runs(s: np.ndarray) -> np.ndarray:
-            return ((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:]
-
         out = np.zeros((len(at) - 1, len(self.langs)))
         space = self.symbol[32]
         for i, j in words.pieces(at):
@@ -125,7 +146,8 @@ class Trees:
                 for low in range(int(at[i]), int(at[j]), PART):
                     part = self.symbol[data[max(low - 3, int(at[i])) : min(low + PART, int(at[j]))]].astype(np.int32)
                     lead = np.full(3 if low == at[i] else 0, space, np.int32)
-                    for k, cost in enumerate(self._cost(runs(np.concatenate([lead, part])), index)):
+                    s = np.concatenate([lead, part])
+                    for k, cost in enumerate(self._cost(s, np.arange(3, len(s)), index)):
                         out[i, k] += cost.sum()
                 continue
             size = np.diff(at[i : j + 1])
@@ -134,7 +156,7 @@ class Trees:
             s[to] = self.symbol[data[at[i] : at[j]]]
             full = np.flatnonzero(size)
             if len(full):
-                for k, cost in enumerate(self._cost(runs(s)[to - 3], index)):
+                for k, cost in enumerate(self._cost(s, to, index)):
                     out[i + full, k] = np.add.reduceat(cost, (at[i:j] - at[i])[full])
         return out
 
@@ -155,7 +177,7 @@ def predict(docs: DataFrame, trees: Trees | None, text_col: str = "text", max_bi
     drop = docs.drop("lang_pred", "lang_score", "lang_bits", "lang_known")
     if trees is None:
         return drop.withColumns({"lang_pred": F.lit("und"), "lang_score": F.lit(0.0), "lang_bits": F.lit(None).cast("double"), "lang_known": F.lit(False)})
-    sent = docs.sparkSession.sparkContext.broadcast(vars(trees))  # its size is bounded by SYMBOLS and the sample
+    sent = docs.sparkSession.sparkContext.broadcast(vars(trees))  # its size is bounded by the sample
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Trees.__new__(Trees)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -133,6 +134,45 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.identify_language(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def code_length(text, texts):
+    """Bits of text by prediction by partial matching (order 3, method C, 256 bytes) after texts, by its definition."""
+    after = collections.defaultdict(collections.Counter)
+    fold = lambda t: b"   " + t.encode().lower()
+    for b in map(fold, texts):
+        for i in range(3, len(b)):
+            for order in range(4):
+                after[b[i - order : i]][b[i]] += 1
+    total, b = 0.0, fold(text)
+    for i in range(3, len(b)):
+        for order in (3, 2, 1, 0):
+            seen = after.get(b[i - order : i], {})
+            n, kinds = sum(seen.values()), len(seen)
+            if b[i] in seen:
+                total -= math.log2(seen[b[i]] / (n + kinds))
+                break
+            total -= math.log2(kinds / (n + kinds)) if n else 0
+        else:
+            total += 8
+    return total
+
+
+def test_language_id_tells_rare_scripts_apart(spark):
+    rng = random.Random(11)
+    letters = {"en": "etaoinshrdlucmfwypvbgkjqxz0123456789.,;:!?()[]{}<>@#$%&*+-_=/|~", "th": "กขคงจฉชซญดตถทธนบปผพ", "lo": "ກຂຄງຈຊຍດຕຖທນບປຜພ", "ka": "აბგდევზთიკლმნოპჟრს", "hy": "աբգդեզէըթժիլխծկհձղ"}
+    word = lambda x, n: "".join(rng.choice(letters[x]) for _ in range(n))
+    text = lambda x, n: " ".join(word(x, rng.randrange(3, 8)) for _ in range(n))
+    docs = [(i, text(x, 300 if x == "en" else 15), x) for i, x in enumerate(x for x in letters for _ in range(20))]
+    strange = [(1000, "".join(rng.choice("ஃஅஆஇஈஉஊஎஏஐ") for _ in range(200)), None), (1001, "中文字符測試" * 20, None), (1002, "a" + text("th", 3) + "中", None)]
+    df = spark.createDataFrame(docs + strange, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.identify_language(df).collect()}
+    assert all(got[d]["lang_pred"] == x for d, _, x in docs)
+    assert all(got[d]["lang_known"] for d, _, _ in docs) and not any(got[d]["lang_known"] for d in (1000, 1001))
+    held = {r[0] for r in df.where(language_id.held_out()).select("doc_id").collect()}
+    for d, t, _ in [*docs[::9], *strange]:
+        want = min(code_length(t, [u for e, u, y in docs if y == x and e not in held]) for x in letters)
+        assert math.isclose(got[d]["lang_bits"] * len(t.encode()), want, rel_tol=1e-5)
+
+
 def test_mixing_deviates_less_than_a_block(spark):
     for counts in ([5, 3, 1], [1, 1, 1, 1], [17, 2], [1]):
         plan, served = mixing.edf(counts), [0] * len(counts)
