@@ -6,6 +6,8 @@ depth; each group is fitted apart, so Spark spreads windows over the cluster.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -189,22 +191,32 @@ def label_windows(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("gene", "centre").applyInPandas(_label_group, "gene long, centre long, cond long, rep long, read long, label long")
 
 
-def _posterior_group(key, rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-    columns = ["gene", "centre", "cond", "rep", "read", "pred", "outlier"]
-    if not len(model) or not len(rows):
-        return pd.DataFrame(columns=columns)
-    m, x = model.iloc[0], np.array(rows["vec"].tolist())
-    d = x.shape[1]
-    low, high = np.array(m["low"]), np.array(m["high"])
-    box = np.where(((x >= low) & (x <= high)).all(1), -np.log(np.maximum(high - low, 1e-6)).sum(), -np.inf)
-    dens = np.stack([_log_density(x, np.array(m[f"mu{k}"]), np.array(m[f"cov{k}"]).reshape(d, d)) for k in (1, 2)] + [box], 1) + np.log(np.array(m["w"]))
-    post = np.exp(dens - dens.max(1, keepdims=True))
-    post /= post.sum(1, keepdims=True)
-    return rows.assign(pred=post[:, 1], outlier=post[:, 2])[columns]
+def _log_densities(x: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """As _log_density, with a mean and a covariance of each row's own."""
+    off = x - mu
+    solve = np.linalg.solve(cov, off[:, :, None])[:, :, 0]
+    return -0.5 * ((off * solve).sum(1) + np.linalg.slogdet(cov)[1] + x.shape[1] * np.log(2 * np.pi))
+
+
+def _posteriors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        if not len(rows):
+            continue
+        m = {c: np.array(rows[c].tolist()) for c in ("vec", "mu1", "mu2", "cov1", "cov2", "low", "high", "w")}
+        x, low, high = m["vec"], m["low"], m["high"]
+        square = (len(x), x.shape[1], x.shape[1])
+        box = np.where(((x >= low) & (x <= high)).all(1), -np.log(np.maximum(high - low, 1e-6)).sum(1), -np.inf)
+        dens = np.stack([_log_densities(x, m[f"mu{k}"], m[f"cov{k}"].reshape(square)) for k in (1, 2)] + [box], 1) + np.log(m["w"])
+        post = np.exp(dens - dens.max(1, keepdims=True))
+        post /= post.sum(1, keepdims=True)
+        yield rows.assign(pred=post[:, 1], outlier=post[:, 2])[["gene", "centre", "cond", "rep", "read", "vec", "pred", "outlier"]]
 
 
 def predict_reads(vectors: DataFrame, models: DataFrame) -> DataFrame:
-    """Per read the posterior of the second component and of the box, for windows with a model."""
-    schema = "gene long, centre long, cond long, rep long, read long, pred double, outlier double"
-    held = vectors.join(models.select("gene", "centre"), ["gene", "centre"], "left_semi")
-    return held.groupBy("gene", "centre").cogroup(models.select("gene", "centre", "mu1", "mu2", "cov1", "cov2", "low", "high", "w").groupBy("gene", "centre")).applyInPandas(_posterior_group, schema)
+    """Per read of vectors, with vec, the posterior of the second component and of the box, for windows with a model.
+
+    Models are joined to the reads, which are then taken batch by batch: no task holds a window.
+    """
+    schema = "gene long, centre long, cond long, rep long, read long, vec array<double>, pred double, outlier double"
+    model = models.select("gene", "centre", "mu1", "mu2", "cov1", "cov2", "low", "high", "w")
+    return vectors.select("gene", "centre", "cond", "rep", "read", "vec").join(model, ["gene", "centre"]).mapInPandas(_posteriors, schema)

@@ -151,3 +151,15 @@ def flip(results: DataFrame) -> DataFrame:
         "mu1": swap("mu1", "mu2"), "mu2": swap("mu2", "mu1"), "sd1": swap("sd1", "sd2"), "sd2": swap("sd2", "sd1"),
     }
     return results.select(*[new[c].alias(c) if c in new else F.col(c) for c in results.columns])
+
+
+def flip_models(models: DataFrame) -> DataFrame:
+    """Swaps means and covariances of the components where flip holds; weights stay in the order of the fit."""
+    swap = lambda a, b: F.when(F.col("flip"), F.col(b)).otherwise(F.col(a))
+    new = {"mu1": swap("mu1", "mu2"), "mu2": swap("mu2", "mu1"), "cov1": swap("cov1", "cov2"), "cov2": swap("cov2", "cov1")}
+    return models.select(*[new[c].alias(c) if c in new else F.col(c) for c in models.columns])
+
+
+def flip_predictions(predictions: DataFrame) -> DataFrame:
+    """Where flip holds, pred becomes the posterior of the first component."""
+    return predictions.withColumn("pred", F.when(F.col("flip"), 1 - (F.col("pred") + F.col("outlier"))).otherwise(F.col("pred")))

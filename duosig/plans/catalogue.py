@@ -308,11 +308,11 @@ def bed_format(spark, sf):
 
 
 def sm_json(spark, sf):
-    held = views.stored(_fit_input(spark, sf))
-    models = views.stored(mixture.fit_windows(held))
-    names = models.select("gene", "centre", F.transform(F.sequence(F.col("centre") - 1, F.col("centre") + 1), lambda i: F.concat(F.lit("K"), i.cast("string"))).alias("kmers"))
-    preds = mixture.predict_reads(held, models).join(held.select("gene", "centre", "cond", "rep", "read", "vec"), ["gene", "centre", "cond", "rep", "read"])
-    return report.predictions_json(preds, models.join(names, ["gene", "centre"]))
+    """Predictions for all reads of significant windows; only the fit is over a subsample."""
+    vectors, models, found = _oriented(spark, views.vectors(spark, sf))
+    models = views.stored(models.join(found.select("gene", "centre", "kmers", "flip"), ["gene", "centre"]))
+    preds = mixture.predict_reads(vectors, models).join(models.select("gene", "centre", "flip"), ["gene", "centre"])
+    return report.predictions_json(st.flip_predictions(preds), st.flip_models(models))
 
 
 def cigar_max_indel(spark, sf):
@@ -340,8 +340,8 @@ def store_roundtrip(spark, sf):
     return readers.read_store(spark, path).groupBy(F.col("sample").cast("string").alias("sample"), "gene_id", "pos").agg(F.count("*").alias("n"), R(F.avg("mean"), 4).alias("mean"))
 
 
-def position_tests(spark: SparkSession, vectors: DataFrame, fdr: float = FDR) -> DataFrame:
-    """All stages for windows: KS gate, mixture, G-test, odds, FDR, orientation; one row per significant window."""
+def _oriented(spark: SparkSession, vectors: DataFrame, fdr: float = FDR) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The vectors as a table, the models of gated windows, and significant windows with flip, whose components aren't swapped yet."""
     vectors = views.stored(vectors)
     tests = views.stored(tested_windows(spark, "", vectors))
     models = views.stored(mixture.fit_windows(_fit_input(spark, "", vectors, tests)))
@@ -362,7 +362,12 @@ def position_tests(spark: SparkSession, vectors: DataFrame, fdr: float = FDR) ->
     found = st.bh_fdr(rows).where(F.col("fdr") < fdr).withColumns({"id": F.concat_ws(":", "gene", "centre"), "kmers": kmers})
     found = views.stored(found)
     model = found.select(F.explode("kmers").alias("kmer")).distinct().withColumn("level_mean", F.lit(64.0))
-    return st.flip(st.orient(found, st.kmer_shifts(found, model)))
+    return vectors, models, st.orient(found, st.kmer_shifts(found, model))
+
+
+def position_tests(spark: SparkSession, vectors: DataFrame, fdr: float = FDR) -> DataFrame:
+    """All stages for windows: KS gate, mixture, G-test, odds, FDR, orientation; one row per significant window."""
+    return st.flip(_oriented(spark, vectors, fdr)[2])
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

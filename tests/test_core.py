@@ -1,5 +1,6 @@
 """Numbers and edges of the operators on hand-made rows."""
 
+import json
 import math
 
 import numpy as np
@@ -10,6 +11,7 @@ from duosig.functions import numeric
 from duosig.operators import events as ev
 from duosig.operators import mixture
 from duosig.operators import statistics as st
+from duosig.plans import catalogue
 from duosig.sources import readers
 
 
@@ -89,3 +91,34 @@ def test_reading_alignments(spark):
     raw = spark.createDataFrame([("a", "1")], "c_name string, read_index string")
     names = spark.createDataFrame([("1", "x", 0), ("1", "y", 1)], "read_index string, read_name string, row_no long")
     assert readers.lookup_read_names(raw, names).first()["read_name"] == "y"
+
+
+def shifted_vectors(spark, sizes, shifts):
+    """Vectors of three positions: sizes are reads by (cond, rep), shifts of most treated reads by (gene, centre)."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for (gene, centre), shift in shifts.items():
+        for (cond, rep), n in sizes.items():
+            x = rng.normal(66, 1, (n, 3)) + np.where(rng.random((n, 1)) < (0.8 if cond else 0.1), shift, 0.0)
+            rows += [(gene, centre, cond, rep, 10_000 * (2 * cond + rep) + i, v.tolist()) for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, "gene long, centre long, cond long, rep long, read long, vec array<double>")
+
+
+def test_predictions_of_all_reads(spark, monkeypatch):
+    sizes = {(0, 1): 1200, (0, 2): 60, (1, 1): 1100, (1, 2): 60}
+    rows = shifted_vectors(spark, sizes, {(1, 3): 10.0, (1, 10): -20.0, (2, 3): 0.0})
+    monkeypatch.setattr(catalogue.views, "vectors", lambda spark, sf: rows)
+    got = {(r["gene"], r["centre"]): json.loads(r["json"]) for r in catalogue.sm_json(spark, "").collect()}
+    assert sorted(got) == [(1, 3), (1, 10)]  # significant windows only
+    truth = {(r["centre"], r["cond"], r["rep"], r["read"]): r["vec"] for r in rows.where("gene = 1").collect()}
+    for (_, centre), doc in got.items():
+        unmod, mod = (np.array(doc["model"][k]["mu"]) for k in ("unmod", "mod"))
+        assert abs(mod.mean() - 64) > abs(unmod.mean() - 64)  # components are turned by the model's level
+        for c, cond in enumerate(("cntrl", "treat")):
+            for rep in (1, 2):
+                each = doc[cond][str(rep)]
+                assert len(each["read_ids"]) == sizes[c, rep] == len(each["preds"])
+                assert all(truth[centre, c, rep, r] == v for r, v in zip(each["read_ids"], each["events"], strict=True))
+                near = np.linalg.norm(np.array(each["events"]) - mod, axis=1) < np.linalg.norm(np.array(each["events"]) - unmod, axis=1)
+                p, o = np.array(each["preds"]), np.array(each["outlier_preds"])
+                assert (((p > 1 - p - o) == near) | (o > 0.5)).mean() > 0.98
