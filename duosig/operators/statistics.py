@@ -93,13 +93,40 @@ def het_and_hom(cntrl: list[list[Column]], treat: list[list[Column]], p_threshol
     """
     pool = lambda reps, j: sum((r[j] for r in reps[1:]), reps[0][j])
     cells = [pool(cntrl, 0), pool(cntrl, 1), pool(treat, 0), pool(treat, 1)]
+    return _taken_back(cells, homogeneity(cntrl) + homogeneity(treat), p_threshold)
+
+
+def _taken_back(cells: list[Column], hom: Column, p_threshold: float) -> tuple[Column, Column, Column]:
     g, p = g_test_2x2(*cells)
     outliers = cells[0] + cells[1] + cells[2] + cells[3] <= 0
-    hom = homogeneity(cntrl) + homogeneity(treat)
     tested = ~outliers & (p < p_threshold)
     return F.when(~outliers, g), F.when(tested, hom), F.when(outliers, 1.0).when(tested & (hom >= g), 1.0).otherwise(p)
 
 
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x)
+
+
+def pooled_counts(reps: Column, k: int) -> Column:
+    """The count of component k over however many replicates an array holds the counts of."""
+    return _sum(F.transform(reps, lambda r: r[k]))
+
+
+def homogeneity_of(reps: Column, components: int = 3) -> Column:
+    """homogeneity for an array of the counts of however many replicates, each of more than two components (no correction)."""
+    part = lambda x: F.when(x > 0, x * F.ln(x)).otherwise(0.0)
+    rows, cols = F.transform(reps, _sum), F.array(*[pooled_counts(reps, k) for k in range(components)])
+    cells = _sum(F.transform(reps, lambda r: _sum(F.transform(r, part))))
+    g = 2 * (cells - _sum(F.transform(rows, part)) - _sum(F.transform(cols, part)) + part(_sum(rows)))
+    empty = (F.size(reps) < 2) | F.exists(rows, lambda x: x <= 0) | F.exists(cols, lambda x: x <= 0)
+    return F.when(empty, 0.0).otherwise(F.greatest(g, F.lit(0.0)))
+
+
+def het_and_hom_of(cells: list[Column], cntrl: Column, treat: Column, p_threshold: float) -> tuple[Column, Column, Column]:
+    """het_and_hom for arrays of replicates' counts and their pooled cells (control 0 and 1, treatment 0 and 1)."""
+    return _taken_back(cells, homogeneity_of(cntrl) + homogeneity_of(treat), p_threshold)
+
+
 def log_odds(c0: Column, c1: Column, t0: Column, t1: Column) -> dict[str, Column]:
     """Fractions modified and the log odds ratio with its 95 % interval; a zero cell adds a half to all cells."""
     shift = F.when((c0 == 0) | (c1 == 0) | (t0 == 0) | (t1 == 0), 0.5).otherwise(0.0)

@@ -346,12 +346,10 @@ def _oriented(spark: SparkSession, vectors: DataFrame, fdr: float = FDR) -> tupl
     tests = views.stored(tested_windows(spark, "", vectors))
     models = views.stored(mixture.fit_windows(_fit_input(spark, "", vectors, tests)))
     # Counts, then their test, as a table of their own: expressions over them repeat their arguments many times.
-    count = F.explode("counts").alias("c")
-    cell = lambda c, r, k: F.coalesce(F.sum(F.when((F.col("c.cond") == c) & (F.col("c.rep") == r), F.col("c.n")[k])), F.lit(0.0)).alias(f"{'ct'[c]}{r}{k}")
-    cells = models.select("gene", "centre", count).groupBy("gene", "centre").agg(*[cell(c, r, k) for c in (0, 1) for r in (1, 2) for k in range(3)])
-    cells = cells.withColumns({f"{c}{k}": F.col(f"{c}1{k}") + F.col(f"{c}2{k}") for c in "ct" for k in (0, 1)})
-    reps = lambda c: [[F.col(f"{c}{r}{k}") for k in range(3)] for r in (1, 2)]
-    g, hom, p = st.het_and_hom(reps("c"), reps("t"), fdr)
+    reps = lambda k: F.transform(F.filter("counts", lambda c: c["cond"] == k), lambda c: c["n"])
+    cells = models.select("gene", "centre", reps(0).alias("c"), reps(1).alias("t"))
+    cells = cells.withColumns({f"{c}{k}": st.pooled_counts(F.col(c), k) for c in "ct" for k in (0, 1)})
+    g, hom, p = st.het_and_hom_of([F.col(f"{c}{k}") for c in "ct" for k in (0, 1)], F.col("c"), F.col("t"), fdr)
     odds = st.log_odds(*[F.col(f"{c}{k}") for c in "ct" for k in (0, 1)])
     cells = views.stored(cells)
     tested = cells.select("gene", "centre", g.alias("g"), hom.alias("hom"), p.alias("p"), *[c.alias(n) for n, c in odds.items()])
@@ -371,9 +369,13 @@ def position_tests(spark: SparkSession, vectors: DataFrame, fdr: float = FDR) ->
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Significant windows of the whole table, genes pooled into one locus so that small tables have the depth."""
+    """Significant windows of every gene of the whole table."""
+    return position_tests(spark, views.vectors(spark, sf))
+
+
+def pooled_smoke(spark: SparkSession, sf: str, depth: int) -> DataFrame:
+    """position_tests with genes pooled into one locus, so that the smallest tables have the depth; not a result for genes."""
     e = views.events(spark, sf).withColumn("gene", F.lit(0).cast("long"))
-    depth = 1 if sf.endswith("sf0.001") else 6
     v = ev.window_vectors(e, ev.valid_windows(ev.valid_positions(e, depth), 3), 3)
     return position_tests(spark, v)
 

@@ -122,3 +122,35 @@ def test_predictions_of_all_reads(spark, monkeypatch):
                 near = np.linalg.norm(np.array(each["events"]) - mod, axis=1) < np.linalg.norm(np.array(each["events"]) - unmod, axis=1)
                 p, o = np.array(each["preds"]), np.array(each["outlier_preds"])
                 assert (((p > 1 - p - o) == near) | (o > 0.5)).mean() > 0.98
+
+
+def g_of(table):
+    """G of a table of counts without a correction, by its definition; 0 if a row or a column is empty."""
+    o = np.array(table, float)
+    e = np.outer(o.sum(1), o.sum(0)) / o.sum()
+    if not (o.sum(0).all() and o.sum(1).all()):
+        return 0.0
+    return 2 * sum(x * math.log(x / y) for x, y in zip(o.ravel(), e.ravel(), strict=True) if x)
+
+
+def test_all_replicates_and_genes_are_tested(spark, monkeypatch):
+    three = {(0, 1): 60, (0, 2): 60, (0, 3): 90, (1, 1): 60, (1, 2): 60, (1, 3): 90, (1, 4): 40}
+    rows = shifted_vectors(spark, three, {(1, 3): 10.0, (2, 3): -20.0, (3, 3): 0.0})
+    monkeypatch.setattr(catalogue.views, "vectors", lambda spark, sf: rows)
+    got = {r["gene"]: r for r in catalogue.flagship(spark, "").collect()}
+    assert sorted(got) == [1, 2]  # genes aren't pooled
+    fits = {r["gene"]: r["counts"] for r in mixture.fit_windows(catalogue._fit_input(spark, "", rows)).collect()}
+    for gene, r in got.items():
+        reps = {k: [c["n"] for c in fits[gene] if c["cond"] == k] for k in (0, 1)}
+        assert len(reps[0]) == 3 and len(reps[1]) == 4
+        assert math.isclose(r["hom"], g_of(reps[0]) + g_of(reps[1]), abs_tol=1e-6)
+        n = [[sum(x[k] for x in reps[c]) for k in (0, 1)] for c in (0, 1)]
+        odds = abs(math.log(n[0][0] * n[1][1] / (n[0][1] * n[1][0]))) if all(map(all, n)) else None
+        assert odds is None or math.isclose(abs(r["log_odds"]), odds, rel_tol=1e-9)
+
+
+def test_homogeneity_of_an_array_is_that_of_columns(spark):
+    for table in ([[3, 5, 1], [2, 9, 4]], [[3, 0, 1], [2, 9, 4]], [[3, 0, 1], [2, 0, 4]], [[1, 2, 3]], [[0, 0, 0], [1, 2, 3]]):
+        columns = [[F.lit(float(x)) for x in r] for r in table]
+        r = one(spark, a=st.homogeneity(columns), b=st.homogeneity_of(F.array(*[F.array(*x) for x in columns])))
+        assert math.isclose(r["a"], r["b"], abs_tol=1e-9)
