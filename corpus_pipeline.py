@@ -11,12 +11,6 @@ from pyspark.sql import functions as F
 from duosig.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join, shared
 
 
-def _kept(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in keep; a null doc_id can be in it."""
-    ids = keep.select(F.col("doc_id").alias("_id"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
-
-
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from them; texts without a letter or like none of these go."""
     shared.release()
@@ -34,17 +28,22 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest doc_id."""
+    """Of each component of linked documents the one with the smallest doc_id; rows are told apart by a key of their own, as ids may repeat or be null."""
     shared.release()
-    found = ngram_join.ngram_join(docs, k=5, percent=80)
-    return _kept(docs, found.where("doc_id <=> component_id"))
+    # The key is written down first: made anew in each job it need not be the same.
+    rows = shared.materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = ngram_join.ngram_join(rows, k=5, percent=80, id_col="_row").select(F.col("doc_id").alias("_of"), "component_id")
+    named = found.join(rows.select("_row", "doc_id"), F.col("_of") == F.col("_row"))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first"))
+    return rows.join(first.select(F.col("_first._row").alias("_kept")), F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item; whole rows go through the operator in the place of an id."""
     shared.release()
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _kept(docs, decontaminate.decontaminate(docs, items).where("not contaminated"))
+    whole = docs.withColumn("_whole", F.struct(*docs.columns))
+    return decontaminate.decontaminate(whole, items, id_col="_whole").where("not contaminated").select("doc_id.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
