@@ -2,31 +2,65 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+#: Spark then removes a query's shuffle files as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Scope:
+    """The tables that operators wrote while it was open. release() removes them and no others."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def release(self) -> None:
+        """For callers who have stored the results that read these tables."""
+        while self.paths:
+            filesystem, jpath = _filesystem(self.spark, self.paths.pop())
+            filesystem.delete(jpath, True)
+
+
+_open: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """Gathers the tables that operators write inside the block; it doesn't remove them by itself, as results are lazy."""
+    own = Scope(spark)
+    before = _open.set(own)
+    try:
+        yield own
+    finally:
+        _open.reset(before)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset and all runs on one machine."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(named)
     return named
 
 
 def new_path(spark: SparkSession) -> str:
-    """A new path in the shared folder, removed when the session's JVM ends or by release()."""
+    """A new path in the shared folder, removed when the session's JVM ends or by the open scope's release()."""
     path = f"{shared_dir(spark)}/duosig-{uuid.uuid4().hex}"
-    _filesystem(spark, path)[0].deleteOnExit(_filesystem(spark, path)[1])
-    _written.append((spark, path))
+    filesystem, jpath = _filesystem(spark, path)
+    filesystem.deleteOnExit(jpath)
+    if (own := _open.get()) is not None:
+        own.paths.append(path)
     return path
 
 
@@ -35,33 +69,26 @@ def _filesystem(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes df as a table in the shared folder and reads it again.
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that end inside the block leave no shuffle files behind, as each may shuffle as much as its input."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
-    Spark drops the shuffle files of a finished step when the driver's JVM collects its plan; that is
-    asked for here, as an operator has few steps, of which each may shuffle as much as its input.
-    """
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cuts lineage: writes df as a table in the shared folder and reads it again."""
     spark = df.sparkSession
     path = new_path(spark)
-    _drop_finished(spark)
-    df.write.parquet(path)
-    _drop_finished(spark)
+    with dropping_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drop_finished(spark: SparkSession) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def release() -> None:
-    """Removes every table written so far; only for callers who have stored the results that read them."""
-    while _written:
-        spark, path = _written.pop()
-        filesystem, jpath = _filesystem(spark, path)
-        filesystem.delete(jpath, True)
-
-
 def with_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
     """Adds each row's 0-based rank within keys by (bucket, order), without putting a key's rows into one task.
 

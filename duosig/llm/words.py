@@ -21,7 +21,6 @@ WORDLIKE = np.zeros(256, bool)
 WORDLIKE[48:58] = WORDLIKE[65:91] = WORDLIKE[97:123] = WORDLIKE[128:] = True
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)[FOLD]
 _BASE = 0x9E3779B97F4A7C15 | 1
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def frugal(run: Callable) -> Callable:
@@ -43,13 +42,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers
+def _powers_of(base: int) -> np.ndarray:
+    steps = np.full(PIECE + 1, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+#: Powers of the base and of its inverse modulo 2^64, for the places of one piece.
+_UP, _DOWN = _powers_of(_BASE), _powers_of(pow(_BASE, -1, 1 << 64))
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,22 +73,46 @@ def pieces(at: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
 
 
 def words(data: np.ndarray, at: np.ndarray, wordlike: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts data[at[i]:at[i + 1]]: hash, start and end of every word, and each text's range of words."""
+    """Of the texts data[at[i]:at[i + 1]]: hash, start and end of every word, and each text's range of words.
+
+    A word's hash is a polynomial of its bytes, read off running sums at its start and end. They are summed
+    piece by piece, so that a very long text needs room for its words but not for sums at all its bytes.
+    """
     low, high = int(at[0]), int(at[-1])
-    d, rel = data[low:high], at - low
-    if high == low:
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, np.zeros(len(at), np.int64)
-    inside = wordlike[d]
-    before, after = np.empty_like(inside), np.empty_like(inside)
-    before[1:], after[:-1] = inside[:-1], inside[1:]
-    before[rel[:-1][rel[:-1] < len(d)]] = False
-    after[rel[1:][rel[1:] > 0] - 1] = False
-    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    up, down = _power(len(d) + 1)
-    total = np.zeros(len(d) + 1, np.uint64)
-    np.cumsum(_BYTE[d] * up[: len(d)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start]), start + low, end + low, np.searchsorted(start, rel)
+    none = np.zeros(0, np.int64)
+    starts, ends, sums, downs, tops = [none], [none], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    total, was = np.uint64(0), False
+    for first in range(low, high, PIECE):
+        d = data[first : min(first + PIECE, high)]
+        n = len(d)
+        # Bounds of texts cut words; a piece's own bounds don't.
+        cuts = at[np.searchsorted(at, first, "left") : np.searchsorted(at, first + n, "left")] - first
+        inside = np.empty(n + 1, bool)
+        inside[0] = was
+        inside[1:] = wordlike[d]
+        cut = np.zeros(n, bool)
+        cut[cuts] = True
+        start = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
+        end = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
+        up, down = np.uint64(pow(_BASE, first - low, 1 << 64)), np.uint64(pow(_BASE, low - first, 1 << 64))
+        total_at = np.empty(n + 1, np.uint64)
+        total_at[0] = 0
+        with np.errstate(over="ignore"):
+            np.cumsum(_BYTE[d] * _UP[:n], out=total_at[1:])
+            sums.append(total + up * total_at[start])
+            tops.append(total + up * total_at[end])
+            downs.append(down * _DOWN[start])
+            total = total + up * total_at[n]
+        starts.append(start + first)
+        ends.append(end + first)
+        was = bool(inside[n])
+    if was:
+        ends.append(np.array([high]))
+        tops.append(np.array([total], np.uint64))
+    start, end = np.concatenate(starts), np.concatenate(ends)
+    with np.errstate(over="ignore"):
+        h = mix((np.concatenate(tops) - np.concatenate(sums)) * np.concatenate(downs))
+    return h, start, end, np.searchsorted(start, at)
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
