@@ -17,6 +17,10 @@ SKETCH_BITS = 20
 CHUNK = 1 << 14
 #: Rounds that link the rows of a column through one row before the rest is joined pair by pair.
 STAR_ROUNDS = 2
+#: Columns of a row in one block of the product, about.
+BLOCK_COLUMNS = 256
+#: A set that more than one in so many rows have is handed its component by broadcast: there are fewer such sets than this.
+HOT_SETS = 1000
 
 
 def grams_of(data: np.ndarray, at: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -87,28 +91,41 @@ def _prefixes(k: int, percent: int, levels):
                 n = len(g)
                 size.append(n)
                 with np.errstate(over="ignore"):
-                    key.append(f"{int(words.mix(g).sum(dtype=np.uint64)):016x}{int(words.mix(g ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)):016x}")
+                    key.append(words.mix(g).sum(dtype=np.uint64).tobytes() + words.mix(g ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).tobytes())
                 # A column's number: its level, then the upper bits of its hash. Columns in order of number are in order of rarity.
                 number = np.sort((level[(g & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (g >> np.uint64(8)))
                 prefix.append(number[: n - -(-percent * n // 100) + 1 if n else 0].view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "prefix"],
+                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "set_key", "prefix"],
             )
 
     return run
 
 
-def _sets(k: int):
+def _pieces(k: int):
+    """The columns of wanted rows cut into 2^level blocks by the upper bits of a column's hash, as (row, level, block, grams)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # rows that this task has cut already, as texts may repeat
         for batch in batches:
             data, at = words.buffers(batch.column(1))
-            every = [g.view(np.int64) for _, g in grams_of(data, at, k)]
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in every])]).astype(np.int32)
-            flat = np.concatenate(every) if every else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))], ["row", "grams"])
+            rows, levels = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for i, g in grams_of(data, at, k):
+                if rows[i] in done:
+                    continue
+                done.add(rows[i])
+                for level in levels[i]:
+                    bounds = [0, *np.searchsorted(g, np.arange(1, 1 << level, dtype=np.uint64) << np.uint64(64 - level)).tolist(), len(g)] if level else [0, len(g)]
+                    some = [b for b in range(1 << level) if bounds[b] < bounds[b + 1]]
+                    ends = pa.array([0, *(bounds[b + 1] for b in some)], pa.int32())
+                    n = len(some)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([rows[i]] * n, pa.int64()), pa.array([level] * n, pa.int32()), pa.array(some, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(g.view(np.int64), pa.int64()))],
+                        ["row", "level", "block", "grams"],
+                    )
 
     return run
 
@@ -123,91 +140,119 @@ def _bound(percent: int) -> str:
 
 def _possible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose overlap counted over both prefixes, with all columns behind them, can still reach the bound."""
-    side = lambda x: prefixes.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"))
+    side = lambda x: prefixes.select(F.col("row").alias(x), F.col("prefix").alias(f"p{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.withColumns({"cut": F.least(F.element_at("pa", -1), F.element_at("pb", -1)), "o": F.size(F.array_intersect("pa", "pb"))})
     seen = lambda p: F.size(F.filter(p, lambda x: x <= F.col("cut")))
     most = F.col("o") + F.least(F.col("na") - seen("pa"), F.col("nb") - seen("pb"))
-    return both.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    return both.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "na", "b", "nb")
+
 
+def _overlaps(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """pairs (a, na, b, nb, level) with o, their overlap: the product of both rows in each block of columns, summed over blocks."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row"), "level").groupBy("row").agg(F.collect_set("level").alias("levels"))
+    texts = wanted.join(rows.select("row", "doc_id", "text_hash"), "row").select("row", "levels", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    texts = docs.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    pieces = shared.materialise(texts.select("row", "text", "levels").mapInArrow(words.frugal(_pieces(k)), "row long, level int, block int, grams array<long>"))
+    side = lambda x: pieces.select(F.col("row").alias(x), "level", "block", F.col("grams").alias(f"g{x}"))
+    cells = pairs.select("a", "b", "level", F.explode(F.expr("sequence(0, shiftleft(1, level) - 1)")).alias("block"))
+    cells = cells.join(side("a"), ["a", "level", "block"]).join(side("b"), ["b", "level", "block"]).select("a", "b", "block", F.size(F.array_intersect("ga", "gb")).alias("o"))
+    # A row whose text occurs in several tasks has been cut in each of them.
+    return cells.groupBy("a", "b", "block").agg(F.max("o").alias("o")).groupBy("a", "b").agg(F.sum("o").alias("o"))
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with linked: the overlap over all columns against the size-derived bound."""
-    side = lambda x: sets.select(F.col("row").alias(x), F.col("grams").alias(f"g{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("o", F.size(F.array_intersect("ga", "gb")))
-    return both.select("a", "b", (F.expr(f"(100 + {percent}) * o >= {percent} * (size(ga) + size(gb))")).alias("linked"))
+
+def _met(at: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, na, b, nb) of rows of different labels that share a column, with the number of shared columns seen.
+
+    In the first STAR_ROUNDS turns a column pairs all its rows with one of them; then rows of like sizes with each other.
+    """
+    side = lambda x, *more: [F.col("row").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "p", "label")], *more]
+    if turn < STAR_ROUNDS:
+        one = F.struct((F.xxhash64("row", F.lit(turn)) if turn else F.lit(0)).alias("draw"), "row", "n", "p", "label")
+        centre = at.groupBy("gram").agg(F.min(one).alias("c")).select("gram", "c.*").select("gram", *side("a"))
+        met = at.select("gram", *side("b")).join(centre, "gram").where("a <> b")
+    else:
+        # Rows that link have sizes of the same class or of adjacent ones: each also waits in the class below its own.
+        at = at.withColumn("size", F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9))
+        low = at.select("gram", "size", *side("a"))
+        high = at.select("gram", F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("size"), F.col("size").alias("own"), *side("b"))
+        met = low.join(high, ["gram", "size"]).where("size < own or a < b")
+    met = met.where("labela <> labelb").where(_bound(percent))
+    first = F.col("a") < F.col("b")
+    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
+    return met.select(pick("a", "b", "a"), pick("na", "nb", "na"), pick("b", "a", "b"), pick("nb", "na", "nb")).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("seen"))
 
 
 def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that its links reach).
 
     A document is the set of its distinct k-word shingles over words of non-space characters with A-Z as
-    a-z; with fewer words, the whole sequence is one shingle. Two documents link when
+    a-z; with fewer words, the whole sequence is one shingle. Two rows link when
     100 * intersection >= percent * union. Null, empty and blank texts have no shingles and link with
-    nothing: they are their own component. Rows that share a doc_id are one node; a null doc_id has a null
-    component_id unless its text equals another's. Shingles are compared by 64-bit hash (a collision would
-    have to fall within one pair), equal sets by a 128-bit one. Columns other than id and text aren't read.
-
-    Rows of the incidence matrix with equal sets become one row. Of its columns only those enter the
-    product that the bound needs: a row of n shingles must share one of its n - ceil(percent * n / 100) + 1
-    rarest with any row it links to, and where two rows share one, sizes and positions bound their overlap.
-    The product is taken block by block (a block is a shuffle partition of columns): a column first pairs
-    all its rows with one of them, for STAR_ROUNDS rounds; what these link needs no pair of its own, and
-    pairs are then made only between rows of different components. Every pair left by the bounds is
-    verified: first over both rows' prefixes, which leaves few but linked pairs, then over all columns.
+    nothing: they are their own component. Rows that share a doc_id are apart; a null doc_id counts as the largest, so
+    component_id is null only where a component has no other. Shingles are compared by 64-bit hash (a collision would
+    have to fall within one pair), equal sets by a 128-bit one. Columns other than id and text aren't read; an empty table gives no rows.
+
+    Rows of the incidence matrix with equal sets become one row. The product of the matrix with its transpose is taken in
+    blocks of columns. The first block has the columns that the bound needs: a row of n shingles must share one of its
+    n - ceil(percent * n / 100) + 1 rarest with any row it links to; sizes and positions bound the overlap of the rows that
+    share one, and pairs that these bounds or the overlap over both prefixes rule out are discarded. The other blocks, of
+    about BLOCK_COLUMNS columns of a row, are multiplied for the pairs that are left, and overlaps are summed over blocks. A column
+    first pairs all its rows with one of them, for STAR_ROUNDS rounds; what these link needs no pair of its own, and
+    then pairs are made only between rows of different components and like sizes.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     levels = spark.sparkContext.broadcast(column_levels(docs, k, "text"))
-    every = shared.materialise(docs.mapInArrow(words.frugal(_prefixes(k, percent, levels)), "doc_id long, n_shingles long, set_key string, prefix array<long>"))
-
-    first = every.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("row"))
-    rows = every.where("n_shingles > 0").join(first.where("row is not null").select("set_key", "row"), (every["set_key"] == first["set_key"]) & (every["doc_id"] == first["row"]), "left_semi")
-    entries = rows.select(F.col("doc_id").alias("row"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("p", "gram"))
+    every = docs.mapInArrow(words.frugal(_prefixes(k, percent, levels)), "doc_id long, text_hash long, n_shingles long, set_key binary, prefix array<long>")
+    every = shared.materialise(every)
+
+    # One row for each set, that of its smallest doc_id, numbered in the order of these.
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", F.col("n_shingles").alias("n"), "prefix")).alias("_lead")
+    rows = every.where("n_shingles > 0").groupBy("set_key").agg(lead, F.count("*").alias("copies")).select("set_key", "copies", "_lead.*")
+    rows = shared.materialise(rows.orderBy(F.col("doc_id").asc_nulls_last(), "set_key").withColumn("row", F.monotonically_increasing_id()))
+    entries = rows.select("row", "n", F.posexplode("prefix").alias("p", "gram"))
     shared_grams = entries.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
     entries = shared.materialise(entries.join(shared_grams, "gram"))
-    prefixes = rows.select(F.col("doc_id").alias("row"), F.col("n_shingles").alias("n"), "prefix").dropDuplicates(["row"])
+    prefixes = rows.select("row", "n", "prefix")
 
-    labels = None
-    done = links = sets = None
+    labels = done = None
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest("na", "nb") / BLOCK_COLUMNS))).cast("int")
     for turn in range(STAR_ROUNDS + 1):
         at = entries.withColumn("label", F.col("row"))
         if labels is not None:
             at = entries.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
             mixed = at.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
             at = at.join(mixed, "gram")
-        if turn < STAR_ROUNDS:
-            one = F.struct((F.xxhash64("row", F.lit(turn)) if turn else F.lit(0)).alias("draw"), "row", "n", "p", "label")
-            centre = at.groupBy("gram").agg(F.min(one).alias("c")).select("gram", F.col("c.row").alias("a"), F.col("c.n").alias("na"), F.col("c.p").alias("pa"), F.col("c.label").alias("la"))
-        else:
-            centre = at.select("gram", F.col("row").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("label").alias("la"))
-        other = at.select("gram", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("label").alias("lb"))
-        met = other.join(centre, (other["gram"] == centre["gram"]) & F.expr("la <> lb and " + ("a <> b" if turn < STAR_ROUNDS else "a < b")) & F.expr(_bound(percent)))
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = _met(at, turn, percent)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = shared.materialise(_possible(pairs, prefixes, percent))
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("row"), F.col("_row") == F.col("row"), "left_anti").select("_row")
-        wanted = shared.materialise(wanted)
-        if not wanted.isEmpty():
-            more = docs.join(wanted, F.col("doc_id") == F.col("_row"), "left_semi").mapInArrow(words.frugal(_sets(k)), "row long, grams array<long>")
-            more = shared.materialise(more)
-            sets = more if sets is None else sets.unionByName(more)
-        if sets is None:
+        pairs = shared.materialise(_possible(pairs, prefixes, percent).withColumn("level", level))
+        if pairs.isEmpty():
             continue
-        found = shared.materialise(_verified(pairs, sets, percent))
+        found = _overlaps(pairs, docs, rows, k).withColumnRenamed("a", "_a").withColumnRenamed("b", "_b")
+        found = pairs.join(found, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left")
+        found = found.select("a", "b", F.expr(f"coalesce((100 + {percent}) * o >= {percent} * (na + nb), false)").alias("linked"))
+        found = shared.materialise(found)
         done = found.select("a", "b") if done is None else done.unionByName(found.select("a", "b"))
-        new = found.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = new if links is None else links.unionByName(new)
-        if new.isEmpty():
+        links = found.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if links.isEmpty():
             continue
-        roots = shared.materialise(shared.components(links))
-        labels = roots.select(F.col("node").alias("row"), F.col("root").alias("label"))
-
-    if labels is None:
-        labels = first.select("row", F.col("row").alias("label")).limit(0)
-    named = first.join(labels.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left").select(F.col("set_key").alias("_key"), F.coalesce("label", "row").alias("component_id"))
-    out = every.join(named, (F.col("set_key") == F.col("_key")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        if labels is not None:
+            links = links.unionByName(labels.select(F.col("row").alias("u"), F.col("label").alias("v")))
+        labels = shared.materialise(shared.components(links).select(F.col("node").alias("row"), F.col("root").alias("label")))
+
+    named = rows.select("set_key", "copies", "row", F.col("doc_id").alias("component_id"))
+    if labels is not None:
+        roots = rows.select(F.col("row").alias("label"), F.col("doc_id").alias("_root"))
+        of = labels.join(roots, "label").select(F.col("row").alias("_row"), "_root", F.lit(True).alias("_named"))
+        named = named.join(of, F.col("row") == F.col("_row"), "left").withColumn("component_id", F.when(F.col("_named"), F.col("_root")).otherwise(F.col("component_id")))
+    named = shared.materialise(named.select(F.col("set_key").alias("_key"), "copies", "component_id"))
+    # Rows with a set that many have don't meet it in one task: such sets are few by their number of copies.
+    many = every.count() // HOT_SETS
+    hot = F.broadcast(named.where(F.col("copies") > many).select("_key", F.col("component_id").alias("_hot"), F.lit(True).alias("_is_hot")))
+    out = every.select("doc_id", "n_shingles", "set_key").join(hot, F.col("set_key") == F.col("_key"), "left").drop("_key")
+    own = F.when(F.col("n_shingles") > 0, F.col("_hot")).otherwise(F.col("doc_id")).alias("component_id")
+    settled = out.where("_is_hot or n_shingles = 0").select("doc_id", "n_shingles", own)
+    rest = out.where("_is_hot is null and n_shingles > 0").join(named.where(F.col("copies") <= many), F.col("set_key") == F.col("_key"))
+    return settled.unionByName(rest.select("doc_id", "n_shingles", "component_id"))
