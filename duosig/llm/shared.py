@@ -106,6 +106,23 @@ def with_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[Column
     return joined.select(*df.columns, (F.col("_shift") + F.col("_row") - 1).alias(name))
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Adds each row's 0-based rank within keys by order, whatever the order is, without putting a key's rows into one task.
+
+    Rows are dealt by range of (keys, order), so that a key's rows lie in one partition or in adjacent ones; they are
+    ranked within each partition and shifted by the counts of the key's earlier partitions. The order has to tell rows apart.
+    """
+    spread = materialise(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_piece", F.spark_partition_id()))
+    by = [*keys, "_piece"]
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    shift = spread.groupBy(*by).agg(F.count("*").alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    shift = shift.where("_shift > 0").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "_shift")
+    within = spread.withColumn("_row", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    # A row for each partition that a key goes on into: no more rows than partitions.
+    joined = within.join(shift, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)], "left")
+    return joined.select(*df.columns, (F.coalesce("_shift", F.lit(0)) + F.col("_row") - 1).alias(name))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (u, v): root is the smallest node that its links reach.
 
