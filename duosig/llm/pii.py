@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from . import shared, spans
 
+#: Kinds with a pattern of their own, whose matches always stay; then kinds that only the method finds.
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "id", "account")
 # Each begins where a run of its characters begins or where the match before ended: a match from within a run would also
-# start at its beginning, and long runs without a match stay linear.
+# start at its beginning, and long runs without a match stay linear. Repeated groups are possessive, as Java recurses for others.
 LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:(?<!{LOCAL})|\G){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -19,20 +21,39 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-MAY = {"email": "@", "ip": ".", "phone": "+"}
-#: Wider patterns, whose matches count only if the classifier says so.
-WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(][Aa][Tt][\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(][Dd][Oo][Tt][\])]\x20?)[A-Za-z0-9-]{1,63})+",
-    "phone": r"(?<![0-9+(.-])(?<![0-9]\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])",
+MAY = {"email": r"@", "ip": r"\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+#: Wider patterns, whose matches count only if the classifier says so: spelled-out addresses, addresses of version 6, national
+#: numbers, identity numbers of three, two and four digits or of nine, and other numbers of 13 to 19 digits.
+WIDE = [
+    ("email", rf"(?<!{LOCAL}){LOCAL}{{1,64}}\x20?[\[(][Aa][Tt][\])]\x20?[A-Za-z0-9-]{{1,63}}(?:(?:\.|\x20?[\[(][Dd][Oo][Tt][\])]\x20?)[A-Za-z0-9-]{{1,63}}+)++", r"[\[(][Aa][Tt][\])]"),
+    ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]"),
+    ("phone", r"(?<![0-9+(.-])(?<![0-9]\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])", r"[0-9]{3}[.-][0-9]{4}"),
+    ("id", r"(?<![0-9.,-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{9})(?![0-9-])(?![.,][0-9])", r"[0-9]{4}"),
+    ("account", r"(?<![0-9.,-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![0-9])(?![.,-][0-9])", r"[0-9][\x20-]?[0-9]"),
+]
+#: Gazetteers. Top-level domains: these and all countries' codes. Fixed values.
+DOMAINS = "com org net edu gov mil int info biz name pro aero coop museum jobs mobi travel tel cat post io dev app online site shop store tech xyz eu uk".split()
+#: Country calling codes of one, two and three digits begin like this. Fixed values.
+CALLING = "1|7|2[07]|3[0123469]|4[013456789]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-689][0-9]|3[578][0-9]|42[013]|5[09][0-9]|6[7-9][0-9]|8[0578][0-9]|9[679][0-9]"
+#: Issuer ranges of payment cards. Fixed values.
+ISSUERS = "4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|3(?:0[0-5]|095|[689])|6(?:011|4[4-9]|5)|35(?:2[89]|[3-8])|62|50|5[6-9]|6[37]"
+#: Cue words of the context labeler in English, German, French and Spanish.
+CUES = {
+    "email": "e-?mail|mail|contact|write|reach|reply|kontakt|schreib\\w*|courriel|écri\\w*|correo|escrib\\w*",
+    "ip": "ip|host|server|address|login|client|logged|from|adresse|serveur|servidor|rechner",
+    "card": "card|visa|mastercard|amex|credit|payment|debit|karte|kreditkarte|carte|paiement|tarjeta|pago",
+    "phone": "tel|telephone|phone|call|mobile|cell|fax|contact|telefon|anruf|rufnummer|téléphone|appel\\w*|teléfono|llam\\w*|móvil",
+    "id": "ssn|social|security|id|passport|licen[cs]e|tax|ausweis\\w*|steuer\\w*|sécurité|passeport|dni|nie|pasaporte",
+    "account": "account|acct|card|iban|bank|konto\\w*|karte|compte|banque|carte|cuenta|banco|tarjeta",
 }
-WIDE_MAY = {"email": r"[\[(][Aa][Tt][\])]", "phone": r"[0-9]{3}[.-][0-9]{4}"}
-#: Gazetteers and cue words of the context labeler.
-DOMAINS = "com org net edu gov info io co de fr es uk us eu".split()
-CUES = {"email": "e-?mail|mail|contact|write|reach", "ip": r"ip|host|server|address|login", "card": "card|visa|credit|payment|debit", "phone": "tel|phone|call|mobile|fax|contact"}
-AGAINST = "version|isbn|issn|order|invoice|serial|build|part|no"
-CONTEXT = 24
-VOTES = ("regex", "gazetteer", "context")
+AGAINST = "version|release|isbn|issn|doi|order|invoice|serial|build|part|sku|page|chapter|article|rechnung|bestell\\w*|facture|commande|factura|pedido|id="
+BEFORE, AFTER = 32, 4
+VOTES = ("pattern", "gazetteer", "context", "layout", "company")
 ROUNDS = 60
+#: Spans that smooth each feature of the classifier.
+SMOOTH = 2.0
+#: Values of the feature of the word before a span.
+WORD_BUCKETS = 64
 
 
 def digits(value: Column) -> Column:
@@ -45,6 +66,10 @@ def luhn(number: Column) -> Column:
     return F.aggregate(digit, F.lit(0), lambda total, d: total + F.when(d > 9, d - 9).otherwise(d)) % 10 == 0
 
 
+def distinct_digits(number: Column) -> Column:
+    return F.size(F.array_distinct(F.split(number, "")))
+
+
 def _valid(kind: str, value: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(value, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.concat(F.lit("0"), F.substring(p, -3, 3)).cast("int") <= 255))
@@ -53,65 +78,99 @@ def _valid(kind: str, value: Column) -> Column:
     return F.length(digits(value)).between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def _votes(kind: str, value: Column, context: Column, strict: bool) -> list[Column]:
-    """-1, 0 or 1 of the pattern, gazetteer and context labelers; the pattern labeler abstains from wide matches."""
-    number = digits(value)
-    if kind == "email":
-        gazetteer = F.lower(F.regexp_extract(value, "([A-Za-z0-9-]+)$", 1)).isin(DOMAINS)
-    elif kind == "ip":
-        gazetteer = ~value.rlike(r"^(?:0|10|127|169\.254|192\.168|172\.(?:1[6-9]|2[0-9]|3[01])|22[4-9]|2[3-5][0-9])\.")
-    elif kind == "card":
-        gazetteer = number.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)")
-    else:
-        gazetteer = number.rlike("^(?:1|33|34|44|49)?[2-9]")
-    near = F.when(context.rlike(rf"(?i)\b(?:{CUES[kind]})\b"), 1).when(context.rlike(rf"(?i)\b(?:{AGAINST})\b"), -1).otherwise(0)
-    return [F.lit(1 if strict else 0), F.when(gazetteer, 1).otherwise(-1), near]
-
-
 def _check(kind: str):
     return lambda s: _valid(kind, s["value"])
 
 
-def _described(kind: str, strict: bool):
-    """A span with its votes and the features of the classifier; column _text has the text."""
+def _sign(yes: Column) -> Column:
+    return F.when(yes, 1).otherwise(-1)
+
+
+def _votes(kind: str, s: Column, strict: bool, domains: list[str]) -> list[Column]:
+    """-1, 0 or 1 of the pattern, gazetteer, context and layout labelers.
 
+    Pattern: the kind's own pattern and check; for other matches whether the digits look drawn or the number can have been
+    given out. Gazetteer: top-level domains, calling codes, issuers, reserved addresses. Context: cue words before the
+    span. Layout: whether the span stands by itself or sticks to letters and signs.
+    """
+    value, number = s["value"], digits(s["value"])
+    area = F.substring(number, 1, 3)
+    given_out = ~area.isin("000", "666") & ~area.startswith("9") & ~number.rlike("^.{3}00|0000$")
+    pattern = {"id": _sign(given_out), "account": _sign(distinct_digits(number) >= 5)}.get(kind, F.lit(0))
+    if kind == "email":
+        gazetteer = _sign(F.lower(F.regexp_extract(value, "([A-Za-z0-9-]+)$", 1)).isin(domains))
+    elif kind == "ip":
+        gazetteer = _sign(~value.rlike(r"^(?:0|10|127|169\.254|192\.168|172\.(?:1[6-9]|2[0-9]|3[01])|22[4-9]|2[3-5][0-9])\.|^(?:[Ff][CcDdEe]|0+:0+:)"))
+    elif kind == "phone":
+        gazetteer = _sign(number.rlike(f"^(?:{CALLING})") if strict else number.rlike("^[2-9]"))
+    elif kind in ("card", "account"):
+        gazetteer = _sign(number.rlike(f"^(?:{ISSUERS})")) if kind == "card" else F.when(number.rlike(f"^(?:{ISSUERS})"), 1).otherwise(0)
+    else:
+        gazetteer = F.lit(0)
+    near = lambda words: s["before"].rlike(rf"(?iu)(?<![\p{{L}}])(?:{words})(?![\p{{L}}])")
+    context = F.when(near(AGAINST), -1).when(near(CUES[kind]), 1).otherwise(0)
+    sticks = s["before"].rlike(r"[\p{L}0-9_#=/\\-]$") | s["after"].rlike(r"^[\p{L}0-9_=/\\]")
+    return [F.lit(1) if strict else pattern, gazetteer, context, _sign(~sticks)]
+
+
+def _features(kind: str, s: Column) -> Column:
+    """Features of the classifier, none of which is a vote: the span's shape, and what stands around it."""
+    value, number = s["value"], digits(s["value"])
+    head = F.lower(F.regexp_extract(s["before"], r"([\p{L}]+)[^\p{L}]*$", 1))
+    sort = lambda c: F.when(c == "", "edge").when(c.rlike(r"\s"), "space").when(c.rlike(r"\p{L}"), "letter").when(c.rlike("[0-9]"), "digit").otherwise("sign")
+    found = {
+        "word": F.when(head == "", "none").otherwise(F.pmod(F.xxhash64(head), F.lit(WORD_BUCKETS)).cast("string")),
+        "left": sort(F.right(s["before"], F.lit(1))), "right": sort(F.left(s["after"], F.lit(1))), "next": sort(F.substring(s["after"], 2, 1)),
+        "digits": F.least(F.length(number), F.lit(20)).cast("string"), "kinds": distinct_digits(number).cast("string"),
+        "first": F.when(number == "", "none").otherwise(F.left(number, F.lit(1))),
+        "signs": F.concat_ws("", *[F.when(value.contains(x), x) for x in "@+([.- :"]),
+        "length": F.least(F.floor(F.log2(F.length(value))), F.lit(8)).cast("string"),
+    }
+    return F.array(*[F.concat_ws("=", F.lit(f"{kind} {n}"), c) for n, c in found.items()])
+
+
+def _described(kind: str, strict: bool, domains: list[str]):
     def seen(s: Column) -> Column:
-        context = F.substring(F.col("_text"), F.greatest(s["start"] + 1 - CONTEXT, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
-        votes = _votes(kind, s["value"], context, strict)
-        before = F.when(s["start"] == 0, "edge").when(F.substring(context, -1, 1).rlike(r"\s"), "space").otherwise("other")
-        size = F.least(F.floor(F.length(digits(s["value"])) / 2), F.lit(10)).cast("string")
-        shape = F.concat_ws("", *[F.when(s["value"].contains(x), x) for x in "@+(["])
-        features = {"before": before, "digits": size, "shape": shape, "gazetteer": votes[1].cast("string"), "context": votes[2].cast("string")}
         return F.struct(
             s["start"].alias("start"),
-            F.lit(KINDS.index(kind)).alias("k"),
+            F.lit(ALL_KINDS.index(kind)).alias("k"),
             s["stop"].alias("stop"),
             F.lit(kind).alias("kind"),
             s["value"].alias("value"),
-            F.concat_ws(",", F.lit(kind), *[v.cast("string") for v in votes]).alias("votes"),
-            F.array(*[F.concat_ws("=", F.lit(f"{kind} {n}"), c) for n, c in features.items()]).alias("features"),
+            F.concat_ws(",", F.lit(kind), *[v.cast("string") for v in _votes(kind, s, strict, domains)]).alias("votes"),
+            _features(kind, s).alias("features"),
         )
 
     return seen
 
 
+def _apart(a: Column, b: Column) -> Column:
+    return (a["stop"] <= b["start"]) | (b["stop"] <= a["start"])
+
+
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per row of docs: doc_id, n_<kind>, and base and wide spans with their votes and features."""
+    """One row per row of docs: doc_id, n_<kind>, and base and wide spans with their votes and features; wide spans overlap no base span."""
+    countries = docs.sparkSession.sparkContext._jvm.java.util.Locale.getISOCountries()
+    domains = sorted({*DOMAINS, *(c.lower() for c in countries)})
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    sets = [(k, PATTERNS[k], F.contains("_text", F.lit(MAY[k])) if k in MAY else F.col("_text").rlike("[0-9][\\x20-]?[0-9]"), True) for k in KINDS]
-    sets += [(k, p, F.col("_text").rlike(WIDE_MAY[k]), False) for k, p in WIDE.items()]
-    parts, made = {}, []
+    sets = [(k, PATTERNS[k], MAY[k], True) for k in KINDS] + [(*w, False) for w in WIDE]
+    parts = {}
     for i, (_, pattern, may, _) in enumerate(sets):
-        parts[f"_m{i}"], parts[f"_p{i}"] = spans.find(F.col("_text"), pattern, may)
+        parts[f"_m{i}"], parts[f"_p{i}"] = spans.find(F.col("_text"), pattern, F.col("_text").rlike(may))
     rows = rows.withColumns(parts)
-    rows = rows.withColumns({f"_s{i}": spans.at(f"_m{i}", f"_p{i}") for i in range(len(sets))})
+    rows = rows.select("doc_id", *[spans.with_context(f"_m{i}", f"_p{i}", BEFORE, AFTER).alias(f"_s{i}") for i in range(len(sets))])
+    made = []
     for i, (kind, _, _, strict) in enumerate(sets):
         column = F.filter(f"_s{i}", _check(kind)) if strict else F.col(f"_s{i}")
-        made.append(F.transform(column, _described(kind, strict)))
-    rows = rows.select("doc_id", *[c.alias(f"_c{i}") for i, c in enumerate(made)])
-    base = F.array_sort(F.concat(*[F.col(f"_c{i}") for i in range(len(KINDS))]))
-    wide = F.array_sort(F.concat(*[F.col(f"_c{i}") for i in range(len(KINDS), len(sets))]))
-    return rows.select("doc_id", *[F.size(f"_c{i}").cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)], base.alias("base"), wide.alias("wide"))
+        made.append(F.transform(column, _described(kind, strict, domains)).alias(f"_c{i}"))
+    rows = rows.select("doc_id", *made)
+    n = len(KINDS)
+    rows = rows.select("doc_id", *[F.size(f"_c{i}").cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)], F.concat(*[F.col(f"_c{i}") for i in range(n)]).alias("base"), F.concat(*[F.col(f"_c{i}") for i in range(n, len(sets))]).alias("wide"))
+    rows = rows.withColumn("wide", F.when((F.size("base") > 0) & (F.size("wide") > 0), F.filter("wide", lambda w: F.forall("base", lambda b: _apart(b, w)))).otherwise(F.col("wide")))
+    # The company labeler: other spans in the document, of which at least one matches a kind's own pattern.
+    company = F.when((F.size("base") > 0) & (F.size("base") + F.size("wide") > 1), ",1").otherwise(",0")
+    vote = lambda s: s.withField("votes", F.concat(s["votes"], company))
+    return rows.withColumns({c: F.array_sort(F.transform(c, vote)) for c in ("base", "wide")})
 
 
 def reliabilities(patterns: dict[tuple, int], rounds: int = ROUNDS) -> tuple[dict[tuple, float], dict[tuple[str, str], float]]:
@@ -153,17 +212,23 @@ def train(found: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     labelled = each.select("s.kind", "s.features", F.element_at(label, F.col("s.votes")).alias("y"))
     sums = labelled.select("kind", "y", F.explode(F.concat("features", F.array("kind"))).alias("feature")).groupBy("kind", "feature").agg(F.sum("y").alias("yes"), F.sum(1 - F.col("y")).alias("no"))
     rows = sums.collect()
-    total = {r["kind"]: (r["yes"] + 1, r["no"] + 1) for r in rows if r["feature"] == r["kind"]}
-    odds = {r["feature"]: math.log((r["yes"] + 1) / total[r["kind"]][0]) - math.log((r["no"] + 1) / total[r["kind"]][1]) for r in rows if r["feature"] != r["kind"]}
-    return odds, {k: math.log(yes / no) for k, (yes, no) in total.items()}
+    total = {r["kind"]: (r["yes"], r["no"]) for r in rows if r["feature"] == r["kind"]}
+
+    def odds_of(r) -> float:
+        """Each class is smoothed towards the share that the feature has in both, so that a rare feature of a small class says nothing."""
+        (yes, no), share = total[r["kind"]], (r["yes"] + r["no"]) / sum(total[r["kind"]])
+        return math.log((r["yes"] + SMOOTH * share) / (yes + SMOOTH)) - math.log((r["no"] + SMOOTH * share) / (no + SMOOTH))
+
+    return {r["feature"]: odds_of(r) for r in rows if r["feature"] != r["kind"]}, {k: math.log((yes + 1) / (no + 1)) for k, (yes, no) in total.items()}
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base (spans) and added (spans), each span with its score.
 
     Base spans match a kind's pattern and its check (parts of at most 255, Luhn, number of digits) and stay
-    whatever their score. added has matches of wider patterns (obfuscated addresses, national numbers) that
-    overlap no base span and that the classifier scores at threshold or more. Null texts are empty; rows
+    whatever their score. added has matches of wider patterns (spelled-out addresses, addresses of version 6, national
+    numbers, identity and account numbers; kinds id and account are only here) that overlap neither a base span nor each
+    other, the better one staying, and that the classifier scores at threshold or more. Null texts are empty; rows
     that share a doc_id are apart; an empty table gives no rows; other columns aren't read.
 
     Regular expressions run once, and spans are stored in the shared folder. No row is grouped or joined afterwards:
@@ -182,5 +247,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         return F.transform(spans_, score)
 
     out = found.select("doc_id", *[f"n_{k}" for k in KINDS], scored(F.col("base")).alias("base"), scored(F.col("wide")).alias("_wide"))
-    free = F.filter("_wide", lambda w: (w["score"] >= threshold) & ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
+    out = out.withColumn("_wide", F.filter("_wide", lambda w: w["score"] >= threshold))
+    better = lambda w, x: F.struct(-x["score"], x["start"], x["k"]) < F.struct(-w["score"], w["start"], w["k"])
+    free = F.when(F.size("_wide") > 1, F.filter("_wide", lambda w: F.forall("_wide", lambda x: _apart(w, x) | ~better(w, x)))).otherwise(F.col("_wide"))
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], "base", free.alias("added"))

@@ -24,6 +24,15 @@ def at(found: str, around: str) -> Column:
     return F.expr(f"zip_with({found}, {ends}, (m, e) -> struct(e - length(m) as start, e as stop, m as value))").cast(SPAN)
 
 
+def with_context(found: str, around: str, before: int, after: int) -> Column:
+    """at() with the characters before and after each match, as far as the neighbouring matches of the pattern."""
+    lengths = f"transform({found}, (m, i) -> length({around}[i]) + length(m))"
+    ends = f"slice(aggregate({lengths}, array(0), (acc, n) -> array_append(acc, element_at(acc, -1) + n)), 2, greatest(size({found}), 1))"
+    span = f"struct(e - length({found}[i]) as start, e as stop, {found}[i] as value, right({around}[i], {before}) as before, left({around}[i + 1], {after}) as after)"
+    kind = "array<struct<start:int,stop:int,value:string,before:string,after:string>>"
+    return F.when(F.size(found) > 0, F.expr(f"transform({ends}, (e, i) -> {span})")).otherwise(F.array()).cast(kind)
+
+
 def tagged(spans: Column, kind: str, order: int) -> Column:
     """Spans with their kind, in a form that sorts by start, then by order."""
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("k"), s["stop"].alias("stop"), F.lit(kind).alias("kind"), s["value"].alias("value")))
