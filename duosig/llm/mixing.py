@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,8 +13,6 @@ from . import shared
 
 BLOCK_ROWS = 64
 FRAME_BLOCKS = 1000
-#: Rows of a source that are ranked together.
-PIECE_ROWS = 2_000
 
 
 def edf(counts: list[int]) -> list[tuple[int, int, int, int, int]]:
@@ -47,28 +46,34 @@ def _frame(rows: pd.DataFrame) -> pd.DataFrame:
     return plan.assign(frame=rows["frame"].iloc[0])
 
 
-def shares_of(sizes: DataFrame, shares: dict[str, int] | None, power: float, frame_blocks: int) -> DataFrame:
-    """(source, rows, share): blocks of a source in a frame; by default its size to the given power, at least one."""
-    if shares is not None:
-        given = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]) if shares else F.lit(None).cast("map<string,int>")
-        return sizes.withColumn("share", F.greatest(F.lit(1), F.coalesce(F.try_element_at(given, F.coalesce("source", F.lit(""))), F.lit(1))).cast("long"))
-    weight = F.pow(F.col("rows").cast("double"), F.lit(power))
+def shares_of(sizes: DataFrame, weights: dict[str, float] | None, default_weight: float, power: float, frame_blocks: int) -> DataFrame:
+    """(source, rows, share): blocks of a source in a frame of about frame_blocks, in proportion to its weight, at least one."""
+    if weights is None:
+        weight = F.pow(F.col("rows").cast("double"), F.lit(power))
+    else:
+        given = F.create_map(*[F.lit(x) for name, w in weights.items() for x in (name, float(w))]) if weights else F.lit(None).cast("map<string,double>")
+        weight = F.coalesce(F.try_element_at(given, F.coalesce("source", F.lit(""))), F.lit(float(default_weight)))
     total = sizes.agg(F.sum(weight).alias("w")).first()["w"] or 1.0
     return sizes.withColumn("share", F.greatest(F.lit(1), F.round(weight * frame_blocks / total)).cast("long"))
 
 
-def mix(docs: DataFrame, shares: dict[str, int] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS, frame_blocks: int = FRAME_BLOCKS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(
+    docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, power: float = 0.5, block_rows: int = BLOCK_ROWS, frame_blocks: int = FRAME_BLOCKS,
+    id_col: str = "doc_id", source_col: str = "source",
+) -> DataFrame:
     """docs with mix_slot (place of the row's block among all blocks), mix_row (place in the block), mix_block, mix_release and mix_deadline.
 
-    Target weights are shares: whole blocks of a source in a frame. Reading rows by (mix_slot, mix_row)
-    interleaves the sources so that within a frame each is always less than one block off its weight;
-    every frame starts level. No row is dropped or repeated: when a source is used up, the frames from there on
+    weights are the sources' target weights, of any sum; a source without one, and the null source, has default_weight. Without
+    weights a source's weight is its size to the given power. A source's share is whole blocks of a frame, at least one.
+    Reading rows by (mix_slot, mix_row) interleaves the sources so that within a frame each is always less than one block off its
+    share; every frame starts level. No row is dropped or repeated: when a source is used up, the frames from there on
     divide their slots among the rest in the same proportions. Rows of a source are in an order drawn by hash of their
-    id. A null source is a source of its own and comes last in ties; sources without a share get one block;
+    id; rows that share an id keep a place each. A null source is a source of its own and comes last in ties;
     an empty table gives no rows. New columns replace columns of the same names.
 
-    A source with a third of all rows is ranked in pieces of about PIECE_ROWS rows, whose counts are summed; frames are
-    planned apart, each from its sources' block counts only, and release and deadline count from the frame's start.
+    A source with a third of all rows is ranked in pieces, whose counts are summed: pieces and the rows of one are both about the root
+    of all rows. Frames are planned apart, each from its sources' block counts only, and release and deadline count from the frame's start.
+    Whole rows are shuffled once to be ranked and once to meet their slots.
     """
     names = ["mix_slot", "mix_row", "mix_block", "mix_release", "mix_deadline"]
     docs = docs.drop(*names)
@@ -77,12 +82,12 @@ def mix(docs: DataFrame, shares: dict[str, int] | None = None, power: float = 0.
     draw = F.xxhash64(F.col(id_col), F.lit(17))
     ranked = shared.with_rank(
         docs.withColumns({"_source": F.col(source_col).cast("string"), "_draw": draw}), ["_source"],
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(1, n // PIECE_ROWS))), [F.col("_draw"), F.col(id_col)], "_rank",
+        F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(1, math.isqrt(n)))), [F.col("_draw"), F.col(id_col)], "_rank",
     )
     ranked = ranked.withColumns({"mix_block": F.floor(F.col("_rank") / block_rows), "mix_row": F.pmod(F.col("_rank"), F.lit(block_rows)).cast("int")})
 
     sizes = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("rows"))
-    sized = shares_of(sizes, shares, power, frame_blocks).withColumn("blocks", F.ceil(F.col("rows") / block_rows))
+    sized = shares_of(sizes, weights, default_weight, power, frame_blocks).withColumn("blocks", F.ceil(F.col("rows") / block_rows))
     frames = sized.withColumn("frame", F.explode(F.expr("sequence(0L, (blocks - 1) div share)")))
     frames = frames.select("frame", "source", (F.col("frame") * F.col("share")).alias("first"), F.least("share", F.col("blocks") - F.col("frame") * F.col("share")).alias("n"))
     plan = frames.groupBy("frame").applyInPandas(_frame, "slot long, source string, block long, release long, deadline long, frame long")

@@ -12,6 +12,9 @@ from . import decontaminate, exact_dedup, language_id, mixing, ngram_join, pii,
 #: rule, verdict
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
+#: Target weights of sources in the mixture; others weigh 1.
+SOURCE_WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 2.0, "src3": 0.5}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,7 +36,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     every = spans.listed(F.concat("base", "live"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", sha_of(spans.listed(F.col("base"))).alias("base_sha256"), every.alias("spans"), F.size("live").alias("n_live"), "examples")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", sha_of(spans.listed(F.col("base"))).alias("base_sha256"), every.alias("spans"), F.size("live").cast("long").alias("n_live"), "examples", F.size("base").cast("long").alias("n_spans"))
 
 
 def op3_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +49,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=SOURCE_WEIGHTS)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +74,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     plain = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["stop"].alias("stop"), s["kind"].alias("kind")))
     every = spans.listed(F.concat(plain("base"), plain("added")))
-    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], sha_of(spans.listed(plain("base"))).alias("base_sha256"), every.alias("spans"), F.size("added").alias("n_added"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], sha_of(spans.listed(plain("base"))).alias("base_sha256"), every.alias("spans"), F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
