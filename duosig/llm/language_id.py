@@ -14,14 +14,21 @@ from . import words
 
 #: Bytes of a very long text that are coded together.
 PART = 1 << 20
-#: A text that the best tree codes with this many bits a byte or more is in none of the languages: no model needs more.
-MAX_BITS = 8.0
+#: A text is in none of the languages if its best tree needs more than this share, and so many bits more, of what pooled byte frequencies,
+#: or bytes all alike, need: what follows what in it is then nothing that was learned. The bits keep short texts from being judged on a whim.
+KNOWN_SHARE, SLACK_BITS = 1.1, 16.0
+#: Bytes of the piece of text whose posterior is the score: for whole texts the posterior is 1 within rounding and says nothing.
+SCORE_BYTES = 4
+#: Different bytes once A-Z are folded: the alphabet.
+ALPHABET = len(np.unique(words.FOLD))
 
 
 def sample(docs: DataFrame, per_lang: int, max_chars: int, id_col: str, text_col: str, lang_col: str, train: Column) -> DataFrame:
-    """(lang, text): of each language the per_lang rows with the smallest hash among those of at most max_chars characters."""
-    rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars) & (F.length(text_col) > 0))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_k"))
+    """(lang, text): of each language the per_lang rows with the smallest hash; of a longer text a stretch of max_chars characters at a drawn place."""
+    rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
+    drawn = F.xxhash64(F.col(id_col), F.col(text_col))
+    at = F.pmod(F.xxhash64(drawn), F.greatest(F.length(text_col) - max_chars, F.lit(0)) + 1).cast("int") + 1
+    rows = rows.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), at, F.lit(max_chars)).alias("text"), drawn.alias("_k"))
     first = Window.partitionBy("lang").orderBy("_k", "text")
     return rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_lang).select("lang", "text")
 
@@ -56,15 +63,32 @@ class Branches:
         return self.first[word] + np.bitwise_count(seen & (bit - np.uint64(1))), seen & bit != 0
 
 
+def _log(x: np.ndarray) -> np.ndarray:
+    """Base-2 logarithms; 0 for what isn't positive."""
+    return np.log2(np.where(x > 0, x, 1))
+
+
+def _rates(total: np.ndarray, kinds: np.ndarray, held: np.ndarray | float = 0.0, kinds_held: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of a context by method C, as (what a symbol of count 1 costs, what the escape costs).
+
+    held and kinds_held are the counts and kinds of symbols that a longer context excludes. Where nothing is left to be seen,
+    the escape is certain and costs nothing.
+    """
+    kinds_left = kinds - kinds_held
+    left = _log(total - held + kinds_left)
+    return left, np.where(kinds_left > 0, left - _log(kinds_left), 0)
+
+
 class Trees:
-    """Per language a context tree of order 3 with escapes (method C), as tables of code lengths in bits.
-
-    A symbol seen n times after a context with N symbols of d kinds has probability n / (N + d), an
-    unseen one the escape d / (N + d) and then its probability after the context without its oldest
-    symbol; below the empty context all 256 bytes are alike. Symbols of longer contexts are not excluded
-    from shorter ones. Every byte value that was learned is a symbol of its own. Those that no language
-    holds are coded alike, at 8 bits after the escapes, so one symbol stands for each of them.
-    Contexts of three and four symbols are kept as far as the sample holds them.
+    """Per language a context tree of order 3 with escapes (method C with exclusion), as tables of code lengths in bits.
+
+    A symbol seen n times after a context with N symbols of d kinds has probability n / (N + d), an unseen one
+    the escape d / (N + d) and then its probability after the context without its oldest symbol, where
+    the symbols of the longer context are excluded from counts and kinds; below the empty context all bytes that are left are
+    alike. Probabilities of all bytes after any context thus sum to 1, and code lengths are exact. A symbol seen after
+    a context is seen after all its endings, so what is excluded depends on the context just left alone, and two numbers for each
+    context hold it. Every byte value that was learned is a symbol of its own. Those that no language holds are coded alike,
+    so one symbol stands for each of them. Contexts of three and four symbols are kept as far as the sample holds them.
     """
 
     def __init__(self, counts: pd.DataFrame):
@@ -79,37 +103,50 @@ class Trees:
         lang = pd.Categorical(counts["lang"], self.langs).codes
         before, after = (s[0] * size + s[1]) * size + s[2], (s[1] * size + s[2]) * size + s[3]
         self.threes = np.unique(np.concatenate([before, after]))
-        context, tail = np.searchsorted(self.threes, before), np.searchsorted(self.threes, after)
-        self.fours, first, row = np.unique(context * size + s[3], return_index=True, return_inverse=True)
-        above, rest = context[first], tail[first]  # of each run of four, its first and last three symbols
-        n = len(self.langs)
+        tail = np.searchsorted(self.threes, after)
+        self.fours, first, row = np.unique(np.searchsorted(self.threes, before) * size + s[3], return_index=True, return_inverse=True)
+        above, rest = self.fours // size, tail[first]  # of each run of four, its first and last three symbols
+        shorter, pair = self.threes // size, self.threes % size**2  # of each run of three, its first and last two
+        n, one = len(self.langs), np.arange(size**2)
         table = lambda rows: np.empty((rows, n), np.float32, order="F")
-        self.two, self.escape2 = table(size**2), table(size**2)
-        self.three, self.escape3, self.four = table(len(self.threes)), table(len(self.threes)), table(len(self.fours))
+        self.four, self.count2 = table(len(self.fours)), table(len(self.threes))
+        self.seen3, self.escape3 = table(len(self.threes)), table(len(self.threes))  # after escaping from a listed context of three
+        self.seen2, self.escape2, self.seen1, self.escape1 = (table(size**2) for _ in range(4))  # in a context of two; after escaping from one
+        self.count1, self.below0 = table(size**2), table(size**2)
         for k in range(n):
             mine = lang == k
             count = lambda at, rows: np.bincount(at[mine], times[mine], rows)  # noqa: B023, E731
-            below = np.full((1, size), 8.0)
-            below = self._level(count(s[3], size).reshape(1, size), below)[0]
-            below = self._level(count(s[2] * size + s[3], size**2).reshape(size, size), np.repeat(below, size, 0))[0].ravel()
-            self.two[:, k] = below
-            seen = count(tail, len(self.threes))
-            self.three[:, k], self.escape2[:, k] = self._sparse(seen, self.threes // size, size**2, below[self.threes % size**2])
-            seen = count(row, len(self.fours))
-            self.four[:, k], self.escape3[:, k] = self._sparse(seen, above, len(self.threes), self.three[rest, k])
-
-    @staticmethod
-    def _level(table: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        total, kinds = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-        escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0)
-        return np.where(table > 0, -np.log2(np.maximum(table, 1) / np.maximum(total + kinds, 1)), escape + below), escape
-
-    @staticmethod
-    def _sparse(seen: np.ndarray, context: np.ndarray, contexts: int, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """As _level, for counts of the listed (context, symbol) only; escapes of all contexts."""
-        total, kinds = np.bincount(context, seen, contexts), np.bincount(context, seen > 0, contexts)
-        escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0)
-        return np.where(seen > 0, -np.log2(np.maximum(seen, 1) / np.maximum(total + kinds, 1)[context]), escape[context] + below), escape
+            n0, n1, n2, n3 = count(s[3], size), count(s[2] * size + s[3], size**2), count(tail, len(self.threes)), count(row, len(self.fours))
+            by = lambda at, weights, rows: np.bincount(at, weights, rows)
+            total1, kinds1 = by(one // size, n1, size), by(one // size, n1 > 0, size)
+            total2, kinds2 = by(shorter, n2, size**2), by(shorter, n2 > 0, size**2)
+            total3, kinds3 = by(above, n3, len(self.threes)), by(above, n3 > 0, len(self.threes))
+            # Counts, one order lower, of the symbols seen in each context.
+            held0, held1 = by(one // size, np.where(n1 > 0, n0[one % size], 0), size), by(shorter, np.where(n2 > 0, n1[pair], 0), size**2)
+            held2 = by(above, np.where(n3 > 0, n2[rest], 0), len(self.threes))
+            left0, out0 = _rates(n0.sum(), (n0 > 0).sum(), held0, kinds1)
+            rare = np.log2(ALPHABET - (n0 > 0).sum()) if ALPHABET > (n0 > 0).sum() else 0.0
+            self.below0[:, k] = np.where(n0 > 0, left0[:, None] - _log(n0), out0[:, None] + rare).ravel()
+            self.count1[:, k], self.count2[:, k] = np.where(n1 > 0, _log(n1), np.nan), np.where(n2 > 0, _log(n2), np.nan)
+            last = one % size  # the context of one that a context of two ends in
+            self.seen1[:, k], self.escape1[:, k] = _rates(total1[last], kinds1[last], held1, kinds2)
+            self.seen2[:, k], self.escape2[:, k] = _rates(total2, kinds2)
+            left3, out3 = _rates(total3, kinds3)
+            out3 = np.where(total3 > 0, out3, 0)
+            self.seen3[:, k], self.escape3[:, k] = (out3 + x for x in _rates(total2[pair], kinds2[pair], held2, kinds3))
+            fallback = self._lower(k, self.seen3[above, k], self.escape3[above, k], self.count2[rest, k], pair[above], self.fours % size)
+            self.four[:, k] = np.where(n3 > 0, left3[above] - _log(n3), fallback)
+        pooled = np.bincount(s[3], times, size)
+        kinds = np.count_nonzero(pooled)
+        unseen = np.log2((pooled.sum() + kinds) / kinds * max(1, ALPHABET - kinds))
+        self.pooled = np.where(pooled > 0, np.log2(pooled.sum() + kinds) - _log(pooled), unseen)
+
+    def _lower(self, k: int, seen: np.ndarray, escape: np.ndarray, count2: np.ndarray, context2: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Cost of symbols below their context of three: seen or escape, then the count in the context of two, or lower orders."""
+        two = context2 % self.size * self.size + symbol
+        count1 = self.count1[:, k][two]
+        lower = np.where(np.isnan(count1), self.escape1[:, k][context2] + self.below0[:, k][two], self.seen1[:, k][context2] - count1)
+        return np.where(np.isnan(count2), escape + lower, seen - count2)
 
     def index(self) -> tuple[Branches, Branches]:
         """Where runs of three symbols are in threes, and (place in threes, symbol) in fours."""
@@ -124,17 +161,16 @@ class Trees:
         held &= known[context]
         missing = np.flatnonzero(~held)
         row[missing] = 0
-        # An unknown context has no escape of its own; an unknown run of three goes on to the last two symbols.
+        # An unknown context of three has nothing to escape from and excludes nothing.
         tail, ahead = at[missing] - 2, context[missing]
-        listed, escapes = known[tail], known[ahead]
-        three, above = np.where(listed, place[tail], 0), np.where(escapes, place[ahead], 0)
-        short = np.flatnonzero(~listed)
-        context2, two = pair[tail[short]], pair[tail[short] + 1]
+        listed, above = known[tail], known[ahead]
+        three, place3 = np.where(listed, place[tail], 0), np.where(above, place[ahead], 0)
+        context2, last = pair[tail], symbol[missing]
         for k in range(len(self.langs)):
             cost = self.four[:, k][row].astype(np.float64)
-            rest = self.three[:, k][three].astype(np.float64)
-            rest[short] = self.escape2[:, k][context2] + self.two[:, k][two]
-            cost[missing] = rest + np.where(escapes, self.escape3[:, k][above], 0)
+            seen = np.where(above, self.seen3[:, k][place3], self.seen2[:, k][context2])
+            escape = np.where(above, self.escape3[:, k][place3], self.escape2[:, k][context2])
+            cost[missing] = self._lower(k, seen, escape, np.where(listed, self.count2[:, k][three], np.nan), context2, last)
             yield cost
 
     def bits(self, data: np.ndarray, at: np.ndarray, index: tuple[Branches, Branches]) -> np.ndarray:
@@ -160,6 +196,20 @@ class Trees:
                     out[i + full, k] = np.add.reduceat(cost, (at[i:j] - at[i])[full])
         return out
 
+    def plain(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Bits of each text by the byte frequencies of all languages together, or with all bytes alike where that is less."""
+        out = np.zeros(len(at) - 1)
+        for i, j in words.pieces(at):
+            for low in range(int(at[i]), max(int(at[j]), int(at[i]) + 1), PART) if j == i + 1 else [None]:
+                if low is not None:
+                    out[i] += self.pooled[self.symbol[data[low : min(low + PART, int(at[j]))]]].sum()
+                    continue
+                cost = self.pooled[self.symbol[data[at[i] : at[j]]]]
+                full = np.flatnonzero(np.diff(at[i : j + 1]))
+                if len(full):
+                    out[i + full] = np.add.reduceat(cost, (at[i:j] - at[i])[full])
+        return np.minimum(out, np.diff(at) * np.log2(ALPHABET))
+
 
 def train(rows: DataFrame) -> Trees | None:
     """Trees from (lang, text) rows; None without rows. The driver gets counts by language and byte run, whose number the sample bounds."""
@@ -168,11 +218,12 @@ def train(rows: DataFrame) -> Trees | None:
     return Trees(counts) if len(counts) else None
 
 
-def predict(docs: DataFrame, trees: Trees | None, text_col: str = "text", max_bits: float = MAX_BITS) -> DataFrame:
+def predict(docs: DataFrame, trees: Trees | None, text_col: str = "text", known_share: float = KNOWN_SHARE) -> DataFrame:
     """docs with lang_pred, lang_score, lang_bits (bits a byte of the best tree) and lang_known (a text in one of the languages).
 
-    Null texts, texts without a letter, and all texts if nothing was learned are `und` with score 0.
-    Of equal code lengths the first language by name wins. Columns of docs with these names are replaced.
+    lang_score is the posterior of lang_pred for SCORE_BYTES bytes at the text's mean code lengths. Null texts, texts without a letter,
+    and all texts if nothing was learned are `und` with score 0. Of equal code lengths the first language by name wins. Columns of
+    docs with these names are replaced.
     """
     drop = docs.drop("lang_pred", "lang_score", "lang_bits", "lang_known")
     if trees is None:
@@ -186,29 +237,29 @@ def predict(docs: DataFrame, trees: Trees | None, text_col: str = "text", max_bi
         for texts in batches:
             data, at = words.buffers(texts)
             bits = model.bits(data, at, index)
-            top = bits.argmin(1)
-            least = bits.min(1)
-            score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
+            size = np.maximum(np.diff(at), 1)
+            top, least = bits.argmin(1), bits.min(1)
+            away = (bits - least[:, None]) * (np.minimum(size, SCORE_BYTES) / size)[:, None]
+            score = 1 / np.exp2(-np.minimum(away, 1000)).sum(1)
             pred = pa.array(model.langs, pa.string()).take(pa.array(top))
-            yield pa.StructArray.from_arrays([pred, pa.array(score), pa.array(least / np.maximum(np.diff(at), 1))], ["pred", "score", "bits"])
+            yield pa.StructArray.from_arrays([pred, pa.array(score), pa.array(least / size), pa.array(least - known_share * model.plain(data, at))], ["pred", "score", "bits", "over"])
 
     handed = words.frugal(score)
 
-    @F.arrow_udf("pred string, score double, bits double")
+    @F.arrow_udf("pred string, score double, bits double, over double")
     def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return handed(batches)
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    out = drop.withColumns({"_letters": letters, "_best": best(F.coalesce(F.col(text_col), F.lit("")))})
-    known = F.col("_letters") & (F.col("_best.bits") < max_bits)
+    out = drop.withColumns({"_duosig_letters": letters, "_duosig_best": best(F.coalesce(F.col(text_col), F.lit("")))})
     return out.withColumns(
         {
-            "lang_pred": F.when(F.col("_letters"), F.col("_best.pred")).otherwise("und"),
-            "lang_score": F.when(F.col("_letters"), F.col("_best.score")).otherwise(0.0),
-            "lang_bits": F.when(F.col("_letters"), F.col("_best.bits")),
-            "lang_known": known,
+            "lang_pred": F.when(F.col("_duosig_letters"), F.col("_duosig_best.pred")).otherwise("und"),
+            "lang_score": F.when(F.col("_duosig_letters"), F.col("_duosig_best.score")).otherwise(0.0),
+            "lang_bits": F.when(F.col("_duosig_letters"), F.col("_duosig_best.bits")),
+            "lang_known": F.col("_duosig_letters") & (F.col("_duosig_best.over") <= SLACK_BITS),
         }
-    ).drop("_letters", "_best")
+    ).drop("_duosig_letters", "_duosig_best")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -216,11 +267,14 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def identify_language(docs: DataFrame, per_lang: int = 200, max_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify_language(
+    docs: DataFrame, per_lang: int = 200, max_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", known_share: float = KNOWN_SHARE,
+) -> DataFrame:
     """Learns from docs' rows that aren't held out, then predicts for all rows; see predict() for the new columns.
 
-    The trees are fitted on a bounded sample of labelled rows: per_lang whole texts of at most max_chars
-    characters a language. Every row's whole text is scored. lang, source and doc_id take no part in it.
+    The trees are fitted on a bounded sample of labelled rows: per_lang texts a language, of longer texts a stretch of max_chars
+    characters. Every row's whole text is scored. lang, source and doc_id take no part in it. Rows that repeat or share an id
+    are scored each by itself; an empty table gives no rows.
     """
     trees = train(sample(docs, per_lang, max_chars, id_col, text_col, lang_col, ~held_out(id_col)))
-    return predict(docs, trees, text_col)
+    return predict(docs, trees, text_col, known_share)
