@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import shared, words
 
 WINDOW = 10
 SHINGLE = 5
@@ -139,21 +139,36 @@ def _block_udf(sent):
     return mark
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block: int, item_col: str, item_text_col: str) -> Iterator[dict]:
-    """The benchmark's windows block by block; a block's size is checked before it is brought to the driver."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]  # words, and so windows, are at most half of the characters
-    n = max(1, -(-int(size) // (2 * block)))
-    for b in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).distinct().toPandas()
-        model = Windows(part.sort_values(["item_id", "text"], ignore_index=True), window, shingle)
-        counts = {k: np.zeros(len(v), np.int64) for k, v in model.keys.items()}
-        if model.words:
-            found = docs.select("_text").mapInArrow(_frequencies(model.keys), "k int, key long, n long").groupBy("k", "key").agg(F.sum("n").alias("n")).toPandas()
-            for k, rows in found.groupby("k"):
-                counts[k][rows["key"]] = rows["n"]
-            model.order(counts)
-            yield {"prefix": model.prefix, "words": model.words, "items": model.items}
+def _block(rows: DataFrame, items: DataFrame, window: int, shingle: int) -> dict | None:
+    """The windows of a block of items with their rarest shingles by count over all rows; None without a window."""
+    model = Windows(items.distinct().toPandas().sort_values(["item_id", "text"], ignore_index=True), window, shingle)
+    if not model.words:
+        return None
+    counts = {k: np.zeros(len(v), np.int64) for k, v in model.keys.items()}
+    found = rows.select("_text").mapInArrow(_frequencies(model.keys), "k int, key long, n long").groupBy("k", "key").agg(F.sum("n").alias("n")).toPandas()
+    for k, part in found.groupby("k"):
+        counts[k][part["key"]] = part["n"]
+    model.order(counts)
+    return {"prefix": model.prefix, "words": model.words, "items": model.items}
+
+
+def _joined_udf():
+    """A text's number of words, and the hit words of all blocks together."""
+
+    @F.pandas_udf("n_words long, n_hit long, items array<string>")
+    def join(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, hits, named in batches:
+            data, at = words.buffers(pa.array(texts, pa.large_string(), from_pandas=True))
+            n_words = np.concatenate([np.zeros(0, np.int64), *(np.diff(words.words(data, at[i : j + 1], words.WORDLIKE)[3]) for i, j in words.pieces(at))])
+            n_hit = []
+            for bits, n in zip(hits, n_words.tolist(), strict=True):
+                every = np.zeros(n, bool)
+                for b in bits if bits is not None else ():
+                    every |= np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool)
+                n_hit.append(int(every.sum()))
+            yield pd.DataFrame({"n_words": n_words, "n_hit": n_hit, "items": [sorted(set(x)) if x is not None else [] for x in named]})
+
+    return join
 
 
 def decontaminate(
@@ -166,18 +181,39 @@ def decontaminate(
     of an item are a window of it; an item of fewer words is one window, an item without words has none.
     A document's word inside any occurrence of any window is hit; an item counts if one of its windows
     occurs. A null or empty text has no words. Of items with the same id, either's windows count for the
-    id; items with a null id hit words but have no name to list. An empty benchmark hits nothing.
+    id; items with a null id hit words but have no name to list. An empty benchmark hits nothing, an empty table gives no rows;
+    rows that repeat or share an id are judged each by itself. Other columns aren't read.
 
     A window is contained as a set of its shingles before it is compared word by word, so its rarest one
     (by its count over all documents) suffices to find it: documents' shingles are looked up among these
     prefixes, the shingle's place must leave room for the whole window in the document, and then all
-    words are compared. The benchmark goes to the tasks in blocks of bounded size.
+    words are compared. A benchmark of more than block_windows windows, by its characters, is dealt into blocks of items, of which
+    one at a time is in the driver and is sent to the tasks; the rows that a block hits are stored before the next.
+    One item lies in one block, however long it is.
     """
-    send = docs.sparkSession.sparkContext.broadcast
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    none = F.struct(F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
-    out = rows.withColumn("_m", none)
-    for block in [*_blocks(rows, benchmark, window, shingle, block_windows, item_col, item_text_col)] or [{"prefix": {}, "words": [], "items": []}]:
-        out = out.withColumn("_m", _block_udf(send(block))("_text", "_m.hit", "_m.items"))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]  # words, and so windows, are at most half of the characters
+    blocks = max(1, -(-int(size) // (2 * block_windows)))
+    none = [F.lit(None).cast("binary"), F.lit(None).cast("array<string>")]
+    if blocks == 1:
+        sent = spark.sparkContext.broadcast(_block(rows, items, window, shingle) or {"prefix": {}, "words": [], "items": []})
+        out = rows.withColumn("_m", _block_udf(sent)("_text", *none))
+    else:
+        rows = shared.materialise(rows.withColumn("_row", F.monotonically_increasing_id()))
+        stored = []
+        for b in range(blocks):
+            model = _block(rows, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b), window, shingle)
+            if model is not None:
+                sent = spark.sparkContext.broadcast(model)
+                marked = rows.select("_row", _block_udf(sent)("_text", *none).alias("_m")).where("_m.n_hit > 0")
+                stored.append(shared.materialise(marked.select(F.col("_row").alias("_of"), "_m.hit", "_m.items")))
+                sent.destroy()
+        hits = spark.createDataFrame([], "_of long, hit binary, items array<string>")
+        for part in stored:
+            hits = hits.unionByName(part)
+        hits = hits.groupBy("_of").agg(F.collect_list("hit").alias("_hits"), F.flatten(F.collect_list("items")).alias("_items"))  # a hit of each block at most
+        out = rows.join(hits, F.col("_row") == F.col("_of"), "left").withColumn("_m", _joined_udf()("_text", "_hits", "_items"))
     n_items = F.size("_m.items").cast("long").alias("n_items")
     return out.select("doc_id", "_m.n_words", "_m.n_hit", n_items, "_m.items", (F.col("_m.n_hit") > 0).alias("contaminated"))
