@@ -77,16 +77,14 @@ def mix(
     """
     names = ["mix_slot", "mix_row", "mix_block", "mix_release", "mix_deadline"]
     docs = docs.drop(*names)
-    own = docs.columns
     n = docs.agg(F.count("*")).first()[0]
-    draw = F.xxhash64(F.col(id_col), F.lit(17))
-    ranked = shared.with_rank(
-        docs.withColumns({"_source": F.col(source_col).cast("string"), "_draw": draw}), ["_source"],
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(1, math.isqrt(n)))), [F.col("_draw"), F.col(id_col)], "_rank",
-    )
+    # Whole rows are one column, so that no name of theirs meets the names below.
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(source_col).cast("string").alias("_source"), F.col(id_col).alias("_id"))
+    rows = rows.withColumn("_draw", F.xxhash64("_id", F.lit(17)))
+    ranked = shared.with_rank(rows, ["_source"], F.pmod(F.xxhash64("_id"), F.lit(max(1, math.isqrt(n)))), [F.col("_draw"), F.col("_id")], "_rank")
     ranked = ranked.withColumns({"mix_block": F.floor(F.col("_rank") / block_rows), "mix_row": F.pmod(F.col("_rank"), F.lit(block_rows)).cast("int")})
 
-    sizes = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("rows"))
+    sizes = rows.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("rows"))
     sized = shares_of(sizes, weights, default_weight, power, frame_blocks).withColumn("blocks", F.ceil(F.col("rows") / block_rows))
     frames = sized.withColumn("frame", F.explode(F.expr("sequence(0L, (blocks - 1) div share)")))
     frames = frames.select("frame", "source", (F.col("frame") * F.col("share")).alias("first"), F.least("share", F.col("blocks") - F.col("frame") * F.col("share")).alias("n"))
@@ -100,4 +98,4 @@ def mix(
     plan = plan.join(starts, F.col("frame") == F.col("_frame"))
     plan = plan.select(F.col("source").alias("_psource"), F.col("block").alias("_pblock"), (F.col("_start") + F.col("slot")).alias("mix_slot"), F.col("release").alias("mix_release"), F.col("deadline").alias("mix_deadline"))
     out = ranked.join(plan, F.col("_source").eqNullSafe(F.col("_psource")) & (F.col("mix_block") == F.col("_pblock")))
-    return out.select(*own, *names)
+    return out.select("_doc.*", *names)
