@@ -140,5 +140,85 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, (SELECT min(other) FROM reach r
 """
 
 
+_KEY = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_QUOTED_KEY = _KEY.replace("'", "''")
+
+#: Spans stand where the lengths of the matches and of the pieces of text between them put them.
+OP2_SQL = rf"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS owner, coalesce(lang, '') AS repository, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT r, 0 AS k, 'assign' AS kind, regexp_extract_all(t, '(?i:{_QUOTED_KEY})', 0) AS f, string_split_regex(t, '(?i:{_QUOTED_KEY})') AS s FROM texts
+  UNION ALL SELECT r, 1, 'access', regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM texts
+  UNION ALL SELECT r, 2, 'hex', regexp_extract_all(t, '[0-9a-f]+', 0), string_split_regex(t, '[0-9a-f]+') FROM texts),
+places AS (SELECT r, k, kind, f[i] AS v, (list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a
+  FROM found, unnest(range(1, len(f) + 1)) AS u(i)),
+base AS (SELECT r, k, kind, a, a + length(v) AS b, CASE WHEN kind = 'assign' THEN regexp_extract(v, '(?i:{_QUOTED_KEY})', 2) ELSE v END AS secret FROM places
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(v, '(?i:{_QUOTED_KEY})', 2)) >= 6 WHEN 'access' THEN length(v) >= 20 ELSE length(v) >= 24 END),
+owned AS (SELECT secret, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repository)) AS repositories FROM base JOIN texts USING (r) GROUP BY secret),
+judged AS (SELECT base.*, owners <= {secret_scan.MAX_OWNERS} AND repositories <= {secret_scan.MAX_REPOSITORIES} AS alone FROM base JOIN owned USING (secret)),
+live AS (SELECT DISTINCT r, 3 AS k, 'live' AS kind, b - length(secret) AS a, b FROM judged WHERE alone AND regexp_matches(secret, '[0-9]') AND regexp_matches(secret, '[A-Za-z]') AND length(secret) >= 8),
+every AS (SELECT r, k, kind, a, b FROM judged UNION ALL SELECT r, k, kind, a, b FROM live),
+listed AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (k < 3) AS n_spans, count(*) FILTER (k = 3) AS n_live,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k, b) AS spans FROM every GROUP BY r),
+widely AS (SELECT r, count(*) AS examples FROM judged WHERE NOT alone GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(examples, 0) AS examples, coalesce(n_spans, 0) AS n_spans
+FROM texts LEFT JOIN listed USING (r) LEFT JOIN widely USING (r)
+"""
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP6_SQL = rf"""
+WITH item_words AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), '{_WORD}', 0) AS w FROM benchmark),
+sized AS (SELECT item_id, w, least({decontaminate.WINDOW}, len(w)) AS n FROM item_words WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM sized, unnest(range(1, len(w) - n + 2)) AS u(i)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), '{_WORD}', 0) AS w FROM documents),
+places AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM docs, (SELECT DISTINCT n FROM windows) AS sizes, unnest(range(1, len(w) - n + 2)) AS u(i)),
+found AS (SELECT DISTINCT r, i, p.n, item_id FROM places p JOIN windows w ON p.n = w.n AND p.k = w.k),
+hit AS (SELECT r, count(DISTINCT i + j) AS n_hit FROM found, unnest(range(n)) AS u(j) GROUP BY r),
+named AS (SELECT r, list_sort(list(DISTINCT item_id)) AS items FROM found WHERE item_id IS NOT NULL GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+_SPACE = r"[ \t\n\x0B\f\r]"
+
+#: Passages before lines, as the operator links them; whole conversations are looked at, with or without quotations.
+OP9_SQL = rf"""
+WITH RECURSIVE messages AS (SELECT row_number() OVER () AS m, conv_id, turn::BIGINT AS turn, role, coalesce(text, '') AS t FROM conversations),
+split AS (SELECT m, string_split_regex(t, '\r\n|\n|\r') AS parts FROM messages),
+marked AS (SELECT m, i, regexp_extract(parts[i], '^[ \t>]*>') AS mark, trim(regexp_replace(parts[i], '^[ \t>]*>', '')) AS said FROM split, unnest(range(1, len(parts) + 1)) AS u(i)),
+lines AS (SELECT m, i, length(regexp_replace(mark, '[^>]', '', 'g')) AS depth, said, trim(regexp_replace(lower(said), '{_SPACE}+', ' ', 'g')) AS norm FROM marked),
+ahead AS (SELECT *, lead(depth) OVER (PARTITION BY m ORDER BY i) AS next FROM lines),
+own_lines AS (SELECT m, i, said FROM ahead WHERE depth = 0 AND NOT (coalesce(next, 0) > 0 AND length(said) <= {quotation.INTRODUCTION_CHARS} AND regexp_matches(said, '{quotation.INTRODUCTION}'))),
+whole AS (SELECT m, max(depth) > 0 AS quotes FROM lines GROUP BY m),
+joined AS (SELECT m, string_agg(said, chr(10) ORDER BY i) AS text FROM own_lines GROUP BY m),
+own AS (SELECT m, conv_id, turn, role, CASE WHEN quotes THEN regexp_replace(coalesce(text, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') ELSE t END AS text FROM messages JOIN whole USING (m) LEFT JOIN joined USING (m)),
+own_split AS (SELECT m, string_split_regex(text, '\r\n|\n|\r') AS parts FROM own),
+own_norm AS (SELECT m, i, 0 AS depth, trim(regexp_replace(lower(trim(parts[i])), '{_SPACE}+', ' ', 'g')) AS norm FROM own_split, unnest(range(1, len(parts) + 1)) AS u(i)),
+both_lines AS (SELECT m, i, depth, norm, true AS q FROM lines UNION ALL SELECT m, i, depth, norm, false FROM own_norm),
+starts AS (SELECT *, CASE WHEN lag(depth) OVER w = depth AND lag(norm) OVER w <> '' THEN 0 ELSE 1 END AS new FROM both_lines WINDOW w AS (PARTITION BY q, m ORDER BY i)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY q, m ORDER BY i) AS p FROM starts),
+passages AS (SELECT q, m, p, depth, string_agg(norm, ' ' ORDER BY i) AS k, count(*) AS n, list(norm) AS norms FROM numbered WHERE norm <> '' AND (depth > 0) = q GROUP BY q, m, p, depth),
+units AS (SELECT q, m, p, depth, true AS whole, n, k FROM passages UNION ALL SELECT q, m, p, depth, false, 1, unnest(norms) FROM passages WHERE n > 1),
+said AS (SELECT DISTINCT conv_id, turn, k FROM units JOIN own USING (m) WHERE NOT q AND turn IS NOT NULL),
+met AS (SELECT u.m, u.p, u.depth, u.whole, u.n, u.k, (SELECT max(s.turn) FROM said s WHERE s.conv_id IS NOT DISTINCT FROM o.conv_id AND s.k = u.k AND s.turn < o.turn) AS origin FROM units u JOIN own o USING (m) WHERE u.q AND o.turn IS NOT NULL),
+by_passage AS (SELECT m, p, depth, max(origin) FILTER (whole) AS w, max(n) FILTER (whole) AS wn, max(origin) FILTER (NOT whole) AS l, count(origin) FILTER (NOT whole) AS ln FROM met GROUP BY m, p, depth),
+linked AS (SELECT m, depth, coalesce(w, l) AS origin, CASE WHEN w IS NOT NULL THEN wn ELSE ln END AS n FROM by_passage WHERE coalesce(w, l) IS NOT NULL),
+heads AS (SELECT m, arg_min(origin, (depth, -origin)) AS reply_to, sum(n)::BIGINT AS n_linked FROM linked GROUP BY m),
+links AS (SELECT conv_id, turn, max(reply_to) AS top FROM heads JOIN own USING (m) GROUP BY conv_id, turn),
+chain(conv_id, turn, top) AS (SELECT * FROM links UNION SELECT c.conv_id, c.turn, l.top FROM chain c JOIN links l ON c.conv_id IS NOT DISTINCT FROM l.conv_id AND c.top = l.turn),
+tops AS (SELECT conv_id, turn, min(top) AS top FROM chain GROUP BY conv_id, turn),
+counts AS (SELECT m, sum(n)::BIGINT AS n_quoted, max(depth) AS depth FROM passages WHERE q GROUP BY m),
+every AS (SELECT o.conv_id, o.turn, o.role, o.text, h.reply_to, coalesce(t.top, o.turn) AS thread, coalesce(c.n_quoted, 0) AS n_quoted, coalesce(h.n_linked, 0) AS n_linked, coalesce(c.depth, 0) AS depth
+  FROM own o LEFT JOIN heads h USING (m) LEFT JOIN counts c USING (m) LEFT JOIN tops t ON t.conv_id IS NOT DISTINCT FROM o.conv_id AND t.turn = o.turn)
+SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY thread NULLS FIRST, turn NULLS FIRST, role, text) - 1 AS position FROM every
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op3_warc_revisit": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op7_ngram_join": OP7_SQL}
+    return {
+        "op1_url_filter": OP1_SQL, "op2_secret_scan": OP2_SQL, "op3_warc_revisit": OP3_SQL, "op4_exact_dedup": OP4_SQL,
+        "op6_decontaminate": OP6_SQL, "op7_ngram_join": OP7_SQL, "op9_quotation_linking": OP9_SQL,
+    }
