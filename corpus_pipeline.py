@@ -5,21 +5,60 @@ Counted as part of the subpackage duosig.llm.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duosig.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join, shared
+from duosig.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join, queries, shared
+
+#: Languages that the corpus is to have; None for all that are learned.
+LANGUAGES: list[str] | None = None
+#: Predictions below this score are too doubtful to stay: the posterior of a few bytes of the text.
+LEAST_SCORE = 0.4
+
+_last: list[shared.Scope] = []
+
+
+def _stage(function: Callable) -> Callable:
+    """A stage whose predecessor's tables go once it begins, as its own input has been stored by then; other tables stay.
+
+    From the first stage on the session drops a query's shuffle files at its end, as stages shuffle whole documents.
+    """
 
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(shared.CLEANUP, "true")
+        while _last:
+            _last.pop().release()
+        with shared.scope(spark) as own:
+            _last.append(own)
+            return function(spark, docs, sf_dir)
 
+    return run_stage
+
+
+@_stage
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learned from them; texts without a letter or like none of these go."""
-    shared.release()
-    return language_id.identify_language(docs).where("lang_known").select(*docs.columns)
+    """Documents in one of the wanted languages, predicted from text alone by what the labelled ones teach.
+
+    Null texts and texts without a letter go, as do texts that no learned language codes better than byte frequencies do, and
+    predictions of too low a score. Rows that repeat or share an id are judged each by itself; no rows give no rows.
+    """
+    found = language_id.identify_language(docs)
+    kept = found.where(F.col("lang_known") & (F.col("lang_score") >= LEAST_SCORE))
+    if LANGUAGES is not None:
+        kept = kept.where(F.col("lang_pred").isin(LANGUAGES))
+    return kept.select(*docs.columns)
 
 
+@_stage
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row, that with the smallest doc_id."""
-    shared.release()
+    """Of equal texts one row, that with the smallest doc_id; of rows that repeat it too, one.
+
+    Null and empty texts are equal, and a null doc_id counts as the largest.
+    """
     key = lambda sha: F.concat_ws(":", sha, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     kept = exact_dedup.exact_duplicates(docs).where("kept").select(key(F.col("text_sha256")).alias("_kept"))
     sha = F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256)
@@ -27,9 +66,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.dropDuplicates(["_key"]).select(*docs.columns)  # rows that repeat both id and text lie together already
 
 
+@_stage
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one with the smallest doc_id; rows are told apart by a key of their own, as ids may repeat or be null."""
-    shared.release()
     # The key is written down first: made anew in each job it need not be the same.
     rows = shared.materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
     found = ngram_join.ngram_join(rows, k=5, percent=80, id_col="_row").select(F.col("doc_id").alias("_of"), "component_id")
@@ -38,18 +77,20 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rows.join(first.select(F.col("_first._row").alias("_kept")), F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
 
 
+@_stage
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item; whole rows go through the operator in the place of an id."""
-    shared.release()
+    """Documents that hold no window of a benchmark item; whole rows go through the operator in the place of an id, so that rows
+    that share one are judged apart. Null texts hold nothing and stay.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     whole = docs.withColumn("_whole", F.struct(*docs.columns))
     return decontaminate.decontaminate(whole, items, id_col="_whole").where("not contaminated").select("doc_id.*")
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their places in the mixture of sources."""
-    shared.release()
-    return mixing.mix(docs)
+    """All documents with their places in the mixture of sources by target weights; a null source is one of its own."""
+    return mixing.mix(docs, weights=queries.SOURCE_WEIGHTS)
 
 
 STAGES = [
@@ -60,15 +101,27 @@ STAGES = [
     ("mixing sources to target weights", mix_sources),
 ]
 
-#: Neither the learned trees nor the schedule can be stated in SQL; tests hold the stages against brute force.
+#: Neither the learned trees nor the schedule can be stated in SQL; tests hold the stages and run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written as Parquet into the shared folder and read again."""
+    """Applies the stages to documents; each result is written as Parquet into the shared folder and read again.
+
+    A stage's result goes when its successor's is stored; the last one's goes when the session ends.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{shared.shared_dir(spark)}/corpus-{spark.sparkContext.applicationId}-{shared.uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
-        docs = spark.read.parquet(f"{root}/{k}")
+    before = spark.conf.get(shared.CLEANUP, "false")
+    done = shared.Scope(spark)
+    try:
+        for _, stage in STAGES:
+            path = shared.new_path(spark)
+            stage(spark, docs, sf_dir).write.parquet(path)
+            done.release()
+            done.paths.append(path)
+            docs = spark.read.parquet(path)
+        while _last:
+            _last.pop().release()
+    finally:
+        spark.conf.set(shared.CLEANUP, before)
     return docs
