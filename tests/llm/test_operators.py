@@ -130,17 +130,21 @@ def test_language_id(spark):
     rng = random.Random(5)
     alike = {"en": ["the", "ing", "th", "er"], "fr": ["eau", "oux", "ille", "é"]}
     docs = [(i, " ".join("".join(rng.choice(alike[x]) for _ in range(3)) for _ in range(40)), x) for i in range(120) for x in [("en", "fr")[i % 2]]]
-    docs += [(1000, None, "en"), (1001, "12 !!", "fr"), (1002, "", None), (1003, docs[0][1] * 3000, None)]
+    docs += [(1000, None, "en"), (1001, "12 !!", "fr"), (1002, "", None), (1003, docs[0][1] * 3000, None), (0, docs[0][1], "en"), (None, docs[1][1], "fr"), (None, docs[1][1], "fr")]
+    docs += [(2000 + i, docs[1][1].replace("eau", "iù") * 400, "it") for i in range(8)]  # a language that only long texts teach
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in language_id.identify_language(df).collect()}
     assert all(got[d]["lang_pred"] == x for d, _, x in docs[:120]) and got[1003]["lang_pred"] == "en"
     assert all(got[d]["lang_pred"] == "und" and got[d]["lang_score"] == 0 for d in (1000, 1001, 1002))
-    assert all(0 <= r["lang_score"] <= 1 for r in got.values())
+    assert all(0 <= r["lang_score"] <= 1 for r in got.values()) and all(got[2000 + i]["lang_pred"] == "it" for i in range(8))
+    assert language_id.identify_language(df).count() == len(docs) and language_id.identify_language(df.limit(0)).count() == 0
+    clash = df.withColumns({"lang_pred": F.lit("x"), "lang_score": F.lit(2.0), "_best": F.lit(1)})
+    assert {r["lang_pred"] for r in language_id.identify_language(clash).collect()} == {r["lang_pred"] for r in got.values()}
     assert {r["lang_pred"] for r in language_id.identify_language(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
 def code_length(text, texts):
-    """Bits of text by prediction by partial matching (order 3, method C, 256 bytes) after texts, by its definition."""
+    """Bits of text by prediction by partial matching (order 3, method C with exclusion, A-Z folded) after texts, by its definition."""
     after = collections.defaultdict(collections.Counter)
     fold = lambda t: b"   " + t.encode().lower()
     for b in map(fold, texts):
@@ -149,15 +153,17 @@ def code_length(text, texts):
                 after[b[i - order : i]][b[i]] += 1
     total, b = 0.0, fold(text)
     for i in range(3, len(b)):
+        excluded = set()
         for order in (3, 2, 1, 0):
-            seen = after.get(b[i - order : i], {})
+            seen = {s: n for s, n in after.get(b[i - order : i], {}).items() if s not in excluded}
             n, kinds = sum(seen.values()), len(seen)
             if b[i] in seen:
                 total -= math.log2(seen[b[i]] / (n + kinds))
                 break
             total -= math.log2(kinds / (n + kinds)) if n else 0
+            excluded |= set(seen)
         else:
-            total += 8
+            total += math.log2(256 - 26 - len(excluded))
     return total
 
 
@@ -165,7 +171,8 @@ def test_language_id_tells_rare_scripts_apart(spark):
     rng = random.Random(11)
     letters = {"en": "etaoinshrdlucmfwypvbgkjqxz0123456789.,;:!?()[]{}<>@#$%&*+-_=/|~", "th": "กขคงจฉชซญดตถทธนบปผพ", "lo": "ກຂຄງຈຊຍດຕຖທນບປຜພ", "ka": "აბგდევზთიკლმნოპჟრს", "hy": "աբգդեզէըթժիլխծկհձղ"}
     word = lambda x, n: "".join(rng.choice(letters[x]) for _ in range(n))
-    text = lambda x, n: " ".join(word(x, rng.randrange(3, 8)) for _ in range(n))
+    known = [word("en", rng.randrange(3, 8)) for _ in range(60)]
+    text = lambda x, n: " ".join(rng.choice(known) if x == "en" else word(x, rng.randrange(3, 8)) for _ in range(n))
     docs = [(i, text(x, 300 if x == "en" else 15), x) for i, x in enumerate(x for x in letters for _ in range(20))]
     strange = [(1000, "".join(rng.choice("ஃஅஆஇஈஉஊஎஏஐ") for _ in range(200)), None), (1001, "中文字符測試" * 20, None), (1002, "a" + text("th", 3) + "中", None)]
     df = spark.createDataFrame(docs + strange, "doc_id long, text string, lang string")
