@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_precision
+from . import ranges
 
 
 def collapse_runs(events: DataFrame, keys: list[str], source: list[str], order: str, aggregates: list) -> DataFrame:
@@ -57,9 +58,9 @@ def drop_stalls(events: DataFrame) -> DataFrame:
 
 
 def encode(rows: DataFrame, group: list[str], value: str, order: list[str]) -> DataFrame:
-    """Distinct values of each group with their ordinal by first appearance, from 0."""
+    """Distinct values of each group with their ordinal by first appearance, from 0. Values are ranked by range, so a group may be of any size."""
     first = rows.groupBy(*group, value).agg(F.min(F.struct(*order)).alias("_first"))
-    return first.withColumn("idx", (F.row_number().over(Window.partitionBy(*group).orderBy("_first", value)) - 1).cast("long")).drop("_first")
+    return ranges.ranked(first, group, [F.col("_first"), F.col(value)], "idx").withColumn("idx", F.col("idx").cast("long")).drop("_first")
 
 
 def shared_by_all(rows: DataFrame, key: str, sample: str, samples: int) -> DataFrame:
@@ -82,17 +83,30 @@ def valid_windows(positions: DataFrame, size: int) -> DataFrame:
     return positions.withColumn("_n", F.count("*").over(w)).where(F.col("_n") == 2 * half + 1).select("gene", F.col("pos").alias("centre"))
 
 
+def default_depth(size: int) -> int:
+    """Least reads of a replicate for a window of so many positions: at least as many as there are features, twice over."""
+    return max(2 * size, 5)
+
+
+def _in_order(values: Column, strand: Column | None) -> Column:
+    """Values by position in the direction of the transcript: reversed on the minus strand."""
+    return values if strand is None else F.when(strand == "-", F.reverse(values)).otherwise(values)
+
+
 def window_vectors(events: DataFrame, windows: DataFrame, size: int) -> DataFrame:
     """Per window and read the means at all positions, in order of position; reads that lack one are left out.
 
-    Each event goes to the windows around it (2 * half + 1 copies), and a read's window is one group.
+    Where events have a column strand, windows on the minus strand run backwards. Each event goes to the windows around it
+    (2 * half + 1 copies), and a read's window is one group.
     """
-    half = size // 2
+    half, stranded = size // 2, ["strand"] if "strand" in events.columns else []
     near = F.explode(F.sequence(F.col("pos") - half, F.col("pos") + half)).alias("centre")
-    copies = events.where("mean is not null").select("gene", "cond", "rep", "read", "pos", "mean", near)
-    held = copies.join(windows, ["gene", "centre"])
-    vectors = held.groupBy("gene", "centre", "cond", "rep", "read").agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("v"))
-    return vectors.where(F.size("v") == 2 * half + 1).withColumn("vec", F.transform("v", lambda x: x["mean"])).drop("v")
+    copies = events.where("mean is not null").select("gene", "cond", "rep", "read", "pos", "mean", *stranded, near)
+    held = copies.join(windows.select("gene", "centre"), ["gene", "centre"])
+    more = [F.min("strand").alias("strand")] if stranded else []
+    vectors = held.groupBy("gene", "centre", "cond", "rep", "read").agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("v"), *more)
+    vec = _in_order(F.transform("v", lambda x: x["mean"]), F.col("strand") if stranded else None)
+    return vectors.where(F.size("v") == 2 * half + 1).withColumn("vec", vec).drop("v", *stranded)
 
 
 def deep_windows(vectors: DataFrame, min_depth: int) -> DataFrame:
@@ -109,10 +123,12 @@ def last_kmers(kmers: DataFrame) -> DataFrame:
 
 
 def window_kmers(kmers: DataFrame, windows: DataFrame, size: int) -> DataFrame:
-    half = size // 2
-    wide = windows.select("gene", "centre", F.explode(F.sequence(F.col("centre") - half, F.col("centre") + half)).alias("pos"))
-    got = wide.join(kmers, ["gene", "pos"]).groupBy("gene", "centre").agg(F.array_sort(F.collect_list(F.struct("pos", "kmer"))).alias("k"))
-    return got.withColumn("kmers", F.transform("k", lambda x: x["kmer"])).drop("k")
+    """The kmers of each window in order of position; where windows have a column strand, backwards on the minus strand."""
+    half, stranded = size // 2, ["strand"] if "strand" in windows.columns else []
+    wide = windows.select("gene", "centre", *stranded, F.explode(F.sequence(F.col("centre") - half, F.col("centre") + half)).alias("pos"))
+    got = wide.join(kmers, ["gene", "pos"]).groupBy("gene", "centre", *stranded).agg(F.array_sort(F.collect_list(F.struct("pos", "kmer"))).alias("k"))
+    kmer = _in_order(F.transform("k", lambda x: x["kmer"]), F.col("strand") if stranded else None)
+    return got.withColumn("kmers", kmer).drop("k", *stranded)
 
 
 def subsample(rows: DataFrame, group: list[str], key, most: int) -> DataFrame:

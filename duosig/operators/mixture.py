@@ -6,14 +6,36 @@ depth; each group is fitted apart, so Spark spreads windows over the cluster.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIT = "gene long, centre long, mu1 array<double>, mu2 array<double>, cov1 array<double>, cov2 array<double>, low array<double>, high array<double>, w array<double>, counts array<struct<cond:int,rep:int,n:array<double>>>"
+FIT = "mu1 array<double>, mu2 array<double>, cov1 array<double>, cov2 array<double>, low array<double>, high array<double>, w array<double>, counts array<struct<cond:int,rep:int,n:array<double>>>"
+
+
+@dataclass(frozen=True)
+class FitOptions:
+    """How a window is fitted.
+
+    covariance: full or diag. outliers: mad (rows further from their mean than factor times the MAD of all distances), dbscan (rows
+    of no dense region: fewer than share of all rows within eps) or None for two Gaussians without a box.
+    """
+
+    covariance: str = "full"
+    outliers: str | None = "mad"
+    factor: float = 0.5
+    eps: float = 5.0
+    share: float = 0.25
+    steps: int = 1000
+    tolerance: float = 0.1
+
+    @property
+    def components(self) -> int:
+        return 2 if self.outliers is None else 3
 
 
 def normal_pdf(x: Column, mu: float | Column, sd: float | Column) -> Column:
@@ -77,71 +99,102 @@ def combined_weights(weights: DataFrame, by: list[str], labels: int = 3) -> Data
 def noise(rows: DataFrame, by: list[str], x: str, y: str, eps: float, share: float) -> DataFrame:
     """rows with noise: DBSCAN's outliers. Core rows have share of their group within eps; noise is neither core nor within eps of a core row.
 
-    Points of a group meet only in the same or a neighbouring cell of eps, by an equi-join on the cell.
+    Rows are counted in square cells whose diagonal is eps, so that rows of a cell are near each other. A cell that holds
+    enough rows is core as a whole, one whose surroundings hold too few has no core row; only rows of other cells are compared with
+    rows of the cells around them, and then rows of cells without a core row with core rows around. ids tell rows of a group apart.
     """
-    cell = {c: F.floor(F.col(c) / eps) for c in (x, y)}
-    own = rows.withColumns({"_cx": cell[x], "_cy": cell[y]})
-    sides = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    around = own.withColumn("_i", F.explode(sides)).withColumn("_j", F.explode(sides))
-    far = around.select(*[F.col(k).alias(f"_{k}") for k in by], (F.col("_cx") + F.col("_i")).alias("_bx"), (F.col("_cy") + F.col("_j")).alias("_by"), F.col("id").alias("_id"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    same = (F.col("_cx") == F.col("_bx")) & (F.col("_cy") == F.col("_by"))
-    for k in by:
-        same = same & (F.col(k) == F.col(f"_{k}"))
+    side = eps / 2**0.5
+    key = [*by, "_cx", "_cy"]
+    own = rows.withColumns({"_cx": F.floor(F.col(x) / side), "_cy": F.floor(F.col(y) / side)})
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4])
+    moved = lambda df: df.withColumn("_s", F.explode(around)).withColumns({"_cx": F.col("_cx") + F.col("_s.i"), "_cy": F.col("_cy") + F.col("_s.j")}).drop("_s")
+    sizes = rows.groupBy(*by).agg((F.count("*") * F.lit(share)).alias("_least"))
+    cells = own.groupBy(*key).agg(F.count("*").alias("_n"))
+    most = moved(cells).groupBy(*key).agg(F.sum("_n").alias("_most"))
+    cells = cells.join(most, key).join(sizes, by)
+    cells = cells.withColumn("_state", F.when(F.col("_n") >= F.col("_least"), "core").when(F.col("_most") < F.col("_least"), "none").otherwise("open")).select(*key, "_least", "_state")
+    placed = own.select(*key, "id", x, y).join(cells, key)
+    other = moved(placed.select(*key, F.col("id").alias("_id"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.col("_state").alias("_other")))
     near = (F.col(x) - F.col("_x")) * (F.col(x) - F.col("_x")) + (F.col(y) - F.col("_y")) * (F.col(y) - F.col("_y")) <= eps * eps
-    counted = own.join(far, same & near).groupBy(*by, "id").agg(F.count("*").alias("_n"))
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("_all"))
-    core = counted.join(sizes, by).where(F.col("_n") >= share * F.col("_all")).select("id")
-    met = own.join(far.join(core.withColumnRenamed("id", "_core"), F.col("_id") == F.col("_core")), same & near).select("id").distinct()
-    return rows.join(met.withColumn("_met", F.lit(True)), "id", "left").withColumn("noise", F.col("_met").isNull()).drop("_met")
-
-
-def _two_means(x: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """The nearer of two means, and labels: 0 and 1 of two means, started at the extremes of the first principal direction; 2 for rows far from theirs against the MAD."""
-    centred = x - x.mean(0)
+    counted = placed.where("_state = 'open'").join(other, key).where(near).groupBy(*key, "id", x, y, "_least").agg(F.count("*").alias("_n"))
+    core = placed.where("_state = 'core'").select(*key, "id", x, y).unionByName(counted.where("_n >= _least").select(*key, "id", x, y))
+    cored = core.select(*key).distinct()
+    alone = placed.join(cored, key, "left_anti").select(*key, "id", x, y)
+    far = moved(core.select(*key, F.col(x).alias("_x"), F.col(y).alias("_y")))
+    reached = alone.join(far, key).where(near).select(*by, "id")
+    met = placed.join(cored, key, "left_semi").select(*by, "id").unionByName(reached).distinct().withColumn("_met", F.lit(True))
+    return rows.join(met, [*by, "id"], "left").withColumn("noise", F.col("_met").isNull()).drop("_met").select(*rows.columns, "noise")
+
+
+def _far_from_dense(x: np.ndarray, eps: float, least: float) -> np.ndarray:
+    """DBSCAN's noise among the rows of x, which subsampling bounds; distances are taken for some rows at a time."""
+    blocks = [x[i : i + 512] for i in range(0, len(x), 512)]
+    near = lambda block, to: ((block[:, None] - to[None]) ** 2).sum(2) <= eps * eps
+    core = np.concatenate([near(b, x).sum(1) >= least for b in blocks])
+    return ~np.concatenate([near(b, x[core]).any(1) for b in blocks])
+
+
+def _two_means(x: np.ndarray, options: FitOptions = FitOptions()) -> tuple[np.ndarray, np.ndarray]:
+    """The nearer of two means, and labels: 0 and 1 of two means, started at the extremes of the first principal direction; 2 for outliers."""
+    far = _far_from_dense(x, options.eps, options.share * len(x)) if options.outliers == "dbscan" else np.zeros(len(x), bool)
+    if far.all():
+        return np.zeros(len(x), int), np.full(len(x), 2)
+    used = x[~far]
+    centred = used - used.mean(0)
     along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0]
-    means = x[[along.argmin(), along.argmax()]]
+    means = used[[along.argmin(), along.argmax()]]
     for _ in range(100):
-        dist = np.linalg.norm(x[:, None] - means[None], axis=2)
-        label = dist.argmin(1)
-        new = np.array([x[label == k].mean(0) if (label == k).any() else means[k] for k in (0, 1)])
+        label = np.linalg.norm(used[:, None] - means[None], axis=2).argmin(1)
+        new = np.array([used[label == k].mean(0) if (label == k).any() else means[k] for k in (0, 1)])
         moved = np.abs(new - means).max()
         means = new
         if moved < 1e-6:
             break
-    near = dist.min(1)
-    spread = np.median(np.abs(near - np.median(near)))
-    return label, np.where((near > factor * spread) & (spread > 0), 2, label)
+    dist = np.linalg.norm(x[:, None] - means[None], axis=2)
+    label, near = dist.argmin(1), dist.min(1)
+    if options.outliers == "mad":
+        far = near > options.factor * np.median(np.abs(near - np.median(near)))
+    return label, np.where(far, 2, label)
 
 
 def _log_density(x: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    solve = np.linalg.solve(cov, (x - mu).T).T
-    return -0.5 * (((x - mu) * solve).sum(1) + np.linalg.slogdet(cov)[1] + len(mu) * np.log(2 * np.pi))
+    """Log density of a Gaussian; a covariance that isn't positive definite is an error."""
+    low = np.linalg.cholesky(cov)
+    z = np.linalg.solve(low, (x - mu).T)
+    return -0.5 * ((z * z).sum(0) + len(mu) * np.log(2 * np.pi)) - np.log(np.diagonal(low)).sum()
+
 
+def fit(x: np.ndarray, sample: np.ndarray, options: FitOptions = FitOptions()) -> dict | None:
+    """EM of two Gaussians and a box shared by all samples, with weights of each sample's own; None where a covariance becomes singular.
 
-def fit(x: np.ndarray, sample: np.ndarray, factor: float = 0.5, steps: int = 1000, tolerance: float = 0.1) -> dict | None:
-    """EM of two full Gaussians and a box shared by all samples, with weights of each sample's own; None if it fails."""
-    nearer, label = _two_means(x, factor)
-    d, samples = x.shape[1], np.unique(sample)
-    ridge = 1e-3 * np.eye(d)
+    Where a mean keeps no more rows than slots beside the outliers, its covariance starts from all rows nearest to it.
+    """
+    nearer, label = _two_means(x, options)
+    d, samples, parts = x.shape[1], np.unique(sample), options.components
+    spread = (lambda c: c) if options.covariance == "full" else (lambda c: np.diag(np.diagonal(c)))
     mu, cov = [], []
     for k in (0, 1):
-        own = x[label == k] if (label == k).sum() > d else x[nearer == k]  # few are left where most count as outliers
+        own = x[label == k] if (label == k).sum() > d else x[nearer == k]
+        if not len(own):
+            return None
         mu.append(own.mean(0))
-        cov.append(np.atleast_2d(np.cov(own.T, bias=True)) + ridge)
-    far = x[label == 2] if (label == 2).any() else x
-    low, high = far.min(0), far.max(0)
-    box = np.where(((x >= low) & (x <= high)).all(1), -np.log(np.maximum(high - low, 1e-6)).sum(), -np.inf)
-    weights = {s: (np.bincount(label[sample == s], minlength=3) + 0.5) / ((sample == s).sum() + 1.5) for s in samples}
+        cov.append(spread(np.atleast_2d(np.cov(own.T, bias=True))))
+    low = high = None
+    if parts == 3:
+        far = x[label == 2] if (label == 2).any() else x
+        low, high = far.min(0), far.max(0)
+        box = np.where(((x >= low) & (x <= high)).all(1), -np.log(np.maximum(high - low, 1e-6)).sum(), -np.inf)
+    weights = {s: (np.bincount(label[sample == s], minlength=parts) + 0.5) / ((sample == s).sum() + 0.5 * parts) for s in samples}
     last = -np.inf
-    for step in range(steps):
+    for step in range(options.steps):
         try:
-            dens = np.stack([_log_density(x, mu[0], cov[0]), _log_density(x, mu[1], cov[1]), box], 1)
+            dens = np.stack([_log_density(x, mu[0], cov[0]), _log_density(x, mu[1], cov[1]), *([box] if parts == 3 else [])], 1)
         except np.linalg.LinAlgError:
             return None
         joint = dens + np.log(np.array([weights[s] for s in samples]))[np.searchsorted(samples, sample)]
         top = joint.max(1, keepdims=True)
         total = top[:, 0] + np.log(np.exp(joint - top).sum(1))
-        if total.sum() - last <= tolerance and step:
+        if total.sum() - last <= options.tolerance and step:
             break
         last = total.sum()
         resp = np.exp(joint - total[:, None])
@@ -150,7 +203,7 @@ def fit(x: np.ndarray, sample: np.ndarray, factor: float = 0.5, steps: int = 100
             n = resp[:, k].sum()
             if n > 1e-9:
                 m = resp[:, k] @ x / n
-                c = (resp[:, k, None] * (x - m)).T @ (x - m) / n + ridge
+                c = spread((resp[:, k, None] * (x - m)).T @ (x - m) / n)
                 mu[k], cov[k] = keep * mu[k] + (1 - keep) * m, keep * cov[k] + (1 - keep) * c
         for s in samples:
             r = resp[sample == s].sum(0) + 0.5
@@ -158,32 +211,39 @@ def fit(x: np.ndarray, sample: np.ndarray, factor: float = 0.5, steps: int = 100
     return {"mu": mu, "cov": cov, "low": low, "high": high, "weights": weights, "label": label}
 
 
-def _fit_group(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["cond", "rep", "read"], ignore_index=True)
-    sample = (rows["cond"] * 1000 + rows["rep"]).to_numpy()
-    model = fit(np.array(rows["vec"].tolist()), sample)
-    if model is None:
-        return pd.DataFrame(columns=["gene", "centre", "mu1", "mu2", "cov1", "cov2", "low", "high", "w", "counts"])
-    sizes = rows.groupby(["cond", "rep"])["depth"].first()
-    used = rows.groupby(["cond", "rep"]).size()
-    counts = [{"cond": int(c), "rep": int(r), "n": np.rint(model["weights"][c * 1000 + r] * sizes[c, r]).tolist()} for c, r in sizes.index]
-    w = sum(model["weights"][c * 1000 + r] * used[c, r] for c, r in sizes.index) / used.sum()
-    flat = lambda a: np.asarray(a).ravel().tolist()
-    out = {"mu1": flat(model["mu"][0]), "mu2": flat(model["mu"][1]), "cov1": flat(model["cov"][0]), "cov2": flat(model["cov"][1]), "low": flat(model["low"]), "high": flat(model["high"]), "w": flat(w), "counts": counts}
-    return pd.DataFrame([{"gene": int(rows["gene"][0]), "centre": int(rows["centre"][0]), **out}])
-
-
-def fit_windows(vectors: DataFrame) -> DataFrame:
+def _fit_group(options: FitOptions) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["cond", "rep", "read"], ignore_index=True)
+        sample = (rows["cond"] * 1000 + rows["rep"]).to_numpy()
+        model = fit(np.array(rows["vec"].tolist()), sample, options)
+        if model is None:
+            return pd.DataFrame(columns=["gene", "centre", "mu1", "mu2", "cov1", "cov2", "low", "high", "w", "counts"])
+        sizes = rows.groupby(["cond", "rep"])["depth"].first()
+        used = rows.groupby(["cond", "rep"]).size()
+        counts = [{"cond": int(c), "rep": int(r), "n": np.rint(model["weights"][c * 1000 + r] * sizes[c, r]).tolist()} for c, r in sizes.index]
+        w = sum(model["weights"][c * 1000 + r] * used[c, r] for c, r in sizes.index) / used.sum()
+        flat = lambda a: None if a is None else np.asarray(a).ravel().tolist()
+        out = {"mu1": flat(model["mu"][0]), "mu2": flat(model["mu"][1]), "cov1": flat(model["cov"][0]), "cov2": flat(model["cov"][1]), "low": flat(model["low"]), "high": flat(model["high"]), "w": flat(w), "counts": counts}
+        return pd.DataFrame([{"gene": rows["gene"][0], "centre": int(rows["centre"][0]), **out}])
+
+    return run
+
+
+def _type_of(rows: DataFrame, column: str) -> str:
+    return rows.schema[column].dataType.simpleString()
+
+
+def fit_windows(vectors: DataFrame, options: FitOptions = FitOptions()) -> DataFrame:
     """A model per (gene, centre) of vectors (cond, rep, read, vec, depth: reads of the replicate before subsampling).
 
-    counts has each replicate's expected reads by component, rounded half to even.
+    counts has each replicate's expected reads by component, rounded half to even. Windows whose fit fails have no row.
     """
-    return vectors.groupBy("gene", "centre").applyInPandas(_fit_group, FIT)
+    return vectors.groupBy("gene", "centre").applyInPandas(_fit_group(options), f"gene {_type_of(vectors, 'gene')}, centre long, {FIT}")
 
 
 def _label_group(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["cond", "rep", "read"], ignore_index=True)
-    return rows.assign(label=_two_means(np.array(rows["vec"].tolist()), 0.5)[1])[["gene", "centre", "cond", "rep", "read", "label"]]
+    return rows.assign(label=_two_means(np.array(rows["vec"].tolist()))[1])[["gene", "centre", "cond", "rep", "read", "label"]]
 
 
 def label_windows(vectors: DataFrame) -> DataFrame:
@@ -202,21 +262,25 @@ def _posteriors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         if not len(rows):
             continue
-        m = {c: np.array(rows[c].tolist()) for c in ("vec", "mu1", "mu2", "cov1", "cov2", "low", "high", "w")}
-        x, low, high = m["vec"], m["low"], m["high"]
+        boxed = rows["low"].notna().all()
+        m = {c: np.array(rows[c].tolist()) for c in ("vec", "mu1", "mu2", "cov1", "cov2", "w", *(("low", "high") if boxed else ()))}
+        x = m["vec"]
         square = (len(x), x.shape[1], x.shape[1])
-        box = np.where(((x >= low) & (x <= high)).all(1), -np.log(np.maximum(high - low, 1e-6)).sum(1), -np.inf)
-        dens = np.stack([_log_densities(x, m[f"mu{k}"], m[f"cov{k}"].reshape(square)) for k in (1, 2)] + [box], 1) + np.log(m["w"])
+        dens = [_log_densities(x, m[f"mu{k}"], m[f"cov{k}"].reshape(square)) for k in (1, 2)]
+        if boxed:
+            inside = ((x >= m["low"]) & (x <= m["high"])).all(1)
+            dens.append(np.where(inside, -np.log(np.maximum(m["high"] - m["low"], 1e-6)).sum(1), -np.inf))
+        dens = np.stack(dens, 1) + np.log(m["w"])
         post = np.exp(dens - dens.max(1, keepdims=True))
         post /= post.sum(1, keepdims=True)
-        yield rows.assign(pred=post[:, 1], outlier=post[:, 2])[["gene", "centre", "cond", "rep", "read", "vec", "pred", "outlier"]]
+        yield rows.assign(pred=post[:, 1], outlier=post[:, 2] if boxed else 0.0)[["gene", "centre", "cond", "rep", "read", "vec", "pred", "outlier"]]
 
 
 def predict_reads(vectors: DataFrame, models: DataFrame) -> DataFrame:
-    """Per read of vectors, with vec, the posterior of the second component and of the box, for windows with a model.
+    """Per read of vectors, with vec, the posterior of the second component and of the box (0 without one), for windows with a model.
 
     Models are joined to the reads, which are then taken batch by batch: no task holds a window.
     """
-    schema = "gene long, centre long, cond long, rep long, read long, vec array<double>, pred double, outlier double"
+    schema = f"gene {_type_of(vectors, 'gene')}, centre long, cond long, rep long, read {_type_of(vectors, 'read')}, vec array<double>, pred double, outlier double"
     model = models.select("gene", "centre", "mu1", "mu2", "cov1", "cov2", "low", "high", "w")
     return vectors.select("gene", "centre", "cond", "rep", "read", "vec").join(model, ["gene", "centre"]).mapInPandas(_posteriors, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +46,25 @@ def predictions_json(predictions: DataFrame, models: DataFrame) -> DataFrame:
     reps = lambda k: F.array_sort(F.filter(F.collect_list(F.when(F.col("cond") == k, F.col("s"))), lambda x: x.isNotNull()))
     both = by_rep.groupBy("gene", "centre").agg(reps(0).alias("cntrl"), reps(1).alias("treat"))
     keyed = lambda c: F.map_from_entries(F.transform(c, lambda s: F.struct(s["rep"].cast("string"), s)))
+    size = F.size("mu1")
+    square = lambda c: F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.slice(F.col(c), i * size + 1, size))
+    bounds = F.when(F.col("low").isNotNull(), F.struct(F.zip_with("low", "high", lambda a, b: F.array(a, b)).alias("bounds")))  # none without a box
     model = F.struct(
-        F.struct(F.col("mu1").alias("mu"), F.col("cov1").alias("cov")).alias("unmod"), F.struct(F.col("mu2").alias("mu"), F.col("cov2").alias("cov")).alias("mod"),
-        F.struct(F.arrays_zip("low", "high").alias("bounds")).alias("outlier"), F.col("w").alias("weights"),
+        F.struct(F.col("mu1").alias("mu"), square("cov1").alias("cov")).alias("unmod"), F.struct(F.col("mu2").alias("mu"), square("cov2").alias("cov")).alias("mod"),
+        bounds.alias("outlier"), F.col("w").alias("weights"),
     )
     joined = both.join(models, ["gene", "centre"])
     return joined.select("gene", "centre", F.to_json(F.struct("kmers", model.alias("model"), keyed("cntrl").alias("cntrl"), keyed("treat").alias("treat"))).alias("json"))
+
+
+def write_predictions(documents: DataFrame, inputs: dict[str, list[str]], path: str) -> None:
+    """Predictions as lines of JSON, one for each window, in parts/; what they were made from, as input_fns, in inputs/.
+
+    documents: gene, centre, json. inputs: the names of the tables of each condition, by replicate. Lines are written where they are
+    made, as all predictions together need not fit one task.
+    """
+    head = F.to_json(F.struct(F.col("gene").cast("string").alias("gene_id"), F.col("centre").alias("pos")))
+    line = F.concat(F.left(head, F.length(head) - 1), F.lit(","), F.expr("substr(json, 2)"))
+    documents.select(line.alias("line")).write.text(f"{path}/parts")
+    named = {cond: dict(enumerate(names)) for cond, names in inputs.items()}
+    documents.sparkSession.createDataFrame([(json.dumps({"input_fns": named}),)], "line string").write.text(f"{path}/inputs")

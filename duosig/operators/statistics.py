@@ -6,54 +6,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import Z975, chi2_sf1, kolmogorov_sf
+from . import ranges
 
 
 def ks_2samp(rows: DataFrame, by: list[str], value: str = "value", sample: str = "cond") -> DataFrame:
     """d, p, n0, n1 of the two-sample Kolmogorov-Smirnov test (samples 0 and 1) in each group, asymptotic p.
 
-    Values are summed first, so that the running counts go over distinct values.
+    Values are summed first, so that the running counts go over distinct values, and these are spread by range: a group may be of any size.
     """
     each = rows.groupBy(*by, value).agg(F.sum((F.col(sample) == 0).cast("long")).alias("a"), F.sum((F.col(sample) == 1).cast("long")).alias("b"))
-    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    n = each.select(*by, F.sum("a").over(upto).alias("ca"), F.sum("b").over(upto).alias("cb"), F.sum("a").over(whole).alias("n0"), F.sum("b").over(whole).alias("n1"))
-    d = n.where("n0 > 0 and n1 > 0").groupBy(*by, "n0", "n1").agg(F.max(F.abs(F.col("ca") / F.col("n0") - F.col("cb") / F.col("n1"))).alias("d"))
+    order = [F.col(value)]
+    n = ranges.running(ranges.spread(each, by, order), by, order, {"ca": F.col("a"), "cb": F.col("b")})
+    n = n.withColumnsRenamed({"ca_all": "n0", "cb_all": "n1"}).where("n0 > 0 and n1 > 0")
+    d = n.groupBy(*by, "n0", "n1").agg(F.max(F.abs(F.col("ca") / F.col("n0") - F.col("cb") / F.col("n1"))).alias("d"))
     en = F.sqrt(F.col("n0") * F.col("n1") / (F.col("n0") + F.col("n1")))
     return d.withColumn("p", kolmogorov_sf((en + 0.12 + 0.11 / en) * F.col("d")))
 
 
-def pca_comp1(vectors: DataFrame, by: list[str], steps: int = 60) -> DataFrame:
-    """vectors (3 values in vec) with comp: the first principal component of each group's standardised vectors.
+def pca_comp1(vectors: DataFrame, by: list[str], slots: int = 3, doublings: int = 12) -> DataFrame:
+    """vectors (so many slots in vec) with comp: the first principal component of each group's standardised vectors.
 
-    Only means, deviations and correlations are aggregated; the leading eigenvector comes from power
-    iteration on the correlation matrix. A group with a constant slot has no component.
+    Only means, deviations and covariances are aggregated; the leading eigenvector comes from power iteration on the correlation
+    matrix, of a row for each group, of which so many squarings make 2^doublings steps. A group with a constant slot has no component.
     """
-    x = [F.col("vec")[i] for i in range(3)]
+    x = [F.col("vec")[i] for i in range(slots)]
+    pairs = [(i, j) for i in range(slots) for j in range(i + 1, slots)]
     stats = vectors.groupBy(*by).agg(
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(x)],
-        F.covar_pop(x[0], x[1]).alias("c01"), F.covar_pop(x[0], x[2]).alias("c02"), F.covar_pop(x[1], x[2]).alias("c12"),
-    ).where("s0 > 0 and s1 > 0 and s2 > 0")
-    r = {(i, j): F.col(f"c{i}{j}") / (F.col(f"s{i}") * F.col(f"s{j}")) for i, j in ((0, 1), (0, 2), (1, 2))}
-    stats = stats.withColumns({"r01": r[0, 1], "r02": r[0, 2], "r12": r[1, 2]})
-
-    def step(v: Column, _: Column) -> Column:
-        a = v["a"] + F.col("r01") * v["b"] + F.col("r02") * v["c"]
-        b = F.col("r01") * v["a"] + v["b"] + F.col("r12") * v["c"]
-        c = F.col("r02") * v["a"] + F.col("r12") * v["b"] + v["c"]
-        norm = F.sqrt(a * a + b * b + c * c)
-        return F.struct((a / norm).alias("a"), (b / norm).alias("b"), (c / norm).alias("c"))
-
-    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.9).alias("b"), F.lit(0.8).alias("c"))
-    stats = stats.withColumn("e", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step))
-    joined = vectors.join(stats, by)
-    comp = sum(((F.col("vec")[i] - F.col(f"m{i}")) / F.col(f"s{i}") * F.col("e")[n] for i, n in enumerate("abc")), F.lit(0.0))
-    return joined.select(*vectors.columns, F.round(comp, 6).alias("comp"))
+        *[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs],
+    ).where(" and ".join(f"s{i} > 0" for i in range(slots)))
+    r = {(i, j): F.col(f"c{i}_{j}") / (F.col(f"s{i}") * F.col(f"s{j}")) for i, j in pairs}
+    matrix = F.array(*[F.array(*[F.lit(1.0) if i == j else r[min(i, j), max(i, j)] for j in range(slots)]) for i in range(slots)])
+    stats = stats.withColumn("r", matrix)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, z: t + z)
+    trace = lambda m: F.aggregate(F.transform(m, lambda a: dot(a, a)), F.lit(0.0), lambda t, z: t + z)  # noqa: E731  (of the square)
+    square = lambda m, _: F.transform(m, lambda a: F.transform(m, lambda b: dot(a, b) / trace(m)))
+    stats = stats.withColumn("r", F.aggregate(F.sequence(F.lit(1), F.lit(doublings)), F.col("r"), square))
+    start = F.array(*[F.lit(1.0 - 0.1 * i / max(1, slots - 2)) for i in range(slots)])
+    stats = stats.withColumn("e", F.transform("r", lambda row: dot(row, start)))
+    stats = stats.withColumn("norm", F.sqrt(dot(F.col("e"), F.col("e"))))
+    parts = [F.col("e")[i] / F.col("norm") / F.col(f"s{i}") for i in range(slots)]
+    # Weights and means alone meet the vectors.
+    stats = stats.select(*[F.col(c).alias(f"_{c}") for c in by], F.array(*parts).alias("_w"), F.array(*[F.col(f"m{i}") for i in range(slots)]).alias("_m"))
+    joined = vectors.join(stats, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    comp = sum(((F.col("vec")[i] - F.col("_m")[i]) * F.col("_w")[i] for i in range(slots)), F.lit(0.0))
+    return joined.select(*vectors.columns, comp.alias("comp"))
 
 
 def mad(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Median and median absolute deviation from it."""
-    centre = rows.groupBy(*by).agg(F.median(value).alias("med"))
-    return rows.join(centre, by).groupBy(*by, "med").agg(F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
+    centre = ranges.median(rows, by, value)
+    off = rows.join(centre, by).withColumn("_off", F.abs(F.col(value) - F.col("med")))
+    return centre.join(ranges.median(off, by, "_off", "mad"), by)
 
 
 def g_statistic(table: list[list[Column]], yates: bool) -> Column:
@@ -113,18 +117,22 @@ def pooled_counts(reps: Column, k: int) -> Column:
 
 
 def homogeneity_of(reps: Column, components: int = 3) -> Column:
-    """homogeneity for an array of the counts of however many replicates, each of more than two components (no correction)."""
+    """homogeneity for an array of the counts of however many replicates; as there, two of two components are corrected."""
     part = lambda x: F.when(x > 0, x * F.ln(x)).otherwise(0.0)
     rows, cols = F.transform(reps, _sum), F.array(*[pooled_counts(reps, k) for k in range(components)])
     cells = _sum(F.transform(reps, lambda r: _sum(F.transform(r, part))))
     g = 2 * (cells - _sum(F.transform(rows, part)) - _sum(F.transform(cols, part)) + part(_sum(rows)))
     empty = (F.size(reps) < 2) | F.exists(rows, lambda x: x <= 0) | F.exists(cols, lambda x: x <= 0)
-    return F.when(empty, 0.0).otherwise(F.greatest(g, F.lit(0.0)))
+    whole = F.when(empty, 0.0).otherwise(F.greatest(g, F.lit(0.0)))
+    if components != 2:
+        return whole
+    cell = lambda r, k: F.coalesce(F.try_element_at(reps, F.lit(r + 1))[k], F.lit(0.0))
+    return F.when(F.size(reps) == 2, g_statistic([[cell(r, k) for k in (0, 1)] for r in (0, 1)], yates=True)).otherwise(whole)
 
 
-def het_and_hom_of(cells: list[Column], cntrl: Column, treat: Column, p_threshold: float) -> tuple[Column, Column, Column]:
+def het_and_hom_of(cells: list[Column], cntrl: Column, treat: Column, p_threshold: float, components: int = 3) -> tuple[Column, Column, Column]:
     """het_and_hom for arrays of replicates' counts and their pooled cells (control 0 and 1, treatment 0 and 1)."""
-    return _taken_back(cells, homogeneity_of(cntrl) + homogeneity_of(treat), p_threshold)
+    return _taken_back(cells, homogeneity_of(cntrl, components) + homogeneity_of(treat, components), p_threshold)
 
 
 def log_odds(c0: Column, c1: Column, t0: Column, t1: Column) -> dict[str, Column]:
@@ -138,25 +146,25 @@ def log_odds(c0: Column, c1: Column, t0: Column, t1: Column) -> dict[str, Column
 def bh_fdr(rows: DataFrame, p: str = "p") -> DataFrame:
     """rows with a p-value, with fdr by Benjamini and Hochberg.
 
-    Rows are those behind the gate, which are few against the events; distinct p-values are ranked by
-    counts, so that the one window without a key holds a row per distinct value.
+    Distinct p-values are spread by range and ranked by running counts; their least adjusted values from each on come the same way.
     """
     tested = rows.where(F.col(p).isNotNull() & ~F.isnan(p))
     each = tested.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
-    up = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    each = each.withColumns({"_rank": F.sum("_n").over(up), "_m": F.sum("_n").over(Window.partitionBy())})
-    each = each.withColumn("fdr", F.least(F.min(F.col("_p") * F.col("_m") / F.col("_rank")).over(down), F.lit(1.0))).select("_p", "fdr")
-    return tested.join(each, F.col(p) == F.col("_p")).drop("_p")
+    at = ranges.running(ranges.spread(each, [], [F.col("_p")]), [], [F.col("_p")], {"_rank": F.col("_n")})
+    at = at.withColumn("fdr", F.least(F.col("_p") * F.col("_rank_all") / F.col("_rank"), F.lit(1.0)))
+    adjusted = ranges.least_after(at, "fdr", F.col("_p")).select("_p", "fdr")
+    return tested.join(adjusted, F.col(p) == F.col("_p")).drop("_p")
 
 
 def kmer_shifts(results: DataFrame, model: DataFrame) -> DataFrame:
     """(kmer, up): whether the higher of two component means is the one further from the model, by medians over all windows."""
     each = results.select(F.explode(F.arrays_zip("kmers", "mu1", "mu2")).alias("x")).select("x.kmers", "x.mu1", "x.mu2")
     each = each.join(model, F.col("kmers") == F.col("kmer"))
-    low, high = F.least("mu1", "mu2"), F.greatest("mu1", "mu2")
-    off = lambda m: F.median(F.abs(m - F.col("level_mean")))
-    return each.groupBy("kmer").agg((off(high) > off(low)).cast("int").alias("up"))
+    off = lambda pick: F.abs(pick("mu1", "mu2") - F.col("level_mean"))
+    sides = F.array(F.struct(F.lit(False).alias("high"), off(F.least).alias("off")), F.struct(F.lit(True).alias("high"), off(F.greatest).alias("off")))
+    med = ranges.median(each.select("kmer", F.explode(sides).alias("s")).select("kmer", "s.*"), ["kmer", "high"], "off")
+    side = lambda high: F.max(F.when(F.col("high") == high, F.col("med")))
+    return med.groupBy("kmer").agg((side(True) > side(False)).cast("int").alias("up"))
 
 
 def orient(results: DataFrame, shifts: DataFrame) -> DataFrame:

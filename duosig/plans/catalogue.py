@@ -12,7 +12,7 @@ from ..operators import events as ev
 from ..operators import mixture, report
 from ..operators import statistics as st
 from ..sources import readers
-from . import sql, views
+from . import sql, views, workflow
 from .views import table
 
 R = lambda c, n=6: F.round(c, n)
@@ -145,13 +145,14 @@ def ks_2samp(spark, sf):
 
 
 def pca_comp1(spark, sf):
-    c = st.pca_comp1(views.vectors(spark, sf), ["gene", "centre"])
+    c = st.pca_comp1(views.vectors(spark, sf), ["gene", "centre"]).withColumn("comp", F.round("comp", 6))
     return c.groupBy("gene", "centre", "cond").agg(F.count("*").alias("n"), R(F.avg("comp"), 4).alias("mean"), R(F.max("comp"), 4).alias("most"))
 
 
 def tested_windows(spark, sf, vectors=None):
     v = views.vectors(spark, sf) if vectors is None else vectors
-    return st.ks_2samp(st.pca_comp1(v, ["gene", "centre"]), ["gene", "centre"], "comp")
+    comp = st.pca_comp1(v, ["gene", "centre"]).withColumn("comp", F.round("comp", 6))  # values that differ by rounding errors alone are ties
+    return st.ks_2samp(comp, ["gene", "centre"], "comp")
 
 
 def pca_kstest(spark, sf):
@@ -171,13 +172,13 @@ def mad(spark, sf):
     return st.mad(table(spark, sf, "events"), ["event_type"], "value").select("event_type", R("med").alias("med"), R("mad").alias("mad"))
 
 
-def _fit_input(spark, sf, vectors=None, tests=None, most: int = 1000):
-    """Reads of gated windows, at most so many of a replicate, with the replicate's depth."""
-    v = views.vectors(spark, sf) if vectors is None else vectors
-    tests = tested_windows(spark, sf, v) if tests is None else tests
-    v = v.join(gated(tests).select("gene", "centre"), ["gene", "centre"], "left_semi")
-    key = ["gene", "centre", "cond", "rep"]
-    return ev.subsample(v.withColumn("depth", F.count("*").over(Window.partitionBy(*key))), key, F.xxhash64("read"), most)
+OPTIONS = workflow.Options(min_ks=MIN_KS, fdr=FDR)
+
+
+def _fit_input(spark, sf, vectors=None):
+    """Reads of gated windows, at most 1,000 of a replicate, with the replicate's depth."""
+    v = views.stored(views.vectors(spark, sf) if vectors is None else vectors)
+    return workflow.fit_input(v, tested_windows(spark, sf, v), OPTIONS)
 
 
 def kmeans_init(spark, sf):
@@ -307,12 +308,19 @@ def bed_format(spark, sf):
     return report.bed_lines(made)
 
 
+def _window_kmers(spark, sf):
+    """Kmers of given windows from the parts."""
+    return lambda windows: ev.window_kmers(ev.last_kmers(views.kmers(spark, sf)), windows, OPTIONS.window)
+
+
+def _found(spark, sf, vectors=None) -> workflow.Found:
+    v = views.stored(views.vectors(spark, sf) if vectors is None else vectors)
+    return workflow.find(v, _window_kmers(spark, sf), views.levels(spark, sf), OPTIONS, tested_windows(spark, sf, v))
+
+
 def sm_json(spark, sf):
     """Predictions for all reads of significant windows; only the fit is over a subsample."""
-    vectors, models, found = _oriented(spark, views.vectors(spark, sf))
-    models = views.stored(models.join(found.select("gene", "centre", "kmers", "flip"), ["gene", "centre"]))
-    preds = mixture.predict_reads(vectors, models).join(models.select("gene", "centre", "flip"), ["gene", "centre"])
-    return report.predictions_json(st.flip_predictions(preds), st.flip_models(models))
+    return workflow.predictions(_found(spark, sf))
 
 
 def cigar_max_indel(spark, sf):
@@ -340,44 +348,22 @@ def store_roundtrip(spark, sf):
     return readers.read_store(spark, path).groupBy(F.col("sample").cast("string").alias("sample"), "gene_id", "pos").agg(F.count("*").alias("n"), R(F.avg("mean"), 4).alias("mean"))
 
 
-def _oriented(spark: SparkSession, vectors: DataFrame, fdr: float = FDR) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The vectors as a table, the models of gated windows, and significant windows with flip, whose components aren't swapped yet."""
-    vectors = views.stored(vectors)
-    tests = views.stored(tested_windows(spark, "", vectors))
-    models = views.stored(mixture.fit_windows(_fit_input(spark, "", vectors, tests)))
-    # Counts, then their test, as a table of their own: expressions over them repeat their arguments many times.
-    reps = lambda k: F.transform(F.filter("counts", lambda c: c["cond"] == k), lambda c: c["n"])
-    cells = models.select("gene", "centre", reps(0).alias("c"), reps(1).alias("t"))
-    cells = cells.withColumns({f"{c}{k}": st.pooled_counts(F.col(c), k) for c in "ct" for k in (0, 1)})
-    g, hom, p = st.het_and_hom_of([F.col(f"{c}{k}") for c in "ct" for k in (0, 1)], F.col("c"), F.col("t"), fdr)
-    odds = st.log_odds(*[F.col(f"{c}{k}") for c in "ct" for k in (0, 1)])
-    cells = views.stored(cells)
-    tested = cells.select("gene", "centre", g.alias("g"), hom.alias("hom"), p.alias("p"), *[c.alias(n) for n, c in odds.items()])
-    sd = lambda c: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.sqrt(F.col(c)[i * 4]))
-    rows = models.select("gene", "centre", "mu1", "mu2", sd("cov1").alias("sd1"), sd("cov2").alias("sd2")).join(tested, ["gene", "centre"])
-    rows = rows.join(tests.select("gene", "centre", F.col("d").alias("ks")), ["gene", "centre"])
-    kmers = F.transform(F.sequence(F.col("centre") - 1, F.col("centre") + 1), lambda i: F.concat(F.lit("K"), i.cast("string")))
-    found = st.bh_fdr(rows).where(F.col("fdr") < fdr).withColumns({"id": F.concat_ws(":", "gene", "centre"), "kmers": kmers})
-    found = views.stored(found)
-    model = found.select(F.explode("kmers").alias("kmer")).distinct().withColumn("level_mean", F.lit(64.0))
-    return vectors, models, st.orient(found, st.kmer_shifts(found, model))
-
-
-def position_tests(spark: SparkSession, vectors: DataFrame, fdr: float = FDR) -> DataFrame:
-    """All stages for windows: KS gate, mixture, G-test, odds, FDR, orientation; one row per significant window."""
-    return st.flip(_oriented(spark, vectors, fdr)[2])
-
-
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Significant windows of every gene of the whole table."""
-    return position_tests(spark, views.vectors(spark, sf))
+    return st.flip(_found(spark, sf).rows)
+
+
+def significant_bed(spark: SparkSession, sf: str) -> DataFrame:
+    """BED lines of the significant windows of the whole table, oriented by the parts' kmers."""
+    genes = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("gene_id"), F.col("r_name").alias("chrom"), F.when(F.col("r_regionkey") % 2 == 1, "-").otherwise("+").alias("strand"))
+    return workflow.bed(_found(spark, sf), genes)
 
 
 def pooled_smoke(spark: SparkSession, sf: str, depth: int) -> DataFrame:
-    """position_tests with genes pooled into one locus, so that the smallest tables have the depth; not a result for genes."""
+    """The position test with genes pooled into one locus, so that the smallest tables have the depth; not a result for genes."""
     e = views.events(spark, sf).withColumn("gene", F.lit(0).cast("long"))
     v = ev.window_vectors(e, ev.valid_windows(ev.valid_positions(e, depth), 3), 3)
-    return position_tests(spark, v)
+    return st.flip(_found(spark, sf, v).rows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -385,7 +371,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         scan_project_cast, lookup_read_names, gtf_attrs, gtf_parse, exon_cumsum, liftover, run_collapse, pooled_stats, f16_quantise, dedupe_first, stall_filter, dict_encode, kmer_last_wins, window_kmers,
         shared_genes, shared_transcripts, valid_positions, valid_windows, window_depth, window_vectors, pivot_matrix, pooled_union, topk_subsample, ks_2samp, pca_comp1, pca_kstest, ks_gate, mad, kmeans_init,
         dbscan_noise, cluster_weights, combined_weights, gmm_init, em_1d, gmm_fit, gmm_counts, posterior_1d, g_test_2x2, g_test_hom, log_odds, bh_fdr, sig_filter, sm_semi_join, kmer_prior_join, kmer_shift,
-        orient_components, flip_results, bed_format, sm_json, cigar_max_indel, aln_filter, gene_dim_join, gene_subset, store_roundtrip, flagship,
+        orient_components, flip_results, bed_format, sm_json, cigar_max_indel, aln_filter, gene_dim_join, gene_subset, store_roundtrip, flagship, significant_bed,
     ]
     return {f.__name__: f for f in own}
 

@@ -23,11 +23,14 @@ deep AS (SELECT d.gene, d.centre, min(d.n) AS depth FROM (SELECT gene, centre, c
     "comp": """st AS (SELECT gene, centre, avg(v0) AS m0, avg(v1) AS m1, avg(v2) AS m2, stddev_pop(v0) AS s0, stddev_pop(v1) AS s1, stddev_pop(v2) AS s2,
   covar_pop(v0, v1) AS c01, covar_pop(v0, v2) AS c02, covar_pop(v1, v2) AS c12 FROM vec GROUP BY gene, centre),
 rr AS (SELECT *, c01 / (s0 * s1) AS r01, c02 / (s0 * s2) AS r02, c12 / (s1 * s2) AS r12 FROM st WHERE s0 > 0 AND s1 > 0 AND s2 > 0),
-pw(gene, centre, i, a, b, c) AS (SELECT gene, centre, 0, 1.0::DOUBLE, 0.9::DOUBLE, 0.8::DOUBLE FROM rr UNION ALL
-  SELECT gene, centre, i + 1, x / sqrt(x * x + y * y + z * z), y / sqrt(x * x + y * y + z * z), z / sqrt(x * x + y * y + z * z) FROM
-  (SELECT p.gene, p.centre, p.i, p.a + r01 * p.b + r02 * p.c AS x, r01 * p.a + p.b + r12 * p.c AS y, r02 * p.a + r12 * p.b + p.c AS z FROM pw p JOIN rr r ON p.gene = r.gene AND p.centre = r.centre WHERE p.i < 60)),
+pw(gene, centre, i, a, b, c, d, e, f) AS (SELECT gene, centre, 0, 1.0::DOUBLE, r01, r02, 1.0::DOUBLE, r12, 1.0::DOUBLE FROM rr UNION ALL
+  SELECT gene, centre, i + 1, aa / t, ab / t, ac / t, bb / t, bc / t, cc / t FROM
+  (SELECT gene, centre, i, a * a + b * b + c * c AS aa, a * b + b * d + c * e AS ab, a * c + b * e + c * f AS ac, b * b + d * d + e * e AS bb, b * c + d * e + e * f AS bc, c * c + e * e + f * f AS cc,
+    a * a + d * d + f * f + 2 * (b * b + c * c + e * e) AS t FROM pw WHERE i < 12)),
+vc AS (SELECT gene, centre, x / sqrt(x * x + y * y + z * z) AS a, y / sqrt(x * x + y * y + z * z) AS b, z / sqrt(x * x + y * y + z * z) AS c FROM
+  (SELECT gene, centre, a + 0.9::DOUBLE * b + 0.8::DOUBLE * c AS x, b + 0.9::DOUBLE * d + 0.8::DOUBLE * e AS y, c + 0.9::DOUBLE * e + 0.8::DOUBLE * f AS z FROM pw WHERE i = 12)),
 comp AS (SELECT v.gene, v.centre, v.cond, v.rep, v.read, round((v0 - m0) / s0 * a + (v1 - m1) / s1 * b + (v2 - m2) / s2 * c, 6) AS value
-  FROM vec v JOIN rr r ON v.gene = r.gene AND v.centre = r.centre JOIN pw p ON p.gene = v.gene AND p.centre = v.centre AND p.i = 60)""",
+  FROM vec v JOIN rr r ON v.gene = r.gene AND v.centre = r.centre JOIN vc p ON p.gene = v.gene AND p.centre = v.centre)""",
 }
 VECTORS = ("raw", "dd", "ev", "vp", "vw", "vec0", "deep", "vec")
 
@@ -119,7 +122,7 @@ def statements() -> dict[str, str]:
     pks = _with(*v, "comp", more=(_ks("comp", "gene, centre", "value"),), recursive=True)
     reps = lambda c: [[f"{c}{r}{s}" for s in "FOP"] for r in (0, 1)]
     het = _g([["a", "b"], ["c", "d"]], True)
-    pick = lambda n: f"regexp_extract_all(attrs, '(\\w+) \"(.+?)\"(?:;|$)', {n})"
+    pick = lambda n: f"regexp_extract_all(attrs, '([A-Za-z0-9_]+)\\s+\"([^\"]+)\"', {n})"
     last = lambda key: f"list_filter(list_zip({pick(1)}, {pick(2)}), lambda x: x[1] = '{key}')[-1][2]"
     gn = lambda m: f"((gene * 31 + pos * 17) % {m})::DOUBLE"
     two = lambda x: f"CASE WHEN {x} IS NULL THEN 'nan' ELSE printf('%.2f', {x}) END"

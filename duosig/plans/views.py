@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import events as ev
+from ..storage import scratch, stored  # noqa: F401
 
 ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]
 
@@ -41,9 +39,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str, depth: int = 6, size: int = 3) -> DataFrame:
-    e = events(spark, sf_dir)
+    e = stored(events(spark, sf_dir).select("gene", "read", "pos", "cond", "rep", "mean"))
     windows = ev.valid_windows(ev.valid_positions(e, depth), size)
-    v = ev.window_vectors(e, windows, size)
+    v = stored(ev.window_vectors(e, windows, size))
     return v.join(ev.deep_windows(v, depth).select("gene", "centre"), ["gene", "centre"], "left_semi")
 
 
@@ -83,6 +81,11 @@ def model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("kmer").agg(F.round(F.avg("p_retailprice"), 4).alias("level_mean"))
 
 
+def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A kmer model on the scale of the events: kmer, level_mean."""
+    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("kmer")).agg((50 + F.avg("p_retailprice") / 100).alias("level_mean"))
+
+
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = lambda o, n: F.struct(F.lit(o).alias("op"), n.cast("int").alias("len"))
     q = F.col("l_quantity").cast("int")
@@ -92,19 +95,3 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_orderkey") % 5 == 0, 0).otherwise(q * 15 + F.col("l_partkey") % 60).cast("int").alias("query_length"), (q * 16).alias("inferred_length"),
         (F.col("l_discount") * 2).alias("de"), (F.col("l_suppkey") % 4).alias("mapping_quality"),
     )
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; a local one only where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root}/store-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: what several later steps read is computed once, and plans stay short."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

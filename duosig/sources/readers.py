@@ -49,20 +49,24 @@ def lookup_read_names(raw: DataFrame, summary: DataFrame, strict: bool = True) -
     return joined.withColumn("read_name", F.coalesce("read_name", missing))
 
 
+#: An attribute of a GTF line: a name, white space, and a value in double quotes.
+ATTRIBUTE = r'([A-Za-z0-9_]+)\s+"([^"]+)"'
+
+
 def gtf_attrs(attrs: Column) -> Column:
     """Quoted attributes as a map; the last of repeated keys wins, unquoted ones are left out."""
-    pattern = F.lit(r'(\w+) "(.+?)"(?:;|$)')
-    pairs = F.arrays_zip(F.regexp_extract_all(attrs, pattern, F.lit(1)).alias("k"), F.regexp_extract_all(attrs, pattern, F.lit(2)).alias("v"))
+    part = lambda k: F.regexp_extract_all(attrs, F.lit(ATTRIBUTE), F.lit(k))
+    pairs = F.arrays_zip(part(1).alias("k"), part(2).alias("v"))
     last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
     return F.map_from_entries(last)
 
 
-def gtf(lines: DataFrame, ftype: str = "exon") -> DataFrame:
-    """Features of one type from lines (a column value): comments are dropped, start becomes 0-based."""
+def gtf(lines: DataFrame, ftype: str = "exon", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Features of one type from lines (a column value, and those to keep): comments are dropped, start becomes 0-based."""
     part = F.split("value", "\t")
-    rows = lines.where(~F.col("value").startswith("#")).select(*[part[i].alias(c) for i, c in enumerate(GTF_COLUMNS)])
+    rows = lines.where(~F.col("value").startswith("#")).select(*[part[i].alias(c) for i, c in enumerate(GTF_COLUMNS)], *keep)
     rows = rows.where(F.col("ftype") == ftype)
-    return rows.select("chrom", (F.col("start").cast("long") - 1).alias("start"), F.col("end").cast("long").alias("end"), "ftype", "strand", gtf_attrs(F.col("attrs")).alias("attrs"))
+    return rows.select("chrom", (F.col("start").cast("long") - 1).alias("start"), F.col("end").cast("long").alias("end"), "ftype", "strand", gtf_attrs(F.col("attrs")).alias("attrs"), *keep)
 
 
 def kmer_model(spark: SparkSession, path: str) -> DataFrame:
@@ -83,9 +87,21 @@ def exons(features: DataFrame) -> DataFrame:
 
 
 def write_store(events: DataFrame, path: str) -> None:
-    """Writes events by sample, sorted by gene, so that a gene's rows are found by the row groups' ranges."""
-    events.repartition("sample").sortWithinPartitions("sample", "gene_id").write.partitionBy("sample").parquet(path)
+    """Writes events by sample in ranges of genes and positions, so that a sample is spread over many files and a gene's rows are in few of them."""
+    place = [c for c in ("sample", "gene_id", "pos") if c in events.columns]
+    events.repartitionByRange(*place).sortWithinPartitions(*place).write.partitionBy("sample").parquet(path)
 
 
 def read_store(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
+
+
+def alignments(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Alignments with the columns that the alignment filter reads: cigar (op, len), lengths, de and mapping_quality."""
+    return spark.read.parquet(*([path] if isinstance(path, str) else path))
+
+
+def write_alignments(kept: DataFrame, path: str) -> None:
+    """Kept alignments with all their columns, by reference name and position where they have these."""
+    place = [c for c in ("reference_name", "reference_start") if c in kept.columns]
+    (kept.repartitionByRange(*place).sortWithinPartitions(*place) if place else kept).write.parquet(path)

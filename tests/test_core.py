@@ -104,10 +104,20 @@ def shifted_vectors(spark, sizes, shifts):
     return spark.createDataFrame(rows, "gene long, centre long, cond long, rep long, read long, vec array<double>")
 
 
+def level_at_64(spark, monkeypatch, rows):
+    """rows as the vectors, with a kmer of its own at each position, all of level 64."""
+    model = spark.createDataFrame([(f"K{i}", 64.0) for i in range(20)], "kmer string, level_mean double")
+    at = F.sequence(F.col("centre") - 1, F.col("centre") + 1)
+    kmers = lambda windows: windows.withColumn("kmers", F.transform(at, lambda i: F.concat(F.lit("K"), i.cast("string"))))
+    monkeypatch.setattr(catalogue.views, "vectors", lambda spark, sf: rows)
+    monkeypatch.setattr(catalogue.views, "levels", lambda spark, sf: model)
+    monkeypatch.setattr(catalogue, "_window_kmers", lambda spark, sf: kmers)
+
+
 def test_predictions_of_all_reads(spark, monkeypatch):
     sizes = {(0, 1): 1200, (0, 2): 60, (1, 1): 1100, (1, 2): 60}
     rows = shifted_vectors(spark, sizes, {(1, 3): 10.0, (1, 10): -20.0, (2, 3): 0.0})
-    monkeypatch.setattr(catalogue.views, "vectors", lambda spark, sf: rows)
+    level_at_64(spark, monkeypatch, rows)
     got = {(r["gene"], r["centre"]): json.loads(r["json"]) for r in catalogue.sm_json(spark, "").collect()}
     assert sorted(got) == [(1, 3), (1, 10)]  # significant windows only
     truth = {(r["centre"], r["cond"], r["rep"], r["read"]): r["vec"] for r in rows.where("gene = 1").collect()}
@@ -136,7 +146,7 @@ def g_of(table):
 def test_all_replicates_and_genes_are_tested(spark, monkeypatch):
     three = {(0, 1): 60, (0, 2): 60, (0, 3): 90, (1, 1): 60, (1, 2): 60, (1, 3): 90, (1, 4): 40}
     rows = shifted_vectors(spark, three, {(1, 3): 10.0, (2, 3): -20.0, (3, 3): 0.0})
-    monkeypatch.setattr(catalogue.views, "vectors", lambda spark, sf: rows)
+    level_at_64(spark, monkeypatch, rows)
     got = {r["gene"]: r for r in catalogue.flagship(spark, "").collect()}
     assert sorted(got) == [1, 2]  # genes aren't pooled
     fits = {r["gene"]: r["counts"] for r in mixture.fit_windows(catalogue._fit_input(spark, "", rows)).collect()}
