@@ -30,6 +30,33 @@ def node_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), rest))
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its . and .. segments taken out; .. at the top is nothing."""
+    parts = F.split(path, "/")
+    end = F.element_at(parts, -1)
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.array_append(acc, x)),
+    )
+    return F.when(F.instr(path, "/.") > 0, F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(end.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))).otherwise(path)
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """target as an address seen from url: relative ones are resolved, &amp; is &; null for other schemes than those with ://."""
+    target = F.replace(target, F.lit("&amp;"), F.lit("&"))
+    base, path = F.concat(F.lit("http://"), host_of(url)), path_of(url)
+    own = F.regexp_extract(target, r"^[^?#]*", 0)
+    rest = F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    whole = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(path == "", "/").otherwise(F.regexp_extract(path, r"^(.*/)?", 0)), own))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(own == "", F.concat(base, path, rest))
+        .otherwise(F.concat(base, without_dots(whole), rest))
+    )
+
+
 def alias_edges(pages: DataFrame, url_col: str, html_col: str, redirects: DataFrame | None) -> DataFrame:
     """(url, target) of canonical links, meta refreshes and redirects (columns url, target); relative targets are made absolute."""
     tags = F.regexp_extract_all(F.col("html"), F.lit(r"(?i)<(?:link|meta)\s[^>]*>"), F.lit(0))
@@ -40,14 +67,8 @@ def alias_edges(pages: DataFrame, url_col: str, html_col: str, redirects: DataFr
     edges = found.select("url", target.alias("target"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select("url", "target"))
-    base = F.concat(F.lit("http://"), host_of(F.col("url")))
-    absolute = (
-        F.when(F.instr("target", "://") > 0, F.col("target"))
-        .when(F.col("target").startswith("//"), F.concat(F.lit("http:"), F.col("target")))
-        .when(F.col("target").startswith("/"), F.concat(base, F.col("target")))
-        .otherwise(F.concat(base, F.regexp_extract(path_of(F.col("url")), r"^(.*/)?", 0), F.col("target")))
-    )
-    return edges.where("target <> ''").select("url", absolute.alias("target"))
+    edges = edges.where((F.col("target") != "") & (host_of(F.col("url")) != ""))
+    return edges.select("url", resolved(F.col("url"), F.col("target")).alias("target")).where("target is not null")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -72,7 +93,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
     A rule decides the pages that it fits. Pages without one take part in the component of their redirect
     and canonical-link edges: a block of any member, crawled or only linked, reaches them, an allow does
     not; a page's own allow stands against its aliases' blocks. Everything else is allowed. A null url or one without
-    :// has an empty host and path, no rule and no aliases. Rows with the same url get the same verdict; an empty table gives no rows.
+    :// has an empty host and path, no rule and no aliases. Rows with the same url get the same verdict, whatever their page_id; an empty
+    table gives no rows, and without rules everything is allowed. Other columns aren't read.
+
+    Addresses that rules fit and aliases grow with the pages, so they are never broadcast; large partitions of hot addresses are split by Spark.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     edges = shared.materialise(alias_edges(rows, "url", "html", redirects))
@@ -82,10 +106,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
     links = edges.select(node_of(F.col("url")).alias("u"), node_of(F.col("target")).alias("v")).where("u is not null and v is not null")
     roots = shared.components(links)
     nodes = ends.select(node_of(F.col("url")).alias("node"), *address).distinct()
-    blocked = nodes.join(matched, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path"))).where("rule_verdict = 'block'").select("node").distinct()
-    bad = roots.join(blocked, "node").select("root").distinct()
-    aliases = roots.join(bad, "root", "left_semi").select(F.col("node").alias("_node"))
+    blocked = nodes.join(matched.hint("merge"), (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path"))).where("rule_verdict = 'block'").select("node").distinct()
+    bad = roots.join(blocked.hint("merge"), "node").select("root").distinct()
+    aliases = roots.join(bad.hint("merge"), "root", "left_semi").select(F.col("node").alias("_node"))
     out = rows.select("page_id", *address, node_of(F.col("url")).alias("_n"))
-    out = out.join(matched, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left").join(aliases, F.col("_n") == F.col("_node"), "left")
+    out = out.join(matched.hint("merge"), (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left").join(aliases.hint("merge"), F.col("_n") == F.col("_node"), "left")
     verdict = F.coalesce(F.col("rule_verdict"), F.when(F.col("_node").isNotNull(), "block"), F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), (F.col("rule").isNull() & F.col("_node").isNotNull()).alias("aliased"))
