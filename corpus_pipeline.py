@@ -6,6 +6,7 @@ Counted as part of the subpackage duosig.llm.
 from __future__ import annotations
 
 import functools
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,8 @@ _last: list[shared.Scope] = []
 def _stage(function: Callable) -> Callable:
     """A stage whose predecessor's tables go once it begins, as its own input has been stored by then; other tables stay.
 
-    From the first stage on the session drops a query's shuffle files at its end, as stages shuffle whole documents.
+    From the first stage on the session drops a query's shuffle files at its end, as stages shuffle whole documents. What the
+    predecessor's many queries left in the driver (plans, generated classes, broadcasts) is collected once.
     """
 
     @functools.wraps(function)
@@ -32,6 +34,8 @@ def _stage(function: Callable) -> Callable:
         spark.conf.set(shared.CLEANUP, "true")
         while _last:
             _last.pop().release()
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
         with shared.scope(spark) as own:
             _last.append(own)
             return function(spark, docs, sf_dir)
