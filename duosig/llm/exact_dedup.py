@@ -109,24 +109,31 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(group, pa.string()), *(batch.column(k) for k in (2, 3, 4))], ["grp", "rep", "doc_id", "n"])
 
 
+def _split(rows: DataFrame, large: DataFrame, level: int) -> DataFrame:
+    """rows whose path is a large bucket's get further bits of their hash."""
+    digit = F.pmod(F.xxhash64("h", F.lit(level)), F.lit(1 << LEVEL_BITS)).cast("string")
+    joined = rows.join(large.select(F.col("path").alias("_path"), F.lit(True).alias("_large")), F.col("path") == F.col("_path"), "left")
+    return joined.withColumn("path", F.when(F.col("_large"), F.concat_ws(".", "path", digit)).otherwise(F.col("path"))).drop("_path", "_large")
+
+
 def buckets(pieces: DataFrame, bucket_bytes: int, levels: int) -> DataFrame:
     """Adds path, each row's bucket: hash bits are added until the distinct contents of a bucket fit bucket_bytes.
 
+    Buckets are worked out on a stored table of hashes and sizes; contents take their final path at once.
     A bucket of one hash cannot be split; it holds one content (or colliding ones), and copies of it
     take no room in the table.
     """
     total = pieces.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()["b"]
-    first = max(1, -(-int(total) // bucket_bytes))
-    at = pieces.withColumn("path", F.pmod(F.col("h"), F.lit(first)).cast("string"))
+    first = F.pmod(F.col("h"), F.lit(max(1, -(-int(total) // bucket_bytes)))).cast("string")
+    sizes = shared.materialise(pieces.groupBy("h").agg(F.max("n_bytes").alias("b")).withColumn("path", first))
+    at = pieces.withColumn("path", first)
     for level in range(levels):
-        distinct = at.groupBy("path", "h").agg(F.max("n_bytes").alias("b"))
-        large = distinct.groupBy("path").agg(F.sum("b").alias("b"), F.count("*").alias("hashes")).where((F.col("b") > 2 * bucket_bytes) & (F.col("hashes") > 1))
-        large = large.select(F.col("path").alias("_path"), F.lit(True).alias("_large"))
+        large = sizes.groupBy("path").agg(F.sum("b").alias("b"), F.count("*").alias("hashes")).where((F.col("b") > 2 * bucket_bytes) & (F.col("hashes") > 1))
+        large = shared.materialise(large.select("path"))
         if large.isEmpty():
             break
-        digit = F.pmod(F.xxhash64("h", F.lit(level)), F.lit(1 << LEVEL_BITS)).cast("string")
-        at = at.join(large, F.col("path") == F.col("_path"), "left")
-        at = at.withColumn("path", F.when(F.col("_large"), F.concat_ws(".", "path", digit)).otherwise(F.col("path"))).drop("_path", "_large")
+        at = _split(at, large, level)
+        sizes = shared.materialise(_split(sizes, large, level))
     return at
 
 
