@@ -90,23 +90,6 @@ def homogeneity(reps: list[list[Column]]) -> Column:
     return g_statistic(reps, yates=len(reps) == 2 and len(reps[0]) == 2)
 
 
-def het_and_hom(cntrl: list[list[Column]], treat: list[list[Column]], p_threshold: float) -> tuple[Column, Column, Column]:
-    """G, homogeneity G and p of replicates' counts by component: heterogeneity of conditions over the first two components.
-
-    Where it is significant, differences between replicates at least as large take it back (p = 1).
-    """
-    pool = lambda reps, j: sum((r[j] for r in reps[1:]), reps[0][j])
-    cells = [pool(cntrl, 0), pool(cntrl, 1), pool(treat, 0), pool(treat, 1)]
-    return _taken_back(cells, homogeneity(cntrl) + homogeneity(treat), p_threshold)
-
-
-def _taken_back(cells: list[Column], hom: Column, p_threshold: float) -> tuple[Column, Column, Column]:
-    g, p = g_test_2x2(*cells)
-    outliers = cells[0] + cells[1] + cells[2] + cells[3] <= 0
-    tested = ~outliers & (p < p_threshold)
-    return F.when(~outliers, g), F.when(tested, hom), F.when(outliers, 1.0).when(tested & (hom >= g), 1.0).otherwise(p)
-
-
 def _sum(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x)
 
@@ -130,9 +113,21 @@ def homogeneity_of(reps: Column, components: int = 3) -> Column:
     return F.when(F.size(reps) == 2, g_statistic([[cell(r, k) for k in (0, 1)] for r in (0, 1)], yates=True)).otherwise(whole)
 
 
-def het_and_hom_of(cells: list[Column], cntrl: Column, treat: Column, p_threshold: float, components: int = 3) -> tuple[Column, Column, Column]:
-    """het_and_hom for arrays of replicates' counts and their pooled cells (control 0 and 1, treatment 0 and 1)."""
-    return _taken_back(cells, homogeneity_of(cntrl, components) + homogeneity_of(treat, components), p_threshold)
+def with_tests(rows: DataFrame, cells: list[str], hom: Column, p_threshold: float) -> DataFrame:
+    """rows with g, hom and p: heterogeneity of conditions over the first two components, and homogeneity of replicates.
+
+    cells names the pooled counts of control 0 and 1 and treatment 0 and 1; hom is the sum of both conditions' G between replicates.
+    Where heterogeneity is significant, differences between replicates at least as large take it back (p = 1). Each step is a
+    column of its own, as the next ones repeat it many times.
+    """
+    a, b, c, d = (F.col(x) for x in cells)
+    rows = rows.withColumn("_g", g_statistic([[a, b], [c, d]], yates=True)).withColumn("_hom", hom)
+    rows = rows.withColumn("_p", F.when(F.col("_g") == 0, 1.0).otherwise(chi2_sf1(F.col("_g"))))
+    outliers = a + b + c + d <= 0
+    rows = rows.withColumns({"_outliers": outliers, "_tested": ~outliers & (F.col("_p") < p_threshold)})
+    p = F.when(F.col("_outliers") | (F.col("_tested") & (F.col("_hom") >= F.col("_g"))), 1.0).otherwise(F.col("_p"))
+    made = {"g": F.when(~F.col("_outliers"), F.col("_g")), "hom": F.when(F.col("_tested"), F.col("_hom")), "p": p}
+    return rows.withColumns(made).drop("_g", "_hom", "_p", "_outliers", "_tested")
 
 
 def log_odds(c0: Column, c1: Column, t0: Column, t1: Column) -> dict[str, Column]:

@@ -254,8 +254,9 @@ def g_test_2x2(spark, sf):
 
 def g_test_hom(spark, sf):
     reps = lambda c: [[F.col(f"{c}{r}{s}") for s in "FOP"] for r in (0, 1)]
-    g, hom, p = st.het_and_hom(reps("c"), reps("t"), 0.9)
-    return _counts(spark, sf).select("o_orderpriority", R(g).alias("g"), R(hom).alias("hom"), R(p).alias("p"))
+    cells = dict(zip(("c0", "c1", "t0", "t1"), _cells(), strict=True))
+    tested = st.with_tests(_counts(spark, sf).withColumns(cells), list(cells), st.homogeneity(reps("c")) + st.homogeneity(reps("t")), 0.9)
+    return tested.select("o_orderpriority", R("g").alias("g"), R("hom").alias("hom"), R("p").alias("p"))
 
 
 def log_odds(spark, sf):

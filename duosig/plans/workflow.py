@@ -111,9 +111,10 @@ def results_of(models: DataFrame, tests: DataFrame, options: Options) -> DataFra
     # Counts, then their test, as a table of their own: expressions over them repeat their arguments many times.
     cells = models.select("gene", "centre", reps(0).alias("c"), reps(1).alias("t"))
     cells = stored(cells.withColumns({f"{c}{k}": st.pooled_counts(F.col(c), k) for c in "ct" for k in (0, 1)}))
-    pooled = [F.col(f"{c}{k}") for c in "ct" for k in (0, 1)]
-    g, hom, p = st.het_and_hom_of(pooled, F.col("c"), F.col("t"), options.fdr, options.fit.components)
-    tested = cells.select("gene", "centre", g.alias("g"), hom.alias("hom"), p.alias("p"), *[c.alias(n) for n, c in st.log_odds(*pooled).items()])
+    pooled = [f"{c}{k}" for c in "ct" for k in (0, 1)]
+    parts = options.fit.components
+    cells = st.with_tests(cells, pooled, st.homogeneity_of(F.col("c"), parts) + st.homogeneity_of(F.col("t"), parts), options.fdr)
+    tested = cells.select("gene", "centre", "g", "hom", "p", *[c.alias(n) for n, c in st.log_odds(*[F.col(x) for x in pooled]).items()])
     n = options.slots
     sd = lambda c: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sqrt(F.col(c)[i * (n + 1)]))
     rows = models.select("gene", "centre", "mu1", "mu2", sd("cov1").alias("sd1"), sd("cov2").alias("sd2")).join(tested, ["gene", "centre"])

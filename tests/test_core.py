@@ -85,6 +85,66 @@ def test_mixture_finds_two_components():
     assert sorted(round(float(m[0])) for m in model["mu"]) == [60, 68]
 
 
+@pytest.mark.parametrize("options", [mixture.FitOptions(factor=3.0), mixture.FitOptions(outliers=None), mixture.FitOptions(factor=3.0, covariance="diag")])
+def test_fit_by_its_definition(options):
+    """Two means, then EM by loops over rows and components: densities from determinants and inverses, updates with inertia."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(60, 1.2, (70, 2)), rng.normal(64, 1.5, (50, 2)), rng.uniform(40, 80, (10, 2))])
+    sample = np.arange(len(x)) % 3
+    got = mixture.fit(x, sample, options)
+
+    centred = x - x.mean(0)
+    vals, vecs = np.linalg.eigh(centred.T @ centred)
+    along = centred @ vecs[:, -1]
+    means = [x[along.argmin()], x[along.argmax()]]
+    for _ in range(100):
+        label = [int(((r - means[1]) ** 2).sum() < ((r - means[0]) ** 2).sum()) for r in x]
+        means = [np.mean([r for r, k in zip(x, label, strict=True) if k == j], axis=0) for j in (0, 1)]
+    if options.outliers == "mad":
+        off = [min(math.dist(r, m) for m in means) for r in x]
+        middle = float(np.median(off))
+        limit = 3.0 * float(np.median([abs(o - middle) for o in off]))
+        label = [2 if o > limit else k for o, k in zip(off, label, strict=True)]
+    swap = np.allclose([np.mean(x[np.array(got["label"]) == 0], 0)], [np.mean(x[np.array(label) == 1], 0)])
+    label = [{0: 1, 1: 0}.get(k, k) for k in label] if swap else label
+    assert list(got["label"]) == label
+
+    parts = options.components
+    rows = [[r for r, k in zip(x, label, strict=True) if k == j] for j in range(3)]
+    cut = (lambda c: np.diag(np.diag(c))) if options.covariance == "diag" else (lambda c: c)
+    mu, cov = [np.mean(r, 0) for r in rows[:2]], [cut(np.cov(np.array(r).T, bias=True)) for r in rows[:2]]
+    low, high = (np.min(rows[2], 0), np.max(rows[2], 0)) if parts == 3 else (None, None)
+    weight = {s: [(sum(1 for k, q in zip(label, sample, strict=True) if q == s and k == j) + 0.5) / ((sample == s).sum() + 0.5 * parts) for j in range(parts)] for s in range(3)}
+
+    def density(r, j):
+        if j == 2:
+            return 1 / np.prod(high - low) if (r >= low).all() and (r <= high).all() else 0.0
+        d = r - mu[j]
+        return math.exp(-0.5 * d @ np.linalg.inv(cov[j]) @ d) / math.sqrt((2 * math.pi) ** 2 * np.linalg.det(cov[j]))
+
+    last, step = None, 0
+    while True:
+        joint = [[weight[s][j] * density(r, j) for j in range(parts)] for r, s in zip(x, sample, strict=True)]
+        total = sum(math.log(sum(p)) for p in joint)
+        if last is not None and total - last <= 0.1:
+            break
+        last = total
+        resp = np.array([[v / sum(p) for v in p] for p in joint])
+        keep = 1 - 0.99 * (2 + step) ** -0.001
+        for j in (0, 1):
+            n = resp[:, j].sum()
+            m = sum(w * r for w, r in zip(resp[:, j], x, strict=True)) / n
+            c = cut(sum(w * np.outer(r - m, r - m) for w, r in zip(resp[:, j], x, strict=True)) / n)
+            mu[j], cov[j] = keep * mu[j] + (1 - keep) * m, keep * cov[j] + (1 - keep) * c
+        for s in range(3):
+            n = resp[sample == s].sum(0) + 0.5
+            weight[s] = list(n / n.sum())
+        step += 1
+    for j in (0, 1):
+        assert np.allclose(got["mu"][j], mu[j], rtol=1e-7) and np.allclose(got["cov"][j], cov[j], rtol=1e-6)
+    assert all(np.allclose(got["weights"][s], weight[s], rtol=1e-6) for s in range(3)) and step > 2
+
+
 def test_reading_alignments(spark):
     with pytest.raises(KeyError):
         readers.eventalign(spark.createDataFrame([("t", 1)], "contig string, position long"))
