@@ -6,10 +6,12 @@ import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from duosig.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join, pii, quotation, secret_scan, shared, spans, url_filter, warc
+from duosig.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join, pii, quotation, secret_scan, shared, spans, url_filter, warc, words
 
 WORDS = "the of and ring stone quick lazy fox dog sun moon tree leaf root bark".split()
 DOCS = "doc_id long, text string, lang string, source string, n string, rep string, row string, kept string"
@@ -201,6 +203,13 @@ def test_mixing_deviates_less_than_a_block(spark):
     assert sorted(by_slot) == list(range(len(by_slot))) and all(len(s) == 1 for s in by_slot.values())
 
 
+def warc_text(spark, path):
+    import zlib
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
+    return zlib.decompress(files.where("length < 5000").select("content").first()[0], 31)
+
+
 def test_warc(spark):
     pages = [(3, "http://a/b c", "<p>x</p>"), (1, None, "<p>x</p>"), (2, "u", None), (5, "v", ""), (9, "w", "é\r\n\r\nWARC/1.1\r\n"), (1, None, "<p>x</p>"), (None, "n", "<p>x</p>")]
     df = spark.createDataFrame([(*p, "d") for p in pages], "page_id long, url string, html string, payload_digest string")
@@ -210,6 +219,13 @@ def test_warc(spark):
         want = [("3", 8, "revisit", 1), ("1", 8, "response", None), ("2", 0, "response", None), ("5", 0, *empty), ("9", 16, "response", None), ("1", 8, "response", None), ("None", 8, "revisit", 1)]
         assert got == sorted(want, key=lambda x: x[:1] + x[1:3])
     assert warc.revisit_archives(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(i, "u", "x" * (3_000_000 if i == 2 else 40) + str(i % 4)) for i in range(20)], "page_id long, url string, html string")
+    path = shared.new_path(spark)
+    warc.write_archives(warc.resolve(long), path, long.select(F.length("html").alias("bytes")), archive_bytes=1000)  # few records an archive, long ones apart
+    back = {r["page_id"]: r for r in warc.read_archives(spark, path).collect()}
+    assert len(back) == 20 and back[2]["payload_bytes"] == 3_000_001 and back[6]["record_type"] == "response" and back[10]["refers_to"] == 6
+    head = {k: v for k, v in next(iter(warc.parse(warc_text(spark, path)))).items() if k != "payload"}
+    assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", head["warc-record-id"]) and head["warc-date"] > "2024"
 
 
 def test_url_filter_reaches_aliases(spark):
@@ -500,3 +516,39 @@ def test_mixing_slots(spark):
     assert set(held) == set(place) and all(sorted(x) == list(range(len(x))) for x in held.values())
     assert all(len(held[s, b]) == min(block, size[s] - b * block) for s, b in held)
     assert mixing.mix(df.limit(0), weights).count() == 0
+
+
+def test_words_in_pieces(monkeypatch):
+    rng = random.Random(47)
+    texts = ["", "x" * 300 + " Y", None, " ", "Tail"] + ["".join(rng.choice("ab \tCé") for _ in range(rng.randrange(50))) for _ in range(200)]
+    data, at = words.buffers(pa.array(texts))
+    whole = words.words(data, at, words.UNSPACED)
+    assert np.diff(whole[3]).tolist() == [len(re.findall(r"[^ \t-\r]+", t or "")) for t in texts]
+    by_word = collections.defaultdict(set)
+    for h, a, b in zip(*whole[:3], strict=True):
+        by_word[bytes(data[a:b]).lower()].add(int(h))
+    assert all(len(x) == 1 for x in by_word.values()) and len(set.union(*by_word.values())) == len(by_word)
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(words, "PIECE", size)
+        monkeypatch.setattr(words, "_UP", words._powers_of(words._BASE))
+        monkeypatch.setattr(words, "_DOWN", words._powers_of(pow(words._BASE, -1, 1 << 64)))
+        assert all((a == b).all() for a, b in zip(words.words(data, at, words.UNSPACED), whole, strict=True))
+
+
+def test_awkward_tables(spark):
+    """Repeated rows, nulls everywhere, names that the operators use themselves, and no rows at all."""
+    names = "base wide found row n h kind _text _list _m label gram level set_key text_hash lang_known _row _lines"
+    rows = [(1, "Call +1 (212) 555-0199 or a@b.com, token=abc123def456", "en", "s"), (1, "Call +1 (212) 555-0199 or a@b.com, token=abc123def456", "en", "s"), (None, None, None, None), (None, "", None, "s"), (2, "x", "en", None)]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string, source string").withColumns({n: F.lit("x") for n in names.split()})
+    items = spark.createDataFrame([(1, "call"), (None, None)], "item_id long, text string").withColumn("_text", F.lit(1))
+    every = {
+        "secrets": secret_scan.scan_secrets, "pii": pii.find_pii, "exact": exact_dedup.exact_duplicates, "near": ngram_join.ngram_join,
+        "language": language_id.identify_language, "bench": lambda d: decontaminate.decontaminate(d, items), "mix": mixing.mix,
+    }
+    got = {k: f(df).collect() for k, f in every.items()}
+    assert {k: len(r) for k, r in got.items()} == dict.fromkeys(every, len(rows) * 2)
+    assert all(f(df.limit(0)).count() == 0 for f in every.values())
+    first = lambda k, i: [r for r in got[k] if r["doc_id"] == i]
+    assert all(r["n_phone"] == r["n_email"] == 1 for r in first("pii", 1)) and all(r["n_assign"] == 1 and len(r["live"]) == 1 for r in first("secrets", 1))
+    assert all(r["n_hit"] == 1 for r in first("bench", 1)) and {r["component_id"] for r in first("near", 1)} == {1} and sum(r["kept"] for r in first("exact", 1)) == 1
+    assert all(r["base"] == "x" for r in got["mix"]) and all(r["found"] == "x" for r in got["language"])
