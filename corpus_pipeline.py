@@ -16,8 +16,6 @@ from duosig.llm import decontaminate, exact_dedup, language_id, mixing, ngram_jo
 
 #: Languages that the corpus is to have; None for all that are learned.
 LANGUAGES: list[str] | None = None
-#: Predictions below this score are too doubtful to stay: the posterior of a few bytes of the text.
-LEAST_SCORE = 0.4
 
 _last: list[shared.Scope] = []
 
@@ -47,11 +45,11 @@ def _stage(function: Callable) -> Callable:
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the wanted languages, predicted from text alone by what the labelled ones teach.
 
-    Null texts and texts without a letter go, as do texts that no learned language codes better than byte frequencies do, and
-    predictions of too low a score. Rows that repeat or share an id are judged each by itself; no rows give no rows.
+    Null texts and texts without a letter go, as do texts that no learned language codes better than byte frequencies do. A low
+    score is no reason: short texts of several possible languages are clean. Rows that repeat or share an id are judged each by
+    itself; no rows give no rows.
     """
-    found = language_id.identify_language(docs)
-    kept = found.where(F.col("lang_known") & (F.col("lang_score") >= LEAST_SCORE))
+    kept = language_id.identify_language(docs).where("lang_known")
     if LANGUAGES is not None:
         kept = kept.where(F.col("lang_pred").isin(LANGUAGES))
     return kept.select(*docs.columns)
