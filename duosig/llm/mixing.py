@@ -8,6 +8,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from . import shared
 
@@ -68,7 +69,7 @@ def mix(
     Reading rows by (mix_slot, mix_row) interleaves the sources so that within a frame each is always less than one block off its
     share; every frame starts level. No row is dropped or repeated: when a source is used up, the frames from there on
     divide their slots among the rest in the same proportions. Rows of a source are in an order drawn by hash of their
-    id; rows that share an id keep a place each. A null source is a source of its own and comes last in ties;
+    columns; rows that share an id keep a place each. A null source is a source of its own and comes last in ties;
     an empty table gives no rows. New columns replace columns of the same names.
 
     A source with a third of all rows is ranked in pieces, whose counts are summed: pieces and the rows of one are both about the root
@@ -80,8 +81,10 @@ def mix(
     n = docs.agg(F.count("*")).first()[0]
     # Whole rows are one column, so that no name of theirs meets the names below.
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(source_col).cast("string").alias("_source"), F.col(id_col).alias("_id"))
-    rows = rows.withColumn("_draw", F.xxhash64("_id", F.lit(17)))
-    ranked = shared.with_rank(rows, ["_source"], F.pmod(F.xxhash64("_id"), F.lit(max(1, math.isqrt(n)))), [F.col("_draw"), F.col("_id")], "_rank")
+    # The draw is over all plain columns, as many rows may share an id or have none.
+    plain = [F.col(f"_doc.`{f.name}`") for f in docs.schema if isinstance(f.dataType, AtomicType)]
+    rows = rows.withColumn("_draw", F.xxhash64("_id", *plain))
+    ranked = shared.with_rank(rows, ["_source"], F.pmod(F.xxhash64("_draw"), F.lit(max(1, math.isqrt(n)))), [F.col("_draw"), F.col("_id")], "_rank")
     ranked = ranked.withColumns({"mix_block": F.floor(F.col("_rank") / block_rows), "mix_row": F.pmod(F.col("_rank"), F.lit(block_rows)).cast("int")})
 
     sizes = rows.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("rows"))
