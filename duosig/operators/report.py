@@ -34,17 +34,20 @@ def write_bed(results: DataFrame, path: str) -> None:
     bed_lines(results).write.text(path)
 
 
-def predictions_json(predictions: DataFrame, models: DataFrame) -> DataFrame:
-    """One JSON document per (gene, centre): kmers, model, and per condition and replicate parallel lists by read.
+def predictions_json(predictions: DataFrame, models: DataFrame, part_reads: int = 10_000) -> DataFrame:
+    """(gene, centre, part, json): kmers, model, and per condition and replicate parallel lists by read.
 
-    predictions: gene, centre, cond, rep, read, vec, pred, outlier. Replicates are numbered from 1.
+    predictions: gene, centre, cond, rep, read, vec, pred, outlier. Replicates are numbered from 1. A window of up to part_reads reads is
+    one document; the reads of a deeper one are dealt by hash into parts of about that many, each with kmers and model.
     """
+    parts = predictions.groupBy("gene", "centre").agg(F.ceil(F.count("*") / part_reads).alias("_parts"))
+    predictions = predictions.join(parts, ["gene", "centre"]).withColumn("part", F.pmod(F.xxhash64("read"), F.col("_parts")))
     reads = F.array_sort(F.collect_list(F.struct("read", "vec", "pred", "outlier")))
-    by_rep = predictions.groupBy("gene", "centre", "cond", "rep").agg(reads.alias("r"))
+    by_rep = predictions.groupBy("gene", "centre", "part", "cond", "rep").agg(reads.alias("r"))
     pick = lambda c: F.transform("r", lambda x: x[c])
-    by_rep = by_rep.select("gene", "centre", "cond", F.struct(F.col("rep").alias("rep"), pick("read").alias("read_ids"), pick("vec").alias("events"), pick("pred").alias("preds"), pick("outlier").alias("outlier_preds")).alias("s"))
+    by_rep = by_rep.select("gene", "centre", "part", "cond", F.struct(F.col("rep").alias("rep"), pick("read").alias("read_ids"), pick("vec").alias("events"), pick("pred").alias("preds"), pick("outlier").alias("outlier_preds")).alias("s"))
     reps = lambda k: F.array_sort(F.filter(F.collect_list(F.when(F.col("cond") == k, F.col("s"))), lambda x: x.isNotNull()))
-    both = by_rep.groupBy("gene", "centre").agg(reps(0).alias("cntrl"), reps(1).alias("treat"))
+    both = by_rep.groupBy("gene", "centre", "part").agg(reps(0).alias("cntrl"), reps(1).alias("treat"))
     keyed = lambda c: F.map_from_entries(F.transform(c, lambda s: F.struct(s["rep"].cast("string"), s)))
     size = F.size("mu1")
     square = lambda c: F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.slice(F.col(c), i * size + 1, size))
@@ -54,16 +57,16 @@ def predictions_json(predictions: DataFrame, models: DataFrame) -> DataFrame:
         bounds.alias("outlier"), F.col("w").alias("weights"),
     )
     joined = both.join(models, ["gene", "centre"])
-    return joined.select("gene", "centre", F.to_json(F.struct("kmers", model.alias("model"), keyed("cntrl").alias("cntrl"), keyed("treat").alias("treat"))).alias("json"))
+    return joined.select("gene", "centre", "part", F.to_json(F.struct("kmers", model.alias("model"), keyed("cntrl").alias("cntrl"), keyed("treat").alias("treat"))).alias("json"))
 
 
 def write_predictions(documents: DataFrame, inputs: dict[str, list[str]], path: str) -> None:
-    """Predictions as lines of JSON, one for each window, in parts/; what they were made from, as input_fns, in inputs/.
+    """Predictions as lines of JSON, one for each part of a window, in parts/; what they were made from, as input_fns, in inputs/.
 
-    documents: gene, centre, json. inputs: the names of the tables of each condition, by replicate. Lines are written where they are
+    documents: gene, centre, part, json. inputs: the names of the tables of each condition, by replicate. Lines are written where they are
     made, as all predictions together need not fit one task.
     """
-    head = F.to_json(F.struct(F.col("gene").cast("string").alias("gene_id"), F.col("centre").alias("pos")))
+    head = F.to_json(F.struct(F.col("gene").cast("string").alias("gene_id"), F.col("centre").alias("pos"), "part"))
     line = F.concat(F.left(head, F.length(head) - 1), F.lit(","), F.expr("substr(json, 2)"))
     documents.select(line.alias("line")).write.text(f"{path}/parts")
     named = {cond: dict(enumerate(names)) for cond, names in inputs.items()}

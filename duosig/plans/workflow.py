@@ -155,7 +155,7 @@ def find(vectors: DataFrame, kmers_of, model: DataFrame, options: Options = Opti
 
 
 def predictions(found: Found) -> DataFrame:
-    """(gene, centre, json): for all reads of significant windows, with components turned as in the results."""
+    """(gene, centre, part, json): for all reads of significant windows, with components turned as in the results."""
     turned = stored(found.models.join(found.rows.select("gene", "centre", "kmers", "flip"), ["gene", "centre"]))
     preds = mixture.predict_reads(found.vectors, turned).join(turned.select("gene", "centre", "flip"), ["gene", "centre"])
     return report.predictions_json(st.flip_predictions(preds), st.flip_models(turned))

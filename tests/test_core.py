@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from duosig.functions import numeric
 from duosig.operators import events as ev
-from duosig.operators import mixture
+from duosig.operators import mixture, report
 from duosig.operators import statistics as st
 from duosig.plans import catalogue
 from duosig.sources import readers
@@ -194,6 +194,16 @@ def test_predictions_of_all_reads(spark, monkeypatch):
                 assert (((p > 1 - p - o) == near) | (o > 0.5)).mean() > 0.98
 
 
+def test_deep_windows_in_parts(spark):
+    rows = [(1, 3, i % 2, 1 + i % 3, i, [float(i)] * 3, 0.5, 0.1) for i in range(95)]
+    made = spark.createDataFrame(rows, "gene long, centre long, cond long, rep long, read long, vec array<double>, pred double, outlier double")
+    models = spark.createDataFrame([(1, 3, ["K"], *[[1.0] * 3] * 2, *[[1.0] * 9] * 2, *[[1.0] * 3] * 3)], "gene long, centre long, kmers array<string>, mu1 array<double>, mu2 array<double>, cov1 array<double>, cov2 array<double>, low array<double>, high array<double>, w array<double>")
+    got = [(r["part"], json.loads(r["json"])) for r in report.predictions_json(made, models, part_reads=20).collect()]
+    assert len({p for p, _ in got}) == len(got) == 5
+    back = sorted((r, c, int(k)) for _, d in got for c, cond in enumerate(("cntrl", "treat")) for k, rep in d[cond].items() for r in rep["read_ids"])
+    assert back == [(i, i % 2, 1 + i % 3) for i in range(95)]
+
+
 def g_of(table):
     """G of a table of counts without a correction, by its definition; 0 if a row or a column is empty."""
     o = np.array(table, float)

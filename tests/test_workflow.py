@@ -227,9 +227,9 @@ def test_without_a_mixture_and_writers(spark, files, prepared, tmp_path):
     lines, predicted = workflow.run(kept, conds, model, workflow.Options(gmm=False))
     got = [x["line"].split("\t") for x in lines.collect()]
     assert predicted is None and len(got) >= 6 and all(x[6] == "nan[nan,nan]" and x[13] == "nan" for x in got)
-    docs = spark.createDataFrame([('a"b', 3, '{"kmers":["K"]}')], "gene string, centre long, json string")
+    docs = spark.createDataFrame([('a"b', 3, 0, '{"kmers":["K"]}')], "gene string, centre long, part long, json string")
     workflow.report.write_predictions(docs, {"cntrl": ["a.h5"], "treat": ["b.h5", "c.h5"]}, f"{tmp_path}/json")
-    assert json.loads(spark.read.text(f"{tmp_path}/json/parts").first()[0]) == {"gene_id": 'a"b', "pos": 3, "kmers": ["K"]}
+    assert json.loads(spark.read.text(f"{tmp_path}/json/parts").first()[0]) == {"gene_id": 'a"b', "pos": 3, "part": 0, "kmers": ["K"]}
     assert json.loads(spark.read.text(f"{tmp_path}/json/inputs").first()[0])["input_fns"]["treat"] == {"0": "b.h5", "1": "c.h5"}
     kept = spark.createDataFrame([("chr1", 5, "x"), ("chr1", 2, "y")], "reference_name string, reference_start long, read string")
     readers.write_alignments(kept, f"{tmp_path}/alignments")
