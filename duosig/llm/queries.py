@@ -213,7 +213,7 @@ tops AS (SELECT conv_id, turn, min(top) AS top FROM chain GROUP BY conv_id, turn
 counts AS (SELECT m, sum(n)::BIGINT AS n_quoted, max(depth) AS depth FROM passages WHERE q GROUP BY m),
 every AS (SELECT o.conv_id, o.turn, o.role, o.text, h.reply_to, coalesce(t.top, o.turn) AS thread, coalesce(c.n_quoted, 0) AS n_quoted, coalesce(h.n_linked, 0) AS n_linked, coalesce(c.depth, 0) AS depth
   FROM own o LEFT JOIN heads h USING (m) LEFT JOIN counts c USING (m) LEFT JOIN tops t ON t.conv_id IS NOT DISTINCT FROM o.conv_id AND t.turn = o.turn)
-SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY thread NULLS FIRST, turn NULLS FIRST, role, text) - 1 AS position FROM every
+SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY thread NULLS FIRST, turn NULLS FIRST, role, md5(text)) - 1 AS position FROM every
 """
 
 

@@ -109,7 +109,7 @@ def link_quotations(conversations: DataFrame, id_col: str = "conv_id", turn_col:
     and white space are set aside. What is quoted at depth d is thereby found in whoever wrote it first, not in those who quoted it on.
     reply_to is the latest message linked at the smallest depth, null if none is; n_quoted and n_linked count
     quoted lines, depth is their greatest. thread is the first message that the chain of replies leads to (else the
-    message's own turn), and position orders the conversation by (thread, turn, role, text), so that a reply follows what it quotes.
+    message's own turn), and position orders the conversation by (thread, turn, role, MD5 of the text), so that a reply follows what it quotes.
     Quotations of what isn't in the conversation are removed all the same.
 
     A null text is empty; a null turn comes first and links to nothing; rows that repeat (conv_id, turn) keep a place and links
@@ -135,10 +135,13 @@ def link_quotations(conversations: DataFrame, id_col: str = "conv_id", turn_col:
     links = by_passage.groupBy("_m", "conv_id", "turn").agg(F.min(F.struct("depth", (-F.col("origin")).alias("o"))).alias("m"), F.sum("n").alias("n_linked"))
     links = shared.materialise(links.select("_m", "conv_id", "turn", (-F.col("m.o")).alias("reply_to"), "n_linked"))
 
+    # Places are found for keys alone; the texts meet them once.
     heads = links.select(F.col("_m").alias("_of"), "reply_to", "n_linked")
     tops = _tops(links).select(F.col("conv_id").alias("_c2"), F.col("turn").alias("_t2"), "top")
-    out = parts.join(heads, F.col("_m") == F.col("_of"), "left").join(tops, F.col("conv_id").eqNullSafe(F.col("_c2")) & (F.col("turn") == F.col("_t2")), "left")
-    out = out.withColumn("thread", F.coalesce("top", "turn"))
-    order = [F.col("thread").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("own"), F.col("_m")]
-    ranked = shared.ranked(out, ["conv_id"], order, "position")
-    return ranked.select("conv_id", "turn", "role", F.col("own").alias("text"), "reply_to", "thread", "position", "n_quoted", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "depth")
+    keys = parts.select("_m", "conv_id", "turn", "role", F.md5(F.col("own").cast("binary")).alias("_md5"))
+    keys = keys.join(heads, F.col("_m") == F.col("_of"), "left").join(tops, F.col("conv_id").eqNullSafe(F.col("_c2")) & (F.col("turn") == F.col("_t2")), "left")
+    keys = keys.select("_m", "conv_id", "turn", "role", "_md5", "reply_to", "n_linked", F.coalesce("top", "turn").alias("thread"))
+    order = [F.col("thread").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("_md5"), F.col("_m")]
+    places = shared.ranked(keys, ["conv_id"], order, "position").select(F.col("_m").alias("_of"), "reply_to", "n_linked", "thread", "position")
+    out = parts.select("_m", "conv_id", "turn", "role", F.col("own").alias("text"), "n_quoted", "depth").join(places, F.col("_m") == F.col("_of"))
+    return out.select("conv_id", "turn", "role", "text", "reply_to", "thread", "position", "n_quoted", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "depth")

@@ -452,7 +452,7 @@ def quoted_by_hand(rows):
             top = up[conv, top]
         out.append([conv, turn, role, own, reply, top, *counts])
     place = collections.Counter()
-    for r in sorted(out, key=lambda r: (str(r[0]), r[5] is not None, r[5] or 0, r[1] is not None, r[1] or 0, r[2], r[3])):
+    for r in sorted(out, key=lambda r: (str(r[0]), r[5] is not None, r[5] or 0, r[1] is not None, r[1] or 0, r[2], hashlib.md5(r[3].encode()).hexdigest())):
         r.insert(6, place[r[0]])
         place[r[0]] += 1
     return out
