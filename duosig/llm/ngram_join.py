@@ -17,6 +17,9 @@ SKETCH_BITS = 20
 CHUNK = 1 << 14
 #: Rounds that link the rows of a column through one row before the rest is joined pair by pair.
 STAR_ROUNDS = 2
+#: Columns in which rows of different components could still make more than so many pairs for each of their rows are hot: they
+#: pair their rows with so many of them at once, in further rounds up to this one, before the rest is joined pair by pair.
+HOT_PAIRS, HOT_CENTRES, MOST_ROUNDS = 8, 8, 5
 #: Columns of a row in one block of the product, about.
 BLOCK_COLUMNS = 256
 #: A set that more than one in so many rows have is handed its component by broadcast: there are fewer such sets than this.
@@ -161,15 +164,16 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> Dat
     return cells.groupBy("a", "b", "block").agg(F.max("o").alias("o")).groupBy("a", "b").agg(F.sum("o").alias("o"))
 
 
-def _met(at: DataFrame, turn: int, percent: int) -> DataFrame:
+def _met(at: DataFrame, turn: int, percent: int, centres: int) -> DataFrame:
     """Pairs (a, na, b, nb) of rows of different labels that share a column, with the number of shared columns seen.
 
-    In the first STAR_ROUNDS turns a column pairs all its rows with one of them; then rows of like sizes with each other.
+    A column pairs all its rows with so many of them, drawn anew in each turn, or with 0 centres rows of like sizes with each other.
     """
     side = lambda x, *more: [F.col("row").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "p", "label")], *more]
-    if turn < STAR_ROUNDS:
-        one = F.struct((F.xxhash64("row", F.lit(turn)) if turn else F.lit(0)).alias("draw"), "row", "n", "p", "label")
-        centre = at.groupBy("gram").agg(F.min(one).alias("c")).select("gram", "c.*").select("gram", *side("a"))
+    if centres:
+        draw = lambda i: F.xxhash64("row", F.lit(turn * MOST_ROUNDS * HOT_CENTRES + i)) if turn else F.lit(0)
+        one = lambda i: F.min(F.struct(draw(i).alias("draw"), "row", "n", "p", "label"))
+        centre = at.groupBy("gram").agg(F.array(*[one(i) for i in range(centres)]).alias("c")).select("gram", F.explode("c").alias("c")).select("gram", "c.*").select("gram", *side("a"))
         met = at.select("gram", *side("b")).join(centre, "gram").where("a <> b")
     else:
         # Rows that link have sizes of the same class or of adjacent ones: each also waits in the class below its own.
@@ -198,8 +202,9 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     n - ceil(percent * n / 100) + 1 rarest with any row it links to; sizes and positions bound the overlap of the rows that
     share one, and pairs that these bounds or the overlap over both prefixes rule out are discarded. The other blocks, of
     about BLOCK_COLUMNS columns of a row, are multiplied for the pairs that are left, and overlaps are summed over blocks. A column
-    first pairs all its rows with one of them, for STAR_ROUNDS rounds; what these link needs no pair of its own, and
-    then pairs are made only between rows of different components and like sizes.
+    first pairs all its rows with one of them, for STAR_ROUNDS rounds; what these link needs no pair of its own. Columns in which
+    rows of different components are still many pair their rows with several, until few are left or nothing links any more, and
+    then pairs are made between rows of different components and like sizes.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -218,17 +223,27 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
 
     labels = done = None
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest("na", "nb") / BLOCK_COLUMNS))).cast("int")
-    for turn in range(STAR_ROUNDS + 1):
-        at = entries.withColumn("label", F.col("row"))
+    turn, last, stalled = 0, False, False
+    while not last:
+        at, centres = entries.withColumn("label", F.col("row")), 1
         if labels is not None:
             at = entries.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
-            mixed = at.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
-            at = at.join(mixed, "gram")
-        pairs = _met(at, turn, percent)
+        if turn:
+            # How many pairs of rows of different components each column still has.
+            held = at.groupBy("gram", "label").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("m"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross"))
+            held = shared.materialise(held.where("cross > 0"))
+            if turn >= STAR_ROUNDS:
+                hot = held.where(F.col("cross") > HOT_PAIRS * F.col("m"))
+                last = stalled or turn >= MOST_ROUNDS or hot.isEmpty()
+                held, centres = (held, 0) if last else (hot, HOT_CENTRES)
+            at = at.join(held.select("gram"), "gram")
+        pairs = _met(at, turn, percent, centres)
+        turn += 1
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = shared.materialise(_possible(pairs, prefixes, percent).withColumn("level", level))
         if pairs.isEmpty():
+            stalled = turn > STAR_ROUNDS
             continue
         found = _overlaps(pairs, docs, rows, k).withColumnRenamed("a", "_a").withColumnRenamed("b", "_b")
         found = pairs.join(found, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left")
@@ -237,6 +252,7 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
         done = found.select("a", "b") if done is None else done.unionByName(found.select("a", "b"))
         links = found.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         if links.isEmpty():
+            stalled = turn > STAR_ROUNDS
             continue
         if labels is not None:
             links = links.unionByName(labels.select(F.col("row").alias("u"), F.col("label").alias("v")))
