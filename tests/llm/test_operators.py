@@ -83,6 +83,7 @@ def test_ngram_join(documents, monkeypatch, k, percent):
     want = [(rows[i][0], len(sets[i]), min((d for d in least[x] if d is not None), default=None)) for i, x in enumerate(label)]
     for block in (256, 8):  # with blocks of 8 columns, a row is cut into many
         monkeypatch.setattr(ngram_join, "BLOCK_COLUMNS", block)
+        monkeypatch.setattr(ngram_join, "HOT_PAIRS", 8 if block == 256 else 0)  # and every column is hot
         got = [tuple(r) for r in ngram_join.ngram_join(docs, k, percent).collect()]
         assert sorted(map(str, got)) == sorted(map(str, want))
     assert ngram_join.ngram_join(docs.limit(0)).count() == 0
