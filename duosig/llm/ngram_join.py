@@ -17,8 +17,8 @@ SKETCH_BITS = 20
 CHUNK = 1 << 14
 #: Rounds that link the rows of a column through one row before the rest is joined pair by pair.
 STAR_ROUNDS = 2
-#: Columns in which rows of different components could still make more than so many pairs for each of their rows are hot: they
-#: pair their rows with so many of them at once, in further rounds up to this one, before the rest is joined pair by pair.
+#: Where rows of different components could still make more than so many pairs for each entry, over all columns, the columns in which
+#: they could pair their rows with so many of them at once, in further rounds up to this one, before the rest is joined pair by pair.
 HOT_PAIRS, HOT_CENTRES, MOST_ROUNDS = 8, 8, 5
 #: Columns of a row in one block of the product, about.
 BLOCK_COLUMNS = 256
@@ -233,9 +233,9 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
             held = at.groupBy("gram", "label").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("m"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross"))
             held = shared.materialise(held.where("cross > 0"))
             if turn >= STAR_ROUNDS:
-                hot = held.where(F.col("cross") > HOT_PAIRS * F.col("m"))
-                last = stalled or turn >= MOST_ROUNDS or hot.isEmpty()
-                held, centres = (held, 0) if last else (hot, HOT_CENTRES)
+                most = held.agg(F.coalesce(F.sum("cross"), F.lit(0.0)).alias("cross"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
+                last = stalled or turn >= MOST_ROUNDS or most["cross"] <= HOT_PAIRS * most["m"]
+                held, centres = (held, 0) if last else (held.where(F.col("cross") > HOT_PAIRS * F.col("m")), HOT_CENTRES)
             at = at.join(held.select("gram"), "gram")
         pairs = _met(at, turn, percent, centres)
         turn += 1
