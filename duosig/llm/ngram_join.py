@@ -245,10 +245,12 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
         if pairs.isEmpty():
             stalled = turn > STAR_ROUNDS
             continue
-        found = _overlaps(pairs, docs, rows, k).withColumnRenamed("a", "_a").withColumnRenamed("b", "_b")
+        with shared.scope(spark) as cut:  # the rows' pieces go once overlaps are stored
+            found = _overlaps(pairs, docs, rows, k).withColumnRenamed("a", "_a").withColumnRenamed("b", "_b")
         found = pairs.join(found, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left")
         found = found.select("a", "b", F.expr(f"coalesce((100 + {percent}) * o >= {percent} * (na + nb), false)").alias("linked"))
         found = shared.materialise(found)
+        cut.release()
         done = found.select("a", "b") if done is None else done.unionByName(found.select("a", "b"))
         links = found.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         if links.isEmpty():
