@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, mixing, ngram_join, pii, quotation, secret_scan, spans, url_filter, warc
+from . import alignment, decontaminate, exact_dedup, language_id, license_scan, mixing, ngram_join, periodic, pii, quotation, secret_scan, spans, url_filter, warc
 
 #: rule, verdict
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -15,6 +15,9 @@ URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1
 #: Target weights of sources in the mixture; others weigh 1.
 SOURCE_WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 2.0, "src3": 0.5}
 
+#: Vocabulary files of the two tokenizers whose tokens are aligned.
+BYTE_TOKENIZER, PIECE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -77,8 +80,42 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], sha_of(spans.listed(plain("base"))).alias("base_sha256"), every.alias("spans"), F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    base, held = F.filter("spans", lambda s: s["base"]), F.col("spans")
+    named = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda s: s["label"]))), ",")
+    starts, shares = F.transform(base, lambda s: s["start"]), F.transform(held, lambda s: s["share"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), named(base).alias("base_labels"), named(held).alias("labels"),
+        F.coalesce(F.array_max(shares), F.lit(0.0)).alias("score"), F.size(held).cast("long").alias("n_spans"),
+    )
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_TOKENIZER)
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in which a tenth of the documents, drawn by their ids, repeat a stretch of their words from some word on to their end."""
+    # Without blanks at either end, so that the pieces are the words.
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+", -1), "")
+    drawn = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("_h"), words.alias("_w")).withColumn("_n", F.size("_w"))
+    rows = drawn.withColumns({"_g": F.floor(F.col("_h") / 10)}).withColumn("_a", F.expr("if(_n > 0, _g % _n, 0)")).withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)))
+    again = F.expr("array_join(transform(_w, (x, i) -> if(i < _a, x, _w[int(_a + (i - _a) % _p)])), ' ')")
+    return rows.select("doc_id", F.when((F.col("_h") % 10 == 0) & (F.col("_n") > 0), again).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(with_repeats(table(spark, sf_dir, "documents")))
+    # The greatest length / period, as a fraction: no other run has a greater one, and of equal ones the first by start and period counts.
+    best = F.expr("aggregate(runs, get(runs, 0), (b, r) -> if(r.length * b.period > b.length * r.period, r, b))")
+    line = lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("_b"), sha_of(F.array_join(F.transform("runs", line), "")).alias("runs_sha256"), sha_of(F.col("collapsed")).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "_b.start", "_b.length", "_b.period", F.expr("1000 * _b.length div _b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_url_filter, op2_secret_scan, op3_warc_revisit, op4_exact_dedup, op5_mixing, op6_decontaminate, op7_ngram_join, op8_language_id, op9_quotation_linking, op10_pii]
+    own = [op1_url_filter, op2_secret_scan, op3_warc_revisit, op4_exact_dedup, op5_mixing, op6_decontaminate, op7_ngram_join, op8_language_id, op9_quotation_linking, op10_pii, op11_license_scan, op12_alignment, op13_periodic_runs]
     return {f.__name__: f for f in own}
 
 
@@ -216,9 +253,31 @@ every AS (SELECT o.conv_id, o.turn, o.role, o.text, h.reply_to, coalesce(t.top,
 SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY thread NULLS FIRST, turn NULLS FIRST, role, md5(text)) - 1 AS position FROM every
 """
 
+_KNOWN = ", ".join(f"({i}, '{label}', {base}, string_split('{text}', ' '))" for i, (label, text, base) in enumerate([(*x, True) for x in license_scan.PHRASES] + [(*x, False) for x in license_scan.WORDINGS]))
+
+OP11_SQL = rf"""
+WITH known(template, label, base, w) AS (VALUES {_KNOWN}),
+sized AS (SELECT *, len(w) AS size, CASE WHEN base THEN {license_scan.SHORT} ELSE {license_scan.LONG} END AS k, base OR len(w) < {license_scan.LOOSE_WORDS} AS whole FROM known),
+known_grams AS (SELECT template, label, base, whole, size, k, i - 1 AS tpos, array_to_string(w[i:i + k - 1], ' ') AS g FROM sized, unnest(range(1, size - k + 2)) AS u(i)),
+texts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), '{_WORD}', 0) AS w FROM documents),
+grams AS (SELECT r, k, i - 1 AS pos, array_to_string(w[i:i + k - 1], ' ') AS g FROM texts, (SELECT DISTINCT k FROM sized) AS sizes, unnest(range(1, len(w) - k + 2)) AS u(i)),
+hits AS (SELECT r, template, label, base, whole, size, g.k, pos, tpos, pos - tpos AS off FROM grams g JOIN known_grams t ON g.k = t.k AND g.g = t.g),
+diagonals AS (SELECT DISTINCT r, template, whole, size, off FROM hits),
+cut AS (SELECT *, CASE WHEN off - lag(off) OVER (PARTITION BY r, template ORDER BY off) <= CASE WHEN whole THEN 0 ELSE size // 10 END THEN 0 ELSE 1 END AS new FROM diagonals),
+bands AS (SELECT r, template, off, sum(new) OVER (PARTITION BY r, template ORDER BY off) AS band FROM cut),
+spans AS (SELECT r, template, label, base, whole, size, band, min(pos) AS a, max(pos) + k AS b, count(DISTINCT tpos + j) AS n
+  FROM hits JOIN bands USING (r, template, off), unnest(range(0, k)) AS u(j) GROUP BY r, template, label, base, whole, size, k, band),
+held AS (SELECT r, label, base, a, n / size AS share FROM spans WHERE 100 * n >= CASE WHEN whole THEN 100 ELSE {license_scan.LEAST_PERCENT} END * greatest(size, b - a)),
+listed AS (SELECT r, count(*) FILTER (base) AS n_base, min(a) FILTER (base) AS first_word, max(a) FILTER (base) AS last_word, max(share) AS score, count(*) AS n_spans,
+  list_sort(list(DISTINCT label) FILTER (base)) AS base_labels, list_sort(list(DISTINCT label)) AS labels FROM held GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(array_to_string(base_labels, ','), '') AS base_labels, coalesce(array_to_string(labels, ','), '') AS labels, coalesce(score, 0)::DOUBLE AS score, coalesce(n_spans, 0) AS n_spans
+FROM texts LEFT JOIN listed USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": OP1_SQL, "op2_secret_scan": OP2_SQL, "op3_warc_revisit": OP3_SQL, "op4_exact_dedup": OP4_SQL,
-        "op6_decontaminate": OP6_SQL, "op7_ngram_join": OP7_SQL, "op9_quotation_linking": OP9_SQL,
+        "op6_decontaminate": OP6_SQL, "op7_ngram_join": OP7_SQL, "op9_quotation_linking": OP9_SQL, "op11_license_scan": OP11_SQL,
     }
