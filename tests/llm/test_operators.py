@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -188,20 +189,58 @@ def test_language_id_tells_rare_scripts_apart(spark):
         assert math.isclose(got[d]["lang_bits"] * len(t.encode()), want, rel_tol=1e-5)
 
 
-def test_mixing_deviates_less_than_a_block(spark):
-    for counts in ([5, 3, 1], [1, 1, 1, 1], [17, 2], [1]):
-        plan, served = mixing.edf(counts), [0] * len(counts)
-        for slot, i, _, release, due in plan:
-            served[i] += 1
-            assert release <= slot < due
-            assert all(abs(served[k] - (slot + 1) * n / sum(counts)) < 1 for k, n in enumerate(counts))
+def slots_of(weights, blocks):
+    """(slot, source, block, release, due) of a plan, with its periods written out."""
+    made = mixing.plan([Fraction(str(w)) for w in weights], blocks)
+    return sorted((slot + q * period, i, first + q * step, release + q * period, due + q * period) for i, first, step, slot, period, repeats, release, due in made for q in range(repeats))
+
+
+@pytest.mark.parametrize(
+    ("weights", "blocks"),
+    [
+        ([4, 3, 2, 0.5], [40_000, 30_000, 20_000, 5_000]), ([4, 3, 2, 0.5, 0.0001], [9_000, 20_000, 3_000, 700, 2]), ([1] * 1000, [3] * 999 + [200]), ([0.3, 0.0001], [50_000, 17]), ([1], [5]), ([5, 3, 1], [1, 50, 2]),
+        ([round(1 + (i * 7919 % 1000) / 1000, 3) for i in range(60)], [40 + i % 9 for i in range(60)]), ([2, 0, 0, 1], [5, 4, 30, 40]), ([1.5, 0], [0, 3]),
+    ],
+)
+def test_mixing_deviates_less_than_a_block(weights, blocks):
+    """Every prefix of every stretch between two sources' ends is less than one block off the exact weights."""
+    got = slots_of(weights, blocks)
+    assert [t for t, *_ in got] == list(range(sum(blocks)))
+    assert all([j for _, k, j, *_ in got if k == i] == list(range(n)) for i, n in enumerate(blocks))
+    assert all(release <= t < due for t, _, _, release, due in got)
+    left, at = list(blocks), 0
+    weights = np.array([float(w) for w in weights])
+    source = np.array([i for _, i, *_ in got], int)
+    while at < len(got):
+        live = np.array([n > 0 for n in left])
+        share = np.where(live, weights, 0)
+        share = share if share.sum() else live.astype(float)
+        ends = [int(np.flatnonzero(source == i)[-1]) + 1 for i, n in enumerate(left) if n and share[i]]
+        # A stretch of whole periods may go on past a source's last block, to where all are level.
+        stop = min(e for e in ends)
+        served = np.cumsum(source[at:stop, None] == np.arange(len(blocks)), axis=0)
+        ideal = np.arange(1, stop - at + 1)[:, None] * share / share.sum()
+        assert np.abs(served - ideal).max() < 1 + 1e-9
+        period = sum(mixing.whole_weights([Fraction(str(w)) if w else Fraction(1) for w in share[share > 0]]))
+        rest = (-(stop - at)) % period
+        past = source[stop : stop + rest]
+        level = rest and all(np.isclose((np.append(source[at:stop], past) == i).sum() * share.sum() / share[i], stop - at + rest) for i in np.flatnonzero(share))
+        stop += rest if level else 0
+        for i in source[at:stop]:
+            left[i] -= 1
+        at = stop
+
+
+def test_mixing_interleaves_all_rows(spark):
     rows = [(i, "hot" if i % 3 else f"s{i % 5}" if i % 7 else None) for i in range(500)] + [(1, "hot")]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=4, frame_blocks=20).collect()
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=4).collect()
     assert sorted((r["doc_id"], str(r["source"])) for r in got) == sorted((i, str(s)) for i, s in rows)
     by_slot = collections.defaultdict(set)
     for r in got:
         by_slot[r["mix_slot"]].add(r["source"])
     assert sorted(by_slot) == list(range(len(by_slot))) and all(len(s) == 1 for s in by_slot.values())
+    with pytest.raises(ValueError, match="negative"):
+        mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), {"hot": -1.0})
 
 
 def warc_text(spark, path):
@@ -488,28 +527,37 @@ def test_quotation_trees(spark):
 
 
 def test_mixing_slots(spark):
-    """Slots by the definition: in each slot of a frame, of the released blocks that which is due first."""
+    """Slots by the definition: of the released blocks that which is due first, windows counted from where all were level."""
     rng = random.Random(43)
-    size = {"hot": 900, "a": 150, "b": 70, "c": 9, None: 33}
+    size = {"hot": 900, "a": 150, "b": 70, "c": 9, None: 33, "zero": 20}
     rows = [(rng.randrange(400) if rng.random() < 0.9 else None, s, "m") for s, n in size.items() for _ in range(n)]
-    weights, block, frame = {"hot": 3.0, "a": 2.0, "b": 0.001}, 8, 12
-    total = sum(weights.get(s, 1.0) for s in size)
-    share = {s: max(1, round(weights.get(s, 1.0) * frame / total)) for s in size}
+    weights, block = {"hot": 3.0, "a": 2.0, "b": 0.01, "zero": 0.0}, 8
     left = {s: -(-n // block) for s, n in size.items()}
     first, slot, place = dict.fromkeys(size, 0), 0, {}
     while any(left.values()):
-        now = {s: min(share[s], left[s]) for s in sorted(size, key=lambda s: (s is None, s or "")) if left[s]}
-        n, served = sum(now.values()), dict.fromkeys(now, 0)
-        for t in range(n):
-            open_ = [(-(-(served[s] + 1) * n // k), i, s) for i, (s, k) in enumerate(now.items()) if served[s] < k and served[s] * n // k <= t]
+        live = [s for s in sorted(size, key=lambda s: (s is None, s or "")) if left[s]]
+        share = {s: Fraction(str(weights.get(s, 1.0))) for s in live}
+        share = {s: w for s, w in share.items() if w} or dict.fromkeys(live, Fraction(1))
+        whole = sum(share.values())
+        least = min(n for n in range(1, 10_000) if all((w * n / whole).denominator == 1 for w in share.values()))  # slots until all are level
+        level = all(left[s] >= w * least / whole for s, w in share.items())
+        served = dict.fromkeys(share, 0)
+        for t in range(least):
+            open_ = []
+            for i, s in enumerate(share):
+                u, j = share[s] / whole, served[s]
+                if math.floor(j / u) <= t:
+                    open_.append((math.ceil((j + 1) / u), i, s))
             due, _, s = min(open_)
-            place[s, first[s] + served[s]] = (slot + t, served[s] * n // now[s], due)
+            place[s, first[s] + served[s]] = (slot + t, slot + math.floor(served[s] * whole / share[s]), slot + due)
             served[s] += 1
-        for s, k in now.items():
+            if not level and served[s] == left[s]:
+                break
+        for s, k in served.items():
             first[s], left[s] = first[s] + k, left[s] - k
-        slot += n
+        slot += sum(served.values())
     df = spark.createDataFrame(rows, "doc_id long, source string, mix_slot string").repartition(5)
-    got = mixing.mix(df, weights, block_rows=block, frame_blocks=frame).collect()
+    got = mixing.mix(df, weights, block_rows=block).collect()
     assert len(got) == len(rows) and sorted(str((r["doc_id"], r["source"])) for r in got) == sorted(str(r[:2]) for r in rows)
     held = collections.defaultdict(list)
     for r in got:
