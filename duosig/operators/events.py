@@ -31,20 +31,46 @@ def pooled(mean: str = "mean", std: str = "std", n: str = "points") -> list:
     return [F.when(some == 1, F.first(m)).otherwise(average).alias("mean"), F.when(some == 1, F.first(s)).otherwise(F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("std")]
 
 
-def liftover(events: DataFrame, exons: DataFrame, strict: bool = True) -> DataFrame:
+#: Positions of a transcript that share one row of its exons.
+PIECE_POSITIONS = 256
+
+
+def exon_pieces(exons: DataFrame, size: int = PIECE_POSITIONS) -> DataFrame:
+    """A row for every piece of so many positions of a transcript, with the exons that reach into it, by their starts.
+
+    Exons lie at positions of the transcript in its own direction: on the minus strand the last one on the genome comes first, and the
+    genome runs backwards. origin plus or minus a position is its place on the genome.
+    """
+    width = F.col("end") - F.col("start")
+    back = F.col("strand") == "-"
+    first = F.when(back, F.col("ln") - F.col("cs") - width).otherwise(F.col("cs"))
+    placed = exons.where(width > 0).withColumn("_first", first)
+    origin = F.when(back, F.col("end") - 1 + F.col("_first")).otherwise(F.col("start") - F.col("_first"))
+    exon = F.struct(F.col("_first").alias("first"), (F.col("_first") + width).alias("stop"), origin.alias("origin"))
+    reach = F.sequence(F.floor(F.col("_first") / size), F.floor((F.col("_first") + width - 1) / size))
+    each = placed.select(F.col("transcript_id").alias("_t"), "gene_id", "chrom", "strand", exon.alias("_exon"), F.explode(reach).alias("_piece"))
+    return each.groupBy("_t", "_piece", "gene_id", "chrom", "strand").agg(F.array_sort(F.collect_list("_exon")).alias("_exons"))
+
+
+def liftover(events: DataFrame, exons: DataFrame, strict: bool = True, size: int = PIECE_POSITIONS) -> DataFrame:
     """events (transcript_id, pos) with gene_id, chrom, strand and gpos.
 
-    An equi-join on the transcript with the exon's range as a residual; positions of minus-strand
-    transcripts are mirrored first. strict raises on unknown transcripts and positions outside; else these rows go.
+    Every event meets one row, its piece of the transcript, by an equi-join, and takes the last exon of it that starts at or before its
+    position: rows into the join are the events and the pieces, however many exons a transcript has, and Spark splits the events of a hot one.
+    strict raises on unknown transcripts and positions outside; else these rows go.
     """
-    e = exons.select(F.col("transcript_id").alias("_t"), "gene_id", "chrom", "strand", F.col("start").alias("_start"), F.col("end").alias("_end"), "cs", "ln")
-    at = F.when(F.col("strand") == "-", F.col("ln") - F.col("pos") - 1).otherwise(F.col("pos"))
-    inside = (F.col("transcript_id") == F.col("_t")) & (F.col("cs") <= at) & (at < F.col("cs") + F.col("_end") - F.col("_start"))
-    joined = events.join(e, inside, "left" if strict else "inner").withColumn("gpos", F.col("_start") + at - F.col("cs"))
+    pieces = exon_pieces(exons, size)
+    placed = events.withColumn("_p", F.floor(F.col("pos") / size))
+    joined = placed.join(pieces, (F.col("transcript_id") == F.col("_t")) & (F.col("_p") == F.col("_piece")), "left" if strict else "inner")
+    before = F.filter("_exons", lambda e: e["first"] <= F.col("pos"))
+    found = joined.withColumn("_exon", F.get(before, F.size(before) - 1)).withColumn("_exon", F.when(F.col("pos") < F.col("_exon.stop"), F.col("_exon")))
+    gpos = F.col("_exon.origin") + F.when(F.col("strand") == "-", -F.col("pos")).otherwise(F.col("pos"))
     if strict:
         wrong = F.raise_error(F.concat_ws(" ", F.lit("no exon for"), "transcript_id", F.col("pos").cast("string"))).cast("long")
-        joined = joined.withColumn("gpos", F.coalesce("gpos", wrong))
-    return joined.drop("_t", "_start", "_end", "cs", "ln")
+        gpos = F.coalesce(gpos, wrong)
+    else:
+        found = found.where("_exon is not null")
+    return found.withColumn("gpos", gpos).select(*events.columns, "gene_id", "chrom", "strand", "gpos")
 
 
 def dedupe_first(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -93,20 +119,30 @@ def _in_order(values: Column, strand: Column | None) -> Column:
     return values if strand is None else F.when(strand == "-", F.reverse(values)).otherwise(values)
 
 
+def stretches(windows: DataFrame) -> DataFrame:
+    """(gene, stretches): the centres of a gene's windows as sorted stretches (low, high) without gaps."""
+    by = Window.partitionBy("gene").orderBy("centre")
+    gap = F.coalesce(F.col("centre") - F.lag("centre").over(by) > 1, F.lit(True))
+    islands = windows.select("gene", "centre", gap.cast("long").alias("_gap")).withColumn("_island", F.sum("_gap").over(by))
+    each = islands.groupBy("gene", "_island").agg(F.struct(F.min("centre").alias("low"), F.max("centre").alias("high")).alias("_s"))
+    return each.groupBy("gene").agg(F.array_sort(F.collect_list("_s")).alias("stretches"))
+
+
 def window_vectors(events: DataFrame, windows: DataFrame, size: int) -> DataFrame:
     """Per window and read the means at all positions, in order of position; reads that lack one are left out.
 
-    Where events have a column strand, windows on the minus strand run backwards. Each event goes to the windows around it
-    (2 * half + 1 copies), and a read's window is one group.
+    Where events have a column strand, windows on the minus strand run backwards. A read has one event at a position. Its events are
+    one sorted array, shuffled once, and windows are slices of it where positions follow each other and the gene has a window: no
+    event is copied before the shuffle, and a gene's windows are a few stretches.
     """
     half, stranded = size // 2, ["strand"] if "strand" in events.columns else []
-    near = F.explode(F.sequence(F.col("pos") - half, F.col("pos") + half)).alias("centre")
-    copies = events.where("mean is not null").select("gene", "cond", "rep", "read", "pos", "mean", *stranded, near)
-    held = copies.join(windows.select("gene", "centre"), ["gene", "centre"])
     more = [F.min("strand").alias("strand")] if stranded else []
-    vectors = held.groupBy("gene", "centre", "cond", "rep", "read").agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("v"), *more)
-    vec = _in_order(F.transform("v", lambda x: x["mean"]), F.col("strand") if stranded else None)
-    return vectors.where(F.size("v") == 2 * half + 1).withColumn("vec", vec).drop("v", *stranded)
+    reads = events.where("mean is not null").groupBy("gene", "cond", "rep", "read").agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("v"), *more)
+    held = reads.where(F.size("v") > 2 * half).join(stretches(windows), "gene")
+    whole = f"v[i + {half}].pos - v[i - {half}].pos = {2 * half} and exists(stretches, s -> v[i].pos between s.low and s.high)"
+    cut = f"transform(filter(sequence({half}, size(v) - 1 - {half}), i -> {whole}), i -> struct(v[i].pos as centre, slice(v.mean, i - {half} + 1, {2 * half + 1}) as vec))"
+    each = held.select("gene", "cond", "rep", "read", *stranded, F.explode(F.expr(cut)).alias("_w"))
+    return each.select("gene", "_w.centre", "cond", "rep", "read", _in_order(F.col("_w.vec"), F.col("strand") if stranded else None).alias("vec"))
 
 
 def deep_windows(vectors: DataFrame, min_depth: int) -> DataFrame:

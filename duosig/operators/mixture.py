@@ -198,7 +198,7 @@ def fit(x: np.ndarray, sample: np.ndarray, options: FitOptions = FitOptions()) -
             break
         last = total.sum()
         resp = np.exp(joint - total[:, None])
-        keep = 1 - 0.99 * (2.0 + step) ** -0.001
+        keep = 1 - 0.99 * (3.0 + step) ** -0.001  # the first update is that of iteration 1
         for k in (0, 1):
             n = resp[:, k].sum()
             if n > 1e-9:
@@ -214,14 +214,14 @@ def fit(x: np.ndarray, sample: np.ndarray, options: FitOptions = FitOptions()) -
 def _fit_group(options: FitOptions) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["cond", "rep", "read"], ignore_index=True)
-        sample = (rows["cond"] * 1000 + rows["rep"]).to_numpy()
+        pairs = rows.groupby(["cond", "rep"])
+        sample = pairs.ngroup().to_numpy()  # samples in order of (cond, rep), as the groups below
         model = fit(np.array(rows["vec"].tolist()), sample, options)
         if model is None:
             return pd.DataFrame(columns=["gene", "centre", "mu1", "mu2", "cov1", "cov2", "low", "high", "w", "counts"])
-        sizes = rows.groupby(["cond", "rep"])["depth"].first()
-        used = rows.groupby(["cond", "rep"]).size()
-        counts = [{"cond": int(c), "rep": int(r), "n": np.rint(model["weights"][c * 1000 + r] * sizes[c, r]).tolist()} for c, r in sizes.index]
-        w = sum(model["weights"][c * 1000 + r] * used[c, r] for c, r in sizes.index) / used.sum()
+        sizes, used = pairs["depth"].first(), pairs.size()
+        counts = [{"cond": int(c), "rep": int(r), "n": np.rint(model["weights"][i] * sizes[c, r]).tolist()} for i, (c, r) in enumerate(sizes.index)]
+        w = sum(model["weights"][i] * n for i, n in enumerate(used)) / used.sum()
         flat = lambda a: None if a is None else np.asarray(a).ravel().tolist()
         out = {"mu1": flat(model["mu"][0]), "mu2": flat(model["mu"][1]), "cov1": flat(model["cov"][0]), "cov2": flat(model["cov"][1]), "low": flat(model["low"]), "high": flat(model["high"]), "w": flat(w), "counts": counts}
         return pd.DataFrame([{"gene": rows["gene"][0], "centre": int(rows["centre"][0]), **out}])
@@ -248,7 +248,7 @@ def _label_group(rows: pd.DataFrame) -> pd.DataFrame:
 
 def label_windows(vectors: DataFrame) -> DataFrame:
     """Two-means labels with MAD outliers (2) of each window's reads."""
-    return vectors.groupBy("gene", "centre").applyInPandas(_label_group, "gene long, centre long, cond long, rep long, read long, label long")
+    return vectors.groupBy("gene", "centre").applyInPandas(_label_group, f"gene {_type_of(vectors, 'gene')}, centre long, cond long, rep long, read {_type_of(vectors, 'read')}, label long")
 
 
 def _log_densities(x: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..operators import events as ev
-from ..operators import mixture, report
+from ..operators import mixture, report, splits
 from ..operators import statistics as st
 from ..sources import readers
 from . import sql, views, workflow
@@ -61,6 +61,14 @@ def run_collapse(spark, sf):
     return ev.collapse_runs(e, ["event_type"], ["user_id"], "event_id", [F.count("*").alias("n"), R(F.sum("value")).alias("duration")])
 
 
+def run_collapse_splits(spark, sf):
+    """Runs of equal event types in the order of the file, collapsed inside its splits."""
+    e = splits.in_file_order(spark, [f"{sf}/events.parquet"], spark.read.parquet)
+    lines = e.select("event_type", F.col("value").alias("mean"), (F.abs("value") / 10).alias("std"), F.col("value").alias("duration"), (F.col("event_id") % 20 + 1).alias("points"), "_file", "_block")
+    runs = splits.collapse_splits(lines, ["event_type"])
+    return runs.select("event_type", "n", R("mean", 4).alias("mean"), R("std", 4).alias("std"), R("duration", 4).alias("duration"))
+
+
 def pooled_stats(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_type", F.col("value").alias("mean"), (F.abs("value") / 10).alias("std"), (F.col("event_id") % 20 + 1).alias("points"))
     return e.groupBy("user_id", "event_type").agg(*ev.pooled()).select("user_id", "event_type", R("mean", 4).alias("mean"), R("std", 4).alias("std"))
@@ -369,7 +377,7 @@ def pooled_smoke(spark: SparkSession, sf: str, depth: int) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
-        scan_project_cast, lookup_read_names, gtf_attrs, gtf_parse, exon_cumsum, liftover, run_collapse, pooled_stats, f16_quantise, dedupe_first, stall_filter, dict_encode, kmer_last_wins, window_kmers,
+        scan_project_cast, lookup_read_names, gtf_attrs, gtf_parse, exon_cumsum, liftover, run_collapse, run_collapse_splits, pooled_stats, f16_quantise, dedupe_first, stall_filter, dict_encode, kmer_last_wins, window_kmers,
         shared_genes, shared_transcripts, valid_positions, valid_windows, window_depth, window_vectors, pivot_matrix, pooled_union, topk_subsample, ks_2samp, pca_comp1, pca_kstest, ks_gate, mad, kmeans_init,
         dbscan_noise, cluster_weights, combined_weights, gmm_init, em_1d, gmm_fit, gmm_counts, posterior_1d, g_test_2x2, g_test_hom, log_odds, bh_fdr, sig_filter, sm_semi_join, kmer_prior_join, kmer_shift,
         orient_components, flip_results, bed_format, sm_json, cigar_max_indel, aln_filter, gene_dim_join, gene_subset, store_roundtrip, flagship, significant_bed,

@@ -140,6 +140,9 @@ pl AS (SELECT z.transcript_id, z.strand, l_partkey % ln AS pos, CASE WHEN z.stra
 SELECT a.transcript_id, a.strand, a.pos, ex.s + a.p - ex.cs AS gpos, count(*) AS n FROM pl a JOIN ex ON a.transcript_id = ex.transcript_id AND ex.cs <= a.p AND a.p < ex.cs + ex.e - ex.s GROUP BY ALL""",
         "run_collapse": """WITH a AS (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS c FROM events),
 b AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM a) SELECT user_id, run::BIGINT AS run, event_type, count(*) AS n, round(sum(value), 6) AS duration FROM b GROUP BY ALL""",
+        "run_collapse_splits": """WITH a AS (SELECT *, CASE WHEN lag(event_type) OVER (ORDER BY event_id) IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS c, abs(value) / 10 AS s, (event_id % 20 + 1)::DOUBLE AS k FROM events),
+b AS (SELECT *, sum(c) OVER (ORDER BY event_id) AS run FROM a), y AS (SELECT event_type, count(*) AS n, sum(k * value) / sum(k) AS a, sum(k * s * s) / sum(k) + sum(k * value * value) / sum(k) AS q, sum(value) AS duration, any_value(value) AS m, any_value(s) AS s FROM b GROUP BY event_type, run)
+SELECT event_type, n, round(CASE WHEN n = 1 THEN m ELSE a END, 4) AS mean, round(CASE WHEN n = 1 THEN s ELSE sqrt(greatest(q - a * a, 0)) END, 4) AS std, round(duration, 4) AS duration FROM y""",
         "pooled_stats": """WITH x AS (SELECT user_id, event_type, value AS m, abs(value) / 10 AS s, (event_id % 20 + 1)::DOUBLE AS k FROM events),
 y AS (SELECT user_id, event_type, count(*) AS c, sum(k * m) / sum(k) AS a, sum(k * s * s) / sum(k) + sum(k * m * m) / sum(k) AS q, any_value(m) AS m, any_value(s) AS s FROM x GROUP BY ALL)
 SELECT user_id, event_type, round(CASE WHEN c = 1 THEN m ELSE a END, 4) AS mean, round(CASE WHEN c = 1 THEN s ELSE sqrt(greatest(q - a * a, 0)) END, 4) AS std FROM y""",

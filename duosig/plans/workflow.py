@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_precision
 from ..operators import events as ev
-from ..operators import mixture, report
+from ..operators import mixture, report, splits
 from ..operators import statistics as st
 from ..sources import readers
 from ..storage import stored
@@ -37,6 +37,9 @@ class Options:
         return 2 * (self.window // 2) + 1
 
 
+KEY = ["t_id", "pos", "kmer", "r_id"]
+
+
 def prepare(raw: DataFrame, features: DataFrame | None = None, summary: DataFrame | None = None) -> DataFrame:
     """Events of one sample, to be stored: gene_id, transcript_id, chrom, strand, pos, kmer, read_id, mean, std, duration, row_no.
 
@@ -46,7 +49,24 @@ def prepare(raw: DataFrame, features: DataFrame | None = None, summary: DataFram
     """
     lines = readers.eventalign(raw, summary)
     first = F.min("row_no").alias("row_no")
-    runs = ev.collapse_runs(lines, ["t_id", "pos", "kmer"], ["r_id"], "row_no", [*ev.pooled(), F.sum("duration").alias("duration"), first])
+    return _events_of(ev.collapse_runs(lines, ["t_id", "pos", "kmer"], ["r_id"], "row_no", [*ev.pooled(), F.sum("duration").alias("duration"), first]), features)
+
+
+def prepare_files(spark: SparkSession, paths: list[str], features: DataFrame | None = None, summary: DataFrame | None = None) -> DataFrame:
+    """As prepare(), from the alignment files of one sample, in their order: lines are collapsed by the tasks that read them, in file order.
+
+    Names of reads are looked up, where there is a summary, once lines are collapsed: indices that share a name stay apart.
+    """
+    raw = splits.in_file_order(spark, paths, lambda path: readers.tsv(spark, path))
+    named = "read_name" in raw.columns or summary is None
+    lines = readers.eventalign(raw if named else raw.withColumn("read_name", F.col("read_index").cast("string")))
+    runs = splits.collapse_splits(lines, KEY)
+    if not named:
+        runs = readers.lookup_read_names(runs.withColumnRenamed("r_id", "read_index"), summary).withColumnRenamed("read_name", "r_id")
+    return _events_of(runs, features)
+
+
+def _events_of(runs: DataFrame, features: DataFrame | None) -> DataFrame:
     rows = runs.select(F.col("t_id").alias("transcript_id"), "pos", "kmer", F.col("r_id").alias("read_id"), *[half_precision(F.col(c)).alias(c) for c in ("mean", "std", "duration")], "row_no")
     if features is None:
         return rows.withColumns({"gene_id": F.col("transcript_id"), "chrom": F.col("transcript_id"), "strand": F.lit("+")})
@@ -76,7 +96,9 @@ def load_events(samples: list[DataFrame], conds: list[int], level: str = "gene")
     shared = ev.shared_by_all(every.withColumnRenamed("gene_id", "gene"), "gene", "sample", len(samples)).withColumnRenamed("gene", "gene_id")
     every = every.join(shared, "gene_id", "left_semi")
     kmers = ev.last_kmers(every.select(F.col("gene_id").alias("gene"), "pos", "kmer", "sample", "row_no"))
-    genes = every.groupBy("gene_id").agg(F.max_by("chrom", F.struct("sample", "row_no")).alias("chrom"), F.max_by("strand", F.struct("sample", "row_no")).alias("strand"))
+    control = conds.index(0)  # the first control file names chromosome and strand
+    named = every.where(F.col("sample") == control)
+    genes = named.groupBy("gene_id").agg(F.max_by("chrom", "row_no").alias("chrom"), F.max_by("strand", "row_no").alias("strand"))
     kept = ev.drop_stalls(ev.dedupe_first(every, ["sample", "gene_id", "read_id", "pos"], ["row_no"]))
     locus = "gene_id" if level == "gene" else "transcript_id"
     events = kept.select(F.col(locus).alias("gene"), "gene_id", F.col("read_id").alias("read"), "pos", "cond", "rep", "mean", "strand")

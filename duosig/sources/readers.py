@@ -25,7 +25,7 @@ def eventalign(raw: DataFrame, summary: DataFrame | None = None) -> DataFrame:
         if summary is None or "read_index" not in have:
             raise KeyError("either read_name or a summary for read_index is needed")
         raw = lookup_read_names(raw, summary)
-    kept = [c for c in ("row_no",) if c in have]
+    kept = [c for c in ("row_no", "_file", "_block") if c in have]
     return raw.select(
         F.col("contig").cast("string").alias("t_id"),
         (F.col("position").cast("long") + 2).alias("pos"),

@@ -122,6 +122,9 @@ def test_fit_by_its_definition(options):
         d = r - mu[j]
         return math.exp(-0.5 * d @ np.linalg.inv(cov[j]) @ d) / math.sqrt((2 * math.pi) ** 2 * np.linalg.det(cov[j]))
 
+    # The step at iteration t moves parameters by 1 - 0.99 * (2 + t) ** -0.001, and the first update is made at t = 1.
+    moves = (1 - 0.99 * (2 + t) ** -0.001 for t in range(1, 1001))
+    assert round(1 - 0.99 * 3**-0.001, 4) == 0.0111
     last, step = None, 0
     while True:
         joint = [[weight[s][j] * density(r, j) for j in range(parts)] for r, s in zip(x, sample, strict=True)]
@@ -130,7 +133,7 @@ def test_fit_by_its_definition(options):
             break
         last = total
         resp = np.array([[v / sum(p) for v in p] for p in joint])
-        keep = 1 - 0.99 * (2 + step) ** -0.001
+        keep = next(moves)
         for j in (0, 1):
             n = resp[:, j].sum()
             m = sum(w * r for w, r in zip(resp[:, j], x, strict=True)) / n
