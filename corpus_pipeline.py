@@ -81,12 +81,13 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @_stage
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item; whole rows go through the operator in the place of an id, so that rows
-    that share one are judged apart. Null texts hold nothing and stay.
+    """Documents that hold no window of a benchmark item; rows are told apart by a key of their own, so that rows that share an id
+    are judged apart. Null and empty texts hold nothing and stay; texts of any length are judged whole.
     """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    whole = docs.withColumn("_whole", F.struct(*docs.columns))
-    return decontaminate.decontaminate(whole, items, id_col="_whole").where("not contaminated").select("doc_id.*")
+    rows = shared.materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = decontaminate.decontaminate(rows, items, id_col="_row").where("contaminated").select(F.col("doc_id").alias("_hit"))
+    return rows.join(found, F.col("_row") == F.col("_hit"), "left_anti").select(*docs.columns)
 
 
 @_stage

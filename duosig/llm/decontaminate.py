@@ -5,174 +5,132 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import shared, words
+from . import ngram_join, shared, words
 
 WINDOW = 10
 SHINGLE = 5
-#: Windows that are sent to the tasks at once. A larger benchmark is joined in blocks of items.
-BLOCK_WINDOWS = 200_000
-FILTER_BITS = 20
-
-
-class Windows:
-    """The windows of a block of items, and of each the shingle by which documents find it."""
-
-    def __init__(self, items: pd.DataFrame, window: int, shingle: int):
-        data, at = words.buffers(pa.array(items["text"], pa.large_string(), from_pandas=True))
-        h, start, end, of = words.words(data, at, words.WORDLIKE)
-        found: dict[tuple[bytes, ...], int] = {}
-        self.words: list[tuple[bytes, ...]] = []
-        self.items: list[list[str]] = []
-        hashes: list[np.ndarray] = []
-        folded = words.FOLD[data].tobytes()
-        for item, name in enumerate(items["item_id"]):
-            low, high = int(of[item]), int(of[item + 1])
-            every = [folded[start[w] : end[w]] for w in range(low, high)]
-            size = min(window, high - low)
-            for w in range(high - low - size + 1 if size else 0):
-                key = tuple(every[w : w + size])
-                if key not in found:
-                    found[key] = len(self.words)
-                    self.words.append(key)
-                    self.items.append([])
-                    hashes.append(h[low + w : low + w + size])
-                if name is not None and name not in self.items[found[key]]:
-                    self.items[found[key]].append(name)
-        # The set of a window: its shingles of min(shingle, size) words, with their offsets.
-        self.sets = [(min(shingle, len(x)), words.shingles(x, min(shingle, len(x)))) for x in hashes]
-        self.sizes = sorted({k for k, _ in self.sets})
-        self.keys = {k: np.unique(np.concatenate([s for n, s in self.sets if n == k])) for k in self.sizes}
-
-    def order(self, counts: dict[int, np.ndarray]) -> None:
-        """Keeps of each window its rarest shingle: containment of the whole set needs a prefix of one."""
-        chosen: dict[int, list[tuple[int, int, int]]] = {k: [] for k in self.sizes}
-        for w, (k, s) in enumerate(self.sets):
-            n = counts[k][np.searchsorted(self.keys[k], s)]
-            offset = int(np.lexsort((s, n))[0])
-            chosen[k].append((int(s[offset]), w, offset))
-        self.prefix = {}
-        for k, rows in chosen.items():
-            rows.sort()
-            self.prefix[k] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
-        del self.sets, self.keys
-
-
-def _filter(keys: np.ndarray) -> np.ndarray:
-    """A bitmap that has every key, by its low bits."""
-    on = np.zeros(1 << FILTER_BITS, bool)
-    on[(keys & np.uint64(len(on) - 1)).astype(np.int64)] = True
-    return on
-
-
-def _places(s: np.ndarray, on: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of s that hold one of the sorted keys."""
-    at = np.flatnonzero(on[(s & np.uint64(len(on) - 1)).astype(np.int64)])
-    to = np.searchsorted(keys, s[at])
-    ok = keys[np.minimum(to, len(keys) - 1)] == s[at] if len(keys) else np.zeros(0, bool)
-    return at[ok]
-
-
-def _frequencies(keys: dict[int, np.ndarray]):
-    """How often a task's documents hold each shingle of the benchmark."""
+#: Bits of the bitmap that tells the prefixes' shingles from most others (2 to this power); its size is fixed, whatever the benchmark.
+FILTER_BITS = 25
+_PLACE = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("before", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))])
+
+
+def _counts(k: int, n_bits: int, chunk: int):
+    """A task's counts of all shingles of k words, by the low bits of their hash, in rows of so many counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {k: np.zeros(len(v), np.int64) for k, v in keys.items()}
-        on = {k: _filter(v) for k, v in keys.items()}
+        counts = np.zeros(1 << n_bits, np.int64)
         for batch in batches:
             data, at = words.buffers(batch.column(0))
             for i, j in words.pieces(at):
-                h = words.words(data, at[i : j + 1], words.WORDLIKE)[0]
-                for k, v in keys.items():
-                    s = words.shingles(h, k)
-                    counts[k] += np.bincount(np.searchsorted(v, s[_places(s, on[k], v)]), minlength=len(v))
-        for k, n in counts.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k), pa.int32()), pa.array(some, pa.int64()), pa.array(n[some], pa.int64())], ["k", "key", "n"])
+                s = words.shingles(words.words(data, at[i : j + 1], words.WORDLIKE)[0], k)
+                counts += np.bincount((s & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts))
+        for c in range(len(counts) // chunk):
+            part = counts[c * chunk : (c + 1) * chunk]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "counts"])
+
+    return run
+
+
+def shingle_levels(texts: DataFrame, k: int) -> np.ndarray:
+    """How common shingles of k words are in all documents, by a sketch of fixed size. It orders shingles and so decides on speed, never on hits."""
+    rows = texts.mapInArrow(words.frugal(_counts(k, ngram_join.SKETCH_BITS, ngram_join.CHUNK)), "chunk int, counts binary").repartition("chunk")
+    levels = np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8)
+    for row in rows.mapInArrow(ngram_join._add, "chunk int, level binary").collect():  # 1 MB at most
+        levels[row["chunk"] * ngram_join.CHUNK : (row["chunk"] + 1) * ngram_join.CHUNK] = np.frombuffer(row["level"], np.uint8)
+    return levels
+
+
+def _spelled(folded: bytes, start: np.ndarray, end: np.ndarray, low: int, high: int) -> list[str]:
+    return [folded[a:b].decode() for a, b in zip(start[low:high].tolist(), end[low:high].tolist(), strict=True)]
+
+
+def _windows(window: int, shingle: int, levels):
+    """Windows of items: their words, and of their shingles of k words the rarest one's place and hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = levels.value
+        for batch in batches:
+            data, at = words.buffers(batch.column(1))
+            names = batch.column(0).to_pylist()
+            for i, j in words.pieces(at):
+                h, start, end, of = words.words(data, at[i : j + 1], words.WORDLIKE)
+                folded = words.FOLD[data].tobytes()
+                for item in range(j - i):
+                    low, high = int(of[item]), int(of[item + 1])
+                    size = min(window, high - low)
+                    if not size:
+                        continue
+                    k = min(shingle, size)
+                    s = words.shingles(h[low:high], k)
+                    rank = level[(s & np.uint64(len(level) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
+                    offset = np.lib.stride_tricks.sliding_window_view(rank, size - k + 1).argmin(1)
+                    every = _spelled(folded, start, end, low, high)
+                    n = len(offset)
+                    columns = [pa.array([names[i + item]] * n, pa.string()), pa.array([" ".join(every[w : w + size]) for w in range(n)], pa.string()), pa.array(np.full(n, size, np.int32)), pa.array(np.full(n, k, np.int32)), pa.array(offset.astype(np.int32)), pa.array(s[np.arange(n) + offset].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["item_id", "w", "size", "k", "offset", "h"])
 
     return run
 
 
-def _block_udf(sent):
-    """A column of (n_words, hit, items) from the text and the hit words and items of earlier blocks."""
+def _bitmap(prefixes: DataFrame) -> np.ndarray:
+    """Two bits for the hash of each prefix, of 2^FILTER_BITS."""
+    mask = F.lit((1 << FILTER_BITS) - 1).cast("long")
+    each = prefixes.select(F.explode(F.array(F.col("h").bitwiseAND(mask) + 1, F.shiftrightunsigned("h", 32).bitwiseAND(mask) + 1)).alias("bit"))
+    parts = each.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(max(1 << FILTER_BITS, 1 << 15) // 8, np.uint8)
+    for row in parts.collect():  # 4 kB for each 2^15 bits
+        at = (row["bucket"] - 1) * 4096
+        part = np.frombuffer(row["bits"], np.uint8)
+        out[at : at + len(part)] = part[: len(out) - at]
+    return out
+
+
+def _places(s: np.ndarray, bits: np.ndarray, n_bits: int) -> np.ndarray:
+    """Places of s whose hash has both bits set."""
+    mask = np.uint64((1 << n_bits) - 1)
+    held = lambda x: bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8) & 1
+    at = np.flatnonzero(held(s & mask))
+    return at[held(s[at] >> np.uint64(32) & mask) > 0]
 
-    @F.pandas_udf("n_words long, n_hit long, hit binary, items array<string>")
-    def mark(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        model = sent.value
-        on = {k: _filter(p[0]) for k, p in model["prefix"].items()}
-        for texts, hits, named in batches:
-            data, at = words.buffers(pa.array(texts, pa.large_string(), from_pandas=True))
-            n_words, n_hit, out, names = [], [], [], []
+
+def _marked(window: int, shingle: int, sizes: list[int], bitmap, n_bits: int):
+    """A text's number of words, and the places that may hold a prefix, with as many words around as a window could have there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for batch in batches:
+            data, at = words.buffers(batch.column(1))
+            n_words, places = [], []
             for i, j in words.pieces(at):
                 h, start, end, of = words.words(data, at[i : j + 1], words.WORDLIKE)
-                n_words += np.diff(of).tolist()
-                hit, got = np.zeros(len(h), bool), {}
-                for k, (keys, window, offset) in model["prefix"].items():
+                n_words.append(np.diff(of))
+                found: list[list[dict]] = [[] for _ in range(j - i)]
+                for k in sizes:
                     s = words.shingles(h, k)
-                    places = _places(s, on[k], keys)
-                    low, high = np.searchsorted(keys, s[places]), np.searchsorted(keys, s[places], "right")
-                    for p, a, b in zip(places.tolist(), low.tolist(), high.tolist(), strict=True):
+                    for p in _places(s, bits, n_bits).tolist():
                         row = int(np.searchsorted(of, p, "right")) - 1
-                        for c in range(a, b):
-                            want = model["words"][window[c]]
-                            begin = p - int(offset[c])
-                            # positional and length bounds, then the words themselves
-                            if begin < of[row] or begin + len(want) > of[row + 1]:
-                                continue
-                            if all(words.FOLD[data[start[begin + x] : end[begin + x]]].tobytes() == w for x, w in enumerate(want)):
-                                hit[begin : begin + len(want)] = True
-                                got.setdefault(row, set()).update(model["items"][window[c]])
-                for row in range(j - i):
-                    mine = hit[of[row] : of[row + 1]]
-                    if (before := hits.iloc[i + row]) is not None and len(before):
-                        mine = mine | np.unpackbits(np.frombuffer(before, np.uint8), count=len(mine)).astype(bool)
-                    old = named.iloc[i + row]
-                    n_hit.append(int(mine.sum()))
-                    out.append(np.packbits(mine).tobytes() if mine.any() else b"")
-                    names.append(sorted(got.get(row, set()) | set(old if old is not None else ())))
-            yield pd.DataFrame({"n_words": n_words, "n_hit": n_hit, "hit": out, "items": names})
-
-    return mark
-
-
-def _block(rows: DataFrame, items: DataFrame, window: int, shingle: int) -> dict | None:
-    """The windows of a block of items with their rarest shingles by count over all rows; None without a window."""
-    model = Windows(items.distinct().toPandas().sort_values(["item_id", "text"], ignore_index=True), window, shingle)
-    if not model.words:
-        return None
-    counts = {k: np.zeros(len(v), np.int64) for k, v in model.keys.items()}
-    found = rows.select("_text").mapInArrow(_frequencies(model.keys), "k int, key long, n long").groupBy("k", "key").agg(F.sum("n").alias("n")).toPandas()
-    for k, part in found.groupby("k"):
-        counts[k][part["key"]] = part["n"]
-    model.order(counts)
-    return {"prefix": model.prefix, "words": model.words, "items": model.items}
-
-
-def _joined_udf():
-    """A text's number of words, and the hit words of all blocks together."""
-
-    @F.pandas_udf("n_words long, n_hit long, items array<string>")
-    def join(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, hits, named in batches:
-            data, at = words.buffers(pa.array(texts, pa.large_string(), from_pandas=True))
-            n_words = np.concatenate([np.zeros(0, np.int64), *(np.diff(words.words(data, at[i : j + 1], words.WORDLIKE)[3]) for i, j in words.pieces(at))])
-            n_hit = []
-            for bits, n in zip(hits, n_words.tolist(), strict=True):
-                every = np.zeros(n, bool)
-                for b in bits if bits is not None else ():
-                    every |= np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool)
-                n_hit.append(int(every.sum()))
-            yield pd.DataFrame({"n_words": n_words, "n_hit": n_hit, "items": [sorted(set(x)) if x is not None else [] for x in named]})
-
-    return join
+                        first, last = int(of[row]), int(of[row + 1])
+                        if p + k > last:
+                            continue
+                        low, high = (max(first, p - window + k), min(last, p + window)) if k == shingle else (p, p + k)
+                        around = [words.FOLD[data[start[x] : end[x]]].tobytes().decode() for x in range(low, high)]
+                        found[row].append({"k": k, "h": int(s[p : p + 1].view(np.int64)[0]), "pos": p - first, "before": p - low, "words": around})
+                places += found
+            counts = np.concatenate([np.zeros(0, np.int64), *n_words])
+            kind = pa.list_(pa.struct([("k", pa.int32()), ("h", pa.int64()), ("pos", pa.int64()), ("before", pa.int32()), ("words", pa.list_(pa.string()))]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(places, kind)], ["doc_id", "n_words", "places"])
+
+    return run
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS,
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """docs' id as doc_id with n_words, n_hit, n_items, items (sorted item ids) and contaminated, a row for each row of docs.
@@ -184,36 +142,36 @@ def decontaminate(
     id; items with a null id hit words but have no name to list. An empty benchmark hits nothing, an empty table gives no rows;
     rows that repeat or share an id are judged each by itself. Other columns aren't read.
 
-    A window is contained as a set of its shingles before it is compared word by word, so its rarest one
-    (by its count over all documents) suffices to find it: documents' shingles are looked up among these
-    prefixes, the shingle's place must leave room for the whole window in the document, and then all
-    words are compared. A benchmark of more than block_windows windows, by its characters, is dealt into blocks of items, of which
-    one at a time is in the driver and is sent to the tasks; the rows that a block hits are stored before the next.
-    One item lies in one block, however long it is.
+    A window is contained as a set of its shingles before it is compared word by word. As all of them have to be there, a prefix of one is
+    necessary: the rarest by a sketch of all documents. Documents' shingles that a bitmap of the prefixes doesn't rule out are joined with these by
+    their hash; the shingle's place must leave room for the whole window, and then all words are compared. Documents are read twice,
+    once for the sketch, whatever the benchmark; it may be larger than they are. The driver gets the sketch and the bitmap, of fixed sizes, and no text. Only places,
+    with the words around them, are shuffled; a place that many documents share meets the few windows that have it as their rarest.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]  # words, and so windows, are at most half of the characters
-    blocks = max(1, -(-int(size) // (2 * block_windows)))
-    none = [F.lit(None).cast("binary"), F.lit(None).cast("array<string>")]
-    if blocks == 1:
-        sent = spark.sparkContext.broadcast(_block(rows, items, window, shingle) or {"prefix": {}, "words": [], "items": []})
-        out = rows.withColumn("_m", _block_udf(sent)("_text", *none))
-    else:
-        rows = shared.materialise(rows.withColumn("_row", F.monotonically_increasing_id()))
-        stored = []
-        for b in range(blocks):
-            model = _block(rows, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b), window, shingle)
-            if model is not None:
-                sent = spark.sparkContext.broadcast(model)
-                marked = rows.select("_row", _block_udf(sent)("_text", *none).alias("_m")).where("_m.n_hit > 0")
-                stored.append(shared.materialise(marked.select(F.col("_row").alias("_of"), "_m.hit", "_m.items")))
-                sent.destroy()
-        hits = spark.createDataFrame([], "_of long, hit binary, items array<string>")
-        for part in stored:
-            hits = hits.unionByName(part)
-        hits = hits.groupBy("_of").agg(F.collect_list("hit").alias("_hits"), F.flatten(F.collect_list("items")).alias("_items"))  # a hit of each block at most
-        out = rows.join(hits, F.col("_row") == F.col("_of"), "left").withColumn("_m", _joined_udf()("_text", "_hits", "_items"))
-    n_items = F.size("_m.items").cast("long").alias("n_items")
-    return out.select("doc_id", "_m.n_words", "_m.n_hit", n_items, "_m.items", (F.col("_m.n_hit") > 0).alias("contaminated"))
+    context = spark.sparkContext
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text")).distinct()
+    levels = context.broadcast(shingle_levels(rows.select("_text"), shingle))
+    windows = shared.materialise(items.mapInArrow(words.frugal(_windows(window, shingle, levels)), "item_id string, w string, size int, k int, offset int, h long"))
+    prefixes = windows.select("w", "size", F.col("k").alias("_k"), "offset", F.col("h").alias("_h")).distinct()
+    sizes = sorted(r["k"] for r in windows.select("k").distinct().collect())  # at most as many as a shingle has words
+    bitmap = context.broadcast(_bitmap(windows.select("h")))
+    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("places", T.ArrayType(_PLACE))])
+    marked = shared.materialise(rows.mapInArrow(words.frugal(_marked(window, shingle, sizes, bitmap, FILTER_BITS)), schema).withColumn("_row", F.monotonically_increasing_id()))
+
+    places = marked.where(F.size("places") > 0).select("_row", F.inline("places"))
+    first = F.col("before") - F.col("offset")
+    room = (first >= 0) & (first + F.col("size") <= F.size("words"))
+    # The words are compared where hashes are equal, and are no key of the join.
+    same = F.coalesce(F.array_join(F.slice("words", first + 1, F.col("size")), " ") == F.col("w"), F.lit(False))
+    met = places.join(prefixes, (F.col("h") == F.col("_h")) & (F.col("k") == F.col("_k"))).where(room).where(same)
+    hits = shared.materialise(met.select("_row", (F.col("pos") - F.col("offset")).alias("begin"), "size", "w"))
+    spans = hits.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("begin", (F.col("begin") + F.col("size")).alias("end")))).alias("s"))
+    covered = F.expr("aggregate(s, struct(0L as n, 0L as upto), (a, x) -> struct(a.n + greatest(0L, x.end - greatest(x.begin, a.upto)) as n, greatest(x.end, a.upto) as upto), a -> a.n)")
+    named = hits.select("_row", "w").distinct().join(windows.where("item_id is not null").select("w", "item_id").distinct(), "w")
+    named = named.groupBy("_row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    told = spans.select("_row", covered.alias("n_hit")).join(named, "_row", "left").withColumnRenamed("_row", "_of")
+    out = marked.select("_row", "doc_id", "n_words").join(told, F.col("_row") == F.col("_of"), "left")
+    listed, n_hit = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0).cast("long"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"), (n_hit > 0).alias("contaminated"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from duosig.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join, pii, quotation, secret_scan, shared, spans, url_filter, warc, words
 
 WORDS = "the of and ring stone quick lazy fox dog sun moon tree leaf root bark".split()
+HOT = "one passage of ten words and one more that all share"
 DOCS = "doc_id long, text string, lang string, source string, n string, rep string, row string, kept string"
 
 
@@ -104,7 +105,7 @@ def test_components(spark):
     assert shared.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_decontaminate(spark, documents):
+def test_decontaminate(spark, documents, monkeypatch):
     texts = [t for _, t in rows_of(documents) if t]
     bench = [(1, " ".join(texts[0].split()[:25])), (2, "a b"), (3, None), (4, "!!"), (5, texts[1].upper()), (5, "other words"), (6, "a b")]
     items = spark.createDataFrame(bench, "item_id long, text string")
@@ -124,12 +125,41 @@ def test_decontaminate(spark, documents):
                     hit |= set(range(j, j + len(key)))
                     named |= ids
         want.append((d, len(w), len(hit), len(named), sorted(named), bool(hit)))
-    for block in (200_000, 20):
-        got = [(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], list(r["items"]), r["contaminated"]) for r in decontaminate.decontaminate(documents, items, block_windows=block).collect()]
+    for bits in (25, 4):  # with few bits, most places have to be told apart by the join
+        monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
+        got = [(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], list(r["items"]), r["contaminated"]) for r in decontaminate.decontaminate(documents, items).collect()]
         assert sorted(map(str, got)) == sorted(map(str, want))
     assert not any(r["contaminated"] for r in decontaminate.decontaminate(documents, items.limit(0)).collect())
 
 
+def test_a_benchmark_larger_than_the_corpus(spark, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 12)
+    bench = [(i, sentence(rng, rng.randrange(1, 60))) for i in range(1500)] + [(5000 + i, f"{sentence(rng, 9)} {HOT}") for i in range(40)]
+    docs = [(i, f"{sentence(rng, 20)} {HOT if i % 3 else ''} {bench[i][1] if i % 5 == 0 else ''}") for i in range(60)]
+    jobs = []
+    for part in (bench[:50], bench):
+        before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+        found = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(part, "item_id long, text string")).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(before))
+    assert abs(jobs[0] - jobs[1]) <= 2  # jobs don't grow with the benchmark
+    every = collections.defaultdict(set)
+    for i, t in bench:
+        w = t.lower().split()
+        n = min(10, len(w))
+        for j in range(len(w) - n + 1):
+            every[tuple(w[j : j + n])].add(str(i))
+    for r in found:
+        w, hit, named = dict(docs)[r["doc_id"]].lower().split(), set(), set()
+        for n in range(1, 11):
+            for j in range(len(w) - n + 1):
+                if (key := tuple(w[j : j + n])) in every:
+                    hit |= set(range(j, j + n))
+                    named |= every[key]
+        assert (r["n_hit"], list(r["items"])) == (len(hit), sorted(named))
+    assert sum(r["n_items"] > 0 for r in found) > 10
+
+
 def test_language_id(spark):
     rng = random.Random(5)
     alike = {"en": ["the", "ing", "th", "er"], "fr": ["eau", "oux", "ille", "é"]}
