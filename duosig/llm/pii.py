@@ -144,8 +144,17 @@ def _described(kind: str, strict: bool, domains: list[str]):
     return seen
 
 
-def _apart(a: Column, b: Column) -> Column:
-    return (a["stop"] <= b["start"]) | (b["stop"] <= a["start"])
+def _up_to(listed: str, field: str, bound: str) -> str:
+    """How many of the spans in column listed, which are apart and sorted, have a field at or below bound: by halves, as both ends rise from span to span."""
+    middle = "(a.lo + a.hi) div 2"
+    halve = f"if(a.lo >= a.hi, a, if({listed}[{middle}].{field} <= {bound}, struct({middle} + 1 as lo, a.hi as hi), struct(a.lo as lo, {middle} as hi)))"
+    return f"aggregate(sequence(0, 1 + int(log2(1 + size({listed})))), struct(0L as lo, bigint(size({listed})) as hi), (a, _) -> {halve}, a -> a.lo)"
+
+
+def _meeting(listed: str, span: str) -> str:
+    """The spans in column listed that overlap span: a slice of it. Spans of one pattern are apart, so that all spans of a text together have few more of these than spans."""
+    low = _up_to(listed, "stop", f"{span}.start")
+    return f"slice({listed}, int({low}) + 1, greatest(0, int({_up_to(listed, 'start', f'{span}.stop - 1')} - {low})))"
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -165,8 +174,12 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         made.append(F.transform(column, _described(kind, strict, domains)).alias(f"_c{i}"))
     rows = rows.select("doc_id", *made)
     n = len(KINDS)
-    rows = rows.select("doc_id", *[F.size(f"_c{i}").cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)], F.concat(*[F.col(f"_c{i}") for i in range(n)]).alias("base"), F.concat(*[F.col(f"_c{i}") for i in range(n, len(sets))]).alias("wide"))
-    rows = rows.withColumn("wide", F.when((F.size("base") > 0) & (F.size("wide") > 0), F.filter("wide", lambda w: F.forall("base", lambda b: _apart(b, w)))).otherwise(F.col("wide")))
+    # Each pattern's spans are sorted and apart: a wide span looks up those of every base pattern around it.
+    free = " and ".join(f"size({_meeting(f'_c{i}', 'w')}) = 0" for i in range(n))
+    base = [F.col(f"_c{i}") for i in range(n)]
+    held = F.size(F.concat(*base)) > 0
+    clear = [F.when(held & (F.size(f"_c{i}") > 0), F.expr(f"filter(_c{i}, w -> {free})")).otherwise(F.col(f"_c{i}")) for i in range(n, len(sets))]
+    rows = rows.select("doc_id", *[F.size(c).cast("long").alias(f"n_{k}") for c, k in zip(base, KINDS, strict=True)], F.concat(*base).alias("base"), F.concat(*clear).alias("wide"))
     # The company labeler: other spans in the document, of which at least one matches a kind's own pattern.
     company = F.when((F.size("base") > 0) & (F.size("base") + F.size("wide") > 1), ",1").otherwise(",0")
     vote = lambda s: s.withField("votes", F.concat(s["votes"], company))
@@ -247,7 +260,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         return F.transform(spans_, score)
 
     out = found.select("doc_id", *[f"n_{k}" for k in KINDS], scored(F.col("base")).alias("base"), scored(F.col("wide")).alias("_wide"))
-    out = out.withColumn("_wide", F.filter("_wide", lambda w: w["score"] >= threshold))
-    better = lambda w, x: F.struct(-x["score"], x["start"], x["k"]) < F.struct(-w["score"], w["start"], w["k"])
-    free = F.when(F.size("_wide") > 1, F.filter("_wide", lambda w: F.forall("_wide", lambda x: _apart(w, x) | ~better(w, x)))).otherwise(F.col("_wide"))
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS], "base", free.alias("added"))
+    # By pattern again, so that each one's spans are apart; they are sorted.
+    parts = [f"_w{i}" for i in range(len(WIDE))]
+    held = out.withColumns({part: F.expr(f"filter(_wide, w -> w.kind = '{kind}' and w.score >= {float(threshold)!r}D)") for part, (kind, *_) in zip(parts, WIDE, strict=True)})
+    better = "struct(-x.score, x.start, x.k) < struct(-w.score, w.start, w.k)"
+    best = " and ".join(f"not exists({_meeting(part, 'w')}, x -> {better})" for part in parts)
+    every = F.concat(*parts)
+    free = F.when(F.size(every) > 1, F.concat(*[F.expr(f"filter({part}, w -> {best})") for part in parts])).otherwise(every)
+    return held.select("doc_id", *[f"n_{k}" for k in KINDS], "base", F.array_sort(free).alias("added"))
