@@ -17,6 +17,24 @@ def half_precision(x: Column) -> Column:
     return F.when(size == 0, 0.0).when(size >= 65520, F.signum(x) * float("inf")).otherwise(rounded)
 
 
+def half_bits(x: Column) -> Column:
+    """The 16 bits of x in half precision, as a short."""
+    y = half_precision(x)
+    size = F.abs(y)
+    exponent = F.greatest(F.floor(F.log2(F.when(size > 0, size))), F.lit(-14))
+    bits = (exponent + 14) * 1024 + size / F.pow(F.lit(2.0), exponent - 10)
+    bits = F.when(F.isnan(y), 32256).when(size == 0, 0).when(size > 65504, 31744).otherwise(bits).cast("int")
+    return F.when(y < 0, bits - 32768).otherwise(bits).cast("short")
+
+
+def half_of_bits(bits: Column) -> Column:
+    """The number whose half precision has these 16 bits, as a double."""
+    part = F.when(bits < 0, bits.cast("int") + 32768).otherwise(bits.cast("int"))
+    exponent, fraction = F.floor(part / 1024), part % 1024
+    size = F.when(exponent == 0, fraction * F.lit(2.0**-24)).when(exponent < 31, (1024 + fraction) * F.pow(F.lit(2.0), exponent - 25)).when(fraction == 0, float("inf")).otherwise(float("nan"))
+    return F.when(bits < 0, -size).when(bits.isNotNull(), size)
+
+
 def kolmogorov_sf(x: Column) -> Column:
     """Survival function of the Kolmogorov distribution; 1 below 0.2, where the series converges slowly."""
     terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * k * k * x * x))

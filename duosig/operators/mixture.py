@@ -6,6 +6,7 @@ depth; each group is fitted apart, so Spark spreads windows over the cluster.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 FIT = "mu1 array<double>, mu2 array<double>, cov1 array<double>, cov2 array<double>, low array<double>, high array<double>, w array<double>, counts array<struct<cond:int,rep:int,n:array<double>>>"
 
 
+#: Seedings of the two means, of which the best stays.
+RESTARTS = 3
+
+
 @dataclass(frozen=True)
 class FitOptions:
     """How a window is fitted.
@@ -134,22 +139,38 @@ def _far_from_dense(x: np.ndarray, eps: float, least: float) -> np.ndarray:
     return ~np.concatenate([near(b, x[core]).any(1) for b in blocks])
 
 
-def _two_means(x: np.ndarray, options: FitOptions = FitOptions()) -> tuple[np.ndarray, np.ndarray]:
-    """The nearer of two means, and labels: 0 and 1 of two means, started at the extremes of the first principal direction; 2 for outliers."""
-    far = _far_from_dense(x, options.eps, options.share * len(x)) if options.outliers == "dbscan" else np.zeros(len(x), bool)
-    if far.all():
-        return np.zeros(len(x), int), np.full(len(x), 2)
-    used = x[~far]
-    centred = used - used.mean(0)
-    along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0]
-    means = used[[along.argmin(), along.argmax()]]
+def _drawn(x: np.ndarray, restart: int, draw: int) -> float:
+    """A number in [0, 1) for the rows, a restart and a draw of it: the same wherever and however often the window is fitted."""
+    return zlib.crc32(f"{restart}:{draw}".encode(), zlib.crc32(np.ascontiguousarray(x, float).tobytes())) / 2**32
+
+
+def _seeds(x: np.ndarray, restart: int) -> np.ndarray:
+    """Two rows to start from: one drawn evenly, the other in proportion to its squared distance from that."""
+    first = x[int(_drawn(x, restart, 0) * len(x))]
+    far = np.cumsum(((x - first) ** 2).sum(1))
+    second = x[min(int(np.searchsorted(far, _drawn(x, restart, 1) * far[-1], "right")), len(x) - 1)]
+    return np.array([first, second])
+
+
+def _lloyd(x: np.ndarray, means: np.ndarray) -> tuple[float, np.ndarray]:
+    """Inertia and means once they stand still, after at most 100 steps."""
     for _ in range(100):
-        label = np.linalg.norm(used[:, None] - means[None], axis=2).argmin(1)
-        new = np.array([used[label == k].mean(0) if (label == k).any() else means[k] for k in (0, 1)])
+        label = ((x[:, None] - means[None]) ** 2).sum(2).argmin(1)
+        new = np.array([x[label == k].mean(0) if (label == k).any() else means[k] for k in (0, 1)])
         moved = np.abs(new - means).max()
         means = new
         if moved < 1e-6:
             break
+    return float(((x[:, None] - means[None]) ** 2).sum(2).min(1).sum()), means
+
+
+def _two_means(x: np.ndarray, options: FitOptions = FitOptions()) -> tuple[np.ndarray, np.ndarray]:
+    """The nearer of two means, and labels: 0 and 1 of two means, the best of RESTARTS by inertia, ties to the first; 2 for outliers."""
+    far = _far_from_dense(x, options.eps, options.share * len(x)) if options.outliers == "dbscan" else np.zeros(len(x), bool)
+    if far.all():
+        return np.zeros(len(x), int), np.full(len(x), 2)
+    used = x[~far]
+    means = min((_lloyd(used, _seeds(used, r)) for r in range(RESTARTS)), key=lambda found: found[0])[1]
     dist = np.linalg.norm(x[:, None] - means[None], axis=2)
     label, near = dist.argmin(1), dist.min(1)
     if options.outliers == "mad":

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..operators import events as ev
-from ..operators import mixture, report, splits
+from ..operators import em, mixture, report, splits
 from ..operators import statistics as st
-from ..sources import readers
+from ..sources import readers, store
 from . import sql, views, workflow
 from .views import table
 
@@ -228,6 +228,19 @@ def em_1d(spark, sf):
     return p.select("event_type", *[R(n, 4).alias(n) for n in ("w1", "mu1", "mu2", "v1", "v2")])
 
 
+SUM_STEPS = 3
+
+
+def em_windows(spark, sf):
+    """The mixture of every window by sums, after a fixed number of steps from labels by the mean."""
+    mean = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x) / 3
+    v = views.stored(views.vectors(spark, sf))
+    depth = v.groupBy(*em.SAMPLE).agg(F.count("*").alias("depth"))
+    rows = v.join(depth, em.SAMPLE).withColumns({"label": F.when(mean < 65, 0).when(mean < 75, 1).otherwise(2), "nearer": F.when(mean < 70, 0).otherwise(1)})
+    m = em.fit_by_sums(rows, 3, steps=SUM_STEPS)
+    return m.select("gene", "centre", *[R(F.col(f"mu{k}")[i], 4).alias(f"mu{k}_{i}") for k in (1, 2) for i in range(3)], *[R(F.col(f"cov{k}")[3 * i + j], 4).alias(f"c{k}_{i}{j}") for k in (1, 2) for i in range(3) for j in range(i + 1)], *[R(F.col("w")[k], 4).alias(f"w{k}") for k in range(3)])
+
+
 def gmm_fit(spark, sf):
     return mixture.fit_windows(_fit_input(spark, sf)).drop("counts")
 
@@ -357,6 +370,18 @@ def store_roundtrip(spark, sf):
     return readers.read_store(spark, path).groupBy(F.col("sample").cast("string").alias("sample"), "gene_id", "pos").agg(F.count("*").alias("n"), R(F.avg("mean"), 4).alias("mean"))
 
 
+def store_encoded(spark, sf):
+    """Both conditions added to an encoded store one after the other, and what it gives back."""
+    raw = views.raw_events(spark, sf)
+    text = lambda c: F.col(c).cast("string")
+    e = raw.select("cond", text("gene").alias("gene_id"), text("l_suppkey").alias("transcript_id"), F.lit("c").alias("chrom"), F.lit("+").alias("strand"), "pos", F.lit("AAAAA").alias("kmer"), text("read").alias("read_id"), "mean", F.lit(0.0).alias("std"), "duration", F.struct(*views.ORDER).alias("row_no"))
+    made = store.Store(spark, views.scratch(spark), buckets=8)
+    for cond in (0, 1):
+        made.add(e.where(F.col("cond") == cond).drop("cond"), f"c{cond}")
+    back = made.events("c0").withColumn("sample", F.lit("c0")).unionByName(made.events("c1").withColumn("sample", F.lit("c1")))
+    return back.groupBy("sample", "gene_id", "pos").agg(F.count("*").alias("n"), R(F.avg("mean"), 4).alias("mean"), R(F.avg("duration"), 4).alias("duration"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Significant windows of every gene of the whole table."""
     return st.flip(_found(spark, sf).rows)
@@ -379,8 +404,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         scan_project_cast, lookup_read_names, gtf_attrs, gtf_parse, exon_cumsum, liftover, run_collapse, run_collapse_splits, pooled_stats, f16_quantise, dedupe_first, stall_filter, dict_encode, kmer_last_wins, window_kmers,
         shared_genes, shared_transcripts, valid_positions, valid_windows, window_depth, window_vectors, pivot_matrix, pooled_union, topk_subsample, ks_2samp, pca_comp1, pca_kstest, ks_gate, mad, kmeans_init,
-        dbscan_noise, cluster_weights, combined_weights, gmm_init, em_1d, gmm_fit, gmm_counts, posterior_1d, g_test_2x2, g_test_hom, log_odds, bh_fdr, sig_filter, sm_semi_join, kmer_prior_join, kmer_shift,
-        orient_components, flip_results, bed_format, sm_json, cigar_max_indel, aln_filter, gene_dim_join, gene_subset, store_roundtrip, flagship, significant_bed,
+        dbscan_noise, cluster_weights, combined_weights, gmm_init, em_1d, em_windows, gmm_fit, gmm_counts, posterior_1d, g_test_2x2, g_test_hom, log_odds, bh_fdr, sig_filter, sm_semi_join, kmer_prior_join, kmer_shift,
+        orient_components, flip_results, bed_format, sm_json, cigar_max_indel, aln_filter, gene_dim_join, gene_subset, store_roundtrip, store_encoded, flagship, significant_bed,
     ]
     return {f.__name__: f for f in own}
 

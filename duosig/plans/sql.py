@@ -114,6 +114,45 @@ p{k + 1} AS (SELECT event_type, s1 / n AS w1, x1 / s1 AS mu1, (x - x1) / (n - s1
     return ",\n".join(out) + f"\nSELECT event_type, round(w1, 4) AS w1, round(mu1, 4) AS mu1, round(mu2, 4) AS mu2, round(v1, 4) AS v1, round(v2, 4) AS v2 FROM p{steps}"
 
 
+def _em_windows(steps: int) -> str:
+    """CTEs from vec to the parameters of each window after so many steps of a mixture of two Gaussians and a box, with weights of each sample's own."""
+    lower = [(i, j) for i in range(3) for j in range(i + 1)]
+    key, sample = "gene, centre", "gene, centre, cond, rep"
+    join = lambda f, parts: ", ".join(f(*x) for x in parts)
+    both = [(k, i) for k in (1, 2) for i in range(3)]
+    cells = [(k, i, j) for k in (1, 2) for i, j in lower]
+    out = [f"""ax AS (SELECT {key}, avg(v0) AS a0, avg(v1) AS a1, avg(v2) AS a2 FROM vec GROUP BY {key}),
+xs AS (SELECT {', '.join('v.' + c for c in sample.split(', '))}, v0 - a0 AS x0, v1 - a1 AS x1, v2 - a2 AS x2, CASE WHEN (v0 + v1 + v2) / 3 < 65 THEN 0 WHEN (v0 + v1 + v2) / 3 < 75 THEN 1 ELSE 2 END AS label, CASE WHEN (v0 + v1 + v2) / 3 < 70 THEN 0 ELSE 1 END AS nearer
+  FROM vec v JOIN ax a ON v.gene = a.gene AND v.centre = a.centre),
+ini AS (SELECT {key}, count(*) FILTER (nearer = 0) AS b1, count(*) FILTER (nearer = 1) AS b2, """
+        + join(lambda k, i: f"CASE WHEN count(*) FILTER (label = {k - 1}) > 3 THEN avg(x{i}) FILTER (label = {k - 1}) ELSE avg(x{i}) FILTER (nearer = {k - 1}) END AS m{k}{i}", both) + ", "
+        + join(lambda k, i, j: f"CASE WHEN count(*) FILTER (label = {k - 1}) > 3 THEN covar_pop(x{i}, x{j}) FILTER (label = {k - 1}) ELSE covar_pop(x{i}, x{j}) FILTER (nearer = {k - 1}) END AS c{k}{i}{j}", cells) + ", "
+        + ", ".join(f"coalesce(min(x{i}) FILTER (label = 2), min(x{i})) AS low{i}, coalesce(max(x{i}) FILTER (label = 2), max(x{i})) AS high{i}" for i in range(3)) + f""" FROM xs GROUP BY {key}),
+sw0 AS (SELECT {sample}, count(*) AS used, """ + ", ".join(f"(count(*) FILTER (label = {k}) + 0.5::DOUBLE) / (count(*) + 1.5::DOUBLE) AS w{k}" for k in range(3)) + f""" FROM xs GROUP BY {sample}),
+pp0 AS (SELECT * FROM ini WHERE b1 > 0 AND b2 > 0)"""]
+    for t in range(steps):
+        keep = repr(1 - 0.99 * (3.0 + t) ** -0.001) + "::DOUBLE"
+        rest = repr(0.99 * (3.0 + t) ** -0.001) + "::DOUBLE"
+        first = ", ".join(f"sqrt(c{k}00) AS l{k}00, c{k}10 / sqrt(c{k}00) AS l{k}10, c{k}20 / sqrt(c{k}00) AS l{k}20" for k in (1, 2))
+        second = ", ".join(f"sqrt(c{k}11 - l{k}10 * l{k}10) AS l{k}11, (c{k}21 - l{k}20 * l{k}10) / sqrt(c{k}11 - l{k}10 * l{k}10) AS l{k}21" for k in (1, 2))
+        third = ", ".join(f"sqrt(c{k}22 - l{k}20 * l{k}20 - l{k}21 * l{k}21) AS l{k}22" for k in (1, 2))
+        solve = ["", ", ".join(f"(x0 - m{k}0) / l{k}00 AS z{k}0" for k in (1, 2)), ", ".join(f"(x1 - m{k}1 - l{k}10 * z{k}0) / l{k}11 AS z{k}1" for k in (1, 2)), ", ".join(f"(x2 - m{k}2 - l{k}20 * z{k}0 - l{k}21 * z{k}1) / l{k}22 AS z{k}2" for k in (1, 2))]
+        dens = ", ".join(f"w{k - 1} * exp(-(z{k}0 * z{k}0 + z{k}1 * z{k}1 + z{k}2 * z{k}2) / 2) / (pow(2 * pi(), 1.5::DOUBLE) * l{k}00 * l{k}11 * l{k}22) AS f{k - 1}" for k in (1, 2))
+        inside = " AND ".join(f"x{i} BETWEEN low{i} AND high{i}" for i in range(3))
+        width = " * ".join(f"greatest(high{i} - low{i}, 1e-6::DOUBLE)" for i in range(3))
+        out.append(f"""tri{t} AS (SELECT *, {third} FROM (SELECT *, {second} FROM (SELECT *, {first} FROM pp{t}))),
+joined{t} AS (SELECT x.{sample.replace(', ', ', x.')}, x0, x1, x2, w0, w1, w2, q.* EXCLUDE ({key}) FROM xs x JOIN tri{t} q ON x.gene = q.gene AND x.centre = q.centre JOIN sw{t} s ON x.gene = s.gene AND x.centre = s.centre AND x.cond = s.cond AND x.rep = s.rep),
+den{t} AS (SELECT {sample}, x0, x1, x2, {dens}, CASE WHEN {inside} THEN w2 / ({width}) ELSE 0 END AS f2 FROM (SELECT *, {solve[3]} FROM (SELECT *, {solve[2]} FROM (SELECT *, {solve[1]} FROM joined{t})))),
+res{t} AS (SELECT {sample}, x0, x1, x2, f0 / (f0 + f1 + f2) AS r1, f1 / (f0 + f1 + f2) AS r2, f2 / (f0 + f1 + f2) AS r3 FROM den{t}),
+sum{t} AS (SELECT {key}, sum(r1) AS n1, sum(r2) AS n2, {join(lambda k, i: f'sum(r{k} * x{i}) / sum(r{k}) AS u{k}{i}', both)}, {join(lambda k, i, j: f'sum(r{k} * x{i} * x{j}) / sum(r{k}) AS q{k}{i}{j}', cells)} FROM res{t} GROUP BY {key}),
+sw{t + 1} AS (SELECT {sample}, count(*) AS used, {', '.join(f'(sum(r{k + 1}) + 0.5::DOUBLE) / (count(*) + 1.5::DOUBLE) AS w{k}' for k in range(3))} FROM res{t} GROUP BY {sample}),
+pp{t + 1} AS (SELECT p.gene, p.centre, {join(lambda k, i: f'{keep} * m{k}{i} + {rest} * u{k}{i} AS m{k}{i}', both)}, {join(lambda k, i, j: f'{keep} * c{k}{i}{j} + {rest} * (q{k}{i}{j} - u{k}{i} * u{k}{j}) AS c{k}{i}{j}', cells)},
+  {', '.join(f'low{i}, high{i}' for i in range(3))} FROM pp{t} p JOIN sum{t} s ON p.gene = s.gene AND p.centre = s.centre)""")
+    last = f"ww AS (SELECT {key}, {', '.join(f'sum(w{k} * used) / sum(used) AS w{k}' for k in range(3))} FROM sw{steps} GROUP BY {key})"
+    picked = ", ".join([*(f"round(m{k}{i} + a{i}, 4) AS mu{k}_{i}" for k, i in both), *(f"round(c{k}{i}{j}, 4) AS c{k}_{i}{j}" for k, i, j in cells), *(f"round(w{k}, 4) AS w{k}" for k in range(3))])
+    return _with(*VECTORS, more=(*out, last)) + f"SELECT p.gene, p.centre, {picked} FROM pp{steps} p JOIN ww w ON p.gene = w.gene AND p.centre = w.centre JOIN ax a ON p.gene = a.gene AND p.centre = a.centre"
+
+
 def statements() -> dict[str, str]:
     e, v = ("raw", "dd", "ev"), VECTORS
     ksp = _with(*e, more=(_ks("ev", "gene, pos", "mean"),))
@@ -174,6 +213,7 @@ SELECT event_type, id, id NOT IN (SELECT n.id FROM near n JOIN core ON n.o = cor
         "combined_weights": _with(*e, more=(LABEL, WEIGHTS)) + "SELECT gene, pos, " + ", ".join(f"round(sum(w{k} * n) / sum(n), 6) AS w{k}" for k in range(3)) + " FROM cw GROUP BY ALL",
         "gmm_init": _with(*v, more=(f"lv AS (SELECT *, CASE WHEN {mean3} < 65 THEN 0 WHEN {mean3} < 75 THEN 1 ELSE 2 END AS label FROM vec)",)) + "SELECT gene, centre, label, count(*) AS n, " + ", ".join([f"round(avg(v{i}), 4) AS m{i}" for i in range(3)] + [f"round(covar_pop(v{i}, v{j}), 4) AS c{i}{j}" for i in range(3) for j in range(i, 3)] + [f"round(min(v{i}), 4) AS low{i}" for i in range(3)] + [f"round(max(v{i}), 4) AS high{i}" for i in range(3)]) + " FROM lv GROUP BY ALL",
         "em_1d": _em(5),
+        "em_windows": _em_windows(3),
         "posterior_1d": f"WITH x AS (SELECT event_id, {dens[0]} AS a, {dens[1]} AS b, {dens[2]} AS c FROM events) SELECT event_id, round(a / (a + b + c), 6) AS unmod, round(b / (a + b + c), 6) AS mod, round(c / (a + b + c), 6) AS outlier FROM x",
         "g_test_2x2": f"WITH {COUNTS}, gg AS (SELECT o_orderpriority, {het} AS g FROM cells) SELECT o_orderpriority, round(g, 6) AS g, round(CASE WHEN g = 0 THEN 1.0::DOUBLE ELSE {_chi2('g')} END, 6) AS p FROM gg",
         "g_test_hom": f"""WITH {COUNTS}, gg AS (SELECT o_orderpriority, {het} AS g, ({_g(reps('c'), False)}) + ({_g(reps('t'), False)}) AS hom FROM cells),
@@ -200,5 +240,6 @@ SELECT x.id, flip, {swap('(i % 7) / 7', '1 - (i % 7) / 7')} AS cntrl_frac, {swap
 AND (q * 15)::DOUBLE / (CASE WHEN l_orderkey % 5 = 0 THEN q * 16 ELSE q * 15 + l_partkey % 60 END) >= 0.85::DOUBLE AND l_discount * 2 <= 0.15::DOUBLE AND l_suppkey % 4 >= 1 AND list_max(gaps) <= 15""",
         "gene_dim_join": _with(*e) + "SELECT gene, count(*) AS n, r_name AS chrom FROM ev JOIN region ON gene = r_regionkey WHERE cond = 0 AND rep = 1 GROUP BY ALL",
         "gene_subset": _with(*e) + "SELECT gene, pos, count(*) AS n FROM ev WHERE gene IN (1, 3) GROUP BY ALL",
+        "store_encoded": _with("raw", "dd") + f"SELECT 'c' || cond AS sample, gene::VARCHAR AS gene_id, pos, count(*) AS n, round(avg({HALF.format(x='mean')}), 4) AS mean, round(avg({HALF.format(x='(duration)')}), 4) AS duration FROM dd GROUP BY ALL",
         "store_roundtrip": _with(*e) + f"SELECT cond || '-' || rep AS sample, gene AS gene_id, pos, count(*) AS n, round(avg({HALF.format(x='mean')}), 4) AS mean FROM ev GROUP BY ALL",
     }

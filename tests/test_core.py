@@ -2,6 +2,7 @@
 
 import json
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -93,13 +94,23 @@ def test_fit_by_its_definition(options):
     sample = np.arange(len(x)) % 3
     got = mixture.fit(x, sample, options)
 
-    centred = x - x.mean(0)
-    vals, vecs = np.linalg.eigh(centred.T @ centred)
-    along = centred @ vecs[:, -1]
-    means = [x[along.argmin()], x[along.argmax()]]
-    for _ in range(100):
-        label = [int(((r - means[1]) ** 2).sum() < ((r - means[0]) ** 2).sum()) for r in x]
-        means = [np.mean([r for r, k in zip(x, label, strict=True) if k == j], axis=0) for j in (0, 1)]
+    best = None
+    for restart in range(3):
+        draw = [zlib.crc32(f"{restart}:{d}".encode(), zlib.crc32(x.tobytes())) / 2**32 for d in (0, 1)]
+        first = x[int(draw[0] * len(x))]
+        squares = [float(((r - first) ** 2).sum()) for r in x]
+        upto, means = 0.0, None
+        for r, d in zip(x, squares, strict=True):
+            upto += d
+            if means is None and upto > draw[1] * sum(squares):
+                means = [first, r]
+        for _ in range(100):
+            near = [int(((r - means[1]) ** 2).sum() < ((r - means[0]) ** 2).sum()) for r in x]
+            means = [np.mean([r for r, k in zip(x, near, strict=True) if k == j], axis=0) for j in (0, 1)]
+        inertia = sum(min(((r - m) ** 2).sum() for m in means) for r in x)
+        if best is None or inertia < best[0] - 1e-9:
+            best, label = (inertia, means), near
+    means = best[1]
     if options.outliers == "mad":
         off = [min(math.dist(r, m) for m in means) for r in x]
         middle = float(np.median(off))
