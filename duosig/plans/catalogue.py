@@ -158,6 +158,7 @@ def pca_comp1(spark, sf):
 
 
 def tested_windows(spark, sf, vectors=None):
+    """KS tests of first components over all reads, without the subsample that a test of deep windows draws, so that SQL can state them."""
     v = views.vectors(spark, sf) if vectors is None else vectors
     comp = st.pca_comp1(v, ["gene", "centre"]).withColumn("comp", F.round("comp", 6))  # values that differ by rounding errors alone are ties
     return st.ks_2samp(comp, ["gene", "centre"], "comp")

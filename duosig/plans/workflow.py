@@ -11,7 +11,7 @@ from ..functions.numeric import half_precision
 from ..operators import events as ev
 from ..operators import mixture, report, splits
 from ..operators import statistics as st
-from ..sources import readers
+from ..sources import blocked, readers
 from ..storage import stored
 
 
@@ -52,12 +52,12 @@ def prepare(raw: DataFrame, features: DataFrame | None = None, summary: DataFram
     return _events_of(ev.collapse_runs(lines, ["t_id", "pos", "kmer"], ["r_id"], "row_no", [*ev.pooled(), F.sum("duration").alias("duration"), first]), features)
 
 
-def prepare_files(spark: SparkSession, paths: list[str], features: DataFrame | None = None, summary: DataFrame | None = None) -> DataFrame:
+def prepare_files(spark: SparkSession, paths: list[str], features: DataFrame | None = None, summary: DataFrame | None = None, in_blocks: bool = False) -> DataFrame:
     """As prepare(), from the alignment files of one sample, in their order: lines are collapsed by the tasks that read them, in file order.
 
-    Names of reads are looked up, where there is a summary, once lines are collapsed: indices that share a name stay apart.
+    Files are text, also gzip, of which one task reads a file, or, in_blocks, gzip files in members that state their size, which many tasks read. Names of reads are looked up, where there is a summary, once lines are collapsed: indices that share a name stay apart.
     """
-    raw = splits.in_file_order(spark, paths, lambda path: readers.tsv(spark, path))
+    raw = blocked.blocked_tsv(spark, paths) if in_blocks else splits.in_file_order(spark, paths, lambda path: readers.tsv(spark, path))
     named = "read_name" in raw.columns or summary is None
     lines = readers.eventalign(raw if named else raw.withColumn("read_name", F.col("read_index").cast("string")))
     runs = splits.collapse_splits(lines, KEY)
@@ -161,9 +161,8 @@ class Found:
 def find(vectors: DataFrame, kmers_of, model: DataFrame, options: Options = Options(), tests: DataFrame | None = None) -> Found:
     """All stages for windows: KS gate, mixture, G-test, odds, FDR, orientation. kmers_of: (gene, centre) to (gene, centre, kmers).
 
-    Without a mixture the KS test's p-values of all windows are adjusted, and nothing is oriented.
+    vectors are a stored table, as they are read several times. Without a mixture the KS test's p-values of all windows are adjusted, and nothing is oriented.
     """
-    vectors = stored(vectors)
     tests = stored(ks_tests(vectors, options) if tests is None else tests)
     if not options.gmm:
         rows = st.bh_fdr(tests).where(F.col("fdr") < options.fdr).withColumnRenamed("d", "ks")
@@ -198,7 +197,7 @@ def run(samples: list[DataFrame], conds: list[int], model: DataFrame, options: O
     events, kmers, genes = load_events(samples, conds, options.level)
     events = stored(events)
     locus = events.select("gene", "gene_id").distinct()
-    found = find(window_vectors(events, options), lambda windows: _kmers_of(windows, kmers, genes, locus, options), model, options)
+    found = find(stored(window_vectors(events, options)), lambda windows: _kmers_of(windows, kmers, genes, locus, options), model, options)
     return bed(found, genes, locus, options.window), predictions(found) if options.gmm else None
 
 

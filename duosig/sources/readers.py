@@ -49,16 +49,23 @@ def lookup_read_names(raw: DataFrame, summary: DataFrame, strict: bool = True) -
     return joined.withColumn("read_name", F.coalesce("read_name", missing))
 
 
-#: An attribute of a GTF line: a name, white space, and a value in double quotes.
-ATTRIBUTE = r'([A-Za-z0-9_]+)\s+"([^"]+)"'
+def gtf_attrs(attrs: Column) -> Column:
+    """Quoted attributes as a map: a name, a space, and a value in double quotes, which a semicolon or the line's end follows.
+
+    The last of repeated keys wins; attributes without quotes, with an empty value or with something else behind it are left out. Semicolons within quotes
+    belong to the value. Every second piece between quotes is a value; its name is the last word before it.
+    """
+    parts = F.split(attrs, '"')
 
+    def told(p: Column) -> Column:
+        ends = lambda i: F.get(p, i + 1).startswith(";") | ((F.get(p, i + 1) == "") & (i + 2 == F.size(p)))
+        values = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i % 2 == 1) & (F.get(p, i) != "") & F.coalesce(ends(i), F.lit(False)))
+        name = lambda i: F.element_at(F.split(F.trim(F.substring_index(F.get(p, i - 1), ";", -1)), " "), -1)
+        return F.filter(F.transform(values, lambda i: F.struct(name(i).alias("k"), F.get(p, i).alias("v"))), lambda x: x["k"] != "")
 
-def gtf_attrs(attrs: Column) -> Column:
-    """Quoted attributes as a map; the last of repeated keys wins, unquoted ones are left out."""
-    part = lambda k: F.regexp_extract_all(attrs, F.lit(ATTRIBUTE), F.lit(k))
-    pairs = F.arrays_zip(part(1).alias("k"), part(2).alias("v"))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(last)
+    # What is used more than once is bound once, as the only element of an array.
+    last = lambda q: F.filter(q, lambda x, i: ~F.exists(F.slice(q, i + 2, F.size(q)), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(F.transform(F.transform(F.array(parts), told), last)[0])
 
 
 def gtf(lines: DataFrame, ftype: str = "exon", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -14,6 +14,8 @@ from ..storage import stored
 
 #: Positions of a gene that share a bucket, so that a gene with many events is in several.
 REGION = 1024
+#: Events of a page, the least that is read of a file: a few genes' events are few pages.
+PAGE_ROWS = 4096
 HALVES = ("mean", "std", "duration")
 EVENTS = "gene_no INT, region INT, pos INT, transcript_no INT, read_no INT, mean SMALLINT, std SMALLINT, duration SMALLINT, sample STRING"
 
@@ -40,7 +42,7 @@ class Store:
         filesystem, events = self._place("events")
         filesystem.mkdirs(events)
         spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-        spark.sql(f"CREATE TABLE {self.name} ({EVENTS}) USING parquet PARTITIONED BY (sample) CLUSTERED BY (gene_no, region) SORTED BY (gene_no, region, pos) INTO {buckets} BUCKETS LOCATION '{self.path}/events'")
+        spark.sql(f"CREATE TABLE {self.name} ({EVENTS}) USING parquet OPTIONS ('parquet.page.row.count.limit' = '{PAGE_ROWS}') PARTITIONED BY (sample) CLUSTERED BY (gene_no, region) SORTED BY (gene_no, region, pos) INTO {buckets} BUCKETS LOCATION '{self.path}/events'")
         spark.sql(f"ALTER TABLE {self.name} RECOVER PARTITIONS")
 
     def _place(self, part: str):
@@ -109,14 +111,16 @@ class Store:
         ranked = ranges.ranked(new, ["gene_no"], [F.col("_first"), F.col("transcript_id")], "_n").join(after, "gene_no", "left")
         ranked.select("gene_no", "transcript_id", (F.col("_n") + F.coalesce("_after", F.lit(0))).cast("int").alias("transcript_no")).write.mode("append").parquet(f"{self.path}/transcripts")
 
-    def numbers(self, sample: str) -> DataFrame:
-        """A sample's events as they are stored, but for their halves, which are numbers again."""
+    def numbers(self, sample: str, genes: list[str] | None = None) -> DataFrame:
+        """A sample's events as they are stored, but for their halves, which are numbers again. Of other genes than those asked for no pages are read, as files are sorted by gene."""
         rows = self.spark.table(self.name).where(F.col("sample") == sample)
+        if genes is not None:
+            rows = rows.where(F.col("gene_no").isin([r["gene_no"] for r in self.genes.where(F.col("gene_id").isin(genes)).collect()]))
         return rows.withColumns({c: half_of_bits(F.col(c)) for c in HALVES})
 
-    def events(self, sample: str) -> DataFrame:
-        """A sample's events with their names, as workflow.load_events() takes them; row_no is 0, as a read has one event at a position."""
-        rows = self.numbers(sample).join(self.genes, "gene_no").join(self.transcripts, ["gene_no", "transcript_no"])
+    def events(self, sample: str, genes: list[str] | None = None) -> DataFrame:
+        """A sample's events with their names, of all genes or those asked for, as workflow.load_events() takes them; row_no is 0, as a read has one event at a position."""
+        rows = self.numbers(sample, genes).join(self.genes, "gene_no").join(self.transcripts, ["gene_no", "transcript_no"])
         rows = rows.join(self.reads.where(F.col("sample") == sample).drop("sample"), ["gene_no", "read_no"]).join(self.kmers.where(F.col("sample") == sample).drop("sample"), ["gene_no", "pos"], "left")
         return rows.select("gene_id", "transcript_id", "chrom", "strand", F.col("pos").cast("long").alias("pos"), "kmer", "read_id", *HALVES, F.lit(0).cast("long").alias("row_no"))
 

@@ -248,3 +248,14 @@ def test_homogeneity_of_an_array_is_that_of_columns(spark):
         columns = [[F.lit(float(x)) for x in r] for r in table]
         r = one(spark, a=st.homogeneity(columns), b=st.homogeneity_of(F.array(*[F.array(*x) for x in columns])))
         assert math.isclose(r["a"], r["b"], abs_tol=1e-9)
+
+
+def test_attributes(spark):
+    cases = {
+        'gene_id "g"; level 2; transcript_id "t";': {"gene_id": "g", "transcript_id": "t"},
+        'gene_id "g;1"; note "a b"; gene_id "h"': {"gene_id": "h", "note": "a b"},
+        'gene_id "g" x; transcript_id "t"': {"transcript_id": "t"},
+        'empty ""; open "x': {}, "": {}, 'tag first_name "q";': {"first_name": "q"},
+    }
+    got = {r["a"]: r["m"] for r in spark.createDataFrame([(a,) for a in cases], "a string").select("a", readers.gtf_attrs(F.col("a")).alias("m")).collect()}
+    assert got == cases

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from duosig.functions import numeric
 from duosig.operators import events as ev
 from duosig.plans import workflow
-from duosig.sources import bam, readers, store
+from duosig.sources import bam, blocked, readers, store
 
 REFERENCES = [("chr1", 100_000), ("chr2", 5_000)]
 
@@ -98,6 +98,24 @@ def test_filter_and_write_back(spark, bam_file, tmp_path):
     assert all(bam.read_bam(spark, p).count() == 0 for p in glob.glob(f"{tmp_path}/none/*.bam"))
 
 
+@pytest.mark.parametrize("split", [300, 4_000, 1 << 30])
+def test_lines_of_blocked_gzip(spark, tmp_path, split):
+    rng = random.Random(split)
+    lines = ["contig\tposition"] + ["\t".join(("x" * rng.choice([0, 3, 3, 2_000]), str(i))) for i in range(900)]
+    data, out, at = "\n".join(lines).encode() + b"\n" * (split > 300), b"", 0
+    while at < len(data):
+        n = rng.randrange(1, 400) if rng.random() < 0.9 else len(lines[0]) + 1
+        out, at = out + block(data[at : at + n]), at + n
+    path = tmp_path / "a.tsv.gz"
+    path.write_bytes(out + bam.END_BLOCK)
+    reader = blocked.LineReader({"paths": json.dumps([str(path)]), "split": str(split)})
+    got = [r["value"] for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
+    assert got == lines
+    rows = blocked.blocked_tsv(spark, [str(path)], split)
+    assert [(r["contig"], r["position"]) for r in rows.orderBy(F.col("position").cast("int")).collect()] == [tuple(x.split("\t")) for x in lines[1:]]
+    assert split > 300 or rows.rdd.getNumPartitions() > 1
+
+
 def test_half_bits(spark):
     every = [float(x) for x in np.arange(65536, dtype=np.uint16).view(np.float16) if x == x and not (x == 0 and np.signbit(x))]
     values = [*every, 1e-9, -1e6, 0.1, None, float("nan")]
@@ -169,3 +187,34 @@ def test_bytes_of_an_event(spark, tmp_path):
     readers.write_store(events.withColumn("sample", F.lit("a")), str(tmp_path / "plain"))
     size = lambda p: sum(os.path.getsize(f) for f in glob.glob(f"{p}/**/*.parquet", recursive=True))
     assert made.events("a").count() == n and size(tmp_path / "store") < 0.85 * size(tmp_path / "plain")
+
+
+def rows_scanned(df):
+    """Rows that the scans of the run plan of df gave out."""
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif name.startswith("Scan parquet"):
+            found += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if name.endswith("QueryStage"):
+            todo.append(node.plan())
+    return found
+
+
+def test_few_genes_of_many(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(f"g{i % 1000}", f"t{i % 1000}", "c", "+", int(rng.integers(900)), "AAAAA", f"r{i // 1000}", float(np.float16(rng.random())), 1.0, 0.0, i) for i in range(120_000)]
+    events = spark.createDataFrame(rows, "gene_id string, transcript_id string, chrom string, strand string, pos long, kmer string, read_id string, mean double, std double, duration double, row_no long")
+    made = store.Store(spark, str(tmp_path / "store"), buckets=2)
+    made.add(events, "a")
+    asked = ["g3", "g4", "g5", "g500", "nowhere"]
+    few = made.numbers("a", asked)
+    assert few.count() == made.events("a", asked).count() == events.where(F.col("gene_id").isin(asked)).dropDuplicates(["gene_id", "read_id", "pos"]).count()
+    assert "PushedFilters: [In(gene_no" in few._jdf.queryExecution().executedPlan().toString() or "In(gene_no" in few._jdf.queryExecution().toString()
+    assert rows_scanned(few.select("pos")) < 0.6 * rows_scanned(made.numbers("a").select("pos"))
