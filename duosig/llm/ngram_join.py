@@ -19,7 +19,7 @@ CHUNK = 1 << 14
 STAR_ROUNDS = 2
 #: Where rows of different components could still make more than so many pairs for each entry, over all columns, the columns in which
 #: they could pair their rows with so many of them at once, in further rounds up to this one, before the rest is joined pair by pair.
-HOT_PAIRS, HOT_CENTRES, MOST_ROUNDS = 8, 8, 5
+HOT_PAIRS, HOT_CENTRES, MOST_ROUNDS = 8, 16, 4
 #: Columns of a row in one block of the product, about.
 BLOCK_COLUMNS = 256
 #: A set that more than one in so many rows have is handed its component by broadcast: there are fewer such sets than this.
@@ -155,7 +155,8 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> Dat
     """pairs (a, na, b, nb, level) with o, their overlap: the product of both rows in each block of columns, summed over blocks."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row"), "level").groupBy("row").agg(F.collect_set("level").alias("levels"))
     texts = wanted.join(rows.select("row", "doc_id", "text_hash"), "row").select("row", "levels", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    texts = docs.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    # A merge join by hint: where the plan changes on its way, the documents' shuffle files would stay until the session collects them.
+    texts = docs.join(texts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     pieces = shared.materialise(texts.select("row", "text", "levels").mapInArrow(words.frugal(_pieces(k)), "row long, level int, block int, grams array<long>"))
     side = lambda x: pieces.select(F.col("row").alias(x), "level", "block", F.col("grams").alias(f"g{x}"))
     cells = pairs.select("a", "b", "level", F.explode(F.expr("sequence(0, shiftleft(1, level) - 1)")).alias("block"))
@@ -231,9 +232,8 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
         if turn:
             # How many pairs of rows of different components each column still has.
             held = at.groupBy("gram", "label").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("m"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross"))
-            held = shared.materialise(held.where("cross > 0"))
+            held, most = shared.observed(held.where("cross > 0"), F.coalesce(F.sum("cross"), F.lit(0.0)).alias("cross"), F.coalesce(F.sum("m"), F.lit(0)).alias("m"))
             if turn >= STAR_ROUNDS:
-                most = held.agg(F.coalesce(F.sum("cross"), F.lit(0.0)).alias("cross"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
                 last = stalled or turn >= MOST_ROUNDS or most["cross"] <= HOT_PAIRS * most["m"]
                 held, centres = (held, 0) if last else (held.where(F.col("cross") > HOT_PAIRS * F.col("m")), HOT_CENTRES)
             at = at.join(held.select("gram"), "gram")

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Spark then removes a query's shuffle files as soon as it ends.
@@ -89,6 +89,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, *totals: Column) -> tuple[DataFrame, dict]:
+    """materialise(), with totals over all rows, by name, which the job that writes them takes on its way."""
+    seen = Observation()
+    table = materialise(df.observe(seen, *totals))
+    return table, seen.get
+
+
 def with_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
     """Adds each row's 0-based rank within keys by (bucket, order), without putting a key's rows into one task.
 
@@ -128,27 +135,33 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large-star and small-star steps alternate until every edge points from a node to its root. Each
     step is an aggregation with partial sums and a join on a node; the edges of a round are a table in
-    the shared folder, so that lineage stays short and lost executors cost one step.
+    the shared folder, so that lineage stays short and lost executors cost one step. Whether a step changed anything is seen
+    as its edges are written, and a step's edges go once the next ones are stored.
     """
+    spark = edges.sparkSession
+    told = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("hash")]
 
-    def digest(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+    def step(found: DataFrame) -> tuple[DataFrame, dict, Scope]:
+        with scope(spark) as own:
+            table, seen = observed(found.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), *told)
+        return table, seen, own
 
-    at = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = digest(at)
-    for _ in range(rounds if before[0] else 0):
+    at, before, own = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None, Scope(spark)
+    for _ in range(rounds):
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        at = materialise(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        after = digest(at)
-        if after == before:
+        at, after, new = step(small)
+        own.release()
+        own = new
+        if after == before or not after["n"]:
             break
         before = after
     else:
-        if before[0]:
-            raise RuntimeError(f"no end of the component search after {rounds} rounds")
+        raise RuntimeError(f"no end of the component search after {rounds} rounds")
+    if (open_ := _open.get()) is not None:
+        open_.paths += own.paths
     roots = at.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(at.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
