@@ -17,11 +17,12 @@ from duosig.llm import decontaminate, exact_dedup, language_id, mixing, ngram_jo
 #: Languages that the corpus is to have; None for all that are learned.
 LANGUAGES: list[str] | None = None
 
-_last: list[shared.Scope] = []
+#: What the last stage over each input wrote.
+_last: dict[str, shared.Scope] = {}
 
 
 def _stage(function: Callable) -> Callable:
-    """A stage whose predecessor's tables go once it begins, as its own input has been stored by then; other tables stay.
+    """A stage whose predecessor's tables go once it begins, as its own input has been stored by then; other tables, and those of pipelines over other inputs, stay.
 
     From the first stage on the session drops a query's shuffle files at its end, as stages shuffle whole documents. What the
     predecessor's many queries left in the driver (plans, generated classes, broadcasts) is collected once.
@@ -30,12 +31,12 @@ def _stage(function: Callable) -> Callable:
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         spark.conf.set(shared.CLEANUP, "true")
-        while _last:
-            _last.pop().release()
+        if sf_dir in _last:
+            _last.pop(sf_dir).release()
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         with shared.scope(spark) as own:
-            _last.append(own)
+            _last[sf_dir] = own
             return function(spark, docs, sf_dir)
 
     return run_stage
@@ -70,7 +71,10 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest doc_id; rows are told apart by a key of their own, as ids may repeat or be null."""
+    """Of each component of linked documents the one with the smallest doc_id; rows are told apart by a key of their own, as ids may repeat or be null.
+
+    Null and empty texts have no shingles and stay; texts of any length are compared whole.
+    """
     # The key is written down first: made anew in each job it need not be the same.
     rows = shared.materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
     found = ngram_join.ngram_join(rows, k=5, percent=80, id_col="_row").select(F.col("doc_id").alias("_of"), "component_id")
@@ -92,7 +96,7 @@ def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their places in the mixture of sources by target weights; a null source is one of its own."""
+    """All documents with their places in the mixture of sources by target weights; a null source is one of its own, and null and empty texts are rows as any."""
     return mixing.mix(docs, weights=queries.SOURCE_WEIGHTS)
 
 
@@ -123,8 +127,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             done.release()
             done.paths.append(path)
             docs = spark.read.parquet(path)
-        while _last:
-            _last.pop().release()
+        if sf_dir in _last:
+            _last.pop(sf_dir).release()
     finally:
         spark.conf.set(shared.CLEANUP, before)
     return docs
