@@ -5,13 +5,14 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from duosig.llm import alignment, license_scan, periodic, queries
+from duosig.llm import alignment, license_scan, periodic, pii, queries
 
 COLUMNS = "doc_id long, text string, row string, words string, piece string, template string, pair string, runs string"
 MIT = license_scan.WORDINGS[[x for x, _ in license_scan.WORDINGS].index("mit") + 1][1]
@@ -226,3 +227,33 @@ def test_periodic_runs(spark, texts, folder, empty, monkeypatch):
     assert [tuple(r) for r in plain[210]["runs"]] == runs_of(("a b c " * 40 + "d " * 30).split()) and plain[210]["collapsed"] == "a b c d"
     with pytest.raises(ValueError, match="periods"):
         periodic.runs_of(np.zeros(3, np.int64), np.array([0, 3]), times=2)
+
+
+def test_overlaps_of_wide_spans(spark):
+    """Wide spans by their patterns, less those that overlap a base span; of wide spans that overlap each other some stay, apart from one another."""
+    rng = random.Random(9)
+    parts = ["a.b@c.de", "joe (at) mail (dot) com", "4111 1111 1111 1111", "+49 30 1234567", "(212) 555-1234", "123-45-6789", "123456789", "4000-0000-0000-0", "9876 5432 1098 76", "10.0.0.1", "1:2:3:4:5:6:7:8", "x", "account", "ssn", "-", "/", "call"]
+    texts = [rng.choice(["", " "]).join(rng.choice(parts) + rng.choice(["", " ", ", "]) for _ in range(rng.randrange(30))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.candidates(df, "doc_id", "text").collect()}
+    kept = {r["doc_id"]: r for r in pii.find_pii(df, threshold=0.0).collect()}
+    overlap = lambda a, b: a[0] < b[1] and b[0] < a[1]
+    n_wide = n_dropped = 0
+    for d, text in enumerate(texts):
+        base = [(s["start"], s["stop"]) for s in found[d]["base"]]
+        every = [(m.start(), m.end(), kind) for kind, pattern, _ in pii.WIDE for m in re.finditer(pattern, text)]
+        want = [w for w in every if not any(overlap(w, b) for b in base)]
+        assert sorted((s["start"], s["stop"], s["kind"]) for s in found[d]["wide"]) == sorted(want)
+        added = [(s["start"], s["stop"], s["kind"]) for s in kept[d]["added"]]
+        assert set(added) <= set(want) and not any(overlap(a, b) for a in added for b in added if a != b)
+        assert all(any(overlap(w, x) for x in want if x != w) for w in set(want) - set(added))
+        n_wide, n_dropped = n_wide + len(every), n_dropped + len(every) - len(added)
+    assert n_wide > 100 and n_dropped > 10
+
+
+def test_many_spans_in_one_text(spark):
+    """A list of 30,000 addresses and as many account numbers is one text, and takes seconds."""
+    text = "\n".join(f"user{i}@mail.com account 9876 5432 1098 {i:05d}" for i in range(30_000))
+    began = time.time()
+    r = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("n_email", F.size("base").alias("b"), F.size("added").alias("a")).first()
+    assert r["n_email"] == 30_000 and r["b"] + r["a"] > 55_000 and time.time() - began < 90
