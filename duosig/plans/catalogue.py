@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..operators import events as ev
-from ..operators import em, mixture, report, splits
+from ..operators import dbscan, em, mixture, report, splits
 from ..operators import statistics as st
 from ..sources import readers, store
 from . import sql, views, workflow
@@ -199,6 +199,13 @@ def dbscan_noise(spark, sf):
     return mixture.noise(rows, ["event_type"], "x", "y", 5.0, 0.004).select("event_type", "id", "noise")
 
 
+def dbscan_core(spark, sf):
+    """Core rows and noise of density clusters in two dimensions; which cluster a row is in has no short form in SQL and is held by tests."""
+    rows = table(spark, sf, "events").select("event_type", F.col("event_id").alias("id"), F.col("value").alias("x"), (F.col("event_id") % 97).cast("double").alias("y"))
+    found = dbscan.dbscan(rows, ["event_type"], ["x", "y"], 5.0, share=0.004)
+    return found.select("event_type", "id", "core", F.col("label").isNull().alias("noise"))
+
+
 def labelled(spark, sf):
     label = F.when(F.col("mean") < 66, 0).when(F.col("mean") < 72, 1).otherwise(2)
     return views.events(spark, sf).withColumn("label", label)
@@ -405,7 +412,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         scan_project_cast, lookup_read_names, gtf_attrs, gtf_parse, exon_cumsum, liftover, run_collapse, run_collapse_splits, pooled_stats, f16_quantise, dedupe_first, stall_filter, dict_encode, kmer_last_wins, window_kmers,
         shared_genes, shared_transcripts, valid_positions, valid_windows, window_depth, window_vectors, pivot_matrix, pooled_union, topk_subsample, ks_2samp, pca_comp1, pca_kstest, ks_gate, mad, kmeans_init,
-        dbscan_noise, cluster_weights, combined_weights, gmm_init, em_1d, em_windows, gmm_fit, gmm_counts, posterior_1d, g_test_2x2, g_test_hom, log_odds, bh_fdr, sig_filter, sm_semi_join, kmer_prior_join, kmer_shift,
+        dbscan_noise, dbscan_core, cluster_weights, combined_weights, gmm_init, em_1d, em_windows, gmm_fit, gmm_counts, posterior_1d, g_test_2x2, g_test_hom, log_odds, bh_fdr, sig_filter, sm_semi_join, kmer_prior_join, kmer_shift,
         orient_components, flip_results, bed_format, sm_json, cigar_max_indel, aln_filter, gene_dim_join, gene_subset, store_roundtrip, store_encoded, flagship, significant_bed,
     ]
     return {f.__name__: f for f in own}

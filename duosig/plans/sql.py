@@ -209,6 +209,10 @@ SELECT user_id, event_type, round(CASE WHEN c = 1 THEN m ELSE a END, 4) AS mean,
 near AS (SELECT a.event_type, a.id, b.id AS o FROM x a JOIN x b ON a.event_type = b.event_type AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 25),
 core AS (SELECT n.id FROM near n JOIN (SELECT event_type, count(*) AS c FROM x GROUP BY event_type) s ON n.event_type = s.event_type GROUP BY n.id, s.c HAVING count(*) >= 0.004::DOUBLE * s.c)
 SELECT event_type, id, id NOT IN (SELECT n.id FROM near n JOIN core ON n.o = core.id) AS noise FROM x""",
+        "dbscan_core": """WITH x AS (SELECT event_type, event_id AS id, value AS x, (event_id % 97)::DOUBLE AS y FROM events),
+near AS (SELECT a.event_type, a.id, b.id AS o FROM x a JOIN x b ON a.event_type = b.event_type AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 25),
+core AS (SELECT n.id FROM near n JOIN (SELECT event_type, count(*) AS c FROM x GROUP BY event_type) s ON n.event_type = s.event_type GROUP BY n.id, s.c HAVING count(*) >= 0.004::DOUBLE * s.c)
+SELECT event_type, id, id IN (SELECT id FROM core) AS core, id NOT IN (SELECT n.id FROM near n JOIN core ON n.o = core.id) AS noise FROM x""",
         "cluster_weights": _with(*e, more=(LABEL, WEIGHTS)) + "SELECT gene, pos, cond, rep, n, round(w0, 6) AS w0, round(w1, 6) AS w1, round(w2, 6) AS w2 FROM cw",
         "combined_weights": _with(*e, more=(LABEL, WEIGHTS)) + "SELECT gene, pos, " + ", ".join(f"round(sum(w{k} * n) / sum(n), 6) AS w{k}" for k in range(3)) + " FROM cw GROUP BY ALL",
         "gmm_init": _with(*v, more=(f"lv AS (SELECT *, CASE WHEN {mean3} < 65 THEN 0 WHEN {mean3} < 75 THEN 1 ELSE 2 END AS label FROM vec)",)) + "SELECT gene, centre, label, count(*) AS n, " + ", ".join([f"round(avg(v{i}), 4) AS m{i}" for i in range(3)] + [f"round(covar_pop(v{i}, v{j}), 4) AS c{i}{j}" for i in range(3) for j in range(i, 3)] + [f"round(min(v{i}), 4) AS low{i}" for i in range(3)] + [f"round(max(v{i}), 4) AS high{i}" for i in range(3)]) + " FROM lv GROUP BY ALL",
