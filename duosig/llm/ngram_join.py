@@ -20,6 +20,8 @@ STAR_ROUNDS = 2
 #: Where rows of different components could still make more than so many pairs for each entry, over all columns, the columns in which
 #: they could pair their rows with so many of them at once, in further rounds up to this one, before the rest is joined pair by pair.
 HOT_PAIRS, HOT_CENTRES, MOST_ROUNDS = 8, 16, 4
+#: 64-bit words of a row's signature: a bit for each number of columns' low bits, set where an odd number of the row's columns has it.
+SIGNATURE = 16
 #: Columns of a row in one block of the product, about.
 BLOCK_COLUMNS = 256
 #: A set that more than one in so many rows have is handed its component by broadcast: there are fewer such sets than this.
@@ -82,17 +84,19 @@ def column_levels(docs: DataFrame, k: int, text_col: str) -> np.ndarray:
     return levels
 
 
-def _prefixes(k: int, percent: int, levels):
-    """A document's number of shingles, a 128-bit key of its set, and the rare shingles of which every linked document has one."""
+def _prefixes(k: int, percent: int, levels, words_of: int):
+    """A document's number of shingles, a 128-bit key of its set, the rare shingles of which every linked document has one, and its signature of so many words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, mask = levels.value, np.uint64((1 << SKETCH_BITS) - 1)
         for batch in batches:
             data, at = words.buffers(batch.column(1))
-            size, key, prefix = [], [], []
+            size, key, prefix, signature = [], [], [], []
             for _, g in grams_of(data, at, k):
                 n = len(g)
                 size.append(n)
+                odd = np.bincount((g >> np.uint64(20)).astype(np.int64) & (64 * words_of - 1), minlength=64 * words_of) & 1
+                signature.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
                 with np.errstate(over="ignore"):
                     key.append(words.mix(g).sum(dtype=np.uint64).tobytes() + words.mix(g ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).tobytes())
                 # A column's number: its level, then the upper bits of its hash. Columns in order of number are in order of rarity.
@@ -101,8 +105,11 @@ def _prefixes(k: int, percent: int, levels):
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))],
-                ["doc_id", "text_hash", "n_shingles", "set_key", "prefix"],
+                [
+                    batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64())),
+                    pa.ListArray.from_arrays(np.arange(len(size) + 1, dtype=np.int32) * words_of, pa.array(np.concatenate([np.zeros(0, np.int64), *signature]))),
+                ],
+                ["doc_id", "text_hash", "n_shingles", "set_key", "prefix", "signature"],
             )
 
     return run
@@ -142,13 +149,18 @@ def _bound(percent: int) -> str:
 
 
 def _possible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose overlap counted over both prefixes, with all columns behind them, can still reach the bound."""
-    side = lambda x: prefixes.select(F.col("row").alias(x), F.col("prefix").alias(f"p{x}"))
+    """Pairs whose overlap can still reach the bound: that over both prefixes with all columns behind them, and what the signatures leave.
+
+    Where signatures differ, the rows differ by a column: they share no more than half of the columns that are left of both.
+    """
+    side = lambda x: prefixes.select(F.col("row").alias(x), F.col("prefix").alias(f"p{x}"), F.col("signature").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.withColumns({"cut": F.least(F.element_at("pa", -1), F.element_at("pb", -1)), "o": F.size(F.array_intersect("pa", "pb"))})
     seen = lambda p: F.size(F.filter(p, lambda x: x <= F.col("cut")))
     most = F.col("o") + F.least(F.col("na") - seen("pa"), F.col("nb") - seen("pb"))
-    return both.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "na", "b", "nb")
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    size = F.col("na") + F.col("nb")
+    return both.where((100 + percent) * most >= percent * size).where((100 + percent) * (size - apart) >= 2 * percent * size).select("a", "na", "b", "nb")
 
 
 def _overlaps(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
@@ -201,7 +213,7 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     Rows of the incidence matrix with equal sets become one row. The product of the matrix with its transpose is taken in
     blocks of columns. The first block has the columns that the bound needs: a row of n shingles must share one of its
     n - ceil(percent * n / 100) + 1 rarest with any row it links to; sizes and positions bound the overlap of the rows that
-    share one, and pairs that these bounds or the overlap over both prefixes rule out are discarded. The other blocks, of
+    share one, and pairs that these bounds, the overlap over both prefixes or the rows' signatures rule out are discarded. The other blocks, of
     about BLOCK_COLUMNS columns of a row, are multiplied for the pairs that are left, and overlaps are summed over blocks. A column
     first pairs all its rows with one of them, for STAR_ROUNDS rounds; what these link needs no pair of its own. Columns in which
     rows of different components are still many pair their rows with several, until few are left or nothing links any more, and
@@ -210,21 +222,21 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     levels = spark.sparkContext.broadcast(column_levels(docs, k, "text"))
-    every = docs.mapInArrow(words.frugal(_prefixes(k, percent, levels)), "doc_id long, text_hash long, n_shingles long, set_key binary, prefix array<long>")
+    every = docs.mapInArrow(words.frugal(_prefixes(k, percent, levels, SIGNATURE)), "doc_id long, text_hash long, n_shingles long, set_key binary, prefix array<long>, signature array<long>")
     every = shared.materialise(every)
 
     # One row for each set, that of its smallest doc_id, numbered in the order of these.
-    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", F.col("n_shingles").alias("n"), "prefix")).alias("_lead")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", F.col("n_shingles").alias("n"), "prefix", "signature")).alias("_lead")
     rows = every.where("n_shingles > 0").groupBy("set_key").agg(lead, F.count("*").alias("copies")).select("set_key", "copies", "_lead.*")
     rows = shared.materialise(rows.orderBy(F.col("doc_id").asc_nulls_last(), "set_key").withColumn("row", F.monotonically_increasing_id()))
     entries = rows.select("row", "n", F.posexplode("prefix").alias("p", "gram"))
     shared_grams = entries.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
     entries = shared.materialise(entries.join(shared_grams, "gram"))
-    prefixes = rows.select("row", "n", "prefix")
+    prefixes = rows.select("row", "n", "prefix", "signature")
 
     labels = done = None
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest("na", "nb") / BLOCK_COLUMNS))).cast("int")
-    turn, last, stalled = 0, False, False
+    turn, last, stalled, named_rows = 0, False, False, 0
     while not last:
         at, centres = entries.withColumn("label", F.col("row")), 1
         if labels is not None:
@@ -249,16 +261,17 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
             found = _overlaps(pairs, docs, rows, k).withColumnRenamed("a", "_a").withColumnRenamed("b", "_b")
         found = pairs.join(found, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left")
         found = found.select("a", "b", F.expr(f"coalesce((100 + {percent}) * o >= {percent} * (na + nb), false)").alias("linked"))
-        found = shared.materialise(found)
+        found, seen = shared.observed(found, F.count_if("linked").alias("links"))
         cut.release()
         done = found.select("a", "b") if done is None else done.unionByName(found.select("a", "b"))
         links = found.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if links.isEmpty():
+        if not seen["links"]:
             stalled = turn > STAR_ROUNDS
             continue
         if labels is not None:
             links = links.unionByName(labels.select(F.col("row").alias("u"), F.col("label").alias("v")))
-        labels = shared.materialise(shared.components(links).select(F.col("node").alias("row"), F.col("root").alias("label")))
+        labels, told = shared.observed(shared.components(links, size=seen["links"] + named_rows).select(F.col("node").alias("row"), F.col("root").alias("label")), F.count("*").alias("n"))
+        named_rows = told["n"]
 
     named = rows.select("set_key", "copies", "row", F.col("doc_id").alias("component_id"))
     if labels is not None:

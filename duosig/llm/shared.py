@@ -130,13 +130,18 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str) -> Da
     return joined.select(*df.columns, (F.coalesce("_shift", F.lit(0)) + F.col("_row") - 1).alias(name))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Edges of a component search that one task takes; of more, each step is dealt over the cluster.
+FEW_EDGES = 50_000
+
+
+def components(edges: DataFrame, rounds: int = 60, size: int | None = None) -> DataFrame:
     """(node, root) for every node of edges (u, v): root is the smallest node that its links reach.
 
     Large-star and small-star steps alternate until every edge points from a node to its root. Each
     step is an aggregation with partial sums and a join on a node; the edges of a round are a table in
     the shared folder, so that lineage stays short and lost executors cost one step. Whether a step changed anything is seen
-    as its edges are written, and a step's edges go once the next ones are stored.
+    as its edges are written, and a step's edges go once the next ones are stored. No more than FEW_EDGES edges are one partition, as
+    dealing out so few takes longer than the step; size is their number at first, where it is known.
     """
     spark = edges.sparkSession
     told = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("hash")]
@@ -147,13 +152,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return table, seen, own
 
     at, before, own = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None, Scope(spark)
+    few = lambda e, n: e.coalesce(1) if n is not None and n <= FEW_EDGES else e
+    n = size
     for _ in range(rounds):
-        both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = few(at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v"))), n)
         least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        at, after, new = step(small)
+        at, after, new = step(few(small, n))
+        n = after["n"]
         own.release()
         own = new
         if after == before or not after["n"]:
