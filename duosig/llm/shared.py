@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Spark then removes a query's shuffle files as soon as it ends.
@@ -90,10 +90,9 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def observed(df: DataFrame, *totals: Column) -> tuple[DataFrame, dict]:
-    """materialise(), with totals over all rows, by name, which the job that writes them takes on its way."""
-    seen = Observation()
-    table = materialise(df.observe(seen, *totals))
-    return table, seen.get
+    """materialise(), with totals over all rows of the table, by name."""
+    table = materialise(df)
+    return table, table.agg(*totals).first().asDict()
 
 
 def with_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
@@ -139,8 +138,7 @@ def components(edges: DataFrame, rounds: int = 60, size: int | None = None) -> D
 
     Large-star and small-star steps alternate until every edge points from a node to its root. Each
     step is an aggregation with partial sums and a join on a node; the edges of a round are a table in
-    the shared folder, so that lineage stays short and lost executors cost one step. Whether a step changed anything is seen
-    as its edges are written, and a step's edges go once the next ones are stored. No more than FEW_EDGES edges are one partition, as
+    the shared folder, so that lineage stays short and lost executors cost one step. A step's edges go once the next ones are stored. No more than FEW_EDGES edges are one partition, as
     dealing out so few takes longer than the step; size is their number at first, where it is known.
     """
     spark = edges.sparkSession
