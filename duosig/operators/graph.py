@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import scratch
+from ..storage import stored
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -14,7 +14,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     In turn every node's larger neighbours are tied to its smallest one, and its smaller neighbours to the smallest of these, until each
     node has one edge, to its root. No task holds a component; a round's edges are a table.
     """
-    spark = edges.sparkSession
     apart = lambda e: e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     at, before = edges, None
     for _ in range(rounds):
@@ -23,9 +22,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         tied = both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = tied.groupBy("u").agg(F.min("v").alias("m"))
         moved = apart(tied.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))))
-        path, seen = scratch(spark), Observation()
-        moved.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("hash")).write.parquet(path)
-        at, after = spark.read.schema(moved.schema).parquet(path), seen.get
+        at = stored(moved)
+        after = at.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if after == before or not after["n"]:
             break
         before = after
