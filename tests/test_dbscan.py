@@ -65,3 +65,23 @@ def test_components_of_any_nodes(spark):
     got = {tuple(r["node"]): tuple(r["root"]) for r in graph.components(df).collect()}
     assert got == {(1, i): (1, i - (i - 1) % 10) for i in range(1, 31)} | {(2, i): (2, 1) for i in (1, 3, 9)}
     assert graph.components(df.limit(0)).count() == 0
+
+
+def test_open_cells_compare_few_points(spark, monkeypatch):
+    """No cell holds enough rows by itself and all surroundings do; rows of one place are one point. Before, each row met all rows around it: 30 million pairs here."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.exponential(4.0, (8_000, 2)), np.repeat(rng.uniform(0, 6, (4, 2)), 1_000, axis=0)]).round(3)
+    seen = []
+    plain = dbscan._Cells.compared
+    monkeypatch.setattr(dbscan, "COMPARED", 4)
+    monkeypatch.setattr(dbscan._Cells, "compared", lambda self, open_, *a: (seen.append((open_.select(F.sum(F.col("_p") * F.aggregate("_around", F.lit(0).cast("long"), lambda t, o: t + o["_q"]))).first()[0] or 0, self.points.count())), plain(self, open_, *a))[1])
+    df = spark.createDataFrame([("a", i, *v) for i, v in enumerate(x.tolist())], "g string, id long, x double, y double")
+    near = np.concatenate([((b[:, None] - x[None]) ** 2).sum(2) <= 4.0 for b in np.array_split(x, 40)])
+    core = near.sum(1) >= 0.08 * len(x)
+    met = near[:, core].any(1)
+    assert core.any() and (met & ~core).any() and not met.all()
+    want = {i: (bool(c), not m) for i, (c, m) in enumerate(zip(core, met, strict=True))}
+    got = {r["id"]: (r["core"], r["label"] is None) for r in dbscan.dbscan(df, ["g"], ["x", "y"], 2.0, share=0.08).collect()}
+    assert got == want
+    assert {r["id"]: r["noise"] for r in dbscan.noise(df, ["g"], ["x", "y"], 2.0, share=0.08).collect()} == {i: n for i, (_, n) in want.items()}
+    assert seen and all(pairs <= 4 * points and points < 8_010 for pairs, points in seen)
