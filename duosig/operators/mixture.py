@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import dbscan
+
 FIT = "mu1 array<double>, mu2 array<double>, cov1 array<double>, cov2 array<double>, low array<double>, high array<double>, w array<double>, counts array<struct<cond:int,rep:int,n:array<double>>>"
 
 
@@ -102,33 +104,8 @@ def combined_weights(weights: DataFrame, by: list[str], labels: int = 3) -> Data
 
 
 def noise(rows: DataFrame, by: list[str], x: str, y: str, eps: float, share: float) -> DataFrame:
-    """rows with noise: DBSCAN's outliers. Core rows have share of their group within eps; noise is neither core nor within eps of a core row.
-
-    Rows are counted in square cells whose diagonal is eps, so that rows of a cell are near each other. A cell that holds
-    enough rows is core as a whole, one whose surroundings hold too few has no core row; only rows of other cells are compared with
-    rows of the cells around them, and then rows of cells without a core row with core rows around. ids tell rows of a group apart.
-    """
-    side = eps / 2**0.5
-    key = [*by, "_cx", "_cy"]
-    own = rows.withColumns({"_cx": F.floor(F.col(x) / side), "_cy": F.floor(F.col(y) / side)})
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4])
-    moved = lambda df: df.withColumn("_s", F.explode(around)).withColumns({"_cx": F.col("_cx") + F.col("_s.i"), "_cy": F.col("_cy") + F.col("_s.j")}).drop("_s")
-    sizes = rows.groupBy(*by).agg((F.count("*") * F.lit(share)).alias("_least"))
-    cells = own.groupBy(*key).agg(F.count("*").alias("_n"))
-    most = moved(cells).groupBy(*key).agg(F.sum("_n").alias("_most"))
-    cells = cells.join(most, key).join(sizes, by)
-    cells = cells.withColumn("_state", F.when(F.col("_n") >= F.col("_least"), "core").when(F.col("_most") < F.col("_least"), "none").otherwise("open")).select(*key, "_least", "_state")
-    placed = own.select(*key, "id", x, y).join(cells, key)
-    other = moved(placed.select(*key, F.col("id").alias("_id"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.col("_state").alias("_other")))
-    near = (F.col(x) - F.col("_x")) * (F.col(x) - F.col("_x")) + (F.col(y) - F.col("_y")) * (F.col(y) - F.col("_y")) <= eps * eps
-    counted = placed.where("_state = 'open'").join(other, key).where(near).groupBy(*key, "id", x, y, "_least").agg(F.count("*").alias("_n"))
-    core = placed.where("_state = 'core'").select(*key, "id", x, y).unionByName(counted.where("_n >= _least").select(*key, "id", x, y))
-    cored = core.select(*key).distinct()
-    alone = placed.join(cored, key, "left_anti").select(*key, "id", x, y)
-    far = moved(core.select(*key, F.col(x).alias("_x"), F.col(y).alias("_y")))
-    reached = alone.join(far, key).where(near).select(*by, "id")
-    met = placed.join(cored, key, "left_semi").select(*by, "id").unionByName(reached).distinct().withColumn("_met", F.lit(True))
-    return rows.join(met, [*by, "id"], "left").withColumn("noise", F.col("_met").isNull()).drop("_met").select(*rows.columns, "noise")
+    """rows with noise: DBSCAN's outliers. Core rows have share of their group within eps; noise is neither core nor within eps of a core row. ids tell rows of a group apart."""
+    return dbscan.noise(rows, by, [x, y], eps, share=share)
 
 
 def _far_from_dense(x: np.ndarray, eps: float, least: float) -> np.ndarray:
