@@ -14,6 +14,8 @@ from ..storage import stored
 
 #: Positions of a gene that share a bucket, so that a gene with many events is in several.
 REGION = 1024
+#: Reads of a gene that one task writes: of more, a bucket is several files, so that few genes are still many tasks.
+READS = 1 << 16
 #: Events of a page, the least that is read of a file: a few genes' events are few pages.
 PAGE_ROWS = 4096
 HALVES = ("mean", "std", "duration")
@@ -94,7 +96,8 @@ class Store:
         first = ev.dedupe_first(placed, ["gene_no", "read_id", "pos"], ["row_no"])
         numbered = first.join(self.transcripts, ["gene_no", "transcript_id"]).join(self.reads.where(F.col("sample") == sample).drop("sample"), ["gene_no", "read_id"])
         rows = numbered.select("gene_no", F.floor(F.col("pos") / REGION).cast("int").alias("region"), "pos", "transcript_no", "read_no", *[half_bits(F.col(c)).alias(c) for c in HALVES], F.lit(sample).alias("sample"))
-        dealt = rows.repartition(self.buckets, "gene_no", "region")
+        bucket = F.pmod(F.hash("gene_no", "region"), F.lit(self.buckets))
+        dealt = rows.repartition(bucket, F.floor(F.col("read_no") / READS))
         dealt.write.mode("append").format("parquet").partitionBy("sample").bucketBy(self.buckets, "gene_no", "region").sortBy("gene_no", "region", "pos").saveAsTable(self.name)
 
     def _grow_genes(self, events: DataFrame) -> None:

@@ -218,3 +218,22 @@ def test_few_genes_of_many(spark, tmp_path):
     assert few.count() == made.events("a", asked).count() == events.where(F.col("gene_id").isin(asked)).dropDuplicates(["gene_id", "read_id", "pos"]).count()
     assert "PushedFilters: [In(gene_no" in few._jdf.queryExecution().executedPlan().toString() or "In(gene_no" in few._jdf.queryExecution().toString()
     assert rows_scanned(few.select("pos")) < 0.6 * rows_scanned(made.numbers("a").select("pos"))
+
+
+def test_few_genes_of_many_reads_are_many_files(spark, tmp_path, monkeypatch):
+    """One gene's events were written by one task, whatever their number."""
+    monkeypatch.setattr(store, "READS", 100)
+    rows = [("g", "t", "c", "+", pos, "AAAAA", f"r{read:04d}", float(read % 50), 0.0, 0.5, read * 3 + pos) for read in range(2_000) for pos in range(3)]
+    df = spark.createDataFrame(rows, "gene_id string, transcript_id string, chrom string, strand string, pos long, kmer string, read_id string, mean double, std double, duration double, row_no long")
+    made = store.Store(spark, str(tmp_path / "store"), buckets=4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
+    try:
+        made.add(df, "one")
+        made.add(df, "two")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    each = made.numbers("one").groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in each) == 6_000 and max(r["n"] for r in each) <= 3_000
+    got = {(r["read_id"], r["pos"]): r["mean"] for r in made.events("two").collect()}
+    assert got == {(r[6], r[4]): r[7] for r in rows}
+    assert [tuple(r) for r in made.pairs("one", "two").orderBy("pos").select("pos", "n_one", "n_two").collect()] == [(p, 2_000, 2_000) for p in range(3)]
