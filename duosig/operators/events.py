@@ -52,15 +52,18 @@ def exon_pieces(exons: DataFrame, size: int = PIECE_POSITIONS) -> DataFrame:
     return each.groupBy("_t", "_piece", "gene_id", "chrom", "strand").agg(F.array_sort(F.collect_list("_exon")).alias("_exons"))
 
 
-def liftover(events: DataFrame, exons: DataFrame, strict: bool = True, size: int = PIECE_POSITIONS) -> DataFrame:
+def liftover(events: DataFrame, exons: DataFrame, strict: bool = True, size: int = PIECE_POSITIONS, parts: int | None = None) -> DataFrame:
     """events (transcript_id, pos) with gene_id, chrom, strand and gpos.
 
     Every event meets one row, its piece of the transcript, by an equi-join, and takes the last exon of it that starts at or before its
     position: rows into the join are the events and the pieces, however many exons a transcript has, and Spark splits the events of a hot one.
-    strict raises on unknown transcripts and positions outside; else these rows go.
+    strict raises on unknown transcripts and positions outside; else these rows go. Of more rows than Spark's number of shuffle partitions
+    is good for, events meet their pieces in so many parts.
     """
     pieces = exon_pieces(exons, size)
     placed = events.withColumn("_p", F.floor(F.col("pos") / size))
+    if parts is not None:
+        placed = placed.repartition(parts, "transcript_id", "_p")
     joined = placed.join(pieces, (F.col("transcript_id") == F.col("_t")) & (F.col("_p") == F.col("_piece")), "left" if strict else "inner")
     before = F.filter("_exons", lambda e: e["first"] <= F.col("pos"))
     found = joined.withColumn("_exon", F.get(before, F.size(before) - 1)).withColumn("_exon", F.when(F.col("pos") < F.col("_exon.stop"), F.col("_exon")))

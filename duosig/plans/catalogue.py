@@ -47,13 +47,20 @@ def exon_cumsum(spark, sf):
     return readers.exons(views.exon_features(spark, sf)).select("transcript_id", "gene_id", "start", "cs", "ln")
 
 
+#: Rows that a task of the liftover sorts or counts, about: tables of any size are as many more tasks.
+LIFTED_ROWS = 500_000
+
+
 def liftover(spark, sf):
-    exons = readers.exons(views.exon_features(spark, sf))
     line, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-line.count() // LIFTED_ROWS))
+    exons = readers.exons(views.exon_features(spark, sf).repartition(parts, "transcript_id"))
     size = exons.groupBy(F.col("transcript_id").alias("_t")).agg(F.first("ln").alias("_ln"))
-    reads = line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).select(F.col("o_custkey").cast("string").alias("transcript_id"), "l_partkey")
-    at = reads.join(size, F.col("transcript_id") == F.col("_t")).select("transcript_id", (F.col("l_partkey") % F.col("_ln")).alias("pos"))
-    return ev.liftover(at, exons).groupBy("transcript_id", "strand", "pos", "gpos").agg(F.count("*").alias("n"))
+    reads = line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).select(F.col("o_custkey").cast("string").alias("transcript_id"), "l_partkey").repartition(parts, "transcript_id")
+    # A table between the steps: sorts and counts of both at once were in one task.
+    at = views.stored(reads.join(size, F.col("transcript_id") == F.col("_t")).select("transcript_id", (F.col("l_partkey") % F.col("_ln")).alias("pos")))
+    by = ["transcript_id", "strand", "pos", "gpos"]
+    return ev.liftover(at, exons, parts=parts).repartition(parts, *by).groupBy(*by).agg(F.count("*").alias("n"))
 
 
 def run_collapse(spark, sf):

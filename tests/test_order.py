@@ -158,3 +158,14 @@ def test_windows_from_reads(spark, size):
     names = got._jdf.queryExecution().optimizedPlan().toString()
     assert names.index("explode") < names.index("collect_list")  # windows are cut after events are gathered
     assert ev.window_vectors(df.limit(0), spark.createDataFrame(valid, "gene long, centre long"), size).count() == 0
+
+
+def test_liftover_of_more_rows_is_more_tasks(spark, monkeypatch):
+    """Tasks were as many for tables of any size, and each sorted more rows of larger ones."""
+    from duosig.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(tuple(r) for r in catalogue.liftover(spark, sf).collect())
+    monkeypatch.setattr(catalogue, "LIFTED_ROWS", 500)
+    got = catalogue.liftover(spark, sf)
+    assert got.rdd.getNumPartitions() >= 12 and sorted(tuple(r) for r in got.collect()) == want
