@@ -10,7 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import ngram_join, shared, words
+from . import shared, words
+
+#: Counters of the frequency sketch that orders shingles (2 to this power); its size is fixed, whatever the corpus.
+SKETCH_BITS = 20
+#: Counters in one row of the sketch on its way to the sum.
+CHUNK = 1 << 14
 
 WINDOW = 10
 SHINGLE = 5
@@ -37,12 +42,23 @@ def _counts(k: int, n_bits: int, chunk: int):
     return run
 
 
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums the rows of each chunk as they come; a task holds the sums of its chunks only."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for c, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[c] = sums.get(c, 0) + np.frombuffer(counts, np.int64)
+    for c, s in sums.items():
+        level = np.ceil(4 * np.log2(s + 1)).clip(0, 127).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["chunk", "level"])
+
+
 def shingle_levels(texts: DataFrame, k: int) -> np.ndarray:
     """How common shingles of k words are in all documents, by a sketch of fixed size. It orders shingles and so decides on speed, never on hits."""
-    rows = texts.mapInArrow(words.frugal(_counts(k, ngram_join.SKETCH_BITS, ngram_join.CHUNK)), "chunk int, counts binary").repartition("chunk")
-    levels = np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8)
-    for row in rows.mapInArrow(ngram_join._add, "chunk int, level binary").collect():  # 1 MB at most
-        levels[row["chunk"] * ngram_join.CHUNK : (row["chunk"] + 1) * ngram_join.CHUNK] = np.frombuffer(row["level"], np.uint8)
+    rows = texts.mapInArrow(words.frugal(_counts(k, SKETCH_BITS, CHUNK)), "chunk int, counts binary").repartition("chunk")
+    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for row in rows.mapInArrow(_add, "chunk int, level binary").collect():  # 1 MB at most
+        levels[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["level"], np.uint8)
     return levels
 
 

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared, words
 
-#: Counters of the frequency sketch that orders the columns (2 to this power); its size is fixed, whatever the corpus.
-SKETCH_BITS = 20
-#: Counters in one row of the sketch on its way to the sum.
-CHUNK = 1 << 14
-#: Rounds that link the rows of a column through one row before the rest is joined pair by pair.
-STAR_ROUNDS = 2
-#: Where rows of different components could still make more than so many pairs for each entry, over all columns, the columns in which
+#: Sizes of sets rise by this factor within a class; each class deals columns into so many blocks as suit its largest.
+CLASS = 1.5
+#: One more block for so many that rows could differ in: the contents that most rows have need pair none.
+SPARE = 4
+#: Bits of the filter of block contents that several rows have (2 to this power); its size is fixed, whatever the corpus.
+FILTER_BITS = 24
+#: Bytes in one row of the filter on its way to the whole.
+CHUNK = 1 << 16
+#: Rounds that link the rows that agree in a block through one row before the rest is joined pair by pair.
+STAR_ROUNDS = 1
+#: Where rows of different components could still make more than so many pairs for each entry, over all contents, the contents in which
 #: they could pair their rows with so many of them at once, in further rounds up to this one, before the rest is joined pair by pair.
 HOT_PAIRS, HOT_CENTRES, MOST_ROUNDS = 8, 16, 4
 #: 64-bit words of a row's signature: a bit for each number of columns' low bits, set where an odd number of the row's columns has it.
@@ -41,80 +46,124 @@ def grams_of(data: np.ndarray, at: np.ndarray, k: int) -> Iterator[tuple[int, np
                 yield row, words.shingles(h[low:high], int(high - low)) if high > low else np.zeros(0, np.uint64)
 
 
-def _sketch(k: int):
-    """One task's counts of all its shingles, by the low bits of their hash."""
+def _tops() -> list[int]:
+    """The largest size of each class."""
+    tops = [1]
+    while tops[-1] < 1 << 31:
+        tops.append(max(tops[-1] + 1, int(tops[-1] * CLASS)))
+    return tops
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            data, at = words.buffers(batch.column(0))
-            held: list[np.ndarray] = []
-            for _, g in grams_of(data, at, k):
-                held.append(g)
-                if len(held) >= 2000:
-                    counts += np.bincount((np.concatenate(held) & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts))
-                    held = []
-            if held:
-                counts += np.bincount((np.concatenate(held) & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts))
-        for c in range(len(counts) // CHUNK):
-            part = counts[c * CHUNK : (c + 1) * CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "counts"])
-
-    return run
 
+TOPS = _tops()
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the rows of each chunk as they come; a task holds the sums of its chunks only."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for c, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sums[c] = sums.get(c, 0) + np.frombuffer(counts, np.int64)
-    for c, s in sums.items():
-        level = np.ceil(4 * np.log2(s + 1)).clip(0, 127).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["chunk", "level"])
 
+def parts_of(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """(class, blocks, most) for each class in which a row of n columns takes part, with the most columns by which it differs from a row it links to there.
 
-def column_levels(docs: DataFrame, k: int, text_col: str) -> np.ndarray:
-    """A rarity level for each counter, over all documents. It orders columns and so decides on speed, never on links."""
-    rows = docs.select(text_col).mapInArrow(words.frugal(_sketch(k)), "chunk int, counts binary").repartition("chunk")
-    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for row in rows.mapInArrow(_add, "chunk int, level binary").collect():  # 1 MB at most, as SKETCH_BITS bounds it
-        levels[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["level"], np.uint8)
-    return levels
+    These are its own class, as the smaller row or among its like, and lower ones whose rows could link to it.
+    """
+    found, own = [], bisect.bisect_left(TOPS, n)
+    for c in range(own, -1, -1):
+        if c < own and 100 * TOPS[c] < percent * n:
+            break
+        most = (100 - percent) * n // percent if c == own else (100 - percent) * (n + TOPS[c]) // (100 + percent)
+        if most:  # equal sets are one row already
+            blocks = (100 - percent) * TOPS[c] // percent
+            found.append((c, blocks + blocks // SPARE + 2, most))
+    return found
+
+
+def agreements(g: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Contents of all blocks for each of parts_of; g: a row's sorted columns.
+
+    Sets that link differ by d = (100 - percent) * (na + nb) / (100 + percent) columns at most, and so in d blocks at most. In whatever common order
+    of contents, no more than d of a row's contents come before the first that both have.
+    """
+    found = []
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mix(g), dtype=np.uint64)])
+        for c, blocks, _ in parts_of(len(g), percent):
+            ends = np.cumsum(np.bincount((((g >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64), minlength=blocks))
+            content = sums[ends]
+            content[1:] -= sums[ends[:-1]]
+            found.append(words.mix(content ^ words.mix(np.arange(blocks, dtype=np.uint64) + np.uint64((c + 1) << 40))))
+    return found
 
 
-def _prefixes(k: int, percent: int, levels, words_of: int):
-    """A document's number of shingles, a 128-bit key of its set, the rare shingles of which every linked document has one, and its signature of so many words."""
+def _contents(k: int, percent: int, words_of: int):
+    """A document's number of shingles, a 128-bit key of its set, the contents of blocks in which it has to agree with those it links to, and its signature of so many words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, mask = levels.value, np.uint64((1 << SKETCH_BITS) - 1)
         for batch in batches:
             data, at = words.buffers(batch.column(1))
-            size, key, prefix, signature = [], [], [], []
+            size, key, contents, signature = [], [], [], []
             for _, g in grams_of(data, at, k):
-                n = len(g)
-                size.append(n)
+                size.append(len(g))
                 odd = np.bincount((g >> np.uint64(20)).astype(np.int64) & (64 * words_of - 1), minlength=64 * words_of) & 1
                 signature.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
                 with np.errstate(over="ignore"):
                     key.append(words.mix(g).sum(dtype=np.uint64).tobytes() + words.mix(g ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).tobytes())
-                # A column's number: its level, then the upper bits of its hash. Columns in order of number are in order of rarity.
-                number = np.sort((level[(g & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (g >> np.uint64(8)))
-                prefix.append(number[: n - -(-percent * n // 100) + 1 if n else 0].view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
-            flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
+                contents.append(np.concatenate([np.zeros(0, np.uint64), *agreements(g, percent)]).view(np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(c) for c in contents])]).astype(np.int32)
+            flat = np.concatenate(contents) if contents else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64())),
                     pa.ListArray.from_arrays(np.arange(len(size) + 1, dtype=np.int32) * words_of, pa.array(np.concatenate([np.zeros(0, np.int64), *signature]))),
                 ],
-                ["doc_id", "text_hash", "n_shingles", "set_key", "prefix", "signature"],
+                ["doc_id", "text_hash", "n_shingles", "set_key", "contents", "signature"],
             )
 
     return run
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task's bits of the filter, by the low bits of a content."""
+    on = np.zeros(1 << FILTER_BITS, bool)
+    for batch in batches:
+        on[batch.column(0).to_numpy(zero_copy_only=False) & (len(on) - 1)] = True
+    packed = np.packbits(on, bitorder="little")
+    for c in range(0, len(packed), CHUNK):
+        part = packed[c : c + CHUNK]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "bits"])
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins the rows of each chunk as they come; a task holds its chunks only."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for c, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held[c] = held.get(c, 0) | np.frombuffer(bits, np.uint8)
+    for c, bits in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["chunk", "bits"])
+
+
+def repeated(every: DataFrame) -> np.ndarray:
+    """Bits of the contents that several rows of every have, copies included. They spare shuffling the others, and never decide on links."""
+    often = every.select(F.explode("contents").alias("gram")).groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
+    rows = often.mapInArrow(words.frugal(_bits), "chunk int, bits binary").repartition("chunk")
+    on = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for row in rows.mapInArrow(_either, "chunk int, bits binary").collect():  # 2 MB at most, as FILTER_BITS bounds it
+        on[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["bits"], np.uint8)
+    return on
+
+
+def _let_through(bits, percent: int):
+    """(set_hash, class, blocks, most, gram) for each of a row's contents that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.unpackbits(bits.value, bitorder="little").view(bool)
+        for batch in batches:
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            parts = [(h, *part) for h, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if n for part in parts_of(n, percent)]
+            parts = np.array(parts, np.int64).reshape(-1, 4)
+            keep = on[flat & (len(on) - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, parts[:, 2])[keep]) for x in parts.T] + [pa.array(flat[keep], pa.int64())], ["set_hash", "class", "blocks", "most", "gram"])
+
+    return run
+
+
 def _pieces(k: int):
     """The columns of wanted rows cut into 2^level blocks by the upper bits of a column's hash, as (row, level, block, grams)."""
 
@@ -141,26 +190,20 @@ def _pieces(k: int):
 
 
 def _bound(percent: int) -> str:
-    """Whether rows a and b, whose common column is at pa of na and pb of nb columns by rarity, can still overlap enough."""
-    return (
-        f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-        f" and (100 + {percent}) * least(na - pa, nb - pb) >= {percent} * (na + nb)"
-    )
+    """Whether rows a and b can link by their sizes, and by the pa and pb contents before a common one, all of which they differ in if it is their first."""
+    return f"100 * least(na, nb) >= {percent} * greatest(na, nb) and (100 + {percent}) * greatest(pa, pb) <= (100 - {percent}) * (na + nb)"
 
 
-def _possible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose overlap can still reach the bound: that over both prefixes with all columns behind them, and what the signatures leave.
+def _possible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose overlap can still reach the bound by their signatures.
 
     Where signatures differ, the rows differ by a column: they share no more than half of the columns that are left of both.
     """
-    side = lambda x: prefixes.select(F.col("row").alias(x), F.col("prefix").alias(f"p{x}"), F.col("signature").alias(f"s{x}"))
+    side = lambda x: signatures.select(F.col("row").alias(x), F.col("signature").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.withColumns({"cut": F.least(F.element_at("pa", -1), F.element_at("pb", -1)), "o": F.size(F.array_intersect("pa", "pb"))})
-    seen = lambda p: F.size(F.filter(p, lambda x: x <= F.col("cut")))
-    most = F.col("o") + F.least(F.col("na") - seen("pa"), F.col("nb") - seen("pb"))
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     size = F.col("na") + F.col("nb")
-    return both.where((100 + percent) * most >= percent * size).where((100 + percent) * (size - apart) >= 2 * percent * size).select("a", "na", "b", "nb")
+    return both.where((100 + percent) * (size - apart) >= 2 * percent * size).select("a", "na", "b", "nb")
 
 
 def _overlaps(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
@@ -178,26 +221,22 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> Dat
 
 
 def _met(at: DataFrame, turn: int, percent: int, centres: int) -> DataFrame:
-    """Pairs (a, na, b, nb) of rows of different labels that share a column, with the number of shared columns seen.
+    """Pairs (a, na, b, nb) of rows of different labels and like sizes that agree in a block.
 
-    A column pairs all its rows with so many of them, drawn anew in each turn, or with 0 centres rows of like sizes with each other.
+    A block's content pairs all its rows with so many of them, drawn anew in each turn, or with 0 centres all with each other.
     """
-    side = lambda x, *more: [F.col("row").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "p", "label")], *more]
+    side = lambda x: [F.col("row").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "p", "label")]]
     if centres:
         draw = lambda i: F.xxhash64("row", F.lit(turn * MOST_ROUNDS * HOT_CENTRES + i)) if turn else F.lit(0)
         one = lambda i: F.min(F.struct(draw(i).alias("draw"), "row", "n", "p", "label"))
         centre = at.groupBy("gram").agg(F.array(*[one(i) for i in range(centres)]).alias("c")).select("gram", F.explode("c").alias("c")).select("gram", "c.*").select("gram", *side("a"))
         met = at.select("gram", *side("b")).join(centre, "gram").where("a <> b")
     else:
-        # Rows that link have sizes of the same class or of adjacent ones: each also waits in the class below its own.
-        at = at.withColumn("size", F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9))
-        low = at.select("gram", "size", *side("a"))
-        high = at.select("gram", F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("size"), F.col("size").alias("own"), *side("b"))
-        met = low.join(high, ["gram", "size"]).where("size < own or a < b")
+        met = at.select("gram", *side("a")).join(at.select("gram", *side("b")), "gram").where("a < b")
     met = met.where("labela <> labelb").where(_bound(percent))
     first = F.col("a") < F.col("b")
     pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
-    return met.select(pick("a", "b", "a"), pick("na", "nb", "na"), pick("b", "a", "b"), pick("nb", "na", "nb")).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("seen"))
+    return met.select(pick("a", "b", "a"), pick("na", "nb", "na"), pick("b", "a", "b"), pick("nb", "na", "nb")).distinct()
 
 
 def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,28 +250,33 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     have to fall within one pair), equal sets by a 128-bit one. Columns other than id and text aren't read; an empty table gives no rows.
 
     Rows of the incidence matrix with equal sets become one row. The product of the matrix with its transpose is taken in
-    blocks of columns. The first block has the columns that the bound needs: a row of n shingles must share one of its
-    n - ceil(percent * n / 100) + 1 rarest with any row it links to; sizes and positions bound the overlap of the rows that
-    share one, and pairs that these bounds, the overlap over both prefixes or the rows' signatures rule out are discarded. The other blocks, of
-    about BLOCK_COLUMNS columns of a row, are multiplied for the pairs that are left, and overlaps are summed over blocks. A column
-    first pairs all its rows with one of them, for STAR_ROUNDS rounds; what these link needs no pair of its own. Columns in which
+    blocks of columns. First, columns are dealt into more blocks than the columns by which rows of such sizes differ where they link, so
+    that these agree in a whole block: rows that agree in none are discarded, as are those that sizes or signatures rule out. Then blocks of
+    about BLOCK_COLUMNS columns of a row are multiplied for the pairs that are left, and overlaps are summed over blocks. A block's content
+    first pairs all its rows with one of them, for STAR_ROUNDS rounds; what these link needs no pair of its own. Contents in which
     rows of different components are still many pair their rows with several, until few are left or nothing links any more, and
     then pairs are made between rows of different components and like sizes.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    levels = spark.sparkContext.broadcast(column_levels(docs, k, "text"))
-    every = docs.mapInArrow(words.frugal(_prefixes(k, percent, levels, SIGNATURE)), "doc_id long, text_hash long, n_shingles long, set_key binary, prefix array<long>, signature array<long>")
+    every = docs.mapInArrow(words.frugal(_contents(k, percent, SIGNATURE)), "doc_id long, text_hash long, n_shingles long, set_key binary, contents array<long>, signature array<long>")
     every = shared.materialise(every)
 
     # One row for each set, that of its smallest doc_id, numbered in the order of these.
-    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", F.col("n_shingles").alias("n"), "prefix", "signature")).alias("_lead")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", F.col("n_shingles").alias("n"), "signature")).alias("_lead")
     rows = every.where("n_shingles > 0").groupBy("set_key").agg(lead, F.count("*").alias("copies")).select("set_key", "copies", "_lead.*")
     rows = shared.materialise(rows.orderBy(F.col("doc_id").asc_nulls_last(), "set_key").withColumn("row", F.monotonically_increasing_id()))
-    entries = rows.select("row", "n", F.posexplode("prefix").alias("p", "gram"))
-    shared_grams = entries.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
-    entries = shared.materialise(entries.join(shared_grams, "gram"))
-    prefixes = rows.select("row", "n", "prefix", "signature")
+    bits = spark.sparkContext.broadcast(repeated(every))
+    # Contents belong to hashes of sets until few are left; should two sets have one hash, both have the contents of both.
+    entries = every.select(F.xxhash64("set_key").alias("set_hash"), "n_shingles", "contents").mapInArrow(words.frugal(_let_through(bits, percent)), "set_hash long, class long, blocks long, most long, gram long").distinct()
+    entries = shared.materialise(entries)
+    often = entries.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
+    # A content's place among all of its row's in that class, from rare to usual: those that no other row has come first.
+    usual = Window.partitionBy("set_hash", "class").orderBy(F.col("m").desc(), F.col("gram").desc())
+    entries = entries.join(often, "gram").withColumn("p", F.col("blocks") - F.row_number().over(usual)).where("p <= most")
+    entries = entries.join(rows.select(F.xxhash64("set_key").alias("set_hash"), "row", "n"), "set_hash").select("gram", "row", "n", "p")
+    entries = shared.materialise(entries)
+    signatures = rows.select("row", "signature")
 
     labels = done = None
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest("na", "nb") / BLOCK_COLUMNS))).cast("int")
@@ -242,7 +286,7 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
         if labels is not None:
             at = entries.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
         if turn:
-            # How many pairs of rows of different components each column still has.
+            # How many pairs of rows of different components each content still has.
             held = at.groupBy("gram", "label").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("m"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross"))
             held, most = shared.observed(held.where("cross > 0"), F.coalesce(F.sum("cross"), F.lit(0.0)).alias("cross"), F.coalesce(F.sum("m"), F.lit(0)).alias("m"))
             if turn >= STAR_ROUNDS:
@@ -253,7 +297,7 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
         turn += 1
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = shared.materialise(_possible(pairs, prefixes, percent).withColumn("level", level))
+        pairs = shared.materialise(_possible(pairs, signatures, percent).withColumn("level", level))
         if pairs.isEmpty():
             stalled = turn > STAR_ROUNDS
             continue

@@ -91,6 +91,37 @@ def test_ngram_join(documents, monkeypatch, k, percent):
     assert ngram_join.ngram_join(docs.limit(0)).count() == 0
 
 
+def test_ngram_pairs_of_chance(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(55, 65)))) for i in range(200)]  # most shingles are in several rows, and no rows link
+    made, possible = [], ngram_join._possible
+    monkeypatch.setattr(ngram_join, "_possible", lambda pairs, *more: made.append(pairs.count()) or possible(pairs, *more))
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got)
+    assert sum(made) < len(rows)
+
+
+def test_linked_sets_agree_in_a_block():
+    rng = np.random.default_rng(11)
+    for percent in (50, 80, 85, 97):
+        for n in [*range(1, 40), 100, 333, 1000]:
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+            most = (100 - percent) * n // percent
+            out = int(rng.integers(0, most + 1))
+            b = np.unique(np.concatenate([a[rng.permutation(n)[: n - out]], rng.integers(0, 1 << 63, max(0, most - out), dtype=np.uint64)]))
+            o = len(np.intersect1d(a, b))
+            if len(a) == len(b) == o or 100 * o < percent * (len(a) + len(b) - o):
+                continue
+            parts = [dict(zip([c for c, *_ in ngram_join.parts_of(len(x), percent)], zip(ngram_join.parts_of(len(x), percent), ngram_join.agreements(x, percent)))) for x in (a, b)]
+            c = min(max(p) for p in parts)  # the class of the smaller
+            (pa, ga), (pb, gb) = parts[0][c], parts[1][c]
+            both = np.intersect1d(ga, gb)
+            apart = (100 - percent) * (len(a) + len(b)) // (100 + percent)
+            assert len(both) and pa[1] - len(both) <= apart <= min(pa[2], pb[2])
+            for order in (lambda x: x, lambda x: ~x):  # any common order
+                assert max(int((order(x) < order(both).min()).sum()) for x in (ga, gb)) <= apart
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60) if i % 20] + [(100, rng.randrange(101, 140)) for _ in range(30)] + [(7, 7)]
