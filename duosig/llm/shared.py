@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -129,17 +130,37 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str) -> Da
     return joined.select(*df.columns, (F.coalesce("_shift", F.lit(0)) + F.col("_row") - 1).alias(name))
 
 
-#: Edges of a component search that one task takes; of more, each step is dealt over the cluster.
+#: Edges of a component search that one task contracts; of more, each step is dealt over the cluster.
 FEW_EDGES = 50_000
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """No more than FEW_EDGES edges as ones from each node to the smallest that it reaches."""
+    up: dict = {}
+
+    def top(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for batch in batches:
+        kind = batch.column(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(u), top(v)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array([*up], kind), pa.array([top(x) for x in [*up]], kind)], ["u", "v"])
+
+
 def components(edges: DataFrame, rounds: int = 60, size: int | None = None) -> DataFrame:
     """(node, root) for every node of edges (u, v): root is the smallest node that its links reach.
 
     Large-star and small-star steps alternate until every edge points from a node to its root. Each
     step is an aggregation with partial sums and a join on a node; the edges of a round are a table in
-    the shared folder, so that lineage stays short and lost executors cost one step. A step's edges go once the next ones are stored. No more than FEW_EDGES edges are one partition, as
-    dealing out so few takes longer than the step; size is their number at first, where it is known.
+    the shared folder, so that lineage stays short and lost executors cost one step. A step's edges go once the next ones are stored. Once no more than FEW_EDGES edges
+    are left, one task contracts them to the end, as each step's queries take longer and leave more in the driver; size is their number at first, where it is known.
     """
     spark = edges.sparkSession
     told = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("hash")]
@@ -150,15 +171,20 @@ def components(edges: DataFrame, rounds: int = 60, size: int | None = None) -> D
         return table, seen, own
 
     at, before, own = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None, Scope(spark)
-    few = lambda e, n: e.coalesce(1) if n is not None and n <= FEW_EDGES else e
     n = size
     for _ in range(rounds):
-        both = few(at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v"))), n)
+        if n is not None and n <= FEW_EDGES:
+            with scope(spark) as last:
+                at = materialise(at.coalesce(1).mapInArrow(_contract, at.schema))
+            own.release()
+            own = last
+            break
+        both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        at, after, new = step(few(small, n))
+        at, after, new = step(small)
         n = after["n"]
         own.release()
         own = new

@@ -122,6 +122,15 @@ def test_linked_sets_agree_in_a_block():
                 assert max(int((order(x) < order(both).min()).sum()) for x in (ga, gb)) <= apart
 
 
+def test_few_edges_are_contracted_at_once(spark, monkeypatch):
+    written, materialise = [], shared.materialise
+    monkeypatch.setattr(shared, "materialise", lambda df: written.append(1) or materialise(df))
+    edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(300) if i % 50]
+    got = {r["node"]: r["root"] for r in shared.components(spark.createDataFrame(edges, "u string, v string"), size=len(edges)).collect()}
+    assert got == {f"n{i:03}": f"n{(i - 1) // 50 * 50 + 1:03}" for i in range(1, 301)}
+    assert len(written) == 1
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60) if i % 20] + [(100, rng.randrange(101, 140)) for _ in range(30)] + [(7, 7)]
